@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracklight.llm import query_rules
+from tracklight.llm import query_models, query_rules
 from tracklight.llm.catalogue import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "query_rules"]
+__all__ = ["ORACLE", "QUERIES", "query_models", "query_rules"]
