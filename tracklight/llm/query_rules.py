@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracklight.llm import chat_format as chat
+from tracklight.llm import line_dedup
 from tracklight.llm import quality_rules as rules
 from tracklight.llm.catalogue import query
 from tracklight.llm.common import materialize, table
@@ -127,3 +128,33 @@ def op4_chat_formatting(spark, sf_dir):
         F.length("formatted").cast("long").alias("formatted_chars"),
         (F.regexp_count("formatted", F.lit(r"(?<!\\)<\|(image|audio|document):")).cast("long")).alias("n_attachments"),
     )
+
+
+OP3_SQL = """
+WITH d AS (
+  SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents
+), h AS (
+  SELECT *, [md5(x) for x in ls] AS hs FROM d
+), r AS (
+  SELECT *, [md5(hs[i] || coalesce(hs[i - 1], '')) for i in range(1, len(hs) + 1)] AS rs FROM h
+), s AS (
+  SELECT *, list_concat([1], [i for i in range(3, len(rs)) if rs[i] < rs[i - 1] AND rs[i] < rs[i + 1]]) AS st FROM r
+), c AS (
+  SELECT doc_id, text, k, st[k] AS a, coalesce(st[k + 1], len(ls) + 1) - 1 AS b, array_to_string(ls[st[k]:coalesce(st[k + 1], len(ls) + 1) - 1], chr(10)) AS body
+  FROM (SELECT *, unnest(range(1, len(st) + 1)) AS k FROM s)
+), p AS (
+  SELECT *, b > a AND length(body) >= 40 AS eligible,
+    row_number() OVER (PARTITION BY body, b > a AND length(body) >= 40 ORDER BY doc_id, k) AS nth FROM c
+)
+SELECT doc_id, count(*) FILTER (eligible AND nth > 1)::INTEGER AS removed_chunks,
+  md5(coalesce(string_agg(body, chr(10) ORDER BY k) FILTER (NOT eligible OR nth = 1), '')) AS text_md5,
+  length(coalesce(string_agg(body, chr(10) ORDER BY k) FILTER (NOT eligible OR nth = 1), ''))::BIGINT AS kept_chars
+FROM p GROUP BY doc_id
+"""
+
+
+@query("op3_line_dedup", OP3_SQL)
+def op3_line_dedup(spark, sf_dir):
+    kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    text = F.coalesce("text", F.lit(""))
+    return kept.select("doc_id", "removed_chunks", F.md5(text).alias("text_md5"), F.length(text).cast("long").alias("kept_chars"))
