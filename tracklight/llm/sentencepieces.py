@@ -254,10 +254,13 @@ def encode(documents: DataFrame, path: str, text: str = "text", digests: bool =
                 ids, counts, decoded = [], [], []
                 for joined, n, back in sp.encode_texts(pc.fill_null(piece.column(text), "").to_pylist()):
                     counts.append(n)
-                    ids.append(sha(joined) if digests else [int(i) for i in joined.split(" ")])
+                    ids.append(sha(joined) if digests else joined)
                     decoded.append(sha(back) if digests else back)
+                if not digests:
+                    bounds = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                    ids = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.fromstring(" ".join(ids), dtype=np.int32, sep=" ")))
                 columns = [piece.column(f.name) for f in others]
-                columns += [pa.array(counts, pa.int64()), pa.array(ids, pa.string() if digests else pa.list_(pa.int32())), pa.array(decoded, pa.string())]
+                columns += [pa.array(counts, pa.int64()), pa.array(ids, pa.string()) if digests else ids, pa.array(decoded, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, names=[*[f.name for f in others], *[f.name for f in added]])
 
     return carried.mapInArrow(run, T.StructType([*others, *added]))
