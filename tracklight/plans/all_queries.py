@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from tracklight.plans import q_outcomes, q_wallets
 from tracklight.plans.catalogue import ORACLE, QUERIES
 
+MODULES = (q_outcomes, q_wallets)
+
 
 def queries() -> dict:
     return dict(QUERIES)
