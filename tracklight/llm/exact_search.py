@@ -45,7 +45,7 @@ def quantise(vector: Column, scale: int = 256) -> Column:
 
 
 def _matrix(vectors, width: int) -> np.ndarray:
-    out = np.zeros((len(vectors), width))
+    out = np.zeros((len(vectors), width), dtype=np.int64)
     for i, v in enumerate(vectors):
         out[i, : len(v)] = v
     return out
@@ -53,8 +53,9 @@ def _matrix(vectors, width: int) -> np.ndarray:
 
 def max_score(q_ids, q, ids, x, config: SearchConfig) -> list[tuple[int, int, int]]:
     """(query id, row id, score) of the k best rows of a shard for every query of a block."""
-    if np.abs(q).sum(axis=1).max(initial=0) * np.abs(x).max(initial=0) >= 2**53:
-        q, x = q.astype(object), x.astype(object)  # exact, if slow, for huge components
+    most = float(np.abs(q.astype(float)).sum(axis=1).max(initial=0)) * float(np.abs(x.astype(float)).max(initial=0))
+    kind = np.float64 if most < 2**52 else object  # whole numbers either way: Python's, if slow, for huge components
+    q, x = q.astype(kind), x.astype(kind)
     low, high = x.min(axis=0), x.max(axis=0)
     weight = np.abs(q)
     bounds = weight * (high - low)

@@ -48,7 +48,7 @@ def share_out(sizes: list[int], weights: list[float], cap: float) -> list[float]
                 targets[i] = left * weights[i] / weight
             break
         for i in over:
-            targets[i] = cap * sizes[i]
+            targets[i] = float(cap * sizes[i])
         left -= sum(targets[i] for i in over)
         free = [i for i in free if i not in set(over)]
     return targets
