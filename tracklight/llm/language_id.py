@@ -156,7 +156,7 @@ def predict_batch(model: LanguageModel, texts: pa.Array) -> tuple[list, np.ndarr
     order = np.argsort(owner, kind="stable")
     starts = np.searchsorted(owner[order], np.arange(len(words.vocab) + 1))
     sums = np.empty((len(words.vocab), bits + 1), dtype=np.float32)
-    step = 50_000  # distinct words at a time, to bound memory
+    step = 8_000  # distinct words at a time, to bound memory
     for i in range(0, len(words.vocab), step):
         cut = starts[i : i + step + 1]
         sums[i : i + step, :bits] = wa.segment_sum(model.weights[grams[order[cut[0] : cut[-1]]]], cut - cut[0])
