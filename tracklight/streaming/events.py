@@ -64,12 +64,13 @@ def trailing_buyers(stream: DataFrame, size: str = "14 days", step: str = "1 day
 class Cooldown(StatefulProcessor):
     """Per subject, the moment of the last alert: signals within the cooldown after it are held back."""
 
-    def __init__(self, config: AlertConfig = AlertConfig()):
+    def __init__(self, config: AlertConfig = AlertConfig(), expire: bool = False):
         self.cooldown = int(config.cooldown_hours * HOUR)
         self.threshold = config.threshold
+        self.expire = expire
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "us bigint", int(self.cooldown / 1000))
+        self.last = handle.getValueState("last", "us bigint", int(self.cooldown / 1000) if self.expire else None)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
         signals = pd.concat(list(rows)).sort_values("us")
@@ -91,7 +92,12 @@ class Cooldown(StatefulProcessor):
         pass
 
 
-def alerts(stream: DataFrame, config: AlertConfig = AlertConfig()) -> DataFrame:
-    """(subject, us, significance, decision) of a stream of signals keyed by subject. Needs the RocksDB state store."""
+def alerts(stream: DataFrame, config: AlertConfig = AlertConfig(), expire: bool = False) -> DataFrame:
+    """(subject, us, significance, decision) of a stream of signals keyed by subject. Needs the RocksDB state store.
+
+    With ``expire``, the state of subjects that stay silent for the cooldown goes; that is for streams that run
+    on, as such a query never runs out of batches under the availableNow trigger.
+    """
     schema = "subject string, us bigint, significance double, decision string"
-    return stream.groupBy("subject").transformWithStateInPandas(Cooldown(config), outputStructType=schema, outputMode="append", timeMode="processingTime")
+    mode = "processingTime" if expire else "None"
+    return stream.groupBy("subject").transformWithStateInPandas(Cooldown(config, expire), outputStructType=schema, outputMode="append", timeMode=mode)
