@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from tracklight.plans import all_queries
@@ -14,7 +15,7 @@ QUERIES, ORACLE = all_queries.queries(), all_queries.oracle_sql()
 
 def canon(df):
     df = df[sorted(df.columns)]
-    show = lambda v: "None" if v is None or v != v else f"{v:.9g}" if isinstance(v, float) else str(v)
+    show = lambda v: "None" if v is None or v is pd.NA or v != v else f"{v:.9g}" if isinstance(v, float) else str(v)
     return sorted(tuple(map(show, row)) for row in df.itertuples(index=False)), sorted(df.columns)
 
 
