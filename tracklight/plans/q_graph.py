@@ -80,14 +80,14 @@ def members_at(spark, sf_dir):
 @query("membership_changes", sql.with_(MEMBERS) + f"""
 , add AS (SELECT 'entity_' || (c_custkey % 20)::VARCHAR AS entity_id, c_custkey::VARCHAR AS wallet, {AT} AS valid_from FROM customer WHERE c_custkey % 3 = 0),
 m2 AS (SELECT entity_id, wallet, valid_from, valid_to FROM mem UNION ALL SELECT entity_id, wallet, valid_from, NULL FROM add a WHERE NOT EXISTS (SELECT 1 FROM mem m WHERE m.entity_id = a.entity_id AND m.wallet = a.wallet AND m.valid_to IS NULL))
-SELECT entity_id, wallet, valid_from, CASE WHEN valid_to IS NULL AND wallet::BIGINT % 7 = 0 THEN {AT + DAY} ELSE valid_to END AS valid_to FROM m2""")
+SELECT entity_id, wallet, valid_from, CASE WHEN valid_to IS NULL AND wallet::BIGINT % 7 = 0 THEN {AT + DAY} ELSE valid_to END::VARCHAR AS valid_to FROM m2""")
 def membership_changes(spark, sf_dir):
     key = F.col("c_custkey")
     customers = adapters.read(spark, sf_dir, "customer").select(F.concat(F.lit("entity_"), (key % 20).cast("string")).alias("entity_id"), key.cast("string").alias("wallet"), "c_custkey")
     added = customers.where(key % 3 == 0).select("entity_id", "wallet", qo.as_of().alias("valid_from"))
     gone = customers.where(key % 7 == 0).select("entity_id", "wallet", F.timestamp_micros(F.lit(AT + DAY)).alias("at"))
     after = gr.retract_members(gr.add_members(members(spark, sf_dir).drop("is_primary"), added), gone)
-    return after.select("entity_id", "wallet", F.unix_micros("valid_from").alias("valid_from"), F.unix_micros("valid_to").alias("valid_to"))
+    return after.select("entity_id", "wallet", F.unix_micros("valid_from").alias("valid_from"), F.unix_micros("valid_to").cast("string").alias("valid_to"))
 
 
 @query("open_members", sql.with_(MEMBERS) + "SELECT entity_id, count(*) FILTER (valid_to IS NULL) AS open_members FROM mem GROUP BY 1")
@@ -131,9 +131,9 @@ def k_sequences(spark, sf_dir):
     return pb.sequences(staged, qo.k_outcomes(spark, sf_dir), qo.as_of())
 
 
-@query("sequences", sql.with_(*SEQ_PARTS) + "SELECT entity_id, asset_id, stages, observations, t0, completed, aborted FROM sq")
+@query("sequences", sql.with_(*SEQ_PARTS) + "SELECT entity_id, asset_id, stages, observations, t0::VARCHAR AS t0, completed, aborted FROM sq")
 def sequences(spark, sf_dir):
-    return k_sequences(spark, sf_dir).select("entity_id", "asset_id", F.array_join("stages", ">").alias("stages"), "observations", F.unix_micros("outcome_t0").alias("t0"), "completed", "aborted")
+    return k_sequences(spark, sf_dir).select("entity_id", "asset_id", F.array_join("stages", ">").alias("stages"), "observations", F.unix_micros("outcome_t0").cast("string").alias("t0"), "completed", "aborted")
 
 
 @query(
