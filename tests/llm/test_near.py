@@ -68,6 +68,36 @@ def test_classes_equal_brute_force(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({find(i) for i, _, _ in rows}) and kept.columns == df.columns
 
 
+def test_copies_that_are_alike_only_through_an_original_of_middle_id(spark):
+    rng = random.Random(8)
+    fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    original = fresh(150)
+    docs = {500: original}
+    for i in [*range(1, 151), *range(901, 1051)]:
+        at = 15 + 17 * rng.randrange(8)
+        docs[i] = original[:at] + fresh(30) + original[at:]
+    frame = fresh(60)
+    docs.update({2000 + i: fresh(25) + frame + fresh(25) for i in range(60)})  # one passage in common, not alike
+    rows = spark.createDataFrame([(i, " ".join(t)) for i, t in docs.items()], "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.class_id for r in nd.near_classes(rows, nd.NearDedupConfig(shard=16)).collect()}
+    assert got == {i: i if i >= 2000 else 1 for i in docs}
+
+
+def test_no_pair_of_a_bucket_is_lost_beside_its_leader(spark):
+    """Two texts that are alike meet others' leader, which is like neither."""
+    rng = random.Random(9)
+    fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    docs = {i: fresh(100) for i in range(40)}
+    docs.update({100 + i: [*docs[i][:90], *fresh(10)] for i in range(40)})
+    texts = spark.createDataFrame([(i, " ".join(t)) for i, t in docs.items()], "doc_id long, text string")
+    made = nd.sketch(texts, nd.NearDedupConfig()).cache()
+    bucket = made.select(F.lit(1).cast("long").alias("bucket"), F.col("doc_id").alias("member"))
+    none = spark.createDataFrame([], "doc_id long, class_id long")
+    for shard in (1000, 16):
+        got = sorted(map(tuple, nd.apart_pairs(bucket, none, made, nd.NearDedupConfig(shard=shard)).collect()))
+        assert got == [(i, 100 + i) for i in range(40)]
+
+
 def test_odd_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert nd.near_classes(empty).count() == 0
