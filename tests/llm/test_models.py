@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from tracklight.llm import language_id as li
@@ -42,6 +43,15 @@ def test_language_held_out_accuracy(spark):
     assert got[1000].score == 0 and got[1000].ambiguous and all(0 <= r.score <= 1 for r in got.values())
 
 
+def test_every_language_is_in_a_sample_that_the_bound_cuts(spark):
+    rows = [(100 * k + i, f"word{k} of {i}", f"l{k:02}") for k in range(12) for i in range(40)] + [(7, "again", "l00")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    config = li.LanguageIdConfig(buckets=64, steps=1, rows_per_language=20, max_rows=60, max_languages=12)
+    assert li.fit(docs, config).languages == [f"l{k:02}" for k in range(12)]
+    with pytest.raises(ValueError, match="languages"):
+        li.fit(docs, li.LanguageIdConfig(buckets=64, steps=1, max_languages=11))
+
+
 def test_language_without_or_with_one_language(spark):
     docs = spark.createDataFrame([(1, "ab", "xx"), (3, "cd", "xx")], "doc_id long, text string, lang string")
     none = li.fit(docs.limit(0), li.LanguageIdConfig(buckets=64))

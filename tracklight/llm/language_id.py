@@ -5,8 +5,9 @@ letters, word boundaries included) predicts the language's bit. Loss-weighted de
 whose codeword has the least total logistic loss over the bits; the softmax of the negated losses is its score,
 and a text whose runner-up is nearly as near is flagged ambiguous.
 
-Fitting uses at most ``rows_per_language`` texts of a language and ``max_languages`` languages' worth of rows in
-all; prediction covers whole texts of every document.
+Fitting uses at most ``rows_per_language`` texts of a language and ``max_rows`` in all, shared alike by the
+languages, so that each has some; more than ``max_languages`` are refused. Prediction covers whole texts of every
+document.
 
 Defined results: a null text, and one without a letter, is ``und`` with score 0 and ambiguous; with one known
 language every text with letters gets it; with none, all are ``und``. Repeated rows get the same result each;
@@ -177,7 +178,10 @@ def predict_batch(model: LanguageModel, texts: pa.Array) -> tuple[list, np.ndarr
 def fit(documents: DataFrame, config: LanguageIdConfig = LanguageIdConfig()) -> LanguageModel:
     """Learn from the text and non-null lang of documents that are not held out."""
     known = documents.where(~samples.held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang")
-    sample = samples.sample_by_class(known, "lang", config.rows_per_language)
+    n = known.select("lang").distinct().limit(config.max_languages + 1).count()
+    if n > config.max_languages:
+        raise ValueError(f"more than {config.max_languages} languages")
+    sample = samples.sample_by_class(known, "lang", min(config.rows_per_language, config.max_rows // max(1, n)))
     rows = samples.sample_texts(documents.where(F.col("lang").isNotNull()), sample, "lang", config.max_rows)
     return train([r["text"] for r in rows], [r["lang"] for r in rows], config)
 

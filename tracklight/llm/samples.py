@@ -25,7 +25,14 @@ def sample_by_class(labelled: DataFrame, label: str, per_class: int) -> DataFram
 
 
 def sample_texts(documents: DataFrame, sample: DataFrame, label: str, rows: int) -> list:
-    """Rows (text, label, class_rows) of the sampled documents: ``rows`` at most, which bounds the broadcast and the result."""
-    ids = F.broadcast(sample.limit(rows))
-    found = documents.select("doc_id", "text").join(ids, "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), label, "class_rows", F.xxhash64("doc_id").alias("_h"))
-    return sorted(found.limit(rows).collect(), key=lambda r: (r["_h"], r["text"]))
+    """Rows (text, label, class_rows) of the sampled documents: ``rows`` at most, which bounds the broadcast and the result.
+
+    The caller bounds the sample, by class; a larger one is refused, not cut. Of documents that share an id one text is taken.
+    """
+    ids = sample.dropDuplicates(["doc_id", label])
+    on = ["doc_id", label] if label in documents.columns else ["doc_id"]
+    found = documents.select(*on, "text").join(F.broadcast(ids), on).groupBy("doc_id", label, "class_rows").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    found = found.select("text", label, "class_rows", F.xxhash64("doc_id").alias("_h")).limit(rows + 1).collect()
+    if len(found) > rows:
+        raise ValueError(f"the sample has more than {rows} rows")
+    return sorted(found, key=lambda r: (r["_h"], r["text"]))
