@@ -9,9 +9,6 @@ from tracklight.llm.catalogue import query
 from tracklight.llm.common import materialize, new_path, table
 
 
-OLD = {"old_tokens": F.lit(None).cast("long"), "old_tokenizer": F.lit(None).cast("string")}
-
-
 @query("op9_mixing")
 def op9_mixing(spark, sf_dir):
     documents = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
@@ -40,6 +37,7 @@ SELECT source, lang, 'pieces-1', count(*)::BIGINT, sum(pieces)::BIGINT FROM live
 def op2_token_counts(spark, sf_dir):
     """Four batches, one of them delivered twice: all documents are inserted by their words, all are counted by
     pieces, a provisional count is revised, and later copies of a text are deleted."""
+    unset = {"old_tokens": F.lit(None).cast("long"), "old_tokenizer": F.lit(None).cast("string")}
     documents = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
     digest = documents.select("doc_id", F.sha2("text", 256).alias("digest"))
     counts = materialize(token_counts.count_documents(documents), "token-rows")
@@ -47,14 +45,14 @@ def op2_token_counts(spark, sf_dir):
     copies = materialize(digest.join(first.drop("n"), "digest").where("doc_id > first_id").select("doc_id"), "token-copies")
     rollup = token_counts.Rollup(spark, new_path(spark, "token-rollup"))
     words = counts.where("tokenizer = 'words-1'")
-    rollup.commit(words.withColumn("op", F.lit("insert")).withColumns(OLD), 0)
-    pieces = counts.where("tokenizer = 'pieces-1'").withColumn("op", F.lit("insert")).withColumns(OLD)
+    rollup.commit(words.withColumn("op", F.lit("insert")).withColumns(unset), 0)
+    pieces = counts.where("tokenizer = 'pieces-1'").withColumn("op", F.lit("insert")).withColumns(unset)
     provisional = pieces.withColumns({"tokens": F.col("tokens") + 1, "tokenizer": F.lit("pieces-0")})
     rollup.commit(provisional, 1)
     revised = pieces.withColumns({"op": F.lit("revise"), "old_tokens": F.col("tokens") + 1, "old_tokenizer": F.lit("pieces-0")})
     rollup.commit(revised, 2)
     rollup.commit(revised, 2)
-    gone = counts.join(copies, "doc_id", "left_semi").withColumn("op", F.lit("delete")).withColumns(OLD)
+    gone = counts.join(copies, "doc_id", "left_semi").withColumn("op", F.lit("delete")).withColumns(unset)
     rollup.commit(gone, 3)
     return rollup.read()
 
