@@ -5,7 +5,9 @@ import json
 import math
 import re
 
+import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tracklight.llm import chat_format as chat
@@ -91,37 +93,53 @@ def test_parts_become_placeholders_and_attachments(spark):
 
 
 def dedup_of(docs):
-    """Line dedup in plain Python."""
+    """Line dedup in plain Python; docs are (id, text)."""
     md5 = lambda s: hashlib.md5(s.encode()).hexdigest()
-    cut = {}
-    for i, (_, text) in enumerate(docs):
-        lines = (text or "").split("\n")
+    order = lambda d: (d[0] is None, d[0] or 0, np.int64(np.uint64(xxhash.xxh64_intdigest(d[1] or "", seed=42))))
+    first, kept = set(), {}
+    for doc in sorted(set(docs), key=order):
+        lines = (doc[1] or "").split("\n")
         h = [md5(x) for x in lines]
         r = [md5(h[k] + (h[k - 1] if k else "")) for k in range(len(h))]
         starts = [0] + [k for k in range(2, len(r) - 1) if r[k] < r[k - 1] and r[k] < r[k + 1]]
-        cut[i] = [(b - a, "\n".join(lines[a:b])) for a, b in zip(starts, [*starts[1:], len(lines)], strict=True)]
-    first, kept = set(), {}
-    for i in sorted(range(len(docs)), key=lambda i: (docs[i][0] is None, docs[i][0] or 0)):
-        out = []
-        for n, body in cut[i]:
-            if docs[i][0] is not None and n >= 2 and len(body) >= 40:
+        out, removed = [], 0
+        for a, b in zip(starts, [*starts[1:], len(lines)], strict=True):
+            body = "\n".join(lines[a:b])
+            if doc[1] is not None and b - a >= 2:
                 if body in first:
+                    removed += 1
                     continue
                 first.add(body)
             out.append(body)
-        kept[i] = None if docs[i][1] is None else "\n".join(out)
+        kept[doc] = (None if doc[1] is None else "\n".join(out), removed)
     return kept
 
 
-def test_line_dedup_equals_plain_python(spark):
+def line_documents():
     line = lambda i: f"this is line number {i} of some text"
     shared = [line(f"s{i}") for i in range(30)]
     docs = [(i, "\n".join([line(f"{i}-{k}") for k in range(5)] + shared[i % 3 :] + [line(f"{i}+{k}") for k in range(4)])) for i in range(12)]
-    docs += [(100, docs[0][1]), (101, None), (102, ""), (103, "single"), (104, "a\nb"), (None, docs[0][1]), (105, "\n" * 20), (106, "\n".join(shared * 3))]
-    rows = spark.createDataFrame([(d, t, i) for i, (d, t) in enumerate(docs)], "doc_id long, text string, n int")
-    got = {r.n: r.text for r in ld.dedup_lines(rows).collect()}
-    assert got == dedup_of(docs) and got[12] == ""
+    docs += [(100, docs[0][1]), (101, None), (102, ""), (103, "single"), (104, "a\nb"), (None, docs[0][1]), (105, "\n" * 20), (106, "\n".join(shared * 3)), (107, "a\nb"), (None, None)]
+    docs += [(200, docs[3][1]), (200, docs[4][1] + "\nmore"), (200, docs[4][1] + "\nmore"), (None, docs[5][1] + "\nend"), (None, docs[5][1]), (108, "\n".join(line(k % 700) for k in range(4000)))]
+    return docs
+
+
+@pytest.mark.parametrize("bits", [128, 8])
+def test_line_dedup_equals_plain_python(spark, bits):
+    """With hashes of 8 bits most chunks share one with others of different bytes."""
+    docs = line_documents()
+    rows = spark.createDataFrame([(d, t, i, "c", "k") for i, (d, t) in enumerate(docs)], "doc_id long, text string, n int, doc string, key string").repartition(3)
+    found = ld.dedup_lines(rows, ld.LineDedupConfig(hash_bits=bits))
+    want = dedup_of(docs)
+    assert {r.n: (r.text, r.removed_chunks) for r in found.collect()} == {i: want[d] for i, d in enumerate(docs)}
+    assert want[(12 + 88, docs[0][1])][0] == "" and want[(107, "a\nb")] == ("", 1)
+    assert found.columns == [*rows.columns, "removed_chunks"]
+
+
+def test_line_dedup_of_odd_tables(spark):
+    rows = spark.createDataFrame([("x", "a\nb", 5), ("y", "a\nb", 6)], "doc_id string, text string, removed_chunks int")
     assert ld.dedup_lines(rows.limit(0)).count() == 0
+    assert sorted(map(tuple, ld.dedup_lines(rows).collect())) == [("x", "a\nb", 0), ("y", "", 1)]
 
 
 def test_chunks_join_to_the_text(spark):
@@ -129,16 +147,3 @@ def test_chunks_join_to_the_text(spark):
     rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", ld.chunks_of(F.col("text"), ld.LineDedupConfig()).alias("c"))
     for r in rows.collect():
         assert "\n".join(c.body for c in r.c) == r.text and (len(r.c) == 1 or min(c.n_lines for c in r.c) >= 2)
-
-
-def test_chunks_with_one_hash_but_different_bytes_are_told_apart(spark, monkeypatch):
-    plain = ld.keyed_chunks
-
-    def weak(text, config, clashing=()):
-        if clashing:
-            return plain(text, config, clashing)
-        return F.transform(plain(text, config), lambda c: F.struct(F.when(c["key"] != "", F.lit("same")).otherwise("").alias("key"), c["body"].alias("body")))
-
-    monkeypatch.setattr(ld, "keyed_chunks", weak)
-    rows = spark.createDataFrame([(i, f"first line of {i} is this one\nsecond line of {i} is that one") for i in range(3)], "doc_id long, text string")
-    assert ld.clashes(rows.select("*", F.col("doc_id").alias("_id"), F.array(F.lit("same")).alias("_first_here"), F.array().cast("array<string>").alias("_first_elsewhere")), ld.LineDedupConfig()) == ["same"]

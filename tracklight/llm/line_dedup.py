@@ -3,18 +3,21 @@
 A text is split into lines; each line is hashed, and a rolling hash covers ``window`` lines at a time. A chunk
 starts where the rolling hash is less than at the line before and the line after, so boundaries depend on nearby
 lines only and survive shifts; every chunk but that of a one-line text has two lines or more. Multi-line chunks
-that stand elsewhere too are removed, but for the first occurrence by document id and place. Chunks whose hash
-repeats are compared byte by byte; where texts differ under one hash, that hash is replaced by a stronger one.
+that stand elsewhere too are removed, but for the first occurrence by document and place.
 
-Defined results: a null text stays null and an empty one empty; one-line texts have no multi-line chunk and stay
-as they are; rows that share an id are treated alike, each with its own first occurrence; documents without an id
-are left as they are and count as no occurrence. A text may end up empty. Extra columns are carried along.
-No Python runs on the executors.
+The work goes in three passes over the texts. The first writes a hash of every multi-line chunk; only hashes that
+come twice go on. The second groups the chunks with those hashes by their bytes, which tells apart chunks that
+share a hash. The third drops, by their places, the occurrences that are not the first of their bytes.
+
+Defined results: documents are in the order of their ids, null ids last; documents that share an id, or have none,
+are in the order of a hash of their texts. Rows equal in id and text are one document, and each gets its result. A
+null text stays null and an empty one empty; one-line texts have no multi-line chunk and stay as they are. A text
+may end up empty. Other columns, of whatever name, are carried along; a column ``removed_chunks`` is replaced. No
+Python runs on the executors.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -26,7 +29,7 @@ from tracklight.llm.common import let, materialize
 @dataclass(frozen=True)
 class LineDedupConfig:
     window: int = 2  # lines under the rolling hash
-    least_chars: int = 40  # shorter chunks are never removed
+    hash_bits: int = 128  # of a chunk; fewer only make more chunks share a hash
 
 
 def lines_of(text: Column) -> Column:
@@ -66,71 +69,62 @@ def chunks_of(text: Column, config: LineDedupConfig) -> Column:
     return let(lines_of(text), cut)
 
 
-def keyed_chunks(text: Column, config: LineDedupConfig, clashing: Sequence[str] = ()) -> Column:
-    """array of struct(key, body): key is the hash of a chunk that may be removed, and empty for the others."""
-
-    def key(c):
-        plain = F.md5(c["body"])
-        found = F.when(plain.isin(*clashing), F.sha2(c["body"], 256)).otherwise(plain) if clashing else plain
-        return F.when((c["n_lines"] >= 2) & (F.length(c["body"]) >= config.least_chars), found).otherwise(F.lit(""))
-
-    return F.transform(chunks_of(text, config), lambda c: F.struct(key(c).alias("key"), c["body"].alias("body")))
-
+def _documents(documents: DataFrame) -> DataFrame:
+    """(row, doc, text): the row as it is, and what names and orders its document."""
+    key = F.struct(F.col("doc_id").isNull().alias("lost"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"))
+    return documents.select(F.struct(*[F.col(c) for c in documents.columns]).alias("row"), key.alias("doc"), F.col("text"))
 
-def repeated_chunks(documents: DataFrame, config: LineDedupConfig, clashing: Sequence[str] = ()) -> DataFrame:
-    """(_id, key, first_id): of every document the chunk hashes that stand in more than one place, and where the first stands."""
-    keys = documents.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("_id"), F.explode(F.transform(keyed_chunks(F.col("text"), config, clashing), lambda c: c["key"])).alias("key"))
-    placed = materialize(keys.where("key <> ''"), "line-chunks")
-    firsts = materialize(placed.groupBy("key").agg(F.count(F.lit(1)).alias("times"), F.min("_id").alias("first_id")).where("times > 1").drop("times"), "line-firsts")
-    return placed.join(firsts, "key")
 
+def _hash(body: Column, config: LineDedupConfig) -> Column:
+    return F.substring(F.unhex(F.sha2(body, 256)), 1, config.hash_bits // 8)
 
-def _of_documents(repeated: DataFrame) -> DataFrame:
-    """One row per document: the hashes of its own repeated chunks, apart by whether it is the first to have them."""
-    mine = F.col("_id") == F.col("first_id")
-    return repeated.groupBy("_id").agg(
-        F.collect_set(F.when(mine, F.col("key"))).alias("_first_here"), F.collect_set(F.when(~mine, F.col("key"))).alias("_first_elsewhere")
-    )
 
+def hashed_chunks(docs: DataFrame, config: LineDedupConfig) -> DataFrame:
+    """(key, doc, place): the hash of every multi-line chunk and where it stands."""
 
-def clashes(marked: DataFrame, config: LineDedupConfig) -> list[str]:
-    """Hashes under which chunks differ in any byte: none, unless someone made texts to that end."""
-    wanted = F.concat("_first_here", "_first_elsewhere")
-    own = let(wanted, lambda w: F.filter(keyed_chunks(F.col("text"), config), lambda c: F.array_contains(w, c["key"])))
-    chunks = marked.where("_id IS NOT NULL AND text IS NOT NULL").select(F.explode(own).alias("c"))
-    found = chunks.groupBy("c.key").agg(F.min("c.body").alias("least"), F.max("c.body").alias("most")).where("least <> most").select("key")
-    return [r["key"] for r in found.collect()]
+    def hashes(chunks):
+        numbered = F.transform(chunks, lambda c, i: F.struct(F.when(c["n_lines"] >= 2, _hash(c["body"], config)).alias("key"), i.alias("place")))
+        return F.filter(numbered, lambda c: c["key"].isNotNull())
 
+    found = docs.where("text IS NOT NULL").select("doc", F.explode(let(chunks_of(F.col("text"), config), hashes)).alias("c"))
+    return found.select("c.key", "doc", "c.place")
 
-def _cleaned(config: LineDedupConfig, clashing: Sequence[str]) -> Column:
-    """struct(text, removed) of a marked document."""
 
-    def clean(chunks):
-        def keeps(keys):
-            def keep(c, i):
-                gone = F.array_contains(F.col("_first_elsewhere"), c["key"])
-                again = F.array_contains(F.col("_first_here"), c["key"]) & (F.array_position(keys, c["key"]) <= i)
-                return ~(gone | again)
+def with_bodies(docs: DataFrame, chunks: DataFrame, config: LineDedupConfig) -> DataFrame:
+    """``chunks`` (key, doc, place) with their bodies, taken from the texts again."""
+    of_doc = chunks.groupBy("doc").agg(F.collect_set(F.struct("place", "key")).alias("wanted"))
+    texts = docs.select(F.col("doc").alias("_of"), "text").join(of_doc, F.col("_of") == F.col("doc"))
+    bodies = let(chunks_of(F.col("text"), config), lambda cs: F.transform("wanted", lambda w: F.struct(w["key"].alias("key"), w["place"].alias("place"), cs[w["place"]]["body"].alias("body"))))
+    return texts.select("doc", F.explode(bodies).alias("c")).select("c.key", "doc", "c.place", "c.body")
 
-            return F.filter(chunks, keep)
 
-        kept = let(F.transform(chunks, lambda c: c["key"]), keeps)
-        return let(kept, lambda ks: F.struct(F.array_join(F.transform(ks, lambda c: c["body"]), "\n").alias("text"), (F.size(chunks) - F.size(ks)).alias("removed")))
-
-    untouched = F.struct(F.col("text").alias("text"), F.lit(0).alias("removed"))
-    return F.when(F.col("_id").isNull() | F.col("text").isNull(), untouched).otherwise(let(keyed_chunks(F.col("text"), config, clashing), clean))
+def later_chunks(docs: DataFrame, config: LineDedupConfig) -> DataFrame:
+    """(doc, place) of the chunks whose bytes stand in an earlier document, or earlier in their own."""
+    chunks = materialize(hashed_chunks(docs, config), "line-chunks")
+    twice = chunks.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    repeated = materialize(chunks.join(twice, "key"), "line-repeated")
+    compared = with_bodies(docs, repeated, config).groupBy("key", "body").agg(F.count(F.lit(1)).alias("n"))
+    shared = materialize(compared.groupBy("key").agg(F.count(F.lit(1)).alias("bodies")).where("bodies > 1").select("key"), "line-shared")
+    at = F.struct("doc", "place")
+    plain = repeated.join(shared, "key", "left_anti")
+    later = plain.join(plain.groupBy("key").agg(F.min(at).alias("first")), "key").where(at > F.col("first")).select("doc", "place")
+    if shared.limit(1).count():  # hashes that chunks of different bytes share
+        told = materialize(with_bodies(docs, repeated.join(shared, "key", "left_semi"), config), "line-told")
+        later = later.union(told.join(told.groupBy("key", "body").agg(F.min(at).alias("first")), ["key", "body"]).where(at > F.col("first")).select("doc", "place"))
+    return later
 
 
 def dedup_lines(documents: DataFrame, config: LineDedupConfig = LineDedupConfig()) -> DataFrame:
     """``documents`` with their texts less repeated chunks, and ``removed_chunks`` (int)."""
-
-    def marked(clashing=()):
-        of_doc = materialize(_of_documents(repeated_chunks(documents, config, clashing)), "line-repeats")
-        return documents.join(of_doc, documents["doc_id"] == of_doc["_id"], "left")
-
-    rows, clashing = marked(), []
-    if clashing := clashes(rows, config):
-        rows = marked(clashing)
-    out = rows.withColumn("_cleaned", _cleaned(config, clashing))
-    kept = [F.col("_cleaned.text").alias("text") if c == "text" else F.col(c) for c in documents.columns]
-    return out.select(*kept, F.col("_cleaned.removed").alias("removed_chunks"))
+    docs = _documents(documents)
+    gone = materialize(later_chunks(docs, config).groupBy("doc").agg(F.collect_set("place").alias("gone")), "line-gone")
+
+    def cleaned(chunks):
+        kept = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(chunks) - 1), F.col("gone")))
+        return F.array_join(F.transform(F.when(F.size(kept) > 0, kept), lambda i: chunks[i]["body"]), "\n")
+
+    rows = docs.join(gone.withColumnRenamed("doc", "_of"), F.col("doc") == F.col("_of"), "left")
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.coalesce(let(chunks_of(F.col("text"), config), cleaned), F.lit("")))
+    out = rows.select("row", text.alias("_text"), F.coalesce(F.size("gone"), F.lit(0)).alias("_removed"))
+    kept = [c for c in documents.columns if c != "removed_chunks"]
+    return out.select(*[F.col("_text").alias(c) if c == "text" else F.col("row")[c].alias(c) for c in kept], F.when(F.col("_removed") > 0, F.col("_removed")).otherwise(F.lit(0)).alias("removed_chunks"))

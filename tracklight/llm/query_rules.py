@@ -143,8 +143,8 @@ WITH d AS (
   SELECT doc_id, text, k, st[k] AS a, coalesce(st[k + 1], len(ls) + 1) - 1 AS b, array_to_string(ls[st[k]:coalesce(st[k + 1], len(ls) + 1) - 1], chr(10)) AS body
   FROM (SELECT *, unnest(range(1, len(st) + 1)) AS k FROM s)
 ), p AS (
-  SELECT *, b > a AND length(body) >= 40 AS eligible,
-    row_number() OVER (PARTITION BY body, b > a AND length(body) >= 40 ORDER BY doc_id, k) AS nth FROM c
+  SELECT *, b > a AND text IS NOT NULL AS eligible,
+    row_number() OVER (PARTITION BY body, b > a AND text IS NOT NULL ORDER BY doc_id, k) AS nth FROM c
 )
 SELECT doc_id, count(*) FILTER (eligible AND nth > 1)::INTEGER AS removed_chunks,
   md5(coalesce(string_agg(body, chr(10) ORDER BY k) FILTER (NOT eligible OR nth = 1), '')) AS text_md5,
