@@ -28,7 +28,7 @@ def test_split_words_equals_a_regular_expression():
 
 def test_slices_cover_all_rows():
     batch = pa.RecordBatch.from_arrays([pa.array(["a" * n if n else None for n in (0, 5, 100, 1, 0)])], names=["t"])
-    assert [p.num_rows for p in wa.slices(batch, "t", 10)] == [2, 1, 2]
+    assert [p.num_rows for p in wa.slices(batch, ["t"], 10)] == [2, 1, 2]
 
 
 def test_language_held_out_accuracy(spark):

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from tracklight.llm import alignment as al
 from tracklight.llm import exact_search as xs
 from tracklight.llm import near_dedup as nd
+from tracklight.llm import word_arrays as wa
 
 
 def plain_distance(a, b):
@@ -90,9 +92,9 @@ def test_no_pair_of_a_bucket_is_lost_beside_its_leader(spark):
     docs = {i: fresh(100) for i in range(40)}
     docs.update({100 + i: [*docs[i][:90], *fresh(10)] for i in range(40)})
     texts = spark.createDataFrame([(i, " ".join(t)) for i, t in docs.items()], "doc_id long, text string")
-    made = nd.sketch(texts, nd.NearDedupConfig()).cache()
-    bucket = made.select(F.lit(1).cast("long").alias("bucket"), F.col("doc_id").alias("member"))
-    none = spark.createDataFrame([], "doc_id long, class_id long")
+    made = nd.sketch(texts, nd.NearDedupConfig()).withColumnRenamed("doc_id", "node").cache()
+    bucket = made.select(F.lit(1).cast("long").alias("bucket"), F.col("node").alias("member"))
+    none = spark.createDataFrame([], "node long, label long")
     for shard in (1000, 16):
         got = sorted(map(tuple, nd.apart_pairs(bucket, none, made, nd.NearDedupConfig(shard=shard)).collect()))
         assert got == [(i, 100 + i) for i in range(40)]
@@ -106,6 +108,34 @@ def test_odd_tables(spark):
     assert got == sorted(map(str, [(None, None), (None, None), (1, 1), (1, 1), (2, 2)]))
 
 
+def test_rows_that_share_an_id_keep_all_links(spark):
+    rng = random.Random(3)
+    fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    a, b, c = fresh(80), fresh(80), fresh(80)
+    near = lambda t: " ".join([*t[:75], *fresh(5)])
+    rows = [("k1", " ".join(a)), ("k1", " ".join(b)), ("k2", near(a)), ("k3", near(b)), ("k4", " ".join(c)), ("k5", None), ("k1", None)]
+    df = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id string, text string, node string, label string").repartition(3)
+    got = sorted((r.doc_id, r.class_id) for r in nd.near_classes(df).collect())
+    assert got == [("k1", "k1")] * 3 + [("k2", "k1"), ("k3", "k1"), ("k4", "k4"), ("k5", "k5")]
+    assert sorted(r.doc_id for r in nd.keep_one(df).collect()) == ["k1", "k1", "k1", "k4", "k5"] and nd.keep_one(df).columns == df.columns
+
+
+@pytest.mark.parametrize(("share", "least"), [(0.05, 1.0), (0.1, 0.99), (0.15, 0.95), (0.19, 0.9)])
+def test_recall_of_pairs_that_pass_the_alignment(share, least):
+    """Pairs of texts of 300 words, a share of them replaced here and there, that agree in an entry."""
+    rng, found, n = random.Random(11), 0, 400
+    config = nd.NearDedupConfig()
+    texts = []
+    for _ in range(n):
+        base = [f"w{rng.randrange(30_000)}" for _ in range(300)]
+        places = set(rng.sample(range(300), int(300 * share)))
+        texts += [" ".join(base), " ".join(f"x{rng.randrange(30_000)}" if i in places else w for i, w in enumerate(base))]
+    words = wa.split_words(pa.array(texts, pa.large_string()))
+    entries = nd.sketches_of(words, nd.word_hashes(words), config)
+    found = sum(bool((entries[i] == entries[i + 1]).any()) for i in range(0, len(texts), 2))
+    assert found >= least * n, found / n
+
+
 def test_search_equals_brute_force(spark):
     rng = np.random.default_rng(3)
     vectors = [(i, [float(x) for x in rng.normal(size=12)]) for i in range(400)]

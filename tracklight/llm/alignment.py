@@ -68,8 +68,11 @@ def distance_within(a: list, b: list, limit: int) -> int | None:
         k *= 4
 
 
-def similar(a: str, b: str, least: float) -> bool:
+def words_of(text: str) -> list[str]:
+    return WORDS.findall(text)
+
+
+def similar_words(x: list[str], y: list[str], least: float) -> bool:
     """Whether 1 - distance / length of the longer is at least ``least``, in words."""
-    x, y = WORDS.findall(a), WORDS.findall(b)
     longest = max(len(x), len(y))
     return distance_within(x, y, int((1 - least) * longest + 1e-9)) is not None

@@ -193,7 +193,7 @@ def predict(documents: DataFrame, model: LanguageModel, text: str = "text") -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in wa.slices(batch, text):
+            for piece in wa.slices(batch, [text]):
                 names, score, ambiguous = predict_batch(model, wa.texts_of(piece, text))
                 yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(ambiguous, pa.bool_())], names=[*piece.schema.names, "lang_pred", "score", "ambiguous"])
 

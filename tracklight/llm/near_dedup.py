@@ -8,29 +8,32 @@ word-level edit distance is (1 - ``similarity``) of the longer one's words at mo
 
 Exact copies are put together first, and only one text of them is compared. A bucket of texts with one entry in
 common first compares each member with its leader, the member that meets most texts over all its buckets, so a
-group of copies is joined through its original with work that grows with the members. Then every pair of a bucket
-whose classes are not joined yet is compared too, but for those that a bound on their distance excludes: texts
-differ by as many edits as their counts of words, dealt over ``bins``, differ on one side. Big buckets are divided
-into blocks of pairs. Classes are the connected components of the similar pairs, labelled by their least id, the
-same as if every pair of a bucket had been compared; nothing is capped.
+group of copies is joined through its original with work that grows with the members; the buckets of ``led``
+entries are enough for that. Then every pair of any bucket whose classes are not joined yet is compared too, but
+for those that a bound on their distance excludes: texts differ by as many edits as their counts of words, dealt
+over ``bins``, differ on one side. Big buckets are divided into blocks of pairs. Classes are the connected
+components of the similar pairs, labelled by their least id, the same as if every pair of a bucket had been
+compared; nothing is capped.
 
-Chance of missing a pair of Jaccard similarity 0.8 in all entries: (1 - 0.8 ** 2) ** 24, about 2e-11.
+Chance of missing a pair in all entries: below 1e-20 at a Jaccard similarity of 0.8; at the least similarity that
+the alignment accepts, 20 % of the words changed here and there, about one in ten (README).
 
 Defined results: null texts are alike to nothing, nor to each other; empty texts, and texts without words, are
-copies of what equals them exactly; texts of under five words have one shingle; rows that share an id are one
-document for the classes; documents with a null id are their own class (class_id null). Extra columns are ignored.
+copies of what equals them exactly; texts of under five words have one shingle. Rows that share an id are one
+document, which joins the classes of all its texts; documents with a null id are their own class (class_id null).
+Ids may be of any type that has an order. Other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,7 +45,8 @@ from tracklight.llm.common import materialize
 @dataclass(frozen=True)
 class NearDedupConfig:
     shingle: int = 5
-    entries: int = 24
+    entries: int = 64
+    led: int = 16  # entries whose buckets compare members with leaders first
     picks: int = 2
     similarity: float = 0.8
     seed: int = 5
@@ -93,7 +97,7 @@ def labelled_shingles(words: wa.Words, hashes: np.ndarray, size: int) -> tuple[n
 def sketches_of(words: wa.Words, hashes: np.ndarray, config: NearDedupConfig) -> np.ndarray:
     """One row of entries (int64) per text; texts without words get zeros."""
     plain, labelled, starts = labelled_shingles(words, hashes, config.shingle)
-    seeds = wa.mix64(np.arange(1, config.entries + 1, dtype=np.uint64) * ODD + np.uint64(config.seed))
+    factors = wa.mix64(np.arange(1, config.entries + 1, dtype=np.uint64) * ODD + np.uint64(config.seed)) | np.uint64(1)
     out = np.zeros((len(starts) - 1, config.entries), dtype=np.uint64)
     step = max(1, config.entries)
     for i in range(len(starts) - 1):
@@ -102,7 +106,7 @@ def sketches_of(words: wa.Words, hashes: np.ndarray, config: NearDedupConfig) ->
             continue
         part = step if len(own) < 100_000 else 1  # bounds the memory of very long texts
         for s in range(0, config.entries, part):
-            hashed = wa.mix64(own[None, :] ^ seeds[s : s + part, None])
+            hashed = own[None, :] * factors[s : s + part, None]  # the shingles' hashes are mixed well already
             rows, places = np.arange(len(hashed)), []
             for _ in range(min(config.picks, len(own))):
                 best = hashed.argmin(axis=1)
@@ -120,7 +124,7 @@ def sketch(documents: DataFrame, config: NearDedupConfig) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in wa.slices(batch, "text", 3 << 20):
+            for piece in wa.slices(batch, ["text"], 3 << 20):
                 words = wa.split_words(wa.texts_of(piece, "text"))
                 hashes = word_hashes(words)
                 entries = sketches_of(words, hashes, config)
@@ -128,34 +132,51 @@ def sketch(documents: DataFrame, config: NearDedupConfig) -> DataFrame:
                 flat = pc.if_else(pa.array(words.lengths > 0), flat, pa.scalar(None, flat.type))
                 bins = pa.array([row.tobytes() for row in word_bins(words, hashes, config.bins)], pa.binary())
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("digest"), flat, pa.array(words.lengths, pa.int64()), bins], names=names)
+        wa.give_back()
 
     names = ["doc_id", "digest", "entries", "n_words", "bins"]
-    fields = [documents.schema["doc_id"], T.StructField("digest", T.StringType()), T.StructField("entries", T.ArrayType(T.LongType())), T.StructField("n_words", T.LongType()), T.StructField("bins", T.BinaryType())]
-    return documents.select("doc_id", "text", F.sha2("text", 256).alias("digest")).mapInArrow(run, T.StructType(fields))
+    fields = [documents.schema["doc_id"], T.StructField("digest", T.BinaryType()), T.StructField("entries", T.ArrayType(T.LongType())), T.StructField("n_words", T.LongType()), T.StructField("bins", T.BinaryType())]
+    return documents.select("doc_id", "text", digest_of("text").alias("digest")).mapInArrow(run, T.StructType(fields))
+
+
+def digest_of(text: str) -> Column:
+    return F.unhex(F.sha2(text, 256))
 
 
 def verify(pairs: DataFrame, texts: DataFrame, config: NearDedupConfig) -> DataFrame:
-    """The pairs (leader, member) that are similar. ``texts`` has (doc_id, text) of all their documents, once each."""
+    """The pairs (leader, member) that are similar. ``texts`` has (node, text), once each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = batch.column("_left").to_pylist(), batch.column("_right").to_pylist()
-            kept = [alignment.similar(a, b, config.similarity) for a, b in zip(left, right, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("leader"), batch.column("member")], names=["leader", "member"]).filter(pa.array(kept, pa.bool_()))
-
-    joined = pairs.join(texts.select(F.col("doc_id").alias("member"), F.col("text").alias("_right")), "member")
-    joined = joined.join(texts.select(F.col("doc_id").alias("leader"), F.col("text").alias("_left")), "leader")
+            for piece in wa.slices(batch, ["_left", "_right"]):
+                kept, last, words = [], None, []
+                for a, b in zip(piece.column("_left").to_pylist(), piece.column("_right").to_pylist(), strict=True):
+                    if a != last:  # the pairs of a leader follow one another
+                        last, words = a, alignment.words_of(a)
+                    kept.append(alignment.similar_words(words, alignment.words_of(b), config.similarity))
+                yield pa.RecordBatch.from_arrays([piece.column("leader"), piece.column("member")], names=["leader", "member"]).filter(pa.array(kept, pa.bool_()))
+        wa.give_back()
+
+    joined = pairs.join(texts.select(F.col("node").alias("member"), F.col("text").alias("_right")), "member")
+    joined = joined.join(texts.select(F.col("node").alias("leader"), F.col("text").alias("_left")), "leader")
     return joined.select("leader", "member", "_left", "_right").mapInArrow(run, "leader long, member long")
 
 
-def led_pairs(rows: DataFrame) -> DataFrame:
-    """(bucket, member, leader) of the buckets of several members: the leader has most neighbours over all its buckets."""
+def shared_buckets(sketches: DataFrame) -> DataFrame:
+    """(bucket, band, member, n): the members of the buckets that have ``n`` of them, 2 or more."""
+    rows = sketches.where("entries IS NOT NULL").select(F.col("node").alias("member"), F.posexplode("entries").alias("band", "entry"))
+    rows = rows.select(F.xxhash64("band", "entry").alias("bucket"), F.col("band").cast("short").alias("band"), "member")
     sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    rows = materialize(rows.join(sizes, "bucket"), "near-rows")
+    return materialize(rows.join(sizes, "bucket").select("bucket", "band", "member", "n"), "near-buckets")
+
+
+def led_pairs(rows: DataFrame, config: NearDedupConfig) -> DataFrame:
+    """(leader, member): the leader of a bucket is the member that has most neighbours over all its buckets."""
+    rows = rows.where(F.col("band") < config.led)
     met = rows.groupBy("member").agg(F.sum("n").alias("met"))
     ranked = materialize(rows.join(met, "member").select("bucket", "member", "met"), "near-ranked")
-    leaders = materialize(ranked.groupBy("bucket").agg(F.max(F.struct("met", -F.col("member"))).alias("m")).select("bucket", (-F.col("m.col2")).alias("leader")), "near-leaders")
-    return materialize(ranked.drop("met").join(leaders, "bucket"), "near-buckets")
+    leaders = ranked.groupBy("bucket").agg(F.max(F.struct("met", -F.col("member"))).alias("m")).select("bucket", (-F.col("m.col2")).alias("leader"))
+    return ranked.join(leaders, "bucket").where("member <> leader").select("leader", "member").distinct()
 
 
 def near_enough(classes: np.ndarray, lengths: np.ndarray, bins: np.ndarray, left: np.ndarray, right: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -179,15 +200,15 @@ def near_enough(classes: np.ndarray, lengths: np.ndarray, bins: np.ndarray, left
 
 def apart_pairs(rows: DataFrame, labels: DataFrame, sketches: DataFrame, config: NearDedupConfig) -> DataFrame:
     """(leader, member): all pairs of a bucket of ``rows`` (bucket, member) whose classes differ, less those that are certainly not similar."""
-    named = labels.select(F.col("doc_id").alias("member"), "class_id")
-    rows = materialize(rows.join(named, "member", "left").select("bucket", "member", F.coalesce("class_id", "member").alias("class_id")), "near-apart")
-    mixed = rows.groupBy("bucket").agg(F.min("class_id").alias("least"), F.max("class_id").alias("most"), F.count(F.lit(1)).alias("n")).where("least <> most")
+    named = labels.select(F.col("node").alias("member"), F.col("label").alias("class"))
+    rows = materialize(rows.join(named, "member", "left").select("bucket", "member", F.coalesce("class", "member").alias("class")), "near-apart")
+    mixed = rows.groupBy("bucket").agg(F.min("class").alias("least"), F.max("class").alias("most"), F.count(F.lit(1)).alias("n")).where("least <> most")
     rows = rows.join(mixed.select("bucket", F.ceil(F.col("n") / config.shard).cast("int").alias("shards")), "bucket")
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("member"), "shards").cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("other")
-    rows = rows.select("bucket", "member", "class_id", "shard", other).join(sketches.select(F.col("doc_id").alias("member"), "n_words", "bins"), "member")
+    rows = rows.select("bucket", "member", "class", "shard", other).join(sketches.select(F.col("node").alias("member"), "n_words", "bins"), "member")
     block = [F.col("bucket"), F.least("shard", "other").alias("i"), F.greatest("shard", "other").alias("j")]
-    held = F.struct("member", "class_id", "n_words", "shard", "bins")
+    held = F.struct("member", "class", "n_words", "shard", "bins")
     blocks = rows.select(*block, held.alias("held")).groupBy("bucket", "i", "j").agg(F.collect_list("held").alias("held"), F.count(F.lit(1)).alias("n")).where("n > 1")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,7 +216,7 @@ def apart_pairs(rows: DataFrame, labels: DataFrame, sketches: DataFrame, config:
             firsts, seconds = [], []
             lists, places = batch.column("held"), zip(batch.column("i").to_pylist(), batch.column("j").to_pylist(), strict=True)
             held = lists.flatten()
-            member, classes, lengths, shard = (held.field(c).to_numpy() for c in ("member", "class_id", "n_words", "shard"))
+            member, classes, lengths, shard = (held.field(c).to_numpy() for c in ("member", "class", "n_words", "shard"))
             bins = np.frombuffer(b"".join(held.field("bins").to_pylist()), dtype=np.uint8).reshape(-1, config.bins)
             ends = np.cumsum(pc.list_value_length(lists).to_numpy())
             for (i, j), start, end in zip(places, np.concatenate([[0], ends[:-1]]), ends, strict=True):
@@ -206,37 +227,38 @@ def apart_pairs(rows: DataFrame, labels: DataFrame, sketches: DataFrame, config:
                 seconds.append(np.maximum(member[p], member[q]))
             if firsts:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(firsts)), pa.array(np.concatenate(seconds))], names=["leader", "member"])
+        wa.give_back()
 
     return blocks.select("i", "j", "held").mapInArrow(run, "leader long, member long").distinct()
 
 
-def similar_pairs(documents: DataFrame, sketches: DataFrame, config: NearDedupConfig) -> tuple[DataFrame, DataFrame]:
-    """(links, classes) between different texts. ``sketches`` has each text once, and is materialized.
+def similar_pairs(wanted_texts: Callable[[DataFrame], DataFrame], sketches: DataFrame, joined: DataFrame, config: NearDedupConfig) -> tuple[DataFrame, DataFrame]:
+    """(links, labels) between different texts. ``sketches`` has each text once, and is materialized.
 
-    links has (leader, member), verified; classes has (doc_id, class_id) of their documents.
+    links has (leader, member), verified; labels has (node, label) of what links and ``joined`` (a, b) connect.
+    ``wanted_texts`` gives (node, text) of some nodes.
     """
-    rows = sketches.where("entries IS NOT NULL").select(F.col("doc_id").alias("member"), F.posexplode("entries").alias("band", "entry"))
-    rows = led_pairs(rows.select(F.xxhash64("band", "entry").alias("bucket"), "member"))
-    texts = materialize(documents.select("doc_id", "text").join(rows.select(F.col("member").alias("doc_id")).distinct(), "doc_id").dropDuplicates(["doc_id"]), "near-texts")
-    followers = rows.where("member <> leader")
-    compared = materialize(followers.select("leader", "member").distinct(), "near-pairs")
+    rows = shared_buckets(sketches)
+    texts = materialize(wanted_texts(rows.select(F.col("member").alias("node")).distinct()), "near-texts")
+    compared = materialize(led_pairs(rows, config), "near-pairs")
     links = materialize(verify(compared, texts, config), "near-links")
-    labels = components(links)
+    edges = links.select(F.col("leader").alias("a"), F.col("member").alias("b")).union(joined)
+    labels = components(edges)
     tried = compared.select(F.least("leader", "member").alias("leader"), F.greatest("leader", "member").alias("member"))
-    pairs = materialize(apart_pairs(followers.select("bucket", "member"), labels, sketches, config).join(tried, ["leader", "member"], "left_anti"), "near-pairs")
+    pairs = materialize(apart_pairs(rows.select("bucket", "member"), labels, sketches, config).join(tried, ["leader", "member"], "left_anti"), "near-pairs")
     if not pairs.limit(1).count():
         return links, labels
-    links = materialize(links.unionByName(verify(pairs, texts, config)), "near-links")
-    return links, components(links)
+    more = materialize(verify(pairs, texts, config), "near-links")
+    return links.unionByName(more), components(edges.union(more.select("leader", "member")))
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(doc_id, class_id): the least id of the connected component of every linked document.
+def components(edges: DataFrame) -> DataFrame:
+    """(node, label): the least node of the connected component of every node that ``edges`` (a, b) name.
 
-    Labels pass along links and to the labels' own labels until none changes; each round is one written table.
+    Labels pass along edges and to the labels' own labels until none changes; each round is one written table.
     """
-    edges = materialize(links.select(F.col("leader").alias("a"), F.col("member").alias("b")).union(links.select("member", "leader")), "near-edges")
-    labels = materialize(edges.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")), "near-labels")
+    edges = materialize(edges.union(edges.select("b", "a")), "near-edges")
+    labels = materialize(edges.groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("label")), "near-labels")
     while True:
         heard = edges.join(labels.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("label").alias("heard"))
         jumped = labels.select(F.col("a").alias("label"), F.col("label").alias("jump"))
@@ -245,29 +267,38 @@ def components(links: DataFrame) -> DataFrame:
         after = materialize(after.select("a", least.alias("label"), (least < F.col("label")).alias("changed")), "near-labels")
         labels = after.select("a", "label")
         if not after.where("changed").limit(1).count():
-            return labels.select(F.col("a").alias("doc_id"), F.col("label").alias("class_id"))
+            return labels.withColumnRenamed("a", "node")
 
 
 def near_classes(documents: DataFrame, config: NearDedupConfig = NearDedupConfig()) -> DataFrame:
     """(doc_id, class_id, n_links) of every row of ``documents`` (doc_id, text).
 
-    class_id is the least doc_id of the class; n_links counts the verified links of the document's text with others.
+    A node is a distinct text. class_id is the least doc_id of the class; n_links counts the verified links of the
+    document's texts with others.
     """
-    made = materialize(sketch(documents, config), "near-sketches")
+    documents = documents.select("doc_id", "text")
+    made = materialize(sketch(documents, config).withColumn("row", F.monotonically_increasing_id()), "near-sketches")
     known = made.where("digest IS NOT NULL AND doc_id IS NOT NULL")
-    firsts = materialize(known.groupBy("digest").agg(F.min("doc_id").alias("first_id")), "near-firsts")
-    members = materialize(known.select("doc_id", "digest").join(firsts, "digest").select("doc_id", "first_id").distinct(), "near-members")
-    distinct = known.join(firsts, (known["digest"] == firsts["digest"]) & (known["doc_id"] == firsts["first_id"]), "left_semi").dropDuplicates(["doc_id", "digest"])
-    links, classes = similar_pairs(documents, materialize(distinct.select("doc_id", "entries", "n_words", "bins"), "near-distinct"), config)
-    ends = links.select(F.col("leader").alias("doc_id")).unionAll(links.select("member")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_links"))
-    linked = materialize(classes.join(ends, "doc_id").select(F.col("doc_id").alias("first_id"), "class_id", "n_links"), "near-classes")
-    of_member = members.join(linked, "first_id", "left").select("doc_id", F.coalesce("class_id", "first_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    of_member = of_member.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.sum("n_links").alias("n_links"))
-    rest = F.coalesce(F.col("class_id"), F.col("doc_id"))
-    return made.select("doc_id").join(of_member, "doc_id", "left").select("doc_id", rest.alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    firsts = materialize(known.groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("first_id")), "near-firsts")
+    members = materialize(known.select("doc_id", "digest").join(firsts, "digest").select("doc_id", "node", "first_id").distinct(), "near-members")
+    distinct = materialize(known.join(firsts.select("node"), F.col("row") == F.col("node")).select("node", "entries", "n_words", "bins"), "near-distinct")
+
+    def wanted_texts(nodes: DataFrame) -> DataFrame:
+        places = nodes.join(firsts, "node").withColumnRenamed("first_id", "doc_id")
+        return documents.withColumn("digest", digest_of("text")).join(places, ["digest", "doc_id"]).select("node", "text").dropDuplicates(["node"])
+
+    several = members.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z")
+    joined = members.join(several, "doc_id").where("node > a").select("a", F.col("node").alias("b"))
+    links, labels = similar_pairs(wanted_texts, distinct, materialize(joined, "near-joined"), config)
+    named = materialize(labels.join(firsts, "node").select("node", "label", "first_id"), "near-named")
+    classes = named.groupBy("label").agg(F.min("first_id").alias("class_id"))
+    ends = links.select(F.col("leader").alias("node")).unionAll(links.select("member")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    of_node = materialize(named.join(classes, "label").join(ends, "node", "left").select("node", "class_id", "n_links"), "near-classes")
+    of_doc = members.join(of_node, "node", "left").groupBy("doc_id").agg(F.min(F.coalesce("class_id", "first_id")).alias("class_id"), F.sum("n_links").alias("n_links"))
+    return made.select("doc_id").join(of_doc, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def keep_one(documents: DataFrame, config: NearDedupConfig = NearDedupConfig()) -> DataFrame:
     """``documents`` less those that are in the class of a lesser id; of rows that share an id, all stay."""
-    gone = near_classes(documents.select("doc_id", "text"), config).where("class_id < doc_id").select("doc_id").distinct()
-    return documents.join(gone, "doc_id", "left_anti").select(*documents.columns)
+    gone = near_classes(documents, config).where("class_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
+    return documents.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")

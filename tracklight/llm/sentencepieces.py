@@ -250,7 +250,7 @@ def encode(documents: DataFrame, path: str, text: str = "text", digests: bool =
         sp = model(path)
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for batch in batches:
-            for piece in wa.slices(batch, text, 1 << 20):
+            for piece in wa.slices(batch, [text], 1 << 20):
                 ids, counts, decoded = [], [], []
                 for joined, n, back in sp.encode_texts(pc.fill_null(piece.column(text), "").to_pylist()):
                     counts.append(n)

@@ -5,6 +5,8 @@ Every distinct word of a slice of texts is handled once: texts become arrays of
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,9 +30,9 @@ class Words:
         return np.diff(self.starts)
 
 
-def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Pieces of a batch with about ``most`` bytes of text each; a longer text is a piece of its own."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+def slices(batch: pa.RecordBatch, texts: list[str], most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Pieces of a batch with about ``most`` bytes of these texts each; a longer row is a piece of its own."""
+    sizes = sum(pc.fill_null(pc.binary_length(batch.column(t)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for t in texts)
     done, total = 0, 0
     for i, n in enumerate(sizes.tolist()):
         if total and total + n > most:
@@ -41,6 +43,13 @@ def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterato
         yield batch.slice(done)
 
 
+def give_back() -> None:
+    """Return the memory that a task has freed to the machine; workers are used again by later tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call, it keeps the memory
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def texts_of(batch: pa.RecordBatch, text: str) -> pa.Array:
     """The texts, null as empty."""
     return pc.fill_null(batch.column(text).cast(pa.large_string()), "")
