@@ -142,7 +142,7 @@ def test_search_equals_brute_force(spark):
     vectors += [(400 + i, vectors[7][1]) for i in range(60)]  # ties
     vectors += [(900, None), (901, [float("nan")] + [0.0] * 11), (902, [float("inf")] * 12), (903, [None] + [1.0] * 11), (904, [1.0, 2.0]), (950, []), (1000, [0.5] * 12), (1000, [0.5] * 12)]
     df = spark.createDataFrame([(i, v, "c") for i, v in vectors], "vec_id long, embedding array<double>, score string").select("vec_id", "score", xs.quantise(F.col("embedding")).alias("v"))
-    found = xs.search(df, df.where("vec_id % 50 = 0"), xs.SearchConfig(shard_rows=64, query_rows=4, seeds=8))
+    found = xs.search(df, df.where("vec_id % 50 = 0"), xs.SearchConfig(shard_rows=64, block_cells=48, probe=2))
     got = {}
     for r in found.orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
@@ -155,8 +155,31 @@ def test_search_equals_brute_force(spark):
 
 
 @pytest.mark.parametrize("scale", [1, 10**8])
-def test_huge_components_stay_exact(scale):
-    q, x = np.array([[3, -2]]) * scale, np.array([[5, 1], [4, -9], [1, 1]]) * scale
-    got = xs.max_score(np.array([9]), q, np.array([0, 1, 2]), x, xs.SearchConfig(k=2))
-    s = scale**2
-    assert got == [(9, 1, 30 * s), (9, 0, 13 * s)]
+def test_huge_components_stay_exact(spark, scale):
+    rows = spark.createDataFrame([(0, [5 * scale, scale]), (1, [4 * scale, -9 * scale]), (2, [scale, scale]), (9, [3 * scale, -2 * scale])], "vec_id long, v array<long>")
+    got = xs.search(rows, rows.where("vec_id = 9"), xs.SearchConfig(k=2)).orderBy("rank").collect()
+    assert [tuple(r) for r in got] == [(9, 1, 1, 30 * scale**2), (9, 2, 0, 13 * scale**2)]
+
+
+@pytest.mark.parametrize("filled", [1.0, 0.15])
+def test_max_score_skips_postings_and_keeps_the_results(filled):
+    """Dense vectors and sparse ones, shard after shard, against all scores; ties and repeated ids included."""
+    rng = np.random.default_rng(5)
+    x = np.floor(rng.normal(size=(3000, 40)) * 256 * (rng.random((3000, 40)) < filled)).astype(np.int64)
+    x[100:140] = x[99]
+    ids = np.arange(3000)
+    ids[2000:2010] = 7  # one id with several vectors
+    config, counts = xs.SearchConfig(shard_rows=500), {}
+    for i in range(60):
+        q = x[i].astype(np.float64) if i else np.zeros(40)
+        best = xs.Best(5)
+        for at in range(0, 3000, 500):
+            shard = xs.Shard(ids[at : at + 500], np.ascontiguousarray(x[at : at + 500].T).astype(np.float64), config)
+            xs.max_score(i, q, shard, best, counts)
+        scores = {}
+        for v, s in zip(ids.tolist(), (x @ q.astype(np.int64)).tolist(), strict=True):
+            if v != i:
+                scores[v] = max(s, scores.get(v, s))
+        want = sorted(scores.items(), key=lambda r: (-r[1], r[0]))[:5]
+        assert list(zip(best.ids.tolist(), best.scores.astype(np.int64).tolist(), strict=True)) == want
+    assert counts["read"] < (0.85 if filled == 1 else 0.7) * counts["all"], counts
