@@ -57,10 +57,22 @@ def test_thresholds_bound_false_rejections(spark):
     good = [("en", 1, 0 if i % 1000 else 30_000) for i in range(4000)]
     bad = [("en", 0, 50_000) for _ in range(200)] + [("de", 0, 50_000), ("de", 1, 0)]
     rows = spark.createDataFrame(good + bad, "lang string, quality int, symbol_ppm long").withColumns({c: F.lit(0).cast("long") for c in ("dup_line_ppm", "repeat_ppm", "long_word_ppm")})
+    rows = rows.withColumn("text_hash", F.monotonically_increasing_id())
     cuts = {(r.stratum, r.rule): r.cutoff for r in qr.fit_thresholds(rows, "lang", "quality", qr.RiskConfig()).collect()}
     assert cuts == {("en", "symbol_ppm"): 40_000}  # the strictest that rejects most bad texts; German has too few labels
     empty = qr.fit_thresholds(rows.limit(0), "lang", "quality", qr.RiskConfig())
     assert empty.count() == 0
+    copies = rows.where("quality = 0").unionByName(rows.where("quality = 1").withColumn("text_hash", F.lit(1).cast("long")))
+    assert qr.fit_thresholds(copies, "lang", "quality", qr.RiskConfig()).count() == 0  # copies of one good text are one draw
+
+
+def test_columns_that_clash_with_the_results_are_replaced(spark):
+    rows = spark.createDataFrame([(1, "en", "a b", 9, 9, "s", "k"), (2, None, None, 9, 9, "s", "k")], "doc_id long, lang string, text string, n_words int, n_lines int, stratum string, kept string")
+    ratios = qr.rule_ratios(qr.quality_signals(rows))
+    cuts = spark.createDataFrame([("en", "symbol_ppm", 5)], "stratum string, rule string, cutoff long")
+    got = qr.apply_thresholds(ratios, cuts, "lang", qr.RiskConfig())
+    assert sorted((r.doc_id, r.n_words, r.stratum, r.kept) for r in got.collect()) == [(1, 2, "s", False), (2, 0, "s", False)]
+    assert len(set(got.columns)) == len(got.columns)
 
 
 CHATS = [

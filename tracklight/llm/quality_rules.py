@@ -10,7 +10,9 @@ Among the allowed cutoffs the one that rejects most bad texts wins; a rule that
 Defined results: a null text has no words and fails the base rule; a document whose stratum is null is of the
 stratum of nulls; a stratum without labels, or with too few, has no thresholds and keeps what passes the base
 rule; labels of unknown documents and null labels count for nothing; repeated rows are judged one by one, and a
-document with several labels is used with each. No Python runs on the executors.
+document with several labels is used with each; copies of a text count once per stratum and label, near copies
+each for itself. Other columns are carried along, but for those named like a result, which are replaced. No Python
+runs on the executors.
 """
 
 from __future__ import annotations
@@ -20,10 +22,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracklight.llm.common import NOT_WORD, broadcast_if_small, let
+from tracklight.llm.common import NOT_WORD, broadcast_if_small, let, materialize
 
 SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 8
+SIGNALS = ("text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words")
 
 
 @dataclass(frozen=True)
@@ -74,7 +77,7 @@ def _repeat_words(words: Column) -> Column:
 
 
 def quality_signals(documents: DataFrame, text: str = "text") -> DataFrame:
-    """``documents`` without its text, with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) and base_failed."""
+    """``documents`` without its text, with the ``SIGNALS`` (long) and base_failed; columns of these names are replaced."""
     body = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(body, "\n"), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]")))
     counts = let(
@@ -82,8 +85,9 @@ def quality_signals(documents: DataFrame, text: str = "text") -> DataFrame:
         lambda ws: F.struct(F.size(ws).alias("n_words"), _repeat_words(ws).alias("n_repeat_words")),
     )
     out = documents.select(
-        *[c for c in documents.columns if c != text],
+        *[c for c in documents.columns if c not in (text, *SIGNALS, "base_failed", "_counts")],
         counts.alias("_counts"),
+        F.xxhash64(body).alias("text_hash"),
         F.length(F.regexp_replace(body, NOT_WORD, "")).cast("long").alias("word_chars"),
         F.regexp_count(body, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         let(lines, lambda ls: F.size(ls) - F.size(F.array_distinct(ls))).cast("long").alias("n_dup_lines"),
@@ -94,10 +98,11 @@ def quality_signals(documents: DataFrame, text: str = "text") -> DataFrame:
 
 
 def rule_ratios(signals: DataFrame) -> DataFrame:
-    """Adds the rules' ratios in millionths, as longs so that every run agrees."""
+    """Adds the rules' ratios in millionths, as longs so that every run agrees; columns of their names are replaced."""
     ratio = lambda a, b: F.when(F.col(b) > 0, F.expr(f"{a} * 1000000L div {b}")).otherwise(F.lit(0)).cast("long")
+    ratios = ("symbol_ppm", "dup_line_ppm", "repeat_ppm", "long_word_ppm")
     return signals.select(
-        "*",
+        *[c for c in signals.columns if c not in ratios],
         ratio("n_symbols", "word_chars").alias("symbol_ppm"),
         ratio("n_dup_lines", "n_lines").alias("dup_line_ppm"),
         ratio("n_repeat_words", "n_words").alias("repeat_ppm"),
@@ -133,27 +138,28 @@ def binomial_tail(k: Column, n: Column, p: float, terms: int = 2000) -> Column:
 
 
 def fit_thresholds(labelled: DataFrame, stratum: str, label: str, config: RiskConfig) -> DataFrame:
-    """(stratum, rule, cutoff, n_good, k_good, bound): the chosen cutoffs. ``labelled`` has the ratios and a label of 0 or 1."""
+    """(stratum, rule, cutoff, n_good, k_good, bound): the chosen cutoffs.
+
+    ``labelled`` has the ratios, text_hash and a label of 0 or 1. Copies of a text are one draw, as the bound counts
+    independent ones: a text counts once per stratum and label.
+    """
+    ratios = list(config.grid)
+    labelled = labelled.groupBy(F.col(stratum).alias("stratum"), F.col(label).alias("label"), "text_hash").agg(*[F.first(c).alias(c) for c in ratios])
     grid = [(rule, int(c)) for rule, cutoffs in config.grid.items() for c in cutoffs]
-    failing = [F.count_if((F.col(rule) > c) & (F.col(label) == good)).alias(f"f{good}_{i}") for i, (rule, c) in enumerate(grid) for good in (0, 1)]
-    counts = labelled.groupBy(F.col(stratum).alias("stratum")).agg(F.count_if(F.col(label) == 1).alias("n_good"), *failing)
+    failing = [F.count_if((F.col(rule) > c) & (F.col("label") == good)).alias(f"f{good}_{i}") for i, (rule, c) in enumerate(grid) for good in (0, 1)]
+    counts = materialize(labelled.groupBy("stratum").agg(F.count_if(F.col("label") == 1).alias("n_good"), *failing), "quality-counts")
+    tests, share = max(1, counts.count()) * len(grid), config.alpha / len(config.grid)
     cells = F.explode(F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(c).cast("long").alias("cutoff"), F.col(f"f1_{i}").alias("k_good"), F.col(f"f0_{i}").alias("k_bad")) for i, (rule, c) in enumerate(grid)]))
-    cells = counts.select("stratum", "n_good", F.count(F.lit(1)).over(_everything()).alias("strata"), cells.alias("cell")).select("stratum", "n_good", "strata", "cell.*")
-    tests, share = F.col("strata") * len(grid), config.alpha / len(config.grid)
+    cells = counts.select("stratum", "n_good", cells.alias("cell")).select("stratum", "n_good", "cell.*")
     allowed = cells.where(F.col("k_bad") > 0).withColumn("bound", binomial_tail(F.col("k_good"), F.col("n_good"), share)).where(F.col("bound") <= config.delta / tests)
     best = F.max_by(F.struct("cutoff", "k_good", "n_good", "bound"), F.struct("k_bad", "cutoff"))
     return allowed.groupBy("stratum", "rule").agg(best.alias("b")).select("stratum", "rule", "b.*")
 
 
-def _everything():
-    from pyspark.sql import Window as W
-
-    return W.partitionBy(F.lit(0))  # one row per stratum: as many as there are strata
-
-
 def apply_thresholds(ratios: DataFrame, thresholds: DataFrame, stratum: str, config: RiskConfig) -> DataFrame:
-    """Adds failed_rules (array) and kept. ``thresholds`` should be materialized."""
-    wide = thresholds.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("_cuts"))
-    joined = ratios.join(broadcast_if_small(wide, config.max_strata_broadcast), F.col(stratum).eqNullSafe(F.col("stratum")), "left")
+    """Adds failed_rules (array) and kept, in place of columns of these names. ``thresholds`` should be materialized."""
+    wide = thresholds.groupBy(F.col("stratum").alias("_stratum")).agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("_cuts"))
+    joined = ratios.join(broadcast_if_small(wide, config.max_strata_broadcast), F.col(stratum).eqNullSafe(F.col("_stratum")), "left")
     failed = F.array_compact(F.array(*[F.when(F.col(rule) > F.col("_cuts")[rule], F.lit(rule)) for rule in config.grid]))
-    return joined.withColumn("failed_rules", failed).withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0)).drop("_cuts", "stratum")
+    kept = [c for c in ratios.columns if c not in ("failed_rules", "kept")]
+    return joined.select(*kept, failed.alias("_failed")).select(*kept, F.col("_failed").alias("failed_rules"), (~F.col("base_failed") & (F.size("_failed") == 0)).alias("kept"))

@@ -34,7 +34,7 @@ WITH d AS (
 ), rep AS (
   SELECT rid, sum(least(8, coalesce(nx - i, 8)))::BIGINT AS n FROM pos GROUP BY rid
 ), s AS (
-  SELECT w.rid, doc_id, lang, len(ws)::BIGINT AS n_words,
+  SELECT w.rid, doc_id, lang, md5(body) AS text_key, len(ws)::BIGINT AS n_words,
     length(regexp_replace(body, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
     (length(body) - length(regexp_replace(body, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
     (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, len(ls)::BIGINT AS n_lines,
@@ -52,7 +52,8 @@ WITH d AS (
   SELECT rid, lang, unnest(['symbol_ppm', 'dup_line_ppm', 'repeat_ppm', 'long_word_ppm']) AS rule,
     unnest([symbol_ppm, dup_line_ppm, repeat_ppm, long_word_ppm]) AS ratio FROM r
 ), lab AS (
-  SELECT v.*, quality FROM r JOIN labels l ON r.doc_id = l.doc_id JOIN v ON v.rid = r.rid WHERE quality IN (0, 1)
+  SELECT v.lang, v.rule, quality, text_key, any_value(ratio) AS ratio
+  FROM r JOIN labels l ON r.doc_id = l.doc_id JOIN v ON v.rid = r.rid WHERE quality IN (0, 1) GROUP BY v.lang, v.rule, quality, text_key
 ), cell AS (
   SELECT lang, g.rule, cutoff, count(*) FILTER (quality = 1) AS n,
     count(*) FILTER (quality = 1 AND ratio > cutoff) AS k, count(*) FILTER (quality = 0 AND ratio > cutoff) AS kb
