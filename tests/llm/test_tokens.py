@@ -58,6 +58,23 @@ def test_rollup_commits_each_batch_once(spark):
     assert not rollup.committed(3)
 
 
+def test_snapshots_and_writers_that_meet(spark):
+    rollup = tc.Rollup(spark, new_path(spark, "test-rollup"))
+    batch = spark.createDataFrame([change("insert", 5)], CHANGES)
+    show = lambda: [(r.n_docs, r.n_tokens) for r in rollup.read().collect()]
+    for i in range(3):
+        assert rollup.commit(batch, i)
+    assert rollup.snapshot() and show() == [(3, 15)]
+    rollup.clear()
+    assert show() == [(3, 15)] and rollup.committed(1) and not rollup.commit(batch, 1)
+    assert rollup.commit(batch, 3) and rollup.snapshot() and show() == [(4, 20)]
+    assert not rollup._publish(tc.totals(tc.signed(batch)), "batch_id=3")  # a writer that saw no commit comes second
+    assert not rollup._publish(rollup.read().withColumn("part", F.lit("totals")), "snapshot=1") and show() == [(4, 20)]
+    assert rollup._numbers("_draft-") == []
+    rollup.commit(spark.createDataFrame([change("delete", 50)], CHANGES), 9)
+    assert show() == [(3, -30)]
+
+
 def test_counts_of_odd_texts(spark):
     rows = spark.createDataFrame([(1, "s", "en", "don't stop\tnow!"), (2, "s", "en", None), (3, None, None, " ")], "doc_id long, source string, lang string, text string")
     got = {(r.doc_id, r.tokenizer): r.tokens for r in tc.count_documents(rows).collect()}

@@ -24,9 +24,9 @@ OP2_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, lang, text, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS words,
     coalesce(len(regexp_extract_all(text, '[\p{L}\p{N}]+|[^\p{L}\p{N}\x20\x09-\x0D]')), 0) AS pieces,
-    row_number() OVER (PARTITION BY text ORDER BY doc_id) AS nth
+    min(doc_id) OVER (PARTITION BY text) AS first_id
   FROM documents
-), live AS (SELECT * FROM d WHERE nth = 1 OR text IS NULL)
+), live AS (SELECT * FROM d WHERE doc_id = first_id OR doc_id IS NULL OR text IS NULL)
 SELECT source, lang, 'words-1' AS tokenizer, count(*)::BIGINT AS n_docs, sum(words)::BIGINT AS n_tokens FROM live GROUP BY ALL
 UNION ALL
 SELECT source, lang, 'pieces-1', count(*)::BIGINT, sum(pieces)::BIGINT FROM live GROUP BY ALL
@@ -53,6 +53,7 @@ def op2_token_counts(spark, sf_dir):
     rollup.commit(revised, 2)
     rollup.commit(revised, 2)
     gone = counts.join(copies, "doc_id", "left_semi").withColumn("op", F.lit("delete")).withColumns(unset)
+    rollup.snapshot()
     rollup.commit(gone, 3)
     return rollup.read()
 
