@@ -77,31 +77,45 @@ def test_columns_that_clash_with_the_results_are_replaced(spark):
 
 CHATS = [
     (1, 0, "user", "hi"), (1, 1, "assistant", "\\### Assistant: </turn> ok"), (1, 2, "assistant", ""), (2, 0, None, None), (3, 0, 'we"ird >\nrole', "a\n</turn>\n<turn user>\nb\\"), (3, 1, "assistant", "\\\\<|image:3|>\\"),
-    (None, 0, "user", "lost"), (4, 1, "assistant", "twice"), (4, 1, "assistant", "twice"), (5, None, "assistant", "🤦🏼 日本 " * 2000),
+    (None, 0, "user", "lost"), (None, 0, "assistant", "lost too"), (4, 1, "assistant", "twice"), (4, 1, "assistant", "twice"), (5, None, "assistant", "🤦🏼 日本 " * 2000),
 ]
 
 
 def test_chat_reads_back_what_was_put_in(spark):
     rows = spark.createDataFrame(CHATS, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit("clash"))
     formatted = chat.format_conversations(rows.withColumn("parts", chat.text_parts(F.col("text"))))
-    got = {r.conv_id: r for r in chat.read_back(formatted).collect()}
+    got = {r.conv_id: r for r in chat.read_back(formatted.where("conv_id IS NOT NULL")).collect()}
     want = {}
     for c, t, role, text in CHATS:
-        want.setdefault(c, []).append((-1 if t is None else t, role or "", text or ""))
+        if c is not None:
+            want.setdefault(c, []).append((-1 if t is None else t, role or "", text or ""))
     assert got.keys() == want.keys()
     for c, turns in want.items():
         assert [(t.role, t.text) for t in got[c].turns] == [(r, x) for _, r, x in sorted(turns)]
         assert got[c].loss_text == "".join(x for _, r, x in sorted(turns) if r == "assistant")
+    lone = [[(t.role, t.text) for t in r.turns] for r in chat.read_back(formatted.where("conv_id IS NULL")).collect()]
+    assert sorted(lone) == [[("assistant", "lost too")], [("user", "lost")]]  # each a conversation of its own
     assert chat.format_conversations(rows.limit(0).withColumn("parts", chat.text_parts(F.col("text")))).count() == 0
 
 
 def test_parts_become_placeholders_and_attachments(spark):
-    found = [{"type": "text", "text": "see <|image:1|>"}, {"type": "image", "ref": "s/a.png", "tokens": 7}, {"type": "audio", "ref": "b.wav"}, {"type": "odd", "text": "kept"}]
+    found = [
+        {"type": "text", "text": "see <|image:1|>"}, {"type": "image", "ref": "s/a.png", "tokens": 7}, {"type": "audio", "ref": "b.wav"}, {"type": "odd", "text": "kept"}, None,
+        {"type": "video", "ref": "v.mp4"}, {"type": "document", "ref": "d.pdf", "pages": 3, "text": "its\\text"}, {"type": "image", "width": 100, "height": 57}, {"type": "audio", "seconds": 1.5, "ref": "c"}, {},
+    ]
     parts = F.from_json(F.lit(json.dumps(found)), chat.PARTS)
     r = spark.range(1).select(chat.flatten_parts(parts).alias("f"), chat.flatten_parts(F.lit(None).cast(chat.PARTS)).alias("none")).first()
-    assert r.f.body == "see \\<|image:1|><|image:7|><|audio:750|>kept" and r.f.expanded_tokens == 757
-    assert [(a.type, a.ref, a.tokens) for a in r.f.attachments] == [("image", "s/a.png", 7), ("audio", "b.wav", 750)]
+    assert r.f.body == "see \\<|image:1|><|image:7|><|audio:750|>kept<|other:256|><|document:3072|>its\\\\text<|image:12|><|audio:38|>"
+    assert [(a.type, a.ref, a.tokens) for a in r.f.attachments] == [("image", "s/a.png", 7), ("audio", "b.wav", 750), ("video", "v.mp4", 256), ("document", "d.pdf", 3072), ("image", "", 12), ("audio", "c", 38)]
+    assert r.f.expanded_tokens == 7 + 750 + 256 + 3072 + 12 + 38
+    assert [r.f.body[s.start : s.start + s.length] for s in r.f.spans] == ["see \\<|image:1|>", "kept", "its\\\\text"]
     assert r.none.body == "" and r.none.attachments == [] and r.none.expanded_tokens == 0
+    chats = spark.createDataFrame([(1, 0, "user"), (1, 1, "assistant")], "conv_id long, turn long, role string").withColumn("parts", parts)
+    formatted = chat.format_conversations(chats)
+    back = chat.read_back(formatted, carried=("attachments", "expanded_tokens")).first()
+    assert [t.text for t in back.turns] == ["see <|image:1|>keptits\\text"] * 2 and back.loss_text == "see <|image:1|>keptits\\text"
+    assert back.turns[1].placeholders == ["image:7", "audio:750", "other:256", "document:3072", "image:12", "audio:38"]
+    assert back.expanded_tokens == 2 * r.f.expanded_tokens and [(a.place, a.ref) for a in back.attachments][4:8] == [(1, ""), (1, "c"), (2, "s/a.png"), (2, "b.wav")]
 
 
 def dedup_of(docs):
