@@ -1,5 +1,6 @@
 """SentencePiece against the library, token rollups, mixing."""
 
+import math
 import random
 
 import pytest
@@ -81,30 +82,64 @@ def test_counts_of_odd_texts(spark):
     assert got == {(1, "words-1"): 3, (1, "pieces-1"): 6, (2, "words-1"): 0, (2, "pieces-1"): 0, (3, "words-1"): 0, (3, "pieces-1"): 0}
 
 
-def test_targets_share_the_excess():
-    assert mx.share_out([10, 1000], [5.0, 2.0], 3) == [30.0, 980.0]
-    assert mx.share_out([], [], 3) == [] and mx.share_out([0, 10], [5.0, 2.0], 3) == [0.0, 10.0]
-    even = mx.share_out([100, 100, 100], [5.0, 2.0, 1.0], 3)
-    assert even == pytest.approx([187.5, 75.0, 37.5])
+def targets_of(spark, sizes):
+    """Targets of one-document sources s0, s1, ... of these sizes, and of a null source for the last."""
+    rows = [(i, f"s{i}" if i < len(sizes) - 1 or len(sizes) == 1 else None, i, n, 1) for i, n in enumerate(sizes)]
+    keys = spark.createDataFrame(rows, "doc_id long, source string, _mix_hash long, _mix_size long, m long").repartition(5)
+    return [r.target for r in sorted(mx.source_targets(keys, mx.MixConfig()).collect(), key=lambda r: (r.source is None, r.source))]
+
+
+def test_targets_share_the_excess(spark):
+    assert targets_of(spark, [10, 1000]) == [30.0, 980.0]
+    assert targets_of(spark, []) == [] and targets_of(spark, [0, 10]) == [0.0, 10.0]
+    assert targets_of(spark, [100, 100, 100]) == pytest.approx([187.5, 75.0, 37.5])
+    # 9 sources: the weights repeat; the first fills up, and its excess fills up the fourth
+    got = targets_of(spark, [10, 900, 900, 100, 900, 900, 900, 900, 900])
+    assert got[0] == 30 and got[3] == 300 and sum(got) == pytest.approx(6410) and got[1] == pytest.approx(2 * got[2]) and got[6] == pytest.approx(5 * got[2])
 
 
 def documents(spark):
     rng = random.Random(2)
     rows = [(i, f"s{i % 3}" if i % 17 else None, "w " * rng.choice([0, 1, 5, 50, 400])) for i in range(3000)]
-    rows += [(1, "s0", "w " * 50)] * 5 + [(9000, "tiny", "w w"), (9001, "empty", None), (9002, "empty", "")]
-    return spark.createDataFrame([(*r, "c") for r in rows], "doc_id long, source string, text string, copies string").repartition(5)
+    rows += [(1, "s0", "w " * 50)] * 500 + [(None, "s1", "w " * 7)] * 300 + [(None, "s1", "w " * 9), (9000, "tiny", "w w"), (9001, "empty", None), (9002, "empty", "")]
+    return spark.createDataFrame([(*r, "c", 1, 2, 3) for r in rows], "doc_id long, source string, text string, taken string, mean int, tilt int, m int").repartition(5)
 
 
 def test_mix_meets_its_targets(spark):
     docs = documents(spark)
     sized = mx.sized_documents(docs).cache()
-    plan = mx.plan_copies(sized, sized.select("source", F.col("_mix_size").alias("size")), mx.MixConfig(group_rows=500)).cache()
+    plan = mx.plan_copies(sized, mx.MixConfig(group_rows=500)).cache()
     assert plan.count() == docs.count() and plan.where("_mix_copies > 3 OR _mix_copies < 0").count() == 0
     for r in plan.groupBy("source", "_mix_target").agg(F.sum(F.col("_mix_size") * F.col("_mix_copies")).alias("taken")).collect():
         assert abs(r.taken - r._mix_target) <= 0.02 * r._mix_target + 2, r
-    again = mx.plan_copies(sized.repartition(3), sized.select("source", F.col("_mix_size").alias("size")), mx.MixConfig(group_rows=500))
-    key = ["doc_id", "source", "_mix_size", "_mix_copies"]
-    assert sorted(map(str, plan.select(key).collect())) == sorted(map(str, again.select(key).collect()))
-    mixed = mx.mix(docs)
-    assert mixed.columns == docs.columns and mixed.count() > 0
+    again = mx.plan_copies(sized.repartition(3), mx.MixConfig(group_rows=500))
+    of_item = lambda p: sorted(map(str, p.where("doc_id <> 1").select("doc_id", "source", "_mix_size", "_mix_copies").collect()))
+    assert of_item(plan) == of_item(again)
+    mixed = mx.mix(docs, mx.MixConfig(group_rows=500))
+    assert mixed.columns == docs.columns
+    assert mixed.count() == plan.agg(F.sum("_mix_copies")).first()[0]
     assert mx.mix(docs.limit(0)).count() == 0
+
+
+def test_rates_solve_the_dual(spark):
+    """Each source's multiplier against one found by bisection, in plain Python."""
+    rng = random.Random(7)
+    sizes = {f"s{k}": [rng.randint(1, 300 * (k + 1)) for _ in range(400)] for k in range(4)}
+    rows = [(100_000 * k + i, s, i, n, 1) for k, (s, own) in enumerate(sizes.items()) for i, n in enumerate(own)]
+    keys = spark.createDataFrame(rows, "doc_id long, source string, _mix_hash long, _mix_size long, m long")
+    config = mx.MixConfig()
+    targets = mx.source_targets(keys, config).collect()
+    got = {r.source: r for r in mx.solve(keys, spark.createDataFrame(targets), config).collect()}
+    assert sum(got[r.source].tilt is not None for r in targets) >= 2
+    for r in targets:
+        if r.target == 3 * r.source_size:
+            assert got[r.source].tilt is None
+            continue
+        own, mean = sizes[r.source], sum(sizes[r.source]) / 400
+        words = lambda tilt: sum(n * min(3.0, math.exp(max(-60, min(60, tilt * n / mean)))) for n in own)  # noqa: B023, E731
+        low, high = -60.0, 60.0
+        for _ in range(200):
+            middle = (low + high) / 2
+            low, high = (middle, high) if words(middle) < r.target else (low, middle)
+        assert got[r.source].tilt == pytest.approx(high, rel=1e-5, abs=1e-7), r
+        assert words(got[r.source].tilt) == pytest.approx(r.target, rel=1e-6)

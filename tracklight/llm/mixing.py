@@ -5,20 +5,26 @@ exceeds that is shared out again by weight. Within a source, documents get rates
 exp(lambda * size / mean size)): the rates nearest to 1 in relative entropy, under the cap, whose words meet the
 target. The convex dual in lambda is solved by Newton iterations kept inside a bracket; each iteration is one
 distributed aggregation over the pre-aggregated sizes, for all sources at once. Rates become whole copies by
-rounding that carries the words over- or undershot from larger to smaller documents, in groups of bounded size.
+rounding that carries the words over- or undershot from larger to smaller documents, in groups of bounded size,
+which hold ids, sizes and hashes of the texts only.
+
+Targets and multipliers are tables with a row per source; the driver sees one row of sums at a time.
 
 Defined results: sizes are words, a null text has none; a null source is a source of its own, last in order;
 documents of size 0 are taken once and give no words; a source whose target is its cap takes every document
-``max_copies`` times. Sums are exact decimals, so that reruns agree. Repeated rows are documents of their own.
+``max_copies`` times. Sums are exact decimals, so that reruns agree. Rows equal in id, source and text are rounded
+as one item; those of them that get a copy more are chosen by their place in the table. Other columns, of whatever
+name, are carried along; the columns that start with ``_mix_`` are this module's.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tracklight.llm.common import materialize, n_words
 
@@ -30,147 +36,151 @@ class MixConfig:
     iterations: int = 40
     tolerance: float = 1e-9  # of the target, for the words of the real-valued rates
     group_rows: int = 20_000  # documents that are rounded together
-    max_sources: int = 100_000  # sources whose totals the driver may hold, for sharing out
 
 
 SCALE = 1 << 30  # rates are whole multiples of 1 / SCALE where they are summed
+KEY = ["doc_id", "source", "_mix_hash", "_mix_size"]
+PLACES = 33  # bits of the place within a partition in monotonically_increasing_id
 
 
-def share_out(sizes: list[int], weights: list[float], cap: float) -> list[float]:
-    """Targets: the sum of sizes by weight, none above cap times its size; the excess goes to the others by weight."""
-    total, targets, free = float(sum(sizes)), [0.0] * len(sizes), list(range(len(sizes)))
-    left = total
-    while free:
-        weight = sum(weights[i] for i in free)
-        over = [i for i in free if left * weights[i] / weight > cap * sizes[i]]
-        if not over:
-            for i in free:
-                targets[i] = left * weights[i] / weight
+def sized_documents(documents: DataFrame, text: str = "text") -> DataFrame:
+    """``documents`` with ``_mix_size``, their number of words, and ``_mix_hash``, a hash of the text."""
+    return documents.withColumns({"_mix_size": n_words(F.col(text)), "_mix_hash": F.xxhash64(text)})
+
+
+def _join(left: DataFrame, right: DataFrame, columns: list[str], how: str = "inner") -> DataFrame:
+    """Join on equality of the columns, nulls included."""
+    names = {c: f"_mix_on_{c}" for c in columns}
+    same = F.lit(True)
+    for c, other in names.items():
+        same = same & F.col(c).eqNullSafe(F.col(other))
+    return left.join(right.withColumnsRenamed(names), same, how).drop(*names.values())
+
+
+def source_weights(keys: DataFrame, config: MixConfig) -> DataFrame:
+    """(source, source_size, n_docs, weight): one row per source, weighted by its place in the order of sources."""
+    totals = keys.groupBy("source").agg(F.sum(F.col("_mix_size") * F.col("m")).alias("source_size"), F.sum("m").alias("n_docs"))
+    ordered = materialize(totals.orderBy(F.asc_nulls_last("source")).withColumn("id", F.monotonically_increasing_id()), "mix-sources")
+    part = F.shiftright("id", PLACES)
+    parts = ordered.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    parts = parts.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before"))  # one row per partition
+    place = F.col("before") + F.col("id").bitwiseAND((1 << PLACES) - 1)
+    weights = F.array(*[F.lit(float(w)) for w in config.weights])
+    placed = ordered.join(parts, part == F.col("part"))
+    return placed.select("source", "source_size", "n_docs", F.element_at(weights, (F.pmod(place, F.lit(len(config.weights))) + 1).cast("int")).alias("weight"))
+
+
+def source_targets(keys: DataFrame, config: MixConfig) -> DataFrame:
+    """(source, source_size, n_docs, target): the sum of sizes by weight, none above the cap; the excess goes to the others by weight."""
+    sources = materialize(source_weights(keys, config).withColumn("full", F.lit(False)), "mix-weights")
+    most = F.col("source_size") * config.max_copies
+    while True:
+        sums = sources.agg(
+            F.sum("source_size").alias("total"), F.sum(F.when(F.col("full"), most)).alias("given"), F.sum(F.when(~F.col("full"), F.col("weight").cast("decimal(20,9)"))).alias("weight"),
+            F.count_if(~F.col("full")).alias("free"),
+        ).first()
+        left, weight = float((sums["total"] or 0) - (sums["given"] or 0)), float(sums["weight"] or 1)
+        share = F.lit(left) * F.col("weight") / F.lit(weight)
+        over = ~F.col("full") & (share > most)
+        if not sums["free"] or not sources.where(over).limit(1).count():
             break
-        for i in over:
-            targets[i] = float(cap * sizes[i])
-        left -= sum(targets[i] for i in over)
-        free = [i for i in free if i not in set(over)]
-    return targets
-
-
-def source_targets(sized: DataFrame, config: MixConfig) -> DataFrame:
-    """(source, source_size, n_docs, target), one row per source. The driver shares out over one total per source."""
-    spark = sized.sparkSession
-    rows = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs")).limit(config.max_sources + 1).collect()
-    if len(rows) > config.max_sources:
-        raise ValueError(f"more than {config.max_sources} sources: raise MixConfig.max_sources")
-    rows.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
-    weights = [float(config.weights[i % len(config.weights)]) for i in range(len(rows))]
-    targets = share_out([r["source_size"] for r in rows], weights, config.max_copies)
-    return spark.createDataFrame(
-        [(r["source"], r["source_size"], r["n_docs"], t) for r, t in zip(rows, targets, strict=True)],
-        "source string, source_size long, n_docs long, target double",
-    )
-
-
-def rate(size, mean, tilt, config: MixConfig):
+        sources = materialize(sources.withColumn("full", F.col("full") | over), "mix-weights")
+    return sources.select("source", "source_size", "n_docs", F.when(F.col("full"), most.cast("double")).otherwise(share).alias("target"))
+
+
+def rate(size: Column, mean: Column, tilt: Column, config: MixConfig) -> Column:
     """The tilted rate, in whole units of 1 / SCALE."""
     power = F.least(F.greatest(tilt * (size / mean), F.lit(-60.0)), F.lit(60.0))
     return F.floor(F.least(F.lit(float(config.max_copies)), F.exp(power)) * SCALE).cast("long")
 
 
-def solve(sized: DataFrame, targets: DataFrame, config: MixConfig) -> DataFrame:
+def solve(keys: DataFrame, targets: DataFrame, config: MixConfig) -> DataFrame:
     """``targets`` with mean and tilt (null where every document is taken max_copies times)."""
-    counts = materialize(sized.where(F.col("size") > 0).groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "mix-sizes")
-    mean = F.col("source_size") / F.greatest(F.col("n_docs"), F.lit(1))
-    full = F.col("target") >= F.col("source_size") * config.max_copies
-    state = targets.where(~full & (F.col("source_size") > 0)).select("source", "target", mean.alias("mean"), F.lit(0.0).alias("tilt"), F.lit(-60.0).alias("low"), F.lit(60.0).alias("high"), F.lit(False).alias("done"))
-    state = spark_rows(state)
+    counts = materialize(keys.where("_mix_size > 0").groupBy("source", F.col("_mix_size").alias("size")).agg(F.sum("m").alias("n")), "mix-sizes")
+    targets = targets.withColumn("mean", F.col("source_size") / F.greatest(F.col("n_docs"), F.lit(1)))
+    open_ = (F.col("target") < F.col("source_size") * config.max_copies) & (F.col("source_size") > 0)
+    start = {"tilt": F.lit(0.0), "low": F.lit(-60.0), "high": F.lit(60.0), "done": F.lit(False)}
+    state = materialize(targets.where(open_).select("source", "target", "mean").withColumns(start), "mix-state")
     for _ in range(config.iterations):
-        active = [r for r in state if not r["done"]]
-        if not active:
+        active = state.where(~F.col("done"))
+        if not active.limit(1).count():
             break
-        tilts = sized.sparkSession.createDataFrame([(r["source"], r["mean"], r["tilt"]) for r in active], "source string, mean double, tilt double")
-        joined = counts.join(F.broadcast(tilts), counts["source"].eqNullSafe(tilts["source"]))  # max_sources rows at most
+        joined = _join(counts, active, ["source"])
         r = rate(F.col("size"), F.col("mean"), F.col("tilt"), config)
         words = (F.col("n") * F.col("size")).cast("decimal(20,0)")
-        found = joined.groupBy(tilts["source"]).agg(
-            F.sum(words * r).cast("decimal(38,0)").alias("taken"),
-            F.sum(F.when(r < config.max_copies * SCALE, words * F.floor(r * (F.col("size") / F.col("mean"))).cast("long"))).cast("decimal(38,0)").alias("slope"),
-        )
-        got = {x["source"]: (float(x["taken"]) / SCALE, float(x["slope"] or 0) / SCALE) for x in found.collect()}
-        for s in active:
-            taken, slope = got.get(s["source"], (0.0, 0.0))
-            gap = taken - s["target"]
-            if abs(gap) <= config.tolerance * s["target"]:
-                s["done"] = True
-                continue
-            s["high" if gap > 0 else "low"] = s["tilt"]
-            newton = s["tilt"] - gap / slope if slope > 0 else None
-            if newton is None or not s["low"] < newton < s["high"]:
-                newton = (s["low"] + s["high"]) / 2
-            s["done"] = newton == s["tilt"]
-            s["tilt"] = newton
-    solved = {r["source"]: float(f"{r['tilt']:.12g}") for r in state}
-    rows = [(r["source"], r["source_size"], r["n_docs"], r["target"], r["source_size"] / max(1, r["n_docs"]), solved.get(r["source"])) for r in targets.collect()]
-    return sized.sparkSession.createDataFrame(rows, "source string, source_size long, n_docs long, target double, mean double, tilt double")
-
-
-def spark_rows(df: DataFrame) -> list[dict]:
-    """One dict per source."""
-    return [r.asDict() for r in df.collect()]
-
-
-def round_group(sizes, units, cap: int):
-    """Copies of one group's documents, in the order given (largest first is best).
-
-    Each document gets its rate rounded down or up, whichever keeps the words taken so far nearer to the words
-    that the rates have asked for so far; so a group misses its words by half of its last document at most.
+        slope = F.when(r < config.max_copies * SCALE, words * F.floor(r * (F.col("size") / F.col("mean"))).cast("long"))
+        found = joined.groupBy("source").agg(F.sum(words * r).cast("decimal(38,0)").alias("taken"), F.sum(slope).cast("decimal(38,0)").alias("slope"))
+        found = found.select("source", (F.col("taken").cast("double") / SCALE).alias("taken"), (F.coalesce("slope", F.lit(0)).cast("double") / SCALE).alias("slope"))
+        after = _join(state, found, ["source"], "left")
+        gap = F.coalesce("taken", F.lit(0.0)) - F.col("target")
+        met = F.abs(gap) <= config.tolerance * F.col("target")
+        low, high = F.when(gap > 0, F.col("low")).otherwise(F.col("tilt")), F.when(gap > 0, F.col("tilt")).otherwise(F.col("high"))
+        newton = F.when(F.col("slope") > 0, F.col("tilt") - gap / F.col("slope"))
+        inside = F.coalesce((newton > low) & (newton < high), F.lit(False))
+        step = F.when(inside, newton).otherwise((low + high) / 2)
+        still = ~F.col("done") & ~met
+        state = materialize(
+            after.select(
+                "source", "target", "mean", F.when(still, step).otherwise(F.col("tilt")).alias("tilt"), F.when(still, low).otherwise(F.col("low")).alias("low"),
+                F.when(still, high).otherwise(F.col("high")).alias("high"), (~still | (step == F.col("tilt"))).alias("done"),
+            ),
+            "mix-state",
+        )
+    tilts = state.select("source", F.format_string("%.11e", "tilt").cast("double").alias("tilt"))  # twelve digits, as the last ones may differ between processors
+    return materialize(_join(targets, tilts, ["source"], "left"), "mix-solved")
+
+
+def round_group(sizes, units, counts, cap: int) -> list[int]:
+    """Copies of one group's items, all rows of an item together, in the order given (largest first is best).
+
+    Each row gets its rate rounded down or up, so that the words taken so far stay nearest to the words that the
+    rates have asked for so far; a group misses its words by half of its last document at most.
     """
     out, asked, taken = [], 0.0, 0.0
-    for size, unit in zip(sizes.tolist(), units.tolist(), strict=True):
+    for size, unit, rows in zip(sizes.tolist(), units.tolist(), counts.tolist(), strict=True):
         low = unit // SCALE
-        asked += size * (unit / SCALE)
-        more = unit > low * SCALE and low < cap and asked - taken - size * low > size / 2
-        out.append(int(low + more))
+        asked += rows * size * (unit / SCALE)
+        more = 0
+        if unit > low * SCALE and low < cap:
+            more = min(rows, max(0, math.ceil((asked - taken - rows * size * low) / size - 0.5)))
+        out.append(int(rows * low + more))
         taken += size * out[-1]
     return out
 
 
-def plan_copies(documents: DataFrame, sizes: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
-    """``documents`` (doc_id, source, ``_mix_size`` and others) with _mix_source_size, _mix_target, _mix_rate and _mix_copies.
+def plan_items(keys: DataFrame, config: MixConfig) -> DataFrame:
+    """``KEY``, m, and _mix_source_size, _mix_target, _mix_rate, ``taken``: the copies of all m rows of an item.
 
-    ``sizes`` has (source, size) of the same rows and should be materialized, as several passes read it. Copies
-    are rounded in groups of documents of one source, dealt by hash into groups of ``group_rows`` rows or so.
+    Items are rounded in groups of one source, dealt by hash into groups of ``group_rows`` or so.
     """
-    solved = solve(sizes, source_targets(sizes, config), config)
-    names = {"source": "_mix_source", "source_size": "_mix_source_size", "target": "_mix_target"}
-    solved = F.broadcast(solved.withColumnsRenamed(names))  # max_sources rows at most
-    rated = documents.join(solved, F.col("source").eqNullSafe(F.col("_mix_source")))
+    solved = solve(keys, source_targets(keys, config), config)
+    rated = _join(keys, solved, ["source"])
     size = F.col("_mix_size")
     units = F.when(size == 0, F.lit(SCALE)).when(F.col("tilt").isNull(), F.lit(config.max_copies * SCALE)).otherwise(rate(size, F.col("mean"), F.col("tilt"), config))
     salts = F.ceil(F.col("n_docs") / config.group_rows).cast("long")
-    rated = rated.select(
-        *[F.col(c) for c in documents.columns], "_mix_source_size", "_mix_target", units.cast("long").alias("_mix_units"), F.pmod(F.xxhash64(F.col("doc_id"), F.lit(3)), salts).alias("_mix_salt")
-    )
+    rated = rated.select(*KEY, "m", F.col("source_size").alias("_mix_source_size"), F.col("target").alias("_mix_target"), units.cast("long").alias("units"), F.pmod(F.xxhash64("doc_id", "_mix_hash"), salts).alias("salt"))
 
     def rounding(group):
-        group = group.sort_values(["_mix_size", "doc_id"], ascending=[False, True], kind="stable")
-        return group.assign(_mix_copies=round_group(group["_mix_size"], group["_mix_units"], config.max_copies))
+        group = group.sort_values(["_mix_size", "doc_id", "_mix_hash"], ascending=[False, True, True], kind="stable")
+        return group.assign(taken=round_group(group["_mix_size"], group["units"], group["m"], config.max_copies))
 
-    fields = [*rated.schema.fields, T.StructField("_mix_copies", T.IntegerType())]
-    rounded = rated.groupBy("source", "_mix_salt").applyInPandas(rounding, T.StructType(fields))
-    return rounded.withColumn("_mix_rate", F.col("_mix_units") / SCALE).drop("_mix_units", "_mix_salt")
+    rounded = rated.groupBy("source", "salt").applyInPandas(rounding, rated.withColumn("taken", F.lit(0).cast("long")).schema)
+    return rounded.withColumn("_mix_rate", F.col("units") / SCALE).drop("units", "salt")
 
 
-def sized_documents(documents: DataFrame, text: str = "text") -> DataFrame:
-    """``documents`` with ``_mix_size``, their number of words."""
-    return documents.withColumn("_mix_size", n_words(F.col(text)))
-
+def plan_copies(sized: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
+    """``sized`` (of ``sized_documents``) with _mix_source_size, _mix_target, _mix_rate and _mix_copies."""
+    keys = materialize(sized.groupBy(*KEY).agg(F.count(F.lit(1)).alias("m")), "mix-items")
+    plan = plan_items(keys, config).withColumnsRenamed({"m": "_mix_m", "taken": "_mix_taken"})
+    found = _join(sized.withColumn("_mix_row", F.monotonically_increasing_id()), plan, KEY)
+    m, taken = F.col("_mix_m"), F.col("_mix_taken")
+    even, over = F.floor(taken / m), taken % m
+    lucky = (m > 1) & (F.pmod(F.xxhash64("_mix_row"), m) < over)  # of rows that are alike
+    return found.select(*sized.columns, "_mix_source_size", "_mix_target", "_mix_rate", (even + lucky.cast("int")).cast("int").alias("_mix_copies"))
 
-def mix(documents: DataFrame, config: MixConfig = MixConfig(group_rows=2_000)) -> DataFrame:
-    """The mixed documents: every row as often as its copies say, with the columns of ``documents``.
 
-    The rows pass through the rounding groups with their texts, so a group is ``group_rows`` whole documents.
-    """
-    sized = sized_documents(documents)
-    sizes = materialize(sized.select("source", F.col("_mix_size").alias("size")), "mix-sized")
-    plan = plan_copies(sized, sizes, config).where(F.col("_mix_copies") > 0)
+def mix(documents: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
+    """The mixed documents: every row as often as its copies say, with the columns of ``documents``."""
+    plan = plan_copies(sized_documents(documents), config).where(F.col("_mix_copies") > 0)
     copies = plan.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies"))))
     return copies.select(*documents.columns)

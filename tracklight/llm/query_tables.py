@@ -12,11 +12,14 @@ from tracklight.llm.common import materialize, new_path, table
 @query("op9_mixing")
 def op9_mixing(spark, sf_dir):
     documents = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    sized = materialize(mixing.sized_documents(documents).drop("text"), "mix-documents")
-    plan = mixing.plan_copies(sized, sized.select("source", F.col("_mix_size").alias("size")))
-    size = F.col("_mix_size")
+    plan = mixing.plan_copies(materialize(mixing.sized_documents(documents).drop("text"), "mix-documents"))
     return plan.select(
-        "doc_id", size.alias("size"), F.col("_mix_source_size").alias("source_size"), F.col("_mix_target").alias("target"), (size * F.col("_mix_copies")).cast("long").alias("taken"), F.col("_mix_rate").alias("rate")
+        "doc_id",
+        F.col("_mix_size").alias("size"),
+        F.col("_mix_source_size").alias("source_size"),
+        F.col("_mix_target").alias("target"),
+        (F.col("_mix_size") * F.col("_mix_copies")).cast("long").alias("taken"),
+        F.col("_mix_rate").alias("rate"),
     )
 
 
