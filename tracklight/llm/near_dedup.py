@@ -7,9 +7,9 @@ they order their passages differently. Texts that agree in any entry are candida
 word-level edit distance is (1 - ``similarity``) of the longer one's words at most.
 
 Exact copies are put together first, and only one text of them is compared. A bucket of texts with one entry in
-common first compares each member with its leader, the member that meets most texts over all its buckets, so a
-group of copies is joined through its original with work that grows with the members; the buckets of ``led``
-entries are enough for that. Then every pair of any bucket whose classes are not joined yet is compared too, but
+common has a leader, the member that meets most texts over all its buckets. First each member is compared with two
+of its buckets' leaders, so a group of copies is joined through its original with work that grows with the members;
+the buckets of ``led`` entries are enough for that. Then every pair of any bucket whose classes are not joined yet is compared too, but
 for those that a bound on their distance excludes: texts differ by as many edits as their counts of words, dealt
 over ``bins``, differ on one side. Big buckets are divided into blocks of pairs. Classes are the connected
 components of the similar pairs, labelled by their least id, the same as if every pair of a bucket had been
@@ -171,12 +171,16 @@ def shared_buckets(sketches: DataFrame) -> DataFrame:
 
 
 def led_pairs(rows: DataFrame, config: NearDedupConfig) -> DataFrame:
-    """(leader, member): the leader of a bucket is the member that has most neighbours over all its buckets."""
+    """(leader, member), two of each member at most: with the leaders of its buckets that meet most texts.
+
+    The leader of a bucket is the member that has most neighbours over all its buckets.
+    """
     rows = rows.where(F.col("band") < config.led)
     met = rows.groupBy("member").agg(F.sum("n").alias("met"))
-    ranked = materialize(rows.join(met, "member").select("bucket", "member", "met"), "near-ranked")
-    leaders = ranked.groupBy("bucket").agg(F.max(F.struct("met", -F.col("member"))).alias("m")).select("bucket", (-F.col("m.col2")).alias("leader"))
-    return ranked.join(leaders, "bucket").where("member <> leader").select("leader", "member").distinct()
+    ranked = materialize(rows.join(met, "member").select("bucket", "band", "member", "met"), "near-ranked")
+    leaders = ranked.groupBy("bucket").agg(F.max(F.struct("met", -F.col("member"))).alias("m")).select("bucket", (-F.col("m.col2")).alias("leader"), F.col("m.met").alias("leads"))
+    led = ranked.join(leaders, "bucket").where("member <> leader").groupBy("member", (F.col("band") % 2).alias("half")).agg(F.max(F.struct("leads", -F.col("leader"))).alias("m"))
+    return led.select((-F.col("m.col2")).alias("leader"), "member").distinct()
 
 
 def near_enough(classes: np.ndarray, lengths: np.ndarray, bins: np.ndarray, left: np.ndarray, right: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
