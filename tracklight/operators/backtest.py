@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tracklight.functions.tables import dense_index, keep
 from tracklight.functions.temporal import asof_join
 from tracklight.schema import DAY, PREDICTIVE, BacktestConfig
 
@@ -71,17 +74,24 @@ def summary(filled: DataFrame, trades: DataFrame) -> DataFrame:
     return found.join(F.broadcast(rejected))  # one row each
 
 
+def _draw(*parts) -> Column:
+    """A whole number from 0 to 2 ** 32 - 1 that depends on the parts alone."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *[p if isinstance(p, Column) else F.lit(str(p)) for p in parts])), 1, 8), 16, 10).cast("long")
+
+
 def random_entries(assets: DataFrame, n: int, start: Column, end: Column, seed: int = 7) -> DataFrame:
-    """``n`` entries (entry_id, asset_id, signal_at) spread by hash over the assets and the first 60 % of the span."""
-    listed = assets.select("asset_id").distinct()
-    total = max(1, listed.count())
-    spread = listed.repartitionByRange("asset_id").withColumn("_h", F.xxhash64("asset_id", F.lit(seed)))
-    ranked = spread.withColumn("_slot", F.pmod("_h", F.lit(total)))
-    draws = assets.sparkSession.range(n).select(F.col("id").alias("entry_id"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(total)).alias("_slot"), F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(1_000_000)).alias("_u"))
+    """``n`` entries (entry_id, asset_id, signal_at): random assets known by ``end``, at random times in the first 60 % of the span.
+
+    Each draw takes a number of the assets, which are numbered without gaps, so every draw finds its asset and every
+    asset can be drawn; without assets there are no entries.
+    """
+    known = assets.where(F.col("first_seen_at") <= end).select("asset_id").distinct()
+    indexed = dense_index(known, [_draw(seed, "order", F.col("asset_id")), F.col("asset_id")], "_slot")
+    total = indexed.count()
+    draws = assets.sparkSession.range(n).select(F.col("id").alias("entry_id"), F.floor(_draw(seed, "asset", F.col("id").cast("string")) * F.lit(total) / F.lit(1 << 32)).alias("_slot"), (_draw(seed, "time", F.col("id").cast("string")) % 1_000_000).alias("_u"))
     span = (F.unix_micros(end) - F.unix_micros(start)) * 0.6
     at = F.timestamp_micros((F.unix_micros(start) + F.floor(span * F.col("_u") / 1_000_000)).cast("long"))
-    one_per_slot = ranked.groupBy("_slot").agg(F.min("asset_id").alias("asset_id"))
-    return draws.join(one_per_slot, "_slot").select("entry_id", "asset_id", at.alias("signal_at"))
+    return draws.join(indexed, "_slot").select("entry_id", "asset_id", at.alias("signal_at"))
 
 
 def leakage_audit(events: DataFrame, outcomes: DataFrame, assets: DataFrame, end: Column) -> DataFrame:
@@ -95,6 +105,21 @@ def leakage_audit(events: DataFrame, outcomes: DataFrame, assets: DataFrame, end
     return early_outcomes.unionByName(early_events).unionByName(survivors).unionByName(some)
 
 
+@dataclass(frozen=True)
+class Backtest:
+    filled: DataFrame
+    trades: DataFrame
+    summary: DataFrame
+    audit: DataFrame
+
+
+def run(entries: DataFrame, candles: DataFrame, events: DataFrame, outcomes: DataFrame, assets: DataFrame, end: Column, config: BacktestConfig = BacktestConfig(), keep=keep) -> Backtest:
+    """A backtest with its audit: results are not to be believed where a check of the audit fails."""
+    filled = keep(fills(entries, candles, config))
+    trades = keep(returns(filled, candles, config))
+    return Backtest(filled, trades, summary(filled, trades), leakage_audit(events, outcomes, assets, end))
+
+
 def paper_positions(orders: DataFrame, candles: DataFrame, config: BacktestConfig = BacktestConfig()) -> DataFrame:
     """Paper positions of orders (entry_id, asset_id, signal_at), newest first."""
     return fills(orders, candles, config).orderBy(F.desc("signal_at"), "entry_id")

@@ -107,9 +107,34 @@ def _outcome_query(name, cte, make):
 _outcome_query("price_runs", "run", oc.price_runs)
 _outcome_query("revivals", "rev", oc.revivals)
 _outcome_query("collapses", "col", oc.collapses)
-_outcome_query("pump_events", "pump", lambda candles, cfg: oc.pump_events(oc.price_runs(candles, cfg), oc.collapses(candles, cfg), cfg))
+_outcome_query("pump_events", "pump", oc.pump_events)
 _outcome_query("detect_all", "oc", oc.detect_all)
 
+
+@query(
+    "outcome_evidence",
+    sql.with_(sql.CANDLES_K, sql.outcomes(K))
+    + f"""SELECT outcome_id, definition_version, keys, round(number, 6) AS number, coalesce(runs_id, '') AS runs_id FROM (
+  SELECT run.outcome_id, '1' AS definition_version, 'baseline,peak' AS keys, cw.close - cw.base AS number, NULL AS runs_id FROM run JOIN cw ON cw.asset_id = run.asset_id AND cw.s = run.t0
+  UNION ALL SELECT rev.outcome_id, '1', 'dormant_avg_vol,dormant_days', cw.dav + {K.dormant_days}, NULL FROM rev JOIN cw ON cw.asset_id = rev.asset_id AND cw.s = rev.t0
+  UNION ALL SELECT col.outcome_id, '1', 'peak', cw.pk, NULL FROM col JOIN cw ON cw.asset_id = col.asset_id AND cw.s = col.t0
+  UNION ALL SELECT pump.outcome_id, '1', 'collapse_outcome_id,hours_to_collapse,run_outcome_id', round(hours, 1), replace(pump.outcome_id, 'pump_event', 'price_run') FROM pump)""",
+)
+def outcome_evidence(spark, sf_dir):
+    """The evidence of every outcome: the names of its entries, and their numbers."""
+    of = lambda k: F.coalesce(F.col("evidence")[k].cast("double"), F.lit(0.0))
+    number = F.when(F.col("outcome_class") == "price_run", of("peak") - of("baseline")).otherwise(of("dormant_avg_vol") + of("dormant_days") + of("peak") + of("hours_to_collapse"))
+    return oc.detect_all(adapters.clickstream_candles(spark, sf_dir), K).select(
+        "outcome_id", "definition_version", F.array_join(F.array_sort(F.map_keys("evidence")), ",").alias("keys"), F.round(number, 6).alias("number"), F.coalesce(F.col("evidence")["run_outcome_id"], F.lit("")).alias("runs_id")
+    )
+
+
+@query("detected_counts", sql.with_(sql.CANDLES_K, sql.outcomes(K)) + "SELECT outcome_class, count(*) AS written FROM oc WHERE asset_id NOT LIKE '%7' GROUP BY 1")
+def detected_counts(spark, sf_dir):
+    """What a detection adds to a table that holds the outcomes of some assets already."""
+    found = oc.detect_all(adapters.clickstream_candles(spark, sf_dir), K)
+    return oc.detected_counts(oc.insert_new(found.where(F.col("asset_id").endswith("7")), found))
+
 RATES_SQL = f"""
 SELECT *, round(hits / total, 9) AS rate FROM (
   SELECT c AS outcome_class, (SELECT count(DISTINCT asset_id) FROM o WHERE outcome_class = c AND seen <= {AS_OF_US}) AS hits,

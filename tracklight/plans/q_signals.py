@@ -271,7 +271,21 @@ def backtest_summary(spark, sf_dir):
     return found.select("trades", "rejected", "wins", F.round("median_return", 6).alias("median_return"), F.round("mean_return", 6).alias("mean_return"), F.round("total_return_usd", 2).alias("total_return_usd"), F.round("max_drawdown", 2).alias("max_drawdown"))
 
 
-@query("random_baseline")
+START_US, END_US = 1_704_067_200_000_000, 1_706_572_800_000_000
+HEX = "('0x' || substr(md5({}), 1, 8))::BIGINT"
+DRAWN = f"""
+kn AS (SELECT asset_id, row_number() OVER (ORDER BY {HEX.format("'7:order:' || asset_id")}, asset_id) - 1 AS slot FROM ast WHERE first_seen <= {END_US}),
+dr AS (SELECT i AS entry_id, floor({HEX.format("'7:asset:' || i")} * (SELECT count(*) FROM kn)::DOUBLE / 4294967296)::BIGINT AS slot, {HEX.format("'7:time:' || i")} % 1000000 AS u FROM range(2000) t(i)),
+en AS (SELECT entry_id, asset_id, us, us + 300000000 AS fill_us FROM (SELECT entry_id, asset_id, {START_US} + floor({END_US - START_US} * 0.6::DOUBLE * u / 1000000)::BIGINT AS us FROM dr JOIN kn USING (slot)))"""
+FILLED = "fl AS" + FILLS.split("fl AS", 1)[1]
+
+
+@query(
+    "random_baseline",
+    sql.with_(sql.EVENTS, sql.CANDLES_K, sql.ASSETS, DRAWN, FILLED, EQUITY)
+    + "SELECT count(*) AS trades, (SELECT count(*) FROM fl WHERE NOT coalesce(p > 0, false)) AS rejected, count(*) FILTER (pnl > 0) AS wins, round(count(*) FILTER (pnl > 0) / count(*), 4) AS hit_rate, round(median(pnl / 1000), 4) AS median_return, round(avg(pnl / 1000), 4) AS mean_return, "
+    "round(min(pnl / 1000), 4) AS worst_return, round(max(pnl / 1000), 4) AS best_return, round(sum(pnl), 4) AS total_return_usd, (SELECT round(least(0, min(equity - peak)), 4) FROM dd) AS max_drawdown FROM rt",
+)
 def random_baseline(spark, sf_dir):
     events = clicks(spark, sf_dir)
     start, end = F.lit("2024-01-01 00:00:00").cast("timestamp"), F.lit("2024-01-30 00:00:00").cast("timestamp")
@@ -281,6 +295,13 @@ def random_baseline(spark, sf_dir):
     return qw.rounded(bt.summary(filled, bt.returns(filled, candles, BACKTEST)), 4)
 
 
+@query("random_draws", sql.with_(sql.EVENTS, sql.ASSETS, DRAWN) + "SELECT entry_id, asset_id, us FROM en")
+def random_draws(spark, sf_dir):
+    start, end = F.lit("2024-01-01 00:00:00").cast("timestamp"), F.lit("2024-01-30 00:00:00").cast("timestamp")
+    drawn = bt.random_entries(adapters.assets_of(clicks(spark, sf_dir)), 2000, start, end)
+    return drawn.select("entry_id", "asset_id", F.unix_micros("signal_at").alias("us"))
+
+
 @query(
     "leakage_audit",
     "WITH l AS (SELECT l_partkey, epoch_us(l_shipdate) AS s, epoch_us(o_orderdate) AS o FROM lineitem JOIN orders ON l_orderkey = o_orderkey) "

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from tracklight.functions import scalars as fn
+from tracklight.functions import tables
 from tracklight.operators import sinks, views
 from tracklight.operators import signals as sg
 from tracklight.plans import q_outcomes as qo
@@ -22,29 +21,40 @@ AT = qo.AS_OF_US
 
 
 def raw_transactions(spark, sf_dir):
-    """Landed transaction JSON made of lineitem and orders: the customer pays, the part is the token, returns go out."""
+    """Landed transaction JSON made of lineitem and orders: the customer pays, the part is the token, returns go out.
+
+    By line number: 2 failed if it is of status A, 3 has a fraction of a second, 4 states no amount, 5 moves a quote
+    only, 6 moves nothing, 7 has a time that is no number. Types are SWAP or UNKNOWN.
+    """
     line, orders = adapters.read(spark, sf_dir, "lineitem"), adapters.read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     joined = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    payer, mint = F.col("o_custkey").cast("string"), F.concat(F.lit("mint"), F.col("l_partkey").cast("string"))
+    payer, mint, n = F.col("o_custkey").cast("string"), F.concat(F.lit("mint"), F.col("l_partkey").cast("string")), F.col("l_linenumber")
     sold = F.col("l_returnflag") == "R"
-    move = lambda m, out: F.struct(m.alias("mint"), F.col("l_quantity").alias("tokenAmount"), F.when(out, payer).otherwise("pool").alias("fromUserAccount"), F.when(out, "pool").otherwise(payer).alias("toUserAccount"))
+    amount = F.when(n != 4, F.col("l_quantity"))
+    move = lambda m, out: F.struct(m.alias("mint"), amount.alias("tokenAmount"), F.when(out, payer).otherwise("pool").alias("fromUserAccount"), F.when(out, "pool").otherwise(payer).alias("toUserAccount"))
+    quote = move(F.lit(parsers.QUOTE_MINTS[0]), ~sold)
     body = F.struct(
-        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("signature"), F.when(F.col("l_linenumber") == 7, "soon").otherwise(F.unix_seconds(F.col("l_shipdate").cast("timestamp")).cast("string")).alias("timestamp"),
-        F.when(F.col("l_linestatus") == "F", "SWAP").otherwise("TRANSFER").alias("type"), payer.alias("feePayer"), F.array(move(F.lit(parsers.QUOTE_MINTS[0]), ~sold), move(mint, sold)).alias("tokenTransfers"),
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("signature"), F.when(F.col("l_linestatus") == "F", "SWAP").otherwise("UNKNOWN").alias("type"), payer.alias("feePayer"),
+        F.when(n == 6, F.array().cast("array<struct<mint:string,tokenAmount:double,fromUserAccount:string,toUserAccount:string>>")).when(n == 5, F.array(quote)).otherwise(F.array(quote, move(mint, sold))).alias("tokenTransfers"),
+        F.when((n == 2) & (F.col("l_returnflag") == "A"), F.struct(F.lit(3).alias("InstructionError"))).alias("transactionError"),
     )
-    return joined.select(F.to_json(body).alias("raw"))
+    seconds = F.unix_seconds(F.col("l_shipdate").cast("timestamp")).cast("string")
+    time = F.when(n == 7, '"soon"').when(n == 3, F.concat(seconds, F.lit(".5"))).otherwise(seconds)
+    return joined.select(F.concat(F.lit('{"timestamp":'), time, F.lit(","), F.substring(F.to_json(body), F.lit(2), F.length(F.to_json(body)))).alias("raw"))
 
 
 @query(
     "parse_tx_swaps",
-    """SELECT event_type, side, asset_id, actor, count(*) AS n, sum(q)::DOUBLE AS amount FROM (
-  SELECT CASE WHEN l_linestatus = 'F' THEN 'swap' ELSE 'unknown_interaction' END AS event_type, CASE WHEN l_linestatus = 'F' THEN CASE WHEN l_returnflag = 'R' THEN 'sell' ELSE 'buy' END END AS side,
-    CASE WHEN l_linestatus = 'F' THEN 'solana:mint' || l_partkey::VARCHAR END AS asset_id, o_custkey::VARCHAR AS actor, CASE WHEN l_linestatus = 'F' THEN l_quantity END AS q
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber <> 7) GROUP BY ALL""",
+    """SELECT event_type, side, asset_id, actor, flags, count(*) AS n, sum(q)::DOUBLE AS amount, sum(us)::BIGINT AS us FROM (
+  SELECT CASE WHEN swap THEN 'swap' ELSE 'unknown_interaction' END AS event_type, CASE WHEN swap THEN CASE WHEN l_returnflag = 'R' THEN 'sell' ELSE 'buy' END END AS side,
+    CASE WHEN swap THEN 'solana:mint' || l_partkey::VARCHAR END AS asset_id, o_custkey::VARCHAR AS actor, CASE WHEN swap AND l_linenumber <> 4 THEN l_quantity END AS q,
+    CASE WHEN NOT swap THEN 'unparsed_instruction' WHEN l_linenumber = 4 THEN 'partial_parse,missing_price' ELSE 'missing_price' END AS flags,
+    epoch_us(l_shipdate) + CASE WHEN l_linenumber = 3 THEN 500000 ELSE 0 END AS us
+  FROM (SELECT *, l_linenumber NOT IN (5, 6) AS swap FROM lineitem) JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber <> 7 AND NOT (l_linenumber = 2 AND l_returnflag = 'A')) GROUP BY ALL""",
 )
 def parse_tx_swaps(spark, sf_dir):
-    parsed = parsers.transactions(raw_transactions(spark, sf_dir), observation_lag_seconds=5)
-    return parsed.groupBy("event_type", "side", "asset_id", "actor").agg(F.count(F.lit(1)).alias("n"), F.sum("token_amount").alias("amount"))
+    parsed = parsers.transactions(raw_transactions(spark, sf_dir), observation_lag_seconds=5).withColumn("flags", F.array_join("quality_flags", ","))
+    return parsed.groupBy("event_type", "side", "asset_id", "actor", "flags").agg(F.count(F.lit(1)).alias("n"), F.sum("token_amount").cast("double").alias("amount"), F.sum(F.unix_micros("chain_time")).alias("us"))
 
 
 @query(
@@ -193,8 +203,7 @@ def discovery_report(spark, sf_dir):
 
 def workspace(spark):
     """A new folder that driver and executors share."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints/tracklight"
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return tables.new_path(spark, "stream")
 
 
 def event_stream(spark, sf_dir):

@@ -98,4 +98,7 @@ def clickstream_listings(events: DataFrame) -> DataFrame:
         "t0",
         F.col("t0").alias("first_observed_at"),
         F.lit(None).cast("double").alias("magnitude"),
+        F.create_map(F.lit("source"), F.lit("first opened position")).alias("evidence"),
+        F.lit("1").alias("definition_version"),
+        F.lit("clickstream").alias("venue"),
     )

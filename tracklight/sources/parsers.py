@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from tracklight.functions import scalars as fn
 
 TRANSACTION = (
-    "signature string, timestamp string, slot bigint, type string, source string, feePayer string, transactionError string, "
-    "tokenTransfers array<struct<mint:string,tokenAmount:double,fromUserAccount:string,toUserAccount:string>>"
+    "signature string, timestamp double, slot bigint, type string, source string, feePayer string, transactionError string, "
+    "tokenTransfers array<struct<mint:string,tokenAmount:string,fromUserAccount:string,toUserAccount:string>>"
 )
+NO_ERROR = ("", "{}", "[]", "0", "false")
 # Mints of the tokens that others are priced in.
 QUOTE_MINTS = ("So11111111111111111111111111111111111111112", "EPjFWdd5AufqSSqeM2qN1xzybapC8G4wEGGkZwyTDt1v", "Es9vMFrzaCERmJfrF4H2FYD4KCoNkY11McCe8BenwNYB")
 QUOTE_SYMBOLS = ("SOL", "USDC", "USDT", "WSOL")
@@ -19,27 +20,31 @@ QUOTE_SYMBOLS = ("SOL", "USDC", "USDT", "WSOL")
 def transactions(raw: DataFrame, body: str = "raw", subject: str | None = None, observation_lag_seconds: int | None = None, quotes=QUOTE_MINTS) -> DataFrame:
     """Canonical events of raw transaction JSON, at most one per transaction.
 
-    Rows without signature, numeric time or actor, and failed transactions, are dropped. A swap shows as the first
-    token other than a quote that the fee payer received (buy) or sent (sell); all else is unknown_interaction.
-    The actor is the column ``subject`` if given, else the fee payer. Observation is now, or chain time plus a lag.
+    Rows without signature, numeric time or actor, and failed transactions, are dropped; times may be fractions. A
+    transaction is a swap if its fee payer received (buy), or else sent (sell), a token other than a quote, whatever
+    type it is said to be; all else is unknown_interaction. The actor is the column ``subject`` if given, else the
+    fee payer. Amounts are exact decimals, and null where none is stated. Observation is now, or chain time plus a lag.
     """
     tx = raw.select("*", F.from_json(body, TRANSACTION).alias("tx"))
-    seconds = F.col("tx.timestamp").try_cast("bigint")
-    actor = F.coalesce(F.col(subject), F.col("tx.feePayer")) if subject else F.col("tx.feePayer")
-    payer, moves = F.col("tx.feePayer"), F.coalesce("tx.tokenTransfers", F.array().cast("array<struct<mint:string,tokenAmount:double,fromUserAccount:string,toUserAccount:string>>"))
-    of = lambda side: F.get(F.filter(moves, lambda t: (t[side] == payer) & t["mint"].isNotNull() & ~t["mint"].isin(*quotes)), 0)
-    inbound, outbound = of("toUserAccount"), of("fromUserAccount")
-    leg = F.coalesce(inbound, outbound)
-    is_swap = (F.col("tx.type") == "SWAP") & leg.isNotNull()
+    actor = F.coalesce(F.nullif(F.col(subject), F.lit("")), F.col("tx.feePayer")) if subject else F.col("tx.feePayer")
+    payer, moves = F.col("tx.feePayer"), F.coalesce("tx.tokenTransfers", F.array().cast("array<struct<mint:string,tokenAmount:string,fromUserAccount:string,toUserAccount:string>>"))
+    came, went = lambda t: t["toUserAccount"].eqNullSafe(payer), lambda t: t["fromUserAccount"].eqNullSafe(payer)
+    other = lambda t: F.coalesce((t["mint"] != "") & ~t["mint"].isin(*quotes), F.lit(False))
+    inbound = F.get(F.filter(moves, lambda t: other(t) & came(t)), 0)
+    leg = F.coalesce(inbound, F.get(F.filter(moves, lambda t: other(t) & ~came(t) & went(t)), 0))
+    is_swap = leg.isNotNull()
+    amount = fn.to_decimal(leg["tokenAmount"])
+    seconds = F.col("tx.timestamp")
     chain = F.timestamp_seconds(seconds)
     seen = F.current_timestamp() if observation_lag_seconds is None else F.timestamp_seconds(seconds + observation_lag_seconds)
-    flags = F.array_compact(F.array(F.when((F.col("tx.type") == "SWAP") & leg.isNull(), "partial_parse"), F.when(is_swap, "missing_price")))
+    flags = F.when(is_swap, F.array_compact(F.array(F.when(amount.isNull(), "partial_parse"), F.lit("missing_price")))).otherwise(F.array(F.lit("unparsed_instruction")))
     kind = F.when(is_swap, "swap").otherwise("unknown_interaction")
-    ok = F.col("tx.signature").isNotNull() & seconds.isNotNull() & actor.isNotNull() & F.col("tx.transactionError").isNull()
+    failed = ~F.coalesce(F.col("tx.transactionError").isin(*NO_ERROR), F.lit(True))
+    ok = F.coalesce((F.col("tx.signature") != "") & seconds.isNotNull() & (actor != "") & ~failed, F.lit(False))
     return tx.where(ok).select(
         fn.event_key("solana", F.col("tx.signature"), kind, 0).alias("event_id"), kind.alias("event_type"), F.col("tx.signature").alias("transaction_id"), chain.alias("chain_time"),
         F.greatest(seen, chain).alias("observed_at"), F.lit("finalized").alias("finality"), actor.alias("actor"), F.when(is_swap, fn.asset_id("solana", leg["mint"])).alias("asset_id"),
-        F.when(is_swap, F.when(inbound.isNotNull(), "buy").otherwise("sell")).alias("side"), F.when(is_swap, leg["tokenAmount"]).alias("token_amount"), flags.alias("quality_flags"),
+        F.when(is_swap, F.when(inbound.isNotNull(), "buy").otherwise("sell")).alias("side"), F.when(is_swap, amount).alias("token_amount"), flags.alias("quality_flags"),
     )
 
 
