@@ -183,9 +183,13 @@ def stage_of(event_type: Column, side: Column, filled: Column, usd_value: Column
 
 
 def significance(sizes: Column, usd_value: Column, event_type: Column, dormant_days: Column, trades_per_month: Column) -> Column:
-    """struct(score, reasons): how unusual an action is for its own actor."""
+    """struct(score, reasons): how unusual an action is for its own actor, whose sizes are given."""
     below = F.size(F.filter(sizes, lambda x: x <= usd_value)) / F.size(sizes)
-    share = F.when(usd_value.isNotNull() & (F.size(sizes) > 0), below)
+    return significance_of(F.when(usd_value.isNotNull() & (F.size(sizes) > 0), below), event_type, dormant_days, trades_per_month)
+
+
+def significance_of(share: Column, event_type: Column, dormant_days: Column, trades_per_month: Column) -> Column:
+    """``significance`` where the share of the actor's sizes that are not above this one is known."""
     rare = event_type.isin("order_placed", "position_opened", "liquidation")
     score = (
         F.coalesce(0.35 * share, F.lit(0.0))
@@ -193,6 +197,7 @@ def significance(sizes: Column, usd_value: Column, event_type: Column, dormant_d
         + F.when(rare, 0.20).otherwise(0.0)
         + F.when(trades_per_month <= 6, 0.15).otherwise(0.0)
     )
+    # fixed values: the wording of the reasons, which stored signals carry
     reasons = F.array_compact(
         F.array(
             F.when(share >= 0.8, F.format_string("size in top %d%% of this wallet's history", (F.floor((1 - share) * 100) + 1).cast("int"))),

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracklight.functions import scalars as fn
+from tracklight.functions.tables import keep
 from tracklight.functions.temporal import range_join
 from tracklight.operators import metrics as wm
 from tracklight.operators import outcomes as oc
@@ -17,9 +18,13 @@ EXCLUDED = ("bot", "high_frequency")
 
 def appearances(events: DataFrame, outcomes: DataFrame, config: DiscoveryConfig = DiscoveryConfig()) -> DataFrame:
     """First acquisition of every actor in the lookback before each outcome: an interval join, bucketed by time."""
+    return appearances_of(wm.acquisitions(events), outcomes, config)
+
+
+def appearances_of(acquired: DataFrame, outcomes: DataFrame, config: DiscoveryConfig = DiscoveryConfig()) -> DataFrame:
     widest = max(config.lookback_days) * DAY
     spans = outcomes.select("outcome_id", "outcome_class", "asset_id", "t0", (F.unix_micros("t0") - widest).alias("_start"), F.unix_micros("t0").alias("_end"))
-    points = events.where(fn.acquired_any(F.col("side")) & F.col("asset_id").isNotNull()).select("event_id", "actor", "asset_id", "observed_at", "usd_value", F.unix_micros("observed_at").alias("_at"))
+    points = acquired.where("acquired_any").select("event_id", "actor", "asset_id", "observed_at", "usd_value", F.unix_micros("observed_at").alias("_at"))
     joined = range_join(points, spans, ["asset_id"], "_at", "_start", "_end", bucket=30 * DAY)
     entry = F.min(F.struct("observed_at", "event_id", "usd_value")).alias("e")
     first = joined.groupBy("outcome_id", "outcome_class", "asset_id", "t0", "actor").agg(entry)
@@ -76,40 +81,71 @@ def score(appearing: DataFrame, metrics: DataFrame, rates: DataFrame, config: Di
     return scored.withColumn("passed", F.col("rejection_reason").isNull())
 
 
-def sweep(events: DataFrame, outcomes: DataFrame, assets: DataFrame, as_of: Column, since: Column | None = None, config: DiscoveryConfig = DiscoveryConfig(), wallets: WalletConfig = WalletConfig()) -> DataFrame:
-    """Scores of all actors that were early to an observable outcome; passed ones with the largest edge first."""
+def sweep(
+    events: DataFrame, outcomes: DataFrame, assets: DataFrame, as_of: Column, since: Column | None = None, config: DiscoveryConfig = DiscoveryConfig(), wallets: WalletConfig = WalletConfig(), keep=keep
+) -> DataFrame:
+    """Scores of all actors that were early to an observable outcome; passed ones with the largest edge first.
+
+    ``keep`` writes what several steps read: the acquisitions, the appearances, the rates.
+    """
     known = oc.observable(outcomes, as_of, PREDICTIVE)
     if since is not None:
         known = known.where(F.col("first_observed_at") >= since)
-    found = appearances(events, known, config)
-    rates = oc.base_rates(outcomes, assets, as_of, PREDICTIVE)
-    return score(found, wm.wallet_metrics(events, outcomes, assets, as_of, config=wallets), rates, config, wallets).orderBy(F.desc("passed"), F.desc("edge_ratio"), F.desc("independent_events"), "actor")
+    acquired = keep(wm.acquisitions(events))
+    found = keep(appearances_of(acquired, known, config))
+    rates = keep(oc.base_rates(outcomes, assets, as_of, PREDICTIVE))
+    metrics = wm.wallet_metrics(events, outcomes, assets, as_of, config=wallets, acquired=acquired, keep=keep)
+    return score(found, metrics, rates, config, wallets).orderBy(F.desc("passed"), F.desc("edge_ratio"), F.desc("independent_events"), "actor")
 
 
 def near_misses(scores: DataFrame, config: DiscoveryConfig = DiscoveryConfig()) -> DataFrame:
     return scores.where("NOT passed").orderBy(F.desc("hits"), F.desc("edge_ratio"), "actor").limit(config.near_misses)
 
 
-def persist(known: DataFrame, scores: DataFrame, as_of: Column, config: DiscoveryConfig = DiscoveryConfig()) -> DataFrame:
-    """The candidate table after a sweep: passed actors and the nearest misses are merged in; a status is set once."""
-    kept = scores.where("passed").unionByName(near_misses(scores, config))
+PROVENANCE = "array<struct<t0:timestamp,outcome_id:string,asset_id:string,outcome_class:string,entered_at:timestamp,lead_time_days:double,window:string>>"
+CANDIDATES = (
+    "wallet string, network string, status string, surfaced_at timestamp, shadow_started_at timestamp, promoted_at timestamp, retired_at timestamp, archetype string, hit_rate double, shrunk_hit_rate double, "
+    f"base_rate double, edge_vs_base double, sample_size int, independent_events int, rejection_reason string, discovery_provenance {PROVENANCE}"
+)
+
+
+def provenance(appearing: DataFrame) -> DataFrame:
+    """(actor, discovery_provenance): the appearances of an actor, by time."""
+    item = F.struct("t0", "outcome_id", "asset_id", "outcome_class", "entered_at", F.round("lead_time_days", 2).alias("lead_time_days"), "window")
+    return appearing.groupBy("actor").agg(F.array_sort(F.collect_list(item)).alias("discovery_provenance"))
+
+
+def persist(known: DataFrame, scores: DataFrame, as_of: Column, config: DiscoveryConfig = DiscoveryConfig(), appearing: DataFrame | None = None) -> DataFrame:
+    """The candidate table after a sweep: passed actors and the nearest misses come in, and all that are known already
+    get their new figures; a status is set once.
+
+    With ``appearing``, the appearances of the merged actors are their provenance, and their network that of the
+    first asset.
+    """
+    again = known.select(F.col("wallet").alias("actor"), F.lit(True).alias("_known"))
+    near = near_misses(scores, config).select("actor", F.lit(True).alias("_near"))
+    kept = scores.join(near, "actor", "left").join(again, "actor", "left").where("passed OR _near OR _known").drop("_near", "_known")
+    if appearing is None:
+        kept = kept.withColumn("discovery_provenance", F.lit(None).cast(PROVENANCE))
+    else:
+        kept = kept.join(provenance(appearing.join(kept.select("actor"), "actor", "left_semi")), "actor", "left")
+    figures = (("hit_rate", "hit_rate"), ("shrunk_hit_rate", "shrunk_hit_rate"), ("base_rate", "base_rate"), ("edge_ratio", "edge_vs_base"))
     new = kept.select(
         F.col("actor").alias("wallet"), F.when(F.col("passed"), "surfaced").otherwise("rejected").alias("new_status"), F.coalesce("archetype", F.lit("unclassified")).alias("new_archetype"),
-        *[F.bround(F.col(c), 4).alias(f"new_{n}") for c, n in (("hit_rate", "hit_rate"), ("shrunk_hit_rate", "shrunk_hit_rate"), ("base_rate", "base_rate"), ("edge_ratio", "edge_vs_base"))],
+        *[F.bround(F.col(c), 4).alias(f"new_{n}") for c, n in figures],
         F.greatest("touched", "hits").cast("int").alias("new_sample_size"), F.col("independent_events").cast("int").alias("new_independent_events"), F.col("rejection_reason").alias("new_rejection_reason"),
+        F.split_part(F.get("discovery_provenance", F.lit(0))["asset_id"], F.lit(":"), F.lit(1)).alias("new_network"), F.col("discovery_provenance").alias("new_discovery_provenance"),
     )
     both = known.join(new, "wallet", "full_outer")
     fresh = F.col("new_status").isNotNull()
     pick = lambda n: F.when(fresh, F.col(f"new_{n}")).otherwise(F.col(n)).alias(n)
     return both.select(
-        "wallet", F.coalesce("status", "new_status").alias("status"), F.coalesce("surfaced_at", F.when(fresh, as_of)).alias("surfaced_at"), "shadow_started_at", "promoted_at",
-        *[pick(n) for n in ("archetype", "hit_rate", "shrunk_hit_rate", "base_rate", "edge_vs_base", "sample_size", "independent_events", "rejection_reason")],
+        "wallet", F.coalesce("network", "new_network").alias("network"), F.coalesce("status", "new_status").alias("status"), F.coalesce("surfaced_at", F.when(fresh, as_of)).alias("surfaced_at"),
+        "shadow_started_at", "promoted_at", "retired_at",
+        *[pick(n) for n in ("archetype", "hit_rate", "shrunk_hit_rate", "base_rate", "edge_vs_base", "sample_size", "independent_events", "rejection_reason", "discovery_provenance")],
     )
 
 
-CANDIDATES = "wallet string, status string, surfaced_at timestamp, shadow_started_at timestamp, promoted_at timestamp, archetype string, hit_rate double, shrunk_hit_rate double, base_rate double, edge_vs_base double, sample_size int, independent_events int, rejection_reason string"
-
-
 def advance_lifecycle(candidates: DataFrame, now: Column, config: DiscoveryConfig = DiscoveryConfig()) -> DataFrame:
     """One step for every candidate: surfaced ones go to shadow; shadow ones are tracked or decay after their time."""
     ripe = (F.col("status") == "shadow") & (F.unix_micros(now) - F.unix_micros("shadow_started_at") >= int(config.shadow_days * DAY))
@@ -128,12 +164,26 @@ def advance_lifecycle(candidates: DataFrame, now: Column, config: DiscoveryConfi
     )
 
 
-def negative_control(events: DataFrame, metrics: DataFrame, sample: int = 40, pool: int = 500) -> DataFrame:
-    """Actors taken by their order alone, scored without appearances: none may pass."""
+def control_actors(events: DataFrame, sample: int = 40, pool: int = 500) -> DataFrame:
+    """Actors taken by their order alone: every so many-th of the first ``pool``."""
     actors = events.select("actor").distinct().orderBy("actor").limit(pool)
     n = F.count(F.lit(1)).over(W.partitionBy(F.lit(0)))  # pool rows at most
     placed = actors.select("actor", (F.row_number().over(W.partitionBy(F.lit(0)).orderBy("actor")) - 1).alias("_i"), F.greatest(F.lit(1), F.floor(n / sample)).alias("_step"))
-    return placed.where("_i % _step = 0").limit(sample).select("actor").join(metrics.select("actor", "distinct_tokens", "archetype"), "actor")
+    return placed.where("_i % _step = 0").orderBy("actor").limit(sample).select("actor")
+
+
+def control_scores(events: DataFrame, metrics: DataFrame, config: DiscoveryConfig = DiscoveryConfig(), sample: int = 40, pool: int = 500) -> DataFrame:
+    """The control's actors scored as if they had been early to nothing: by the same guards, none may pass."""
+    rows = control_actors(events, sample, pool).join(metrics.select("actor", "distinct_tokens", "archetype", "excluded_reason"), "actor", "left")
+    nothing = {"hits": F.lit(0).cast("long"), "independent_events": F.lit(0).cast("long"), "edge_ratio": F.lit(0.0), "shrunk_hit_rate": F.lit(0.0)}
+    scored = rows.withColumns(nothing).withColumn("rejection_reason", rejection(config))
+    return scored.withColumn("passed", F.col("rejection_reason").isNull())
+
+
+def negative_control(events: DataFrame, metrics: DataFrame, config: DiscoveryConfig = DiscoveryConfig(), sample: int = 40, pool: int = 500) -> DataFrame:
+    """One row (name, surfaced, median_edge_ratio, note): how many of the control's actors pass. Anything but 0 is a fault of the guards."""
+    found = control_scores(events, metrics, config, sample, pool).agg(F.count_if("passed").alias("surfaced"), F.coalesce(F.median("edge_ratio"), F.lit(0.0)).alias("median_edge_ratio"), F.count(F.lit(1)).alias("n"))
+    return found.select(F.lit("random_wallet").alias("name"), "surfaced", "median_edge_ratio", F.format_string("%d wallets sampled with no outcome appearances attributed", "n").alias("note"))
 
 
 def survival(frozen: DataFrame, present: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracklight.functions import scalars as fn
+from tracklight.functions.tables import keep
 from tracklight.operators import outcomes as oc
 from tracklight.schema import HOUR, PREDICTIVE, WalletConfig
 
@@ -28,8 +29,8 @@ def _acquired() -> Column:
     return fn.acquired_for_metrics(F.col("event_type"), F.col("side"))
 
 
-def activity(events: DataFrame) -> DataFrame:
-    """Counts, rates and sizes per actor."""
+def activity(events: DataFrame, sized: bool = False) -> DataFrame:
+    """Counts and rates per actor; with ``sized``, the columns of ``sizes`` too."""
     token = F.when(_acquired(), F.col("asset_id"))
     first, last = F.min("observed_at"), F.max("observed_at")
     found = events.groupBy("actor").agg(
@@ -41,14 +42,28 @@ def activity(events: DataFrame) -> DataFrame:
         fn.months_between(first, last).alias("months"),
         F.count_if(fn.is_resting(F.col("event_type"), F.col("filled"))).alias("resting_orders"),
         F.count_if(F.col("event_type") == "liquidation").alias("liquidations"),
+        *([F.median("usd_value").alias("median_position_usd"), F.max("usd_value").alias("max_position_usd")] if sized else []),
     )
     return found.select("*", (F.col("total_actions") / F.col("months")).alias("trades_per_month"), (F.col("distinct_tokens") / F.col("months")).alias("tokens_per_month")).drop("months")
 
 
-def sizes(events: DataFrame, with_list: bool = True) -> DataFrame:
-    """Exact median and maximum of position sizes, and the sizes themselves where significance needs them."""
-    more = [F.sort_array(F.collect_list("usd_value")).alias("sizes")] if with_list else []
-    return events.where("usd_value IS NOT NULL").groupBy("actor").agg(F.median("usd_value").alias("median_position_usd"), F.max("usd_value").alias("max_position_usd"), *more)
+def sizes(events: DataFrame) -> DataFrame:
+    """Exact median and maximum of position sizes."""
+    return events.where("usd_value IS NOT NULL").groupBy("actor").agg(F.median("usd_value").alias("median_position_usd"), F.max("usd_value").alias("max_position_usd"))
+
+
+def size_shares(events: DataFrame) -> DataFrame:
+    """``events`` with ``size_share``: which share of the actor's sizes is not above this one; null without a size."""
+    mine = W.partitionBy("actor")
+    not_above = F.count("usd_value").over(mine.orderBy("usd_value").rangeBetween(W.unboundedPreceding, 0))
+    return events.withColumn("size_share", F.when(F.col("usd_value").isNotNull(), not_above / F.count("usd_value").over(mine)))
+
+
+def acquisitions(events: DataFrame) -> DataFrame:
+    """What the steps about entries read of the events: acquisitions of any kind, with their marks."""
+    marks = {"acquired": _acquired(), "bought": fn.bought(F.col("side")), "acquired_any": fn.acquired_any(F.col("side"))}
+    rows = events.where(F.col("asset_id").isNotNull()).select("event_id", "actor", "asset_id", "chain_time", "observed_at", "usd_value", *[m.alias(n) for n, m in marks.items()])
+    return rows.where("acquired OR bought OR acquired_any")
 
 
 def entry_latency(events: DataFrame, creations: DataFrame, config: WalletConfig = WalletConfig()) -> DataFrame:
@@ -56,9 +71,13 @@ def entry_latency(events: DataFrame, creations: DataFrame, config: WalletConfig
 
     ``creations`` holds token_created events, whenever they were observed.
     """
+    return entry_latency_of(acquisitions(events), creations, config)
+
+
+def entry_latency_of(acquired: DataFrame, creations: DataFrame, config: WalletConfig = WalletConfig()) -> DataFrame:
     created = creations.where("event_type = 'token_created'").groupBy("asset_id").agg(F.min("chain_time").alias("created_at"))
     late = (F.unix_micros("chain_time") - F.unix_micros("created_at")) / 1e6
-    rows = events.where(_acquired()).join(created, "asset_id").select("actor", late.alias("latency")).where("latency >= 0")
+    rows = acquired.where("acquired").join(created, "asset_id").select("actor", late.alias("latency")).where("latency >= 0")
     return rows.groupBy("actor").agg(F.min("latency").alias("min_entry_latency_seconds"), F.count_if(F.col("latency") <= config.sniper_seconds).alias("sniper_entries"))
 
 
@@ -85,12 +104,37 @@ def realized_pnl(events: DataFrame) -> DataFrame:
     return rows.groupBy("actor").agg(F.sum(gain).alias("realized_pnl_usd"))
 
 
+def holding(events: DataFrame) -> DataFrame:
+    """``hold_hours`` and ``realized_pnl`` of every actor that has either, from one pass over its trades of each asset."""
+    by = W.partitionBy("actor", "asset_id").orderBy("observed_at", "event_id")
+    rows = events.where("asset_id IS NOT NULL").select("actor", "asset_id", "event_id", "observed_at", "side", "event_type", "usd_value")
+    trade, sell = F.coalesce(F.col("side").isin("buy", "sell"), F.lit(False)), F.coalesce(F.col("side") == "sell", F.lit(False))
+    before = F.last(F.when(trade, F.col("side")), ignorenulls=True).over(by.rowsBetween(W.unboundedPreceding, -1))
+    sold = F.coalesce(F.sum(F.when(F.col("usd_value").isNotNull(), sell.cast("int"))).over(by.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.select("*", (trade & ~F.col("side").eqNullSafe(before)).alias("_turn"), sold.alias("_block"))
+    following = F.first(F.when(F.col("_turn"), F.col("observed_at")), ignorenulls=True).over(by.rowsBetween(1, W.unboundedFollowing))
+    running = F.sum(F.when(fn.bought(F.col("side")), F.col("usd_value"))).over(by.rowsBetween(W.unboundedPreceding, 0))
+    rows = rows.select("*", following.alias("_next"), F.coalesce(running, F.lit(0.0)).alias("_paid"))
+    # what was bought since the last sale: the running purchases less those at the last row of the block before
+    earlier = F.max(F.when(sell & F.col("usd_value").isNotNull(), F.col("_paid"))).over(by.rowsBetween(W.unboundedPreceding, -1))
+    rows = rows.withColumn("_spent", F.col("_paid") - F.coalesce(earlier, F.lit(0.0)))
+    bought = fn.bought(F.col("side"))
+    gain = F.when(bought, 0.0).when(sell & (F.col("_spent") > 0), F.col("usd_value") - F.col("_spent")).when(F.col("event_type") == "liquidation", -F.col("usd_value")).otherwise(0.0)
+    closed = F.col("_turn") & bought & F.col("_next").isNotNull()
+    held = F.when(closed, fn.hours_between(F.col("observed_at"), F.col("_next")))
+    return rows.groupBy("actor").agg(F.median(held).alias("median_hold_hours"), F.count(held).alias("episodes_closed"), F.sum(F.when(F.col("usd_value").isNotNull(), gain)).alias("realized_pnl_usd"))
+
+
 def precision(events: DataFrame, outcomes: DataFrame, rates: DataFrame, config: WalletConfig = WalletConfig()) -> DataFrame:
     """(actor, outcome_class, hits, trials, hit_rate, shrunk_hit_rate, base_rate, edge_ratio): per asset, not per trade.
 
     A hit is an asset first acquired before some outcome of the class became public.
     """
-    touched = events.where(_acquired() & F.col("asset_id").isNotNull()).groupBy("actor", "asset_id").agg(F.min("observed_at").alias("entry"))
+    return precision_of(acquisitions(events), outcomes, rates, config)
+
+
+def precision_of(acquired: DataFrame, outcomes: DataFrame, rates: DataFrame, config: WalletConfig = WalletConfig()) -> DataFrame:
+    touched = acquired.where("acquired").groupBy("actor", "asset_id").agg(F.min("observed_at").alias("entry"))
     latest = outcomes.where(F.col("outcome_class").isin(*CLASSES)).groupBy("asset_id").pivot("outcome_class", list(CLASSES)).agg(F.max("t0"))
     joined = touched.join(latest, "asset_id", "left")
     per_actor = joined.groupBy("actor").agg(F.count(F.lit(1)).alias("trials"), *[F.count_if(F.col("entry") < F.col(c)).alias(c) for c in CLASSES])
@@ -103,13 +147,17 @@ def precision(events: DataFrame, outcomes: DataFrame, rates: DataFrame, config:
 
 def earliness(events: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Median lead in days, and median rank among the buyers before the move, over acquisitions that an outcome followed."""
+    return earliness_of(acquisitions(events), outcomes)
+
+
+def earliness_of(acquired: DataFrame, outcomes: DataFrame) -> DataFrame:
     later = outcomes.where(F.col("outcome_class").isin(*PREDICTIVE)).select("asset_id", "t0")
-    acquired = events.where(_acquired() & F.col("asset_id").isNotNull()).select("actor", "asset_id", "event_id", "observed_at")
-    led = acquired.join(later, "asset_id").where(F.col("observed_at") < F.col("t0"))
+    entries = acquired.where("acquired").select("actor", "asset_id", "event_id", "observed_at")
+    led = entries.join(later, "asset_id").where(F.col("observed_at") < F.col("t0"))
     led = led.groupBy("actor", "asset_id", "event_id", "observed_at").agg(F.min("t0").alias("t0"))
     # the rank of an entry: first purchases of distinct buyers, counted in time order per (asset, outcome)
     starts = led.select("asset_id", "t0").distinct()
-    buyers = events.where(fn.bought(F.col("side")) & F.col("asset_id").isNotNull()).groupBy("asset_id", "actor").agg(F.min("observed_at").alias("first_buy"))
+    buyers = acquired.where("bought").groupBy("asset_id", "actor").agg(F.min("observed_at").alias("first_buy"))
     first = buyers.join(starts, "asset_id").where(F.col("first_buy") < F.col("t0")).select("asset_id", "t0", F.col("first_buy").alias("at"))
     marks = first.select("asset_id", "t0", "at", F.lit(1).alias("buyer"), F.lit(None).cast("string").alias("actor")).unionByName(
         led.select("asset_id", "t0", F.col("observed_at").alias("at"), F.lit(0).alias("buyer"), "actor")
@@ -154,15 +202,22 @@ def archetype(config: WalletConfig = WalletConfig()) -> Column:
     return out
 
 
-def wallet_metrics(events: DataFrame, outcomes: DataFrame, assets: DataFrame, as_of: Column, lookback_days: float | None = None, config: WalletConfig = WalletConfig()) -> DataFrame:
-    """One row per actor: activity, sizes, latency, holding, P&L, precision maps, earliness and archetype."""
+def wallet_metrics(
+    events: DataFrame, outcomes: DataFrame, assets: DataFrame, as_of: Column, lookback_days: float | None = None, config: WalletConfig = WalletConfig(), acquired: DataFrame | None = None, keep=keep
+) -> DataFrame:
+    """One row per actor: activity, sizes, latency, holding, P&L, precision maps, earliness and archetype.
+
+    The events are read for the activity, for the trades, for creations, and for the acquisitions, which are kept
+    unless the caller has them (``acquired``). ``outcomes`` should be a stored table.
+    """
     seen, known = visible(events, as_of, lookback_days), outcomes.where(F.col("first_observed_at") <= as_of)
-    rates = oc.base_rates(known, assets, as_of, CLASSES)
-    long = precision(seen, known, rates, config)
+    acquired = visible(keep(acquisitions(events)) if acquired is None else acquired, as_of, lookback_days)
+    rates = keep(oc.base_rates(known, assets, as_of, CLASSES))
+    long = precision_of(acquired, known, rates, config)
     names = ("hits", "hit_rate", "shrunk_hit_rate", "base_rate", "edge_ratio")
     maps = long.groupBy("actor").agg(*[F.map_from_entries(F.collect_list(F.struct("outcome_class", n))).alias(n) for n in names])
-    out = activity(seen)
-    for part in (sizes(seen), entry_latency(seen, events, config), hold_hours(seen), realized_pnl(seen), maps, earliness(seen, known)):
+    out = activity(seen, sized=True)
+    for part in (entry_latency_of(acquired, events, config), holding(seen), maps, earliness_of(acquired, known)):
         out = out.join(part, "actor", "left")
     out = out.withColumns({"sniper_entries": F.coalesce("sniper_entries", F.lit(0)), "collapse_share": F.coalesce(F.col("hit_rate")["rug_or_collapse"], F.lit(0.0))})
     # actors that acquired nothing have no precision rows, and fall under the least sample

@@ -67,6 +67,16 @@ def mute_proposals(precision: DataFrame, base_rate: DataFrame, least: int = 30,
     return rows.select("family", kind.alias("kind"), "graded", "precision", "base_rate").where("kind IS NOT NULL")
 
 
+def proposals(thresholds: DataFrame, mutes: DataFrame) -> DataFrame:
+    """(kind, target, current, proposed, sample_size, status): a threshold to change, and families to mute or to hear again."""
+    changed = thresholds.where("proposed <> current").select(
+        F.lit("threshold").alias("kind"), F.lit("min_significance").alias("target"), F.col("current").cast("string").alias("current"), F.col("proposed").cast("string").alias("proposed"), F.col("graded").alias("sample_size")
+    )
+    muting = F.col("kind") == "mute_family"
+    families = mutes.select("kind", F.col("family").alias("target"), F.when(muting, "heard").otherwise("muted").alias("current"), F.when(muting, "muted").otherwise("heard").alias("proposed"), F.col("graded").alias("sample_size"))
+    return changed.unionByName(families).withColumn("status", F.lit("pending"))
+
+
 def apply_decisions(proposals: DataFrame, decisions: DataFrame) -> DataFrame:
     """Pending proposals (proposal_id, status, ...) change as decisions (proposal_id, decision, by, at) say; others never do."""
     latest = decisions.groupBy("proposal_id").agg(F.max_by(F.struct("decision", "by", "at"), "at").alias("_d"))

@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracklight.functions import scalars as fn
-from tracklight.schema import HOUR, MUTED_FAMILIES, AlertConfig
+from tracklight.schema import HOUR, MUTED_FAMILIES, SIGNAL_TEXTS, AlertConfig
 
 DECISIONS = ("duplicate", "threshold", "cooldown", "muted", "daily_cap", "shadow", "quiet", "delivered")
 
@@ -82,8 +82,12 @@ def dispatch(signals: DataFrame, history: DataFrame, config: AlertConfig = Alert
 def alert_text(signals: DataFrame) -> DataFrame:
     """Adds ``alert_title`` and ``alert_body``: the first three facts, with no live links."""
     body = F.array_join(F.slice("supporting_facts", 1, 3), " | ")
-    return signals.select("*", fn.defang(F.col("title")).alias("alert_title"), fn.defang(F.when(body != "", body).otherwise("No supporting facts recorded")).alias("alert_body"))
+    return signals.select("*", fn.defang(F.col("title")).alias("alert_title"), fn.defang(F.when(body != "", body).otherwise(SIGNAL_TEXTS["no_facts"])).alias("alert_body"))
 
 
 def dispatch_counts(decided: DataFrame) -> DataFrame:
-    return decided.groupBy("decision").agg(F.count(F.lit(1)).alias("n"))
+    """One row: how many signals each decision fell on, how many are persisted, and how many carry a critical risk."""
+    of = {f"n_{d}": F.count_if(F.col("decision") == d) for d in DECISIONS}
+    kept = F.count_if(~F.col("decision").isin("duplicate", "threshold", "cooldown"))
+    critical = F.count_if((F.col("risk_band") == "critical") & (F.col("decision") != "duplicate"))
+    return decided.agg(*[c.alias(n) for n, c in of.items()], kept.alias("persisted"), critical.alias("risk_flagged"))

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from tracklight.functions import scalars as fn
 from tracklight.functions.temporal import previous_action, range_join
 from tracklight.operators import metrics as wm
-from tracklight.schema import DAY, SignalConfig
+from tracklight.schema import DAY, SIGNAL_TEXTS, SignalConfig
 
+SAY = SIGNAL_TEXTS
 TEXTS = "array<string>"
 
 
@@ -29,45 +30,63 @@ def since(events: DataFrame, as_of: Column, days: float) -> DataFrame:
     return events.where((F.col("observed_at") <= as_of) & (F.unix_micros("observed_at") >= F.unix_micros(as_of) - int(days * DAY)))
 
 
+def evidence_of(rows: DataFrame, by: list[str], most: int = 20) -> DataFrame:
+    """``by`` and ``evidence``: the first event ids of each group, in time order; a task keeps ``most`` of a group before they meet."""
+    order = W.partitionBy(*by).orderBy("observed_at", "event_id")
+    first = rows.select(*by, "observed_at", "event_id").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most)
+    return first.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "event_id"))), lambda x: x["event_id"]).alias("evidence"))
+
+
 def tracked_actions(events: DataFrame, tracked: DataFrame, metrics: DataFrame, as_of: Column, config: SignalConfig = SignalConfig()) -> DataFrame:
     """Unusual actions, and resting orders, of tracked candidates (wallet, archetype, edge_vs_base).
 
-    ``metrics`` has trades_per_month and sizes per actor. Only tracked actors' events are read for the last action.
+    ``metrics`` has trades_per_month per actor. Only tracked actors' events are read, for the last action and sizes.
     """
     own = events.where(F.col("observed_at") <= as_of).join(tracked.select(F.col("wallet").alias("actor"), "archetype", "edge_vs_base"), "actor")
-    recent = since(previous_action(own), as_of, config.lookback_days)
-    rows = recent.join(metrics.select("actor", "trades_per_month", "sizes"), "actor", "left")
-    scored = fn.significance(F.coalesce("sizes", F.array().cast("array<double>")), F.col("usd_value"), F.col("event_type"), fn.days_between(F.col("previous_at"), F.col("observed_at")), F.col("trades_per_month"))
+    recent = since(wm.size_shares(previous_action(own)), as_of, config.lookback_days)
+    rows = recent.join(metrics.select("actor", "trades_per_month"), "actor", "left")
+    scored = fn.significance_of(F.col("size_share"), F.col("event_type"), fn.days_between(F.col("previous_at"), F.col("observed_at")), F.col("trades_per_month"))
     rows = rows.withColumn("_s", scored).where(F.col("_s.score") >= config.min_significance)
     resting = fn.is_resting(F.col("event_type"), F.col("filled"))
-    verb = F.when(resting, "placed a resting order on").otherwise(F.coalesce("side", F.lit("acted on")))
-    title = F.concat_ws(" ", "archetype", F.lit("wallet"), F.concat(F.substring("actor", 1, 8), F.lit("…")), verb, F.coalesce("asset_id", F.lit("unknown asset")))
+    verb = F.when(resting, SAY["action_resting"]).otherwise(F.coalesce("side", F.lit(SAY["action_other"])))
+    title = F.format_string(SAY["action_title"], "archetype", F.substring("actor", 1, 8), verb, F.coalesce("asset_id", F.lit("unknown asset")))
     confidence = F.when(F.col("edge_vs_base") != 0, F.col("edge_vs_base") / 10).otherwise(0.3)
-    risk = F.when(resting, F.array(F.lit("Order is unfilled — this is stated intent, not a position"))).otherwise(F.array().cast(TEXTS))
+    risk = F.when(resting, F.array(F.lit(SAY["action_risk"]))).otherwise(F.array().cast(TEXTS))
+    family = F.when(resting, "resting_order_placed").otherwise("tracked_entity_action")
     return rows.select(
-        *_signal(F.when(resting, "resting_order_placed").otherwise("tracked_entity_action"), title, F.col("_s.score"), F.coalesce(confidence, F.lit(0.3)), F.col("observed_at"), as_of, F.col("asset_id"), F.col("actor"), F.col("_s.reasons"), risk, ("Wallet ownership is inferred from behaviour, not established",), F.array("event_id"))
+        *_signal(family, title, F.col("_s.score"), F.coalesce(confidence, F.lit(0.3)), F.col("observed_at"), as_of, F.col("asset_id"), F.col("actor"), F.col("_s.reasons"), risk, (SAY["action_unknown"],), F.array("event_id"))
     )
 
 
 def silent_accumulation(events: DataFrame, clock: DataFrame, config: SignalConfig = SignalConfig()) -> DataFrame:
-    """Assets that several actors buy while the price stays flat, at every tick (column as_of) of ``clock``."""
-    buys = events.where(fn.bought(F.col("side")) & F.col("asset_id").isNotNull())
-    spans = buys.select("*", F.unix_micros("observed_at").alias("_start"), (F.unix_micros("observed_at") + int(config.silent_days * DAY) + 1).alias("_end"))
-    rows = range_join(clock.select("as_of", F.unix_micros("as_of").alias("_tick")), spans, [], "_tick", "_start", "_end", bucket=DAY)
+    """Assets that several actors buy while the price stays flat, at every tick (column as_of) of ``clock``.
+
+    The clock's first and last tick bound what is read of the events; with one tick no join is needed.
+    """
+    window = int(config.silent_days * DAY)
+    first, last = clock.agg(F.min(F.unix_micros("as_of")), F.max(F.unix_micros("as_of"))).first()  # two numbers
+    begin, end = (F.timestamp_micros(F.lit(x)) for x in ((first or 0) - window, -1 if last is None else last))
+    buys = events.where(fn.bought(F.col("side")) & F.col("asset_id").isNotNull() & (F.col("observed_at") >= begin) & (F.col("observed_at") <= end))
+    if first == last:
+        rows = buys.withColumn("as_of", end)
+    else:
+        spans = buys.select("*", F.unix_micros("observed_at").alias("_start"), (F.unix_micros("observed_at") + window + 1).alias("_end"))
+        rows = range_join(clock.select("as_of", F.unix_micros("as_of").alias("_tick")), spans, [], "_tick", "_start", "_end", bucket=DAY)
     place = F.struct("observed_at", "event_id")
     priced = F.when(F.col("price_usd").isNotNull(), place)
-    found = rows.groupBy("as_of", "asset_id").agg(
+    by = ["as_of", "asset_id"]
+    found = rows.groupBy(*by).agg(
         F.countDistinct("actor").alias("buyers"), F.min_by("price_usd", priced).alias("first"), F.max_by("price_usd", priced).alias("last"), F.count("price_usd").alias("prices"),
         F.sum(F.coalesce("usd_value", F.lit(0.0))).alias("net_usd"), F.max("observed_at").alias("at"),
-        F.slice(F.transform(F.array_sort(F.collect_list(place)), lambda x: x["event_id"]), 1, 20).alias("evidence"),
     )
     move = F.when(F.col("first") != 0, F.abs(F.col("last") - F.col("first")) / F.col("first")).otherwise(0.0)
     flat = (F.col("prices") < 2) | (move <= config.silent_move)
     found = found.where((F.col("buyers") >= config.silent_buyers) & flat & (F.col("net_usd") > 0))
-    facts = [F.format_string(f"%d distinct buyers over {config.silent_days:g} days", F.col("buyers")), F.concat(F.lit("$"), F.format_number("net_usd", 0), F.lit(" accumulated with no material price move"))]
-    title = F.format_string("Quiet accumulation in %s — %d buyers, price flat", "asset_id", "buyers")
+    found = found.join(evidence_of(rows, by), by)
+    facts = [F.format_string(SAY["silent_buyers"].format(days=config.silent_days), F.col("buyers")), F.format_string(SAY["silent_volume"], F.format_number("net_usd", 0))]
+    title = F.format_string(SAY["silent_title"], "asset_id", "buyers")
     return found.select(
-        *_signal("silent_accumulation", title, F.least(F.lit(0.9), 0.3 + 0.1 * F.col("buyers")), F.lit(0.5), F.col("at"), F.col("as_of"), F.col("asset_id"), F.lit(None), facts, ("Flat price may reflect illiquidity rather than absorption",), ("Buyer independence not yet verified",), F.col("evidence"))
+        *_signal("silent_accumulation", title, F.least(F.lit(0.9), 0.3 + 0.1 * F.col("buyers")), F.lit(0.5), F.col("at"), F.col("as_of"), F.col("asset_id"), F.lit(None), facts, (SAY["silent_risk"],), (SAY["silent_unknown"],), F.col("evidence"))
     )
 
 
@@ -75,19 +94,21 @@ def convergence(events: DataFrame, tracked: DataFrame, edge_table: DataFrame, as
     """Assets that several tracked actors, unrelated by any edge, acquired lately.
 
     Taken in the order of their names, an actor counts if none counted before is related to it; the fold runs
-    over one asset's tracked actors.
+    over one asset's tracked actors, each with those of its relations that are among them.
     """
     rows = since(events, as_of, config.convergence_days).where(fn.acquired_any(F.col("side")) & F.col("asset_id").isNotNull()).join(tracked.select(F.col("wallet").alias("actor")).distinct(), "actor", "left_semi")
-    pairs = edge_table.select("source", "target").union(edge_table.select("target", "source")).distinct()
-    related = pairs.groupBy(F.col("source").alias("actor")).agg(F.collect_set("target").alias("related"))
-    actors = rows.groupBy("asset_id", "actor").agg(F.min(F.struct("observed_at", "event_id")).alias("first")).join(related, "actor", "left")
+    actors = rows.groupBy("asset_id", "actor").agg(F.min(F.struct("observed_at", "event_id")).alias("first"))
+    pairs = edge_table.select(F.col("source").alias("actor"), F.col("target").alias("other")).union(edge_table.select("target", "source")).distinct()
+    inside = actors.select("asset_id", "actor").join(pairs, "actor").join(actors.select("asset_id", F.col("actor").alias("other")), ["asset_id", "other"])
+    related = inside.groupBy("asset_id", "actor").agg(F.collect_set("other").alias("related"))
     member = F.struct("actor", F.coalesce("related", F.array().cast(TEXTS)).alias("related"))
-    found = actors.groupBy("asset_id").agg(F.array_sort(F.collect_list(member)).alias("_m"), F.slice(F.transform(F.array_sort(F.collect_list("first")), lambda x: x["event_id"]), 1, 20).alias("evidence"))
+    found = actors.join(related, ["asset_id", "actor"], "left").groupBy("asset_id").agg(F.array_sort(F.collect_list(member)).alias("_m"))
     chosen = F.aggregate("_m", F.array().cast(TEXTS), lambda acc, m: F.when(F.arrays_overlap(acc, m["related"]), acc).otherwise(F.array_append(acc, m["actor"])))
-    found = found.select("asset_id", "evidence", F.size("_m").alias("wallets"), F.size(chosen).alias("independent")).where((F.col("wallets") >= config.convergence_wallets) & (F.col("independent") >= config.convergence_wallets))
-    title = F.format_string("%d independent tracked wallets converged on %s", "independent", "asset_id")
-    fact = F.format_string("%d of %d participating wallets have no detected relationship to each other", "independent", "wallets")
-    return found.select(*_signal("independent_convergence", title, F.least(F.lit(0.95), 0.4 + 0.15 * F.col("independent")), F.lit(0.6), as_of, as_of, F.col("asset_id"), F.lit(None), [fact], ("Undetected relationships would reduce this to a single opinion",), ("Clustering is heuristic; absence of an edge is not proof",), F.col("evidence")))
+    found = found.select("asset_id", F.size("_m").alias("wallets"), F.size(chosen).alias("independent")).where((F.col("wallets") >= config.convergence_wallets) & (F.col("independent") >= config.convergence_wallets))
+    found = found.join(evidence_of(actors.select("asset_id", "first.observed_at", "first.event_id"), ["asset_id"]), "asset_id")
+    title = F.format_string(SAY["convergence_title"], "independent", "asset_id")
+    fact = F.format_string(SAY["convergence_fact"], "independent", "wallets")
+    return found.select(*_signal("independent_convergence", title, F.least(F.lit(0.95), 0.4 + 0.15 * F.col("independent")), F.lit(0.6), as_of, as_of, F.col("asset_id"), F.lit(None), [fact], (SAY["convergence_risk"],), (SAY["convergence_unknown"],), F.col("evidence")))
 
 
 def sequence_confirmation(events: DataFrame, edge_table: DataFrame, as_of: Column, config: SignalConfig = SignalConfig()) -> DataFrame:
@@ -95,14 +116,15 @@ def sequence_confirmation(events: DataFrame, edge_table: DataFrame, as_of: Colum
     leads = edge_table.where("edge_type = 'leads' AND median_lag_seconds > 0")
     acquired = events.where((F.col("observed_at") <= as_of) & fn.acquired_any(F.col("side"))).select("event_id", "actor", F.coalesce("asset_id", F.lit("")).alias("_asset"), "asset_id", "observed_at")
     leader = since(acquired, as_of, config.sequence_days).select(F.col("event_id").alias("leader_event"), F.col("actor").alias("source"), "_asset", "asset_id", F.col("observed_at").alias("led_at"))
-    follower = acquired.select(F.col("event_id").alias("follower_event"), F.col("actor").alias("target"), "_asset", F.col("observed_at").alias("followed_at"))
-    pairs = leads.join(leader, "source").join(follower, ["target", "_asset"]).where(F.col("followed_at") > F.col("led_at"))
+    follower = acquired.select(F.col("event_id").alias("follower_event"), F.col("actor").alias("target"), "_asset", F.col("observed_at").alias("followed_at"), F.unix_micros("observed_at").alias("_at"))
+    led = leads.join(leader, "source").withColumns({"_start": F.unix_micros("led_at") + 1, "_end": F.unix_micros("led_at") + F.floor(2e6 * F.col("median_lag_seconds")) + 1})
+    pairs = range_join(since(follower.withColumnRenamed("followed_at", "observed_at"), as_of, config.sequence_days).withColumnRenamed("observed_at", "followed_at"), led, ["target", "_asset"], "_at", "_start", "_end", bucket=DAY)
     first = pairs.groupBy("source", "target", "leader_event", "asset_id", "led_at", "median_lag_seconds", "ordering_consistency", "confidence", "observations").agg(F.min(F.struct("followed_at", "follower_event")).alias("f"))
     actual = (F.unix_micros("f.followed_at") - F.unix_micros("led_at")) / 1e6
     first = first.withColumn("actual", actual).where(F.col("actual") <= 2 * F.col("median_lag_seconds"))
-    title = F.format_string("Side wallet %s… confirmed %s… on %s", F.substring("target", 1, 8), F.substring("source", 1, 8), "asset_id")
-    facts = [F.format_string("follower acted %.1fh after leader; historical median %.1fh", F.col("actual") / 3600, F.col("median_lag_seconds") / 3600), F.format_string("ordering held in %.0f%% of %d shared assets", F.col("ordering_consistency") * 100, "observations")]
-    return first.select(*_signal("sequence_confirmation", title, F.least(F.lit(0.95), F.col("ordering_consistency") + 0.2), F.col("confidence"), F.col("f.followed_at"), as_of, F.col("asset_id"), F.col("target"), facts, ("Consistent lag can reflect public copy-trading, not coordination",), (), F.array("leader_event", "f.follower_event")))
+    title = F.format_string(SAY["sequence_title"], F.substring("target", 1, 8), F.substring("source", 1, 8), "asset_id")
+    facts = [F.format_string(SAY["sequence_lag"], F.col("actual") / 3600, F.col("median_lag_seconds") / 3600), F.format_string(SAY["sequence_order"], F.col("ordering_consistency") * 100, "observations")]
+    return first.select(*_signal("sequence_confirmation", title, F.least(F.lit(0.95), F.col("ordering_consistency") + 0.2), F.col("confidence"), F.col("f.followed_at"), as_of, F.col("asset_id"), F.col("target"), facts, (SAY["sequence_risk"],), (), F.array("leader_event", "f.follower_event")))
 
 
 def operator_history(events: DataFrame, outcomes: DataFrame, as_of: Column) -> DataFrame:
@@ -120,21 +142,18 @@ def pump_operator_activity(events: DataFrame, candidates: DataFrame, outcomes: D
     operators = candidates.where("archetype = 'pump_operator'").select(F.col("wallet").alias("actor")).distinct()
     own = events.join(operators, "actor", "left_semi")
     rows = since(own, as_of, config.lookback_days).where(fn.bought(F.col("side"))).join(operator_history(own, outcomes, as_of), "actor")
-    title = F.format_string("Known pump operator %s… entered %s", F.substring("actor", 1, 8), "asset_id")
-    facts = [
-        F.format_string("%d prior episodes observed", "episodes"), F.format_string("median time from entry to distribution: %.0fh", "median_hours_to_distribution"),
-        F.format_string("%d of %d prior assets subsequently collapsed", "collapsed", "episodes"),
-    ]
-    risks = ("Exit timing depends on beating participants who know the schedule", "Prior assets from this operator collapsed after distribution")
-    return rows.select(*_signal("pump_operator_activity", title, F.lit(0.6), F.lit(0.55), F.col("observed_at"), as_of, F.col("asset_id"), F.col("actor"), facts, risks, ("Operator may vary timing precisely to punish followers",), F.array("event_id")))
+    title = F.format_string(SAY["operator_title"], F.substring("actor", 1, 8), "asset_id")
+    facts = [F.format_string(SAY["operator_episodes"], "episodes"), F.format_string(SAY["operator_hours"], "median_hours_to_distribution"), F.format_string(SAY["operator_collapsed"], "collapsed", "episodes")]
+    risks = (SAY["operator_exit"], SAY["operator_past"])
+    return rows.select(*_signal("pump_operator_activity", title, F.lit(0.6), F.lit(0.55), F.col("observed_at"), as_of, F.col("asset_id"), F.col("actor"), facts, risks, (SAY["operator_unknown"],), F.array("event_id")))
 
 
 def new_candidates(candidates: DataFrame, as_of: Column, start: Column) -> DataFrame:
     """Candidates surfaced from ``start`` to ``as_of``, rejected ones left out."""
     rows = candidates.where(F.col("surfaced_at").between(start, as_of) & (F.col("status") != "rejected"))
-    title = F.format_string("New candidate wallet %s… (%s)", F.substring("wallet", 1, 8), "archetype")
-    facts = [F.format_string("edge ratio %.1fx", "edge_vs_base")]
-    return rows.select(*_signal("newly_surfaced_candidate", title, F.least(F.lit(0.8), F.col("edge_vs_base") / 10), F.lit(0.4), F.col("surfaced_at"), as_of, F.lit(None), F.col("wallet"), facts, ("Not yet shadow-tested; retrospective evidence only",), ("Forward performance unknown until the shadow period completes",)))
+    title = F.format_string(SAY["candidate_title"], F.substring("wallet", 1, 8), "archetype")
+    facts = [F.format_string(SAY["candidate_edge"], "edge_vs_base")]
+    return rows.select(*_signal("newly_surfaced_candidate", title, F.least(F.lit(0.8), F.col("edge_vs_base") / 10), F.lit(0.4), F.col("surfaced_at"), as_of, F.lit(None), F.col("wallet"), facts, (SAY["candidate_risk"],), (SAY["candidate_unknown"],)))
 
 
 def union(*families: DataFrame) -> DataFrame:
@@ -142,6 +161,17 @@ def union(*families: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, families).orderBy(F.desc("significance"), "triggered_at", "family", "asset_id", "wallet")
 
 
+def run_all(events: DataFrame, candidates: DataFrame, edge_table: DataFrame, outcomes: DataFrame, as_of: Column, start: Column, config: SignalConfig = SignalConfig()) -> DataFrame:
+    """The signals of every family at a moment. ``candidates``, ``edge_table`` and ``outcomes`` should be stored tables, as several families read them."""
+    tracked = candidates.where("status IN ('tracked', 'shadow')")
+    own = wm.visible(events, as_of).join(tracked.select(F.col("wallet").alias("actor")).distinct(), "actor", "left_semi")
+    clock = events.sparkSession.range(1).select(as_of.alias("as_of"))
+    return union(
+        tracked_actions(events, tracked, wm.activity(own), as_of, config), silent_accumulation(events, clock, config), convergence(events, tracked, edge_table, as_of, config),
+        sequence_confirmation(events, edge_table, as_of, config), pump_operator_activity(events, candidates, outcomes, as_of, config), new_candidates(candidates, as_of, start),
+    )
+
+
 def first_per_key(signals: DataFrame) -> DataFrame:
     """Of the signals of a replay, the first of every dedupe key: of the earliest tick, the most significant."""
     key = fn.dedupe_key(F.col("family"), F.col("asset_id"), F.col("wallet"), F.col("triggered_at"))

@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracklight.functions import scalars as fn
-from tracklight.schema import EVENT_TYPES, FINALITIES
+from tracklight.functions.temporal import range_join
+from tracklight.schema import DAY, EVENT_TYPES, FINALITIES
 
 
 def problem(columns: list[str]) -> Column:
@@ -86,16 +87,15 @@ def above_floors(universe: DataFrame, liquidity: float | None = 15_000.0, volume
     return out if liquidity is None else out.where(F.coalesce("liquidity_usd", F.lit(0.0)) >= liquidity)
 
 
-def suspects(events: DataFrame, outcomes: DataFrame, days: int = 30, limit: int = 150) -> tuple[DataFrame, DataFrame]:
-    """(the first ``limit`` actors by name, (found, taken) counts): who bought in the days before any outcome."""
-    from tracklight.functions.temporal import range_join
-    from tracklight.schema import DAY
-
+def suspects(events: DataFrame, outcomes: DataFrame, days: int = 30, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(actors, (found, taken) counts): who bought in the days before any outcome; all of them, or the first ``limit`` by name."""
     spans = outcomes.select("asset_id", (F.unix_micros("t0") - days * DAY).alias("_start"), F.unix_micros("t0").alias("_end"))
     bought = events.where((F.col("event_type") == "swap") & fn.bought(F.col("side"))).select("actor", "asset_id", F.unix_micros("observed_at").alias("_at"))
     actors = range_join(bought, spans, ["asset_id"], "_at", "_start", "_end", bucket=days * DAY).select("actor").distinct()
-    counts = actors.agg(F.count(F.lit(1)).alias("found")).withColumn("taken", F.least("found", F.lit(limit).cast("long")))
-    return actors.orderBy("actor").limit(limit), counts
+    counts = actors.agg(F.count(F.lit(1)).alias("found"))
+    if limit is None:
+        return actors, counts.withColumn("taken", F.col("found"))
+    return actors.orderBy("actor").limit(limit), counts.withColumn("taken", F.least("found", F.lit(limit).cast("long")))
 
 
 def full_history(events: DataFrame, actors: DataFrame) -> DataFrame:

@@ -9,12 +9,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracklight.functions.tables import keep
 from tracklight.operators import discovery as ds
+from tracklight.operators import graph as gr
 from tracklight.operators import nightly as nl
 from tracklight.operators import outcomes as oc
 from tracklight.operators import policy, sinks
 from tracklight.operators import signals as sg
-from tracklight.schema import AlertConfig, DiscoveryConfig, OutcomeConfig, SignalConfig, WalletConfig
+from tracklight.schema import DAY, AlertConfig, DiscoveryConfig, GraphConfig, OutcomeConfig, SignalConfig, WalletConfig
 
 Keep = Callable[[DataFrame], DataFrame]
 
@@ -34,43 +36,57 @@ def parse_coverage(events: DataFrame) -> DataFrame:
 
 
 def two_pass(
-    events: DataFrame, candles: DataFrame, assets: DataFrame, as_of: Column, window_days: int = 30, peak_volume: float = 50_000.0, most_suspects: int = 150,
-    detect: OutcomeConfig = OutcomeConfig(), discover: DiscoveryConfig = DiscoveryConfig(), wallets: WalletConfig = WalletConfig(), keep: Keep = DataFrame.persist,
+    events: DataFrame, candles: DataFrame, assets: DataFrame, as_of: Column, window_days: int = 30, peak_volume: float = 50_000.0, most_suspects: int | None = None,
+    detect: OutcomeConfig = OutcomeConfig(), discover: DiscoveryConfig = DiscoveryConfig(), wallets: WalletConfig = WalletConfig(), keep: Keep = keep,
 ) -> SweepResult:
     """Outcomes of the tradable universe; who bought before them; those actors scored over their full history.
 
-    Assets that died count in the universe. The report has one row (key, value) per counter. ``keep`` holds the
-    tables that several steps read: in executors, or written and read again.
+    Assets that died count in the universe. The report has one row (key, value) per counter, those of the scores
+    among them. ``most_suspects`` bounds how many actors are scored, by name, as a paid source of histories would.
+    ``keep`` holds the tables that several steps read.
     """
     traded = sinks.tradable(candles, peak_volume)
     found = keep(oc.detect_all(candles.join(traded.select("asset_id"), "asset_id", "left_semi"), detect))
     actors, counts = sinks.suspects(events, found, window_days, most_suspects)
+    actors = keep(actors)
     history = sinks.full_history(events, actors)
-    scores = ds.sweep(history, found, assets, as_of, config=discover, wallets=wallets)
+    scores = keep(ds.sweep(history, found, assets, as_of, config=discover, wallets=wallets, keep=keep))
     row = lambda key, df, value: df.select(F.lit(key).alias("key"), value.cast("double").alias("value"))
     report = [
         row("assets_priced", candles.agg(F.countDistinct("asset_id").alias("n")), F.col("n")), row("assets_tradable", traded.agg(F.count(F.lit(1)).alias("n")), F.col("n")),
         row("assets_dead", traded.agg(F.count_if("dead").alias("n")), F.col("n")), row("suspects_found", counts, F.col("found")), row("suspects_taken", counts, F.col("taken")),
-        row("parse_coverage", parse_coverage(events), F.col("parse_coverage")), found.groupBy(F.concat(F.lit("outcomes_"), "outcome_class").alias("key")).agg(F.count(F.lit(1)).cast("double").alias("value")),
+        row("parse_coverage", parse_coverage(events), F.col("parse_coverage")), row("scored", scores.agg(F.count(F.lit(1)).alias("n")), F.col("n")), row("passed", scores.agg(F.count_if("passed").alias("n")), F.col("n")), found.groupBy(F.concat(F.lit("outcomes_"), "outcome_class").alias("key")).agg(F.count(F.lit(1)).cast("double").alias("value")),
     ]
     return SweepResult(found, actors, scores, reduce(DataFrame.unionByName, report))
 
 
 def provenance(appearing: DataFrame) -> DataFrame:
     """(actor, provenance): the appearances of an actor as JSON, by time."""
-    item = F.struct("t0", "outcome_id", "asset_id", "outcome_class", "entered_at", F.round("lead_time_days", 2).alias("lead_time_days"), "window")
-    return appearing.groupBy("actor").agg(F.to_json(F.array_sort(F.collect_list(item)), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}).alias("provenance"))
+    form = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+    return ds.provenance(appearing).select("actor", F.to_json("discovery_provenance", form).alias("provenance"))
 
 
-def replay(make: Callable[[Column], DataFrame], moments: list[str]) -> DataFrame:
-    """The first signal of every dedupe key over a grid of moments; ``make`` gives the signals of one moment.
+def replay(make: Callable[[Column], DataFrame], moments: list[str], keep: Keep = keep) -> DataFrame:
+    """The first signal of every dedupe key over a clock; ``make`` gives the signals of one moment.
 
-    For families that have no clock of their own. The grid is short; the plans of all moments run as one job.
+    Each moment's signals are written before the next ones are made, so plans stay as small as one moment's and a
+    moment that fails is all that is lost.
     """
-    every = [make(F.lit(m).cast("timestamp")) for m in moments]
+    every = [keep(make(F.lit(m).cast("timestamp"))) for m in moments]
     return sg.first_per_key(reduce(DataFrame.unionByName, every))
 
 
+def replay_all(events: DataFrame, frozen: DataFrame, outcomes: DataFrame, moments: list[str], step_days: float, graph: GraphConfig = GraphConfig(), signal: SignalConfig = SignalConfig(), keep: Keep = keep) -> DataFrame:
+    """All families over a clock, with a frozen set of candidates: each moment sees the edges of what happened by then."""
+
+    def make(at: Column) -> DataFrame:
+        edges = keep(gr.edges(events, frozen.select(F.col("wallet").alias("actor")), at, graph))
+        start = F.timestamp_micros((F.unix_micros(at) - int(step_days * DAY)).cast("long"))
+        return sg.run_all(events, frozen, edges, outcomes, at, start, signal)
+
+    return replay(make, moments, keep)
+
+
 @dataclass(frozen=True)
 class Night:
     candidates: DataFrame
@@ -83,23 +99,28 @@ class Night:
 
 def nightly(
     events: DataFrame, candles: DataFrame, assets: DataFrame, known_outcomes: DataFrame, candidates: DataFrame, stored_signals: DataFrame, as_of: Column,
-    detect: OutcomeConfig = OutcomeConfig(), discover: DiscoveryConfig = DiscoveryConfig(), wallets: WalletConfig = WalletConfig(), alert: AlertConfig = AlertConfig(), signal: SignalConfig = SignalConfig(), keep: Keep = DataFrame.persist,
+    detect: OutcomeConfig = OutcomeConfig(), discover: DiscoveryConfig = DiscoveryConfig(), wallets: WalletConfig = WalletConfig(), alert: AlertConfig = AlertConfig(), signal: SignalConfig = SignalConfig(),
+    graph: GraphConfig = GraphConfig(), keep: Keep = keep,
 ) -> Night:
-    """Detect, grade, sweep, persist, advance, signal, dispatch, propose. Each table of the result can be written on.
+    """Detect, grade, sweep, persist, advance, signal (all families), dispatch, propose. Each table of the result can be written on.
 
     ``stored_signals`` has signal_id, family, asset_id, wallet, triggered_at, significance, grade and delivered.
-    ``keep`` holds the tables that several steps read: in executors, or written and read again.
+    ``keep`` holds the tables that several steps read.
     """
-    outcomes = keep(known_outcomes.unionByName(oc.insert_new(known_outcomes, oc.detect_all(candles, detect))))
+    new = keep(oc.insert_new(known_outcomes, oc.detect_all(candles, detect)))
+    outcomes = keep(known_outcomes.unionByName(new))
     graded = keep(nl.grade(stored_signals, outcomes, as_of))
-    scores = keep(ds.sweep(events, outcomes, assets, as_of, config=discover, wallets=wallets))
+    scores = keep(ds.sweep(events, outcomes, assets, as_of, config=discover, wallets=wallets, keep=keep))
     after = keep(ds.advance_lifecycle(ds.persist(candidates, scores, as_of, discover), as_of, discover))
-    clock = events.sparkSession.range(1).select(as_of.alias("as_of"))
-    start = F.timestamp_micros((F.unix_micros(as_of) - int(signal.lookback_days * 86_400_000_000)).cast("long"))
-    found = sg.union(sg.silent_accumulation(events, clock, signal), sg.pump_operator_activity(events, after, outcomes, as_of, signal), sg.new_candidates(after, as_of, start))
-    decided = policy.dispatch(found, stored_signals, alert)
-    proposals = nl.mute_proposals(nl.family_precision(graded), oc.base_rates(outcomes, assets, as_of, ("price_run",))).withColumn("status", F.lit("pending"))
-    return Night(after, found, decided, graded, proposals, nl.digest(after, graded, proposals))
+    edges = keep(gr.edges(events, after.where("status IN ('tracked', 'shadow')").select(F.col("wallet").alias("actor")), as_of, graph))
+    start = F.timestamp_micros((F.unix_micros(as_of) - int(signal.lookback_days * DAY)).cast("long"))
+    found = keep(sg.run_all(events, after, edges, outcomes, as_of, start, signal))
+    decided = keep(policy.dispatch(found, stored_signals, alert))
+    mutes = nl.mute_proposals(nl.family_precision(graded), oc.base_rates(outcomes, assets, as_of, ("price_run",)))
+    proposals = keep(nl.proposals(nl.threshold_proposal(graded, alert.threshold), mutes))
+    counters = oc.detected_counts(new).select(F.lit("detected").alias("section"), F.col("outcome_class").alias("key"), F.col("written").cast("double").alias("value"))
+    told = decided.groupBy(F.lit("decisions").alias("section"), F.col("decision").alias("key")).agg(F.count(F.lit(1)).cast("double").alias("value"))
+    return Night(after, found, decided, graded, proposals, nl.digest(after, graded, proposals).unionByName(counters).unionByName(told))
 
 
 def latest(rows: DataFrame, by: str, limit: int = 50) -> DataFrame:

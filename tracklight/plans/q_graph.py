@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tracklight.functions import tables
 from tracklight.operators import graph as gr
 from tracklight.operators import metrics as wm
 from tracklight.operators import playbooks as pb
@@ -19,18 +20,23 @@ PLAYBOOK = PlaybookConfig(probe_ratio=0.15, window_days=10)
 AT = qo.AS_OF_US
 
 FIRST = f"fa AS (SELECT asset_id, actor, min(us) AS f FROM ev WHERE us <= {AT} AND side IN ('buy', 'long') AND asset_id IS NOT NULL GROUP BY 1, 2)"
+#: Edges among the earned actors only.
 EDGES = f"""
-ed AS (
+fe AS (SELECT fa.* FROM fa SEMI JOIN tr ON wallet = actor), ed AS (
   SELECT a.actor AS source, b.actor AS target, count(*) AS observations, median((b.f - a.f) / 1e6) AS median_lag_seconds, avg((b.f > a.f)::INT) AS ordering_consistency,
     CASE WHEN avg((b.f > a.f)::INT) >= 0.75 THEN 'leads' ELSE 'co_acquired' END AS edge_type, least(0.85, 0.3 + 0.1 * count(*)) * greatest(avg((b.f > a.f)::INT), 0.5) AS confidence
-  FROM fa a JOIN fa b ON a.asset_id = b.asset_id AND (a.f < b.f OR (a.f = b.f AND a.actor < b.actor)) AND b.f - a.f <= {2 * DAY}
+  FROM fe a JOIN fe b ON a.asset_id = b.asset_id AND (a.f < b.f OR (a.f = b.f AND a.actor < b.actor)) AND b.f - a.f <= {2 * DAY}
   GROUP BY 1, 2 HAVING count(*) >= 3
 )"""
 
 
-def k_edges(spark, sf_dir):
-    events = adapters.clickstream_events(spark, sf_dir)
-    return gr.edges(events, events.select("actor"), qo.as_of(), GRAPH)
+EDGE_PARTS = (*qo.TRACKED_PARTS, FIRST, EDGES)
+
+
+def k_edges(spark, sf_dir, candidates=None):
+    """The edges of the tracked actors, written once."""
+    candidates = qo.tracked(spark, sf_dir) if candidates is None else candidates
+    return tables.keep(gr.edges(adapters.clickstream_events(spark, sf_dir), candidates.select(F.col("wallet").alias("actor")), qo.as_of(), GRAPH))
 
 
 @query("first_acquisitions", sql.with_(sql.EVENTS, FIRST) + "SELECT asset_id, actor, f AS first_us FROM fa")
@@ -38,7 +44,7 @@ def first_acquisitions(spark, sf_dir):
     return gr.first_acquisitions(adapters.clickstream_events(spark, sf_dir), qo.as_of()).select("asset_id", "actor", F.unix_micros("first_at").alias("first_us"))
 
 
-@query("lead_follow_edges", sql.with_(sql.EVENTS, FIRST, EDGES) + "SELECT source, target, observations, edge_type, round(median_lag_seconds, 3) AS median_lag_seconds, round(ordering_consistency, 6) AS ordering_consistency, round(confidence, 6) AS confidence FROM ed")
+@query("lead_follow_edges", sql.with_(*EDGE_PARTS) + "SELECT source, target, observations, edge_type, round(median_lag_seconds, 3) AS median_lag_seconds, round(ordering_consistency, 6) AS ordering_consistency, round(confidence, 6) AS confidence FROM ed")
 def lead_follow_edges(spark, sf_dir):
     found = k_edges(spark, sf_dir)
     return found.select("source", "target", "observations", "edge_type", F.round("median_lag_seconds", 3).alias("median_lag_seconds"), F.round("ordering_consistency", 6).alias("ordering_consistency"), F.round("confidence", 6).alias("confidence"))
@@ -46,7 +52,7 @@ def lead_follow_edges(spark, sf_dir):
 
 @query(
     "neighborhood",
-    sql.with_(sql.EVENTS, FIRST, EDGES)
+    sql.with_(*EDGE_PARTS)
     + """, n1 AS (SELECT '1' AS node, 0 AS hop UNION SELECT CASE WHEN source = '1' THEN target ELSE source END, 1 FROM ed WHERE source = '1' OR target = '1'),
 n AS (SELECT node, min(hop) AS hop FROM n1 GROUP BY 1)
 SELECT source, target, edge_type, 1 + least(coalesce(a.hop, 9), coalesce(b.hop, 9)) AS hop, round(confidence, 6) AS confidence FROM ed LEFT JOIN n a ON a.node = source LEFT JOIN n b ON b.node = target

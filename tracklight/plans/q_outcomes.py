@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracklight.functions import scalars as fn
+from tracklight.functions import tables
 from tracklight.operators import discovery as ds
 from tracklight.operators import outcomes as oc
 from tracklight.plans import sql_parts as sql
@@ -25,8 +26,13 @@ def as_of():
 
 
 def k_outcomes(spark, sf_dir):
+    """The outcomes of the clickstream and its listings, written once."""
     events = adapters.clickstream_events(spark, sf_dir)
-    return oc.detect_all(adapters.clickstream_candles(spark, sf_dir), K).unionByName(adapters.clickstream_listings(events))
+    return tables.keep(oc.detect_all(adapters.clickstream_candles(spark, sf_dir), K).unionByName(adapters.clickstream_listings(events)))
+
+
+def k_assets(spark, sf_dir):
+    return tables.keep(adapters.assets_of(adapters.clickstream_events(spark, sf_dir)))
 
 
 def shown(outcomes):
@@ -146,8 +152,7 @@ BASE = (sql.EVENTS, sql.CANDLES_K, sql.outcomes(K), sql.LISTINGS, ALL_OUTCOMES,
 
 @query("base_rates", sql.with_(*BASE) + RATES_SQL)
 def base_rates(spark, sf_dir):
-    assets = adapters.assets_of(adapters.clickstream_events(spark, sf_dir))
-    return oc.base_rates(k_outcomes(spark, sf_dir), assets, as_of(), OUTCOME_CLASSES).withColumn("rate", F.round("rate", 9))
+    return oc.base_rates(k_outcomes(spark, sf_dir), k_assets(spark, sf_dir), as_of(), OUTCOME_CLASSES).withColumn("rate", F.round("rate", 9))
 
 
 @query("observable_outcomes", sql.with_(*BASE) + f"SELECT outcome_id, outcome_class, asset_id, t0, seen, magnitude FROM o WHERE seen <= {AS_OF_US} AND outcome_class IN {PREDICTIVE}")
@@ -176,6 +181,18 @@ def k_appearances(spark, sf_dir):
     return ds.appearances(adapters.clickstream_events(spark, sf_dir), oc.observable(k_outcomes(spark, sf_dir), as_of(), PREDICTIVE), K_DISCOVERY)
 
 
+#: Candidates of the clickstream: actors early to two assets or more; those early to many stand for operators.
+TRACKED = "tr AS (SELECT actor AS wallet, CASE WHEN count(DISTINCT asset_id) >= 12 THEN 'pump_operator' ELSE 'informed_accumulator' END AS archetype, count(DISTINCT asset_id) / 2.0 AS edge, max(t0) AS surfaced FROM app GROUP BY 1 HAVING count(DISTINCT asset_id) >= 2)"
+TRACKED_PARTS = (*BASE, APPEARANCES, TRACKED)
+
+
+def tracked(spark, sf_dir):
+    """The candidates, written once."""
+    n = F.countDistinct("asset_id")
+    found = k_appearances(spark, sf_dir).groupBy(F.col("actor").alias("wallet")).agg(n.alias("n"), F.max("t0").alias("surfaced_at")).where("n >= 2")
+    return tables.keep(found.select("wallet", F.when(F.col("n") >= 12, "pump_operator").otherwise("informed_accumulator").alias("archetype"), (F.col("n") / 2).alias("edge_vs_base"), "surfaced_at", F.lit("tracked").alias("status")))
+
+
 @query("appearance_counts", sql.with_(*BASE, APPEARANCES) + "SELECT actor, count(*) AS appearances, count(DISTINCT asset_id) AS assets FROM app GROUP BY 1")
 def appearance_counts(spark, sf_dir):
     return k_appearances(spark, sf_dir).groupBy("actor").agg(F.count(F.lit(1)).alias("appearances"), F.countDistinct("asset_id").alias("assets"))

@@ -24,15 +24,7 @@ AT = qo.AS_OF_US
 SIGNAL = SignalConfig(silent_move=0.5)
 BACKTEST = BacktestConfig(hold_days=3)
 
-#: Candidates of the clickstream: actors early to two assets or more; those early to many stand for operators.
-TRACKED = "tr AS (SELECT actor AS wallet, CASE WHEN count(DISTINCT asset_id) >= 12 THEN 'pump_operator' ELSE 'informed_accumulator' END AS archetype, count(DISTINCT asset_id) / 2.0 AS edge, max(t0) AS surfaced FROM app GROUP BY 1 HAVING count(DISTINCT asset_id) >= 2)"
-TRACKED_PARTS = (*qo.BASE, qo.APPEARANCES, TRACKED)
-
-
-def tracked(spark, sf_dir):
-    n = F.countDistinct("asset_id")
-    found = qo.k_appearances(spark, sf_dir).groupBy(F.col("actor").alias("wallet")).agg(n.alias("n"), F.max("t0").alias("surfaced_at")).where("n >= 2")
-    return found.select("wallet", F.when(F.col("n") >= 12, "pump_operator").otherwise("informed_accumulator").alias("archetype"), (F.col("n") / 2).alias("edge_vs_base"), "surfaced_at", F.lit("tracked").alias("status"))
+TRACKED_PARTS, tracked = qo.TRACKED_PARTS, qo.tracked
 
 
 def clicks(spark, sf_dir):
@@ -54,11 +46,11 @@ act_s AS (
 ACTION_ROWS = "SELECT CASE WHEN event_type = 'order_placed' AND NOT filled THEN 'resting_order_placed' ELSE 'tracked_entity_action' END AS family, asset_id, actor AS wallet, us, round(sig, 6) AS significance FROM act_s WHERE sig >= 0.25"
 
 
-def k_actions(spark, sf_dir):
+def k_actions(spark, sf_dir, candidates=None):
     events = clicks(spark, sf_dir)
-    seen = wm.visible(events, qo.as_of()).join(tracked(spark, sf_dir).select(F.col("wallet").alias("actor")), "actor", "left_semi")
-    metrics = wm.activity(seen).join(wm.sizes(seen), "actor", "left")
-    return sg.tracked_actions(events, tracked(spark, sf_dir), metrics, qo.as_of(), SIGNAL)
+    candidates = tracked(spark, sf_dir) if candidates is None else candidates
+    seen = wm.visible(events, qo.as_of()).join(candidates.select(F.col("wallet").alias("actor")), "actor", "left_semi")
+    return sg.tracked_actions(events, candidates, wm.activity(seen), qo.as_of(), SIGNAL)
 
 
 @query("sig_tracked_action", sql.with_(*TRACKED_PARTS, ACTIONS) + f"SELECT * FROM ({ACTION_ROWS}) WHERE family = 'tracked_entity_action'")
@@ -99,20 +91,33 @@ def replay_signals(spark, sf_dir):
     return found.select("asset_id", F.floor(F.unix_micros("triggered_at") / DAY).alias("us_day"), F.unix_micros("evidence_cutoff").alias("first_tick"))
 
 
-@query("sig_convergence")
+CONVERGED = f"""
+cv0 AS (SELECT asset_id, actor, row_number() OVER (PARTITION BY asset_id ORDER BY actor) AS i, count(*) OVER (PARTITION BY asset_id) AS n
+  FROM (SELECT DISTINCT asset_id, actor FROM ev SEMI JOIN tr ON wallet = actor WHERE us <= {AT} AND us >= {AT - 5 * DAY} AND side IN ('buy', 'long') AND asset_id IS NOT NULL)),
+rl AS (SELECT actor, list(other) AS others FROM (SELECT source AS actor, target AS other FROM ed UNION SELECT target, source FROM ed) GROUP BY 1),
+cv AS (SELECT cv0.*, coalesce(others, []::VARCHAR[]) AS others FROM cv0 LEFT JOIN rl USING (actor)),
+fold(asset_id, i, n, chosen) AS (
+  SELECT asset_id, 1::BIGINT, n, [actor] FROM cv WHERE i = 1
+  UNION ALL SELECT f.asset_id, f.i + 1, f.n, CASE WHEN list_has_any(f.chosen, c.others) THEN f.chosen ELSE list_append(f.chosen, c.actor) END FROM fold f JOIN cv c ON c.asset_id = f.asset_id AND c.i = f.i + 1
+), con AS (SELECT asset_id, n AS wallets, len(chosen) AS independent FROM fold WHERE i = n AND n >= 2 AND len(chosen) >= 2)"""
+CONVERGED_PARTS = (*TRACKED_PARTS, qg.FIRST, qg.EDGES)
+
+
+@query("sig_convergence", sql.with_(*CONVERGED_PARTS, CONVERGED).replace("WITH ", "WITH RECURSIVE ", 1) + f"SELECT 'independent_convergence' AS family, asset_id, NULL::VARCHAR AS wallet, {AT} AS us, round(least(0.95, 0.4 + 0.15 * independent), 6) AS significance FROM con")
 def sig_convergence(spark, sf_dir):
-    return brief(sg.convergence(clicks(spark, sf_dir), tracked(spark, sf_dir), qg.k_edges(spark, sf_dir), qo.as_of(), SIGNAL))
+    candidates = tracked(spark, sf_dir)
+    return brief(sg.convergence(clicks(spark, sf_dir), candidates, qg.k_edges(spark, sf_dir, candidates), qo.as_of(), SIGNAL))
 
 
-@query(
-    "sig_sequence",
-    sql.with_(sql.EVENTS, qg.FIRST, qg.EDGES)
-    + f""", aq AS (SELECT * FROM ev WHERE us <= {AT} AND side IN ('buy', 'long')), pr AS (
+SEQUENCED = f"""
+aq AS (SELECT * FROM ev WHERE us <= {AT} AND side IN ('buy', 'long')), pr AS (
   SELECT ed.source, ed.target, l.event_id AS le, l.asset_id, l.us AS lus, median_lag_seconds, ordering_consistency, confidence, min(f.us) AS fus
   FROM ed JOIN aq l ON l.actor = ed.source AND l.us >= {AT - 14 * DAY} JOIN aq f ON f.actor = ed.target AND f.asset_id IS NOT DISTINCT FROM l.asset_id AND f.us > l.us
   WHERE edge_type = 'leads' AND median_lag_seconds > 0 GROUP BY ALL
-) SELECT asset_id, target AS wallet, fus AS us, round(least(0.95, ordering_consistency + 0.2), 6) AS significance FROM pr WHERE (fus - lus) / 1e6 <= 2 * median_lag_seconds""",
-)
+), seq AS (SELECT asset_id, target AS wallet, fus AS us, round(least(0.95, ordering_consistency + 0.2), 6) AS significance FROM pr WHERE (fus - lus) / 1e6 <= 2 * median_lag_seconds)"""
+
+
+@query("sig_sequence", sql.with_(*CONVERGED_PARTS, SEQUENCED) + "SELECT * FROM seq")
 def sig_sequence(spark, sf_dir):
     return brief(sg.sequence_confirmation(clicks(spark, sf_dir), qg.k_edges(spark, sf_dir), qo.as_of(), SIGNAL)).drop("family")
 
@@ -140,15 +145,19 @@ def sig_new_candidate(spark, sf_dir):
 
 
 def all_signals(spark, sf_dir):
-    events, cands, edges = clicks(spark, sf_dir), tracked(spark, sf_dir), qg.k_edges(spark, sf_dir)
-    clock = spark.range(1).select(qo.as_of().alias("as_of"))
-    return sg.union(
-        k_actions(spark, sf_dir), sg.silent_accumulation(events, clock, SIGNAL), sg.convergence(events, cands, edges, qo.as_of(), SIGNAL), sg.sequence_confirmation(events, edges, qo.as_of(), SIGNAL),
-        sg.pump_operator_activity(events, cands, qo.k_outcomes(spark, sf_dir), qo.as_of(), SIGNAL), sg.new_candidates(cands, qo.as_of(), F.timestamp_micros(F.lit(AT - 10 * DAY))),
-    )
+    candidates = tracked(spark, sf_dir)
+    start = F.timestamp_micros(F.lit(AT - 10 * DAY))
+    return sg.run_all(clicks(spark, sf_dir), candidates, qg.k_edges(spark, sf_dir, candidates), qo.k_outcomes(spark, sf_dir), qo.as_of(), start, SIGNAL)
 
 
-@query("run_all_signals")
+ALL_ROWS = f"""
+SELECT * FROM ({ACTION_ROWS}) UNION ALL SELECT 'silent_accumulation', asset_id, NULL, last_us, round(least(0.9, 0.3 + 0.1 * buyers), 6) FROM sil
+UNION ALL SELECT 'independent_convergence', asset_id, NULL, {AT}, round(least(0.95, 0.4 + 0.15 * independent), 6) FROM con UNION ALL SELECT 'sequence_confirmation', asset_id, wallet, us, significance FROM seq
+UNION ALL SELECT 'pump_operator_activity', e.asset_id, e.actor, us, 0.6 FROM e JOIN oh USING (actor) WHERE side = 'buy' AND us >= {AT - 3 * DAY}
+UNION ALL SELECT 'newly_surfaced_candidate', NULL, wallet, surfaced, round(least(0.8, edge / 10), 6) FROM tr WHERE surfaced <= {AT} AND surfaced >= {AT - 10 * DAY}"""
+
+
+@query("run_all_signals", sql.with_(*CONVERGED_PARTS, qw.SEEN, qw.HOLD, HISTORY, ACTIONS, _silent(f"SELECT {AT} AS t"), SEQUENCED, CONVERGED).replace("WITH ", "WITH RECURSIVE ", 1) + ALL_ROWS)
 def run_all_signals(spark, sf_dir):
     return brief(all_signals(spark, sf_dir))
 
@@ -199,7 +208,20 @@ def threshold_sweep(spark, sf_dir):
     return qw.rounded(nl.threshold_sweep(graded(spark, sf_dir)))
 
 
-@query("threshold_proposal")
+PROPOSED = f"""
+ts AS (SELECT t, row_number() OVER (ORDER BY t) AS i, count(gd.signal_id) AS survivors, coalesce(count(*) FILTER (grade = 'hit') / nullif(count(gd.signal_id), 0), 0) AS p
+  FROM (SELECT unnest({[float(t) for t in nl.THRESHOLDS]}::DOUBLE[]) AS t) LEFT JOIN gd ON significance >= t AND grade IN ('hit', 'miss') GROUP BY 1),
+tp(i, best, p) AS (
+  SELECT 0::BIGINT, 0.35::DOUBLE, p FROM ts WHERE t = 0.35
+  UNION ALL SELECT ts.i, CASE WHEN ts.p > tp.p + 0.05 AND survivors >= 10 THEN ts.t ELSE best END, CASE WHEN ts.p > tp.p + 0.05 AND survivors >= 10 THEN ts.p ELSE tp.p END FROM tp JOIN ts ON ts.i = tp.i + 1
+)"""
+
+
+@query(
+    "threshold_proposal",
+    sql.with_(*GRADE_PARTS, PROPOSED).replace("WITH ", "WITH RECURSIVE ", 1)
+    + "SELECT 0.35::DOUBLE AS current, CASE WHEN n >= 20 THEN best ELSE 0.35 END::DOUBLE AS proposed, n AS graded FROM tp, (SELECT count(*) AS n FROM gd WHERE grade IN ('hit', 'miss')) WHERE i = (SELECT max(i) FROM ts)",
+)
 def threshold_proposal(spark, sf_dir):
     return nl.threshold_proposal(graded(spark, sf_dir))
 
@@ -212,7 +234,7 @@ br AS (SELECT (SELECT count(DISTINCT asset_id) FROM o WHERE outcome_class = 'pri
 SELECT * FROM (SELECT family, CASE WHEN family <> 'silent_accumulation' AND precision < r THEN 'mute_family' WHEN family = 'silent_accumulation' AND precision > 2 * r THEN 'unmute_family' END AS kind, graded, round(precision, 6) AS precision, round(r, 6) AS base_rate FROM fp, br WHERE graded >= 30) WHERE kind IS NOT NULL""",
 )
 def mute_proposals(spark, sf_dir):
-    rates = oc.base_rates(qo.k_outcomes(spark, sf_dir), adapters.assets_of(clicks(spark, sf_dir)), qo.as_of(), PREDICTIVE)
+    rates = oc.base_rates(qo.k_outcomes(spark, sf_dir), qo.k_assets(spark, sf_dir), qo.as_of(), PREDICTIVE)
     return qw.rounded(nl.mute_proposals(nl.family_precision(graded(spark, sf_dir)), rates))
 
 
@@ -302,16 +324,25 @@ def random_draws(spark, sf_dir):
     return drawn.select("entry_id", "asset_id", F.unix_micros("signal_at").alias("us"))
 
 
+AUDIT = f"""
+l AS (SELECT l_partkey, epoch_us(l_shipdate) AS s, epoch_us(o_orderdate) AS o FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+fo AS (SELECT asset_id, outcome_class, t0, CASE WHEN t0 // {DAY} % 7 = 0 THEN t0 - 1 ELSE seen END AS seen FROM oc)"""
+
+
 @query(
     "leakage_audit",
-    "WITH l AS (SELECT l_partkey, epoch_us(l_shipdate) AS s, epoch_us(o_orderdate) AS o FROM lineitem JOIN orders ON l_orderkey = o_orderkey) "
-    "SELECT 'outcome_first_observed_at_not_before_t0' AS check_name, true AS passed, 0::BIGINT AS bad UNION ALL SELECT 'event_observed_at_not_before_chain_time', count(*) FILTER (s < o) = 0, count(*) FILTER (s < o) FROM l "
-    "UNION ALL SELECT 'universe_includes_non_performers', true, 0 UNION ALL SELECT 'observation_lag_recorded', true, 0",
+    sql.with_(sql.CANDLES_PART, sql.outcomes(qo.PART), AUDIT)
+    + f"""SELECT 'outcome_first_observed_at_not_before_t0' AS check_name, count(*) FILTER (seen < t0) = 0 AS passed, count(*) FILTER (seen < t0) AS bad FROM fo
+UNION ALL SELECT 'event_observed_at_not_before_chain_time', count(*) FILTER (s < o) = 0, count(*) FILTER (s < o) FROM l
+UNION ALL SELECT 'universe_includes_non_performers', n > 0 AND w < 0.5 * n, w FROM (SELECT count(DISTINCT asset_id) FILTER (outcome_class IN {PREDICTIVE}) AS w FROM fo), (SELECT count(DISTINCT l_partkey) AS n FROM l)
+UNION ALL SELECT 'observation_lag_recorded', count(*) > 0, 0 FROM (SELECT 1 FROM l LIMIT 1)""",
 )
 def leakage_audit(spark, sf_dir):
-    """Orders as chain time and shipments as observation: the audit must find those shipped before the order."""
+    """Orders as chain time and shipments as observation; some outcomes are said to be seen before they happened. The audit must find both."""
     line, orders = adapters.read(spark, sf_dir, "lineitem"), adapters.read(spark, sf_dir, "orders")
     events = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_shipdate").cast("timestamp").alias("observed_at"), F.col("o_orderdate").cast("timestamp").alias("chain_time"))
     assets = adapters.assets_of(adapters.market_events(spark, sf_dir))
-    none = qo.k_outcomes(spark, sf_dir).where("false")
-    return bt.leakage_audit(events, none, assets, F.lit("2030-01-01").cast("timestamp"))
+    t0 = F.unix_micros("t0")
+    early = F.floor(t0 / DAY) % 7 == 0
+    outcomes = oc.detect_all(adapters.market_candles(spark, sf_dir), qo.PART).withColumn("first_observed_at", F.when(early, F.timestamp_micros(t0 - 1)).otherwise(F.col("first_observed_at")))
+    return bt.leakage_audit(events, outcomes, assets, F.lit("2030-01-01").cast("timestamp"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tracklight.functions import tables
 from tracklight.operators import discovery as ds
 from tracklight.operators import metrics as wm
 from tracklight.operators import outcomes as oc
@@ -50,7 +51,7 @@ def wallet_activity(spark, sf_dir):
 
 @query("wallet_sizes", sql.with_(sql.EVENTS, SEEN) + "SELECT actor, median(usd_value) AS median_position_usd, max(usd_value) AS max_position_usd FROM e WHERE usd_value IS NOT NULL GROUP BY actor")
 def wallet_sizes(spark, sf_dir):
-    return wm.sizes(seen(spark, sf_dir), with_list=False)
+    return wm.sizes(seen(spark, sf_dir))
 
 
 def creations(events):
@@ -105,9 +106,8 @@ ROUND_PREC = "round(hit_rate, 6) AS hit_rate, round(shrunk_hit_rate, 6) AS shrun
 
 @query("precision_by_class", sql.with_(*qo.BASE, SEEN, PRECISION) + f"SELECT * REPLACE ({ROUND_PREC}) FROM prec")
 def precision_by_class(spark, sf_dir):
-    assets = adapters.assets_of(adapters.clickstream_events(spark, sf_dir))
     outcomes = known(spark, sf_dir)
-    return rounded(wm.precision(seen(spark, sf_dir), outcomes, oc.base_rates(outcomes, assets, qo.as_of(), CLASSES), WALLETS))
+    return rounded(wm.precision(seen(spark, sf_dir), outcomes, oc.base_rates(outcomes, qo.k_assets(spark, sf_dir), qo.as_of(), CLASSES), WALLETS))
 
 
 EARLY = f"""
@@ -131,7 +131,7 @@ def lead_times(spark, sf_dir):
 
 def k_metrics(spark, sf_dir):
     events = adapters.clickstream_events(spark, sf_dir)
-    return wm.wallet_metrics(events, qo.k_outcomes(spark, sf_dir), adapters.assets_of(events), qo.as_of(), config=WALLETS)
+    return wm.wallet_metrics(events, qo.k_outcomes(spark, sf_dir), qo.k_assets(spark, sf_dir), qo.as_of(), config=WALLETS)
 
 
 ARCHETYPE = f"""
@@ -160,7 +160,7 @@ def archetypes(spark, sf_dir):
 
 def k_scores(spark, sf_dir):
     events, outcomes = adapters.clickstream_events(spark, sf_dir), qo.k_outcomes(spark, sf_dir)
-    return ds.sweep(events, outcomes, adapters.assets_of(events), qo.as_of(), config=DISCOVERY, wallets=WALLETS)
+    return ds.sweep(events, outcomes, qo.k_assets(spark, sf_dir), qo.as_of(), config=DISCOVERY, wallets=WALLETS)
 
 
 SCORES = f"""
@@ -213,9 +213,9 @@ def candidates_of_customers(spark, sf_dir):
     status = F.when(key % 4 == 0, "surfaced").when(key % 4 == 3, "tracked").otherwise("shadow")
     none = lambda t: F.lit(None).cast(t)
     return adapters.read(spark, sf_dir, "customer").select(
-        key.cast("string").alias("wallet"), status.alias("status"), qo.as_of().alias("surfaced_at"), F.timestamp_micros(F.lit(AT) - (key % 60) * DAY).alias("shadow_started_at"), none("timestamp").alias("promoted_at"),
+        key.cast("string").alias("wallet"), F.lit("clicks").alias("network"), status.alias("status"), qo.as_of().alias("surfaced_at"), F.timestamp_micros(F.lit(AT) - (key % 60) * DAY).alias("shadow_started_at"), none("timestamp").alias("promoted_at"), none("timestamp").alias("retired_at"),
         F.lit("unclassified").alias("archetype"), none("double").alias("hit_rate"), none("double").alias("shrunk_hit_rate"), none("double").alias("base_rate"), (1 + (key % 17) / 10.0).alias("edge_vs_base"),
-        none("int").alias("sample_size"), none("int").alias("independent_events"), none("string").alias("rejection_reason"),
+        none("int").alias("sample_size"), none("int").alias("independent_events"), none("string").alias("rejection_reason"), none(ds.PROVENANCE).alias("discovery_provenance"),
     )
 
 
@@ -227,20 +227,53 @@ def lifecycle_step(spark, sf_dir):
     return ds.advance_lifecycle(candidates_of_customers(spark, sf_dir), qo.as_of()).select("wallet", "status")
 
 
-@query("negative_control", sql.with_(sql.EVENTS) + ", a AS (SELECT DISTINCT actor FROM ev ORDER BY actor LIMIT 500), p AS (SELECT actor, row_number() OVER (ORDER BY actor) - 1 AS i, greatest(1, count(*) OVER () // 40) AS step FROM a) SELECT actor FROM p WHERE i % step = 0 ORDER BY actor LIMIT 40")
+CONTROL = """
+ca AS (SELECT DISTINCT actor FROM ev ORDER BY actor LIMIT 500), cp AS (SELECT actor, row_number() OVER (ORDER BY actor) - 1 AS i, greatest(1, count(*) OVER () // 40) AS step FROM ca),
+cs AS (SELECT actor FROM cp WHERE i % step = 0 ORDER BY actor LIMIT 40)"""
+
+
+@query("negative_control", sql.with_(sql.EVENTS, CONTROL) + "SELECT 'random_wallet' AS name, 0::BIGINT AS surfaced, 0.0::DOUBLE AS median_edge_ratio, count(*)::VARCHAR || ' wallets sampled with no outcome appearances attributed' AS note FROM cs")
 def negative_control(spark, sf_dir):
-    events = adapters.clickstream_events(spark, sf_dir)
-    metrics = wm.activity(events).select("actor", "distinct_tokens", F.lit("unclassified").alias("archetype"))
-    return ds.negative_control(events, metrics).select("actor")
+    return ds.negative_control(adapters.clickstream_events(spark, sf_dir), k_metrics(spark, sf_dir), DISCOVERY)
+
+
+@query("control_scores", sql.with_(*qo.BASE, SEEN, ACTIVITY, PRECISION, ARCHETYPE, CONTROL) + f"SELECT actor, CASE WHEN archetype IN ('bot', 'high_frequency') THEN 'excluded_archetype' ELSE 'too_few_events:0<{DISCOVERY.min_events}' END AS reason FROM cs LEFT JOIN arch USING (actor)")
+def control_scores(spark, sf_dir):
+    found = ds.control_scores(adapters.clickstream_events(spark, sf_dir), k_metrics(spark, sf_dir), DISCOVERY)
+    return found.select("actor", F.when(F.col("rejection_reason").startswith("excluded"), F.substring_index("rejection_reason", ":", 1)).otherwise(F.col("rejection_reason")).alias("reason"))
 
 
-@query("candidate_persist")
+@query("holding", sql.with_(sql.EVENTS, SEEN, HOLD, """
+b AS (SELECT *, coalesce(sum((coalesce(side, '') = 'sell')::INT) OVER (PARTITION BY actor, asset_id ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS blk FROM e WHERE asset_id IS NOT NULL AND usd_value IS NOT NULL),
+s AS (SELECT *, sum(CASE WHEN side = 'buy' THEN usd_value ELSE 0 END) OVER (PARTITION BY actor, asset_id, blk) AS spent FROM b),
+pl AS (SELECT actor, sum(CASE WHEN side = 'buy' THEN 0 WHEN side = 'sell' AND spent > 0 THEN usd_value - spent WHEN event_type = 'liquidation' THEN -usd_value ELSE 0 END) AS pnl FROM s GROUP BY actor),
+hh AS (SELECT actor, median(hours) AS mh, count(*) AS n FROM hold GROUP BY 1)""") + "SELECT pl.actor, round(mh, 4) AS median_hold_hours, coalesce(n, 0) AS episodes_closed, round(pnl, 4) AS realized_pnl_usd FROM pl LEFT JOIN hh USING (actor)")
+def holding(spark, sf_dir):
+    """Both measures of an actor's trades, from the one pass that the metrics take."""
+    return rounded(wm.holding(seen(spark, sf_dir)), 4)
+
+
+@query(
+    "candidate_persist",
+    sql.with_(*SCORE_PARTS, SCORES, "fx AS (SELECT actor, list_sort(list(t)) AS ts FROM (SELECT actor, asset_id, min(t0) AS t FROM app GROUP BY 1, 2) GROUP BY 1)", REJECT).replace("WITH ", "WITH RECURSIVE ", 1)
+    + f""", kn AS (SELECT actor AS wallet FROM sc WHERE actor LIKE '%3'), nm AS (SELECT actor FROM rej WHERE reason IS NOT NULL ORDER BY hits DESC, edge_ratio DESC, actor LIMIT 25),
+pv AS (SELECT actor, count(*) AS n, arg_min(split_part(asset_id, ':', 1), struct_pack(a := t0, b := outcome_id)) AS network FROM app GROUP BY 1)
+SELECT rej.actor AS wallet, CASE WHEN kn.wallet IS NOT NULL THEN 'tracked' WHEN reason IS NULL THEN 'surfaced' ELSE 'rejected' END AS status, CASE WHEN kn.wallet IS NOT NULL THEN {AT - DAY} ELSE {AT} END AS surfaced_us,
+  archetype, round_even(edge_ratio, 4) AS edge_vs_base, coalesce(pv.network, '') AS network, pv.n AS n_provenance
+FROM rej LEFT JOIN kn ON kn.wallet = rej.actor LEFT JOIN nm ON nm.actor = rej.actor LEFT JOIN pv ON pv.actor = rej.actor WHERE reason IS NULL OR kn.wallet IS NOT NULL OR nm.actor IS NOT NULL""",
+)
 def candidate_persist(spark, sf_dir):
-    return rounded(ds.persist(spark.createDataFrame([], ds.CANDIDATES), k_scores(spark, sf_dir), qo.as_of(), DISCOVERY).withColumn("surfaced_at", F.unix_micros("surfaced_at")), 4)
+    """Some actors are candidates already; the sweep gives them new figures, adds those that pass, and the nearest misses."""
+    scores, appearing = tables.keep(k_scores(spark, sf_dir)), qo.k_appearances(spark, sf_dir)
+    blank = spark.createDataFrame([], ds.CANDIDATES)
+    none = {f.name: F.lit(None).cast(f.dataType) for f in blank.schema if f.name not in ("wallet", "status", "surfaced_at")}
+    known = scores.where(F.col("actor").endswith("3")).select(F.col("actor").alias("wallet"), F.lit("tracked").alias("status"), F.timestamp_micros(F.lit(AT - DAY)).alias("surfaced_at")).withColumns(none).select(*blank.columns)
+    after = ds.persist(known, scores, qo.as_of(), DISCOVERY, appearing)
+    return after.select("wallet", "status", F.unix_micros("surfaced_at").alias("surfaced_us"), "archetype", "edge_vs_base", F.coalesce("network", F.lit("")).alias("network"), F.size("discovery_provenance").cast("long").alias("n_provenance"))
 
 
 @query("discovery_backtest")
 def discovery_backtest(spark, sf_dir):
     events, outcomes = adapters.clickstream_events(spark, sf_dir), qo.k_outcomes(spark, sf_dir)
-    frozen = ds.sweep(events, outcomes, adapters.assets_of(events), F.lit("2024-01-18 00:00:00").cast("timestamp"), config=DISCOVERY, wallets=WALLETS)
+    frozen = ds.sweep(events, outcomes, qo.k_assets(spark, sf_dir), F.lit("2024-01-18 00:00:00").cast("timestamp"), config=DISCOVERY, wallets=WALLETS)
     return ds.survival(frozen, k_scores(spark, sf_dir))

@@ -129,3 +129,38 @@ class BacktestConfig:
     size_usd: float = 1000.0
     hold_days: float = 14
     max_staleness_days: float | None = None
+
+
+# The wording of signals, which stored signals carry. "%s" and the like are filled per signal.
+SIGNAL_TEXTS = {
+    "action_title": "%s wallet %s… %s %s",
+    "action_resting": "placed a resting order on",
+    "action_other": "acted on",
+    "action_risk": "Order is unfilled — this is stated intent, not a position",
+    "action_unknown": "Wallet ownership is inferred from behaviour, not established",
+    "silent_title": "Quiet accumulation in %s — %d buyers, price flat",
+    "silent_buyers": "%d distinct buyers over {days:g} days",
+    "silent_volume": "$%s accumulated with no material price move",
+    "silent_risk": "Flat price may reflect illiquidity rather than absorption",
+    "silent_unknown": "Buyer independence not yet verified",
+    "convergence_title": "%d independent tracked wallets converged on %s",
+    "convergence_fact": "%d of %d participating wallets have no detected relationship to each other",
+    "convergence_risk": "Undetected relationships would reduce this to a single opinion",
+    "convergence_unknown": "Clustering is heuristic; absence of an edge is not proof",
+    "sequence_title": "Side wallet %s… confirmed %s… on %s",
+    "sequence_lag": "follower acted %.1fh after leader; historical median %.1fh",
+    "sequence_order": "ordering held in %.0f%% of %d shared assets",
+    "sequence_risk": "Consistent lag can reflect public copy-trading, not coordination",
+    "operator_title": "Known pump operator %s… entered %s",
+    "operator_episodes": "%d prior episodes observed",
+    "operator_hours": "median time from entry to distribution: %.0fh",
+    "operator_collapsed": "%d of %d prior assets subsequently collapsed",
+    "operator_exit": "Exit timing depends on beating participants who know the schedule",
+    "operator_past": "Prior assets from this operator collapsed after distribution",
+    "operator_unknown": "Operator may vary timing precisely to punish followers",
+    "candidate_title": "New candidate wallet %s… (%s)",
+    "candidate_edge": "edge ratio %.1fx",
+    "candidate_risk": "Not yet shadow-tested; retrospective evidence only",
+    "candidate_unknown": "Forward performance unknown until the shadow period completes",
+    "no_facts": "No supporting facts recorded",
+}

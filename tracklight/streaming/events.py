@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from tracklight.operators import sinks
+from tracklight.operators import policy, sinks
 from tracklight.schema import HOUR, AlertConfig
 
 
@@ -18,34 +18,56 @@ def deduplicated(stream: DataFrame, late: str = "1 day") -> DataFrame:
     return stream.withWatermark("observed_at", late).dropDuplicatesWithinWatermark(["event_id", "finality"])
 
 
+DELIVERED = "_delivered"  # the batch that a row came with
+
+
 def table_writer(spark: SparkSession, path: str) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function that keeps the event table in ``path``: versions are whole folders, written anew
-    per batch and named by it, so a batch that runs again writes the same version. Dead letters go beside them."""
+    """A ``foreachBatch`` function that adds to the event table in ``path``.
+
+    A batch writes its own rows only, to a folder that its number names, so a batch that runs again writes the same
+    folder, and the work of a batch does not grow with the table. ``current`` merges; ``compact`` keeps that short.
+    Dead letters go beside them.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         good, bad = sinks.split_dead_letters(batch)
         bad.write.mode("overwrite").parquet(f"{path}/dead/{batch_id}")
-        stored = current(batch.sparkSession, path, before=batch_id)
-        after = good.limit(0) if stored is None else stored
-        sinks.upsert_events(after, good).write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+        good.withColumn(DELIVERED, F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{path}/delta={batch_id}")
 
     return write
 
 
-def versions(spark: SparkSession, path: str) -> list[int]:
+def _numbers(spark: SparkSession, path: str, kind: str) -> list[int]:
+    """Of the finished folders ``kind=N`` the numbers, ascending."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(at):
         return []
     names = [s.getPath().getName() for s in fs.listStatus(at) if s.isDirectory()]
-    done = [n for n in names if n.startswith("version=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
+    done = [n for n in names if n.startswith(f"{kind}=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
     return sorted(int(n.split("=")[1]) for n in done)
 
 
-def current(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
-    """The newest finished version of the event table, older than ``before`` if given."""
-    found = [v for v in versions(spark, path) if before is None or v < before]
-    return spark.read.parquet(f"{path}/version={found[-1]}") if found else None
+def current(spark: SparkSession, path: str, sequence: str = "observed_at") -> DataFrame | None:
+    """The event table: the last compacted one, and the batches after it merged in, in their order. None if there is nothing."""
+    bases = _numbers(spark, path, "base")
+    last = bases[-1] if bases else -1
+    deltas = [f"{path}/delta={n}" for n in _numbers(spark, path, "delta") if n > last]
+    base = spark.read.parquet(f"{path}/base={last}") if bases else None
+    if not deltas:
+        return base
+    new = spark.read.parquet(*deltas).withColumn("_sequence", F.struct(DELIVERED, sequence))
+    stored = new.limit(0).drop("_sequence", DELIVERED) if base is None else base
+    return sinks.upsert_events(stored, new, "_sequence")
+
+
+def compact(spark: SparkSession, path: str, sequence: str = "observed_at") -> bool:
+    """Write the merged table as the base of later reads. Older folders stay, for readers at work, until they are deleted."""
+    deltas = _numbers(spark, path, "delta")
+    if not deltas or deltas[-1] in _numbers(spark, path, "base"):
+        return False
+    current(spark, path, sequence).write.mode("overwrite").parquet(f"{path}/base={deltas[-1]}")
+    return True
 
 
 def ingest(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -55,9 +77,12 @@ def ingest(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
 
 
 def trailing_buyers(stream: DataFrame, size: str = "14 days", step: str = "1 day", late: str = "1 day") -> DataFrame:
-    """(window_end, asset_id, buys, net_usd) per sliding window, emitted when no late row can change it."""
+    """(window_end, asset_id, buys, buyers, net_usd) per sliding window, emitted when no late row can change it.
+
+    Buyers are counted exactly: the state of a window holds the set of its buyers.
+    """
     buys = stream.where("side = 'buy' AND asset_id IS NOT NULL").withWatermark("observed_at", late)
-    found = buys.groupBy(F.window("observed_at", size, step).alias("w"), "asset_id").agg(F.count(F.lit(1)).alias("buys"), F.approx_count_distinct("actor").alias("buyers"), F.sum("usd_value").alias("net_usd"))
+    found = buys.groupBy(F.window("observed_at", size, step).alias("w"), "asset_id").agg(F.count(F.lit(1)).alias("buys"), F.size(F.collect_set("actor")).cast("long").alias("buyers"), F.sum("usd_value").alias("net_usd"))
     return found.select(F.col("w.end").alias("window_end"), "asset_id", "buys", "buyers", "net_usd")
 
 
@@ -101,3 +126,31 @@ def alerts(stream: DataFrame, config: AlertConfig = AlertConfig(), expire: bool
     schema = "subject string, us bigint, significance double, decision string"
     mode = "processingTime" if expire else "None"
     return stream.groupBy("subject").transformWithStateInPandas(Cooldown(config, expire), outputStructType=schema, outputMode="append", timeMode=mode)
+
+
+HISTORY = "family string, asset_id string, wallet string, triggered_at timestamp, delivered boolean"
+
+
+def alert_writer(path: str, config: AlertConfig = AlertConfig(), history_days: int = 2) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that decides on the signals of each batch by the whole alert policy: duplicates,
+    threshold, cooldown, muted families, the day's cap, and what a critical risk is exempt from.
+
+    Decisions go to a folder per batch, and earlier batches' are the history of the next; a batch that runs again
+    decides the same. History older than ``history_days``, which no rule looks at, is not read.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        earlier = [f"{path}/batch={n}" for n in _numbers(spark, path, "batch") if n < batch_id]
+        history = spark.read.schema(f"{HISTORY}, decision string").parquet(*earlier) if earlier else spark.createDataFrame([], f"{HISTORY}, decision string")
+        oldest = batch.agg(F.min(F.unix_micros("triggered_at"))).first()[0] or 0
+        kept = history.where(~F.col("decision").isin("duplicate", "threshold", "cooldown") & (F.col("triggered_at") >= F.timestamp_micros(F.lit(oldest - history_days * 24 * HOUR))))
+        decided = policy.dispatch(batch, kept.drop("decision"), config)
+        decided.withColumn("delivered", F.col("decision") == "delivered").write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return write
+
+
+def decisions(spark: SparkSession, path: str) -> DataFrame:
+    """All decisions that ``alert_writer`` has made."""
+    return spark.read.parquet(*[f"{path}/batch={n}" for n in _numbers(spark, path, "batch")])
