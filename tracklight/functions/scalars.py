@@ -66,6 +66,14 @@ def scale_amount(raw: Column, decimals: Column) -> Column:
     return F.when(decimals.between(0, 36), raw.cast("double") / F.pow(F.lit(10.0), decimals))
 
 
+def scaled_text(raw: Column, decimals: Column) -> Column:
+    """Whole token units as text with every digit, from atomic units as decimal(38,0); null outside 0..36 decimals."""
+    digits = F.lpad(F.abs(raw).cast("string"), 40, "0")
+    whole = F.regexp_replace(F.substring(digits, F.lit(1), 40 - decimals), "^0+(?=.)", "")
+    part = F.when(decimals > 0, F.concat(F.lit("."), F.substring(digits, 41 - decimals, decimals))).otherwise("")
+    return F.when(decimals.between(0, 36), F.concat(F.when(raw < 0, "-").otherwise(""), whole, part))
+
+
 def unscale_amount(amount: Column, decimals: Column) -> Column:
     return F.when(decimals.between(0, 36), F.bround(amount * F.pow(F.lit(10.0), decimals)).cast("decimal(38,0)"))
 

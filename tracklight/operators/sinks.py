@@ -44,10 +44,10 @@ def upsert_events(stored: DataFrame, batch: DataFrame, sequence: str = "observed
     return both.select(*columns)
 
 
-def upsert_counts(stored: DataFrame, batch: DataFrame) -> DataFrame:
+def upsert_counts(stored: DataFrame, batch: DataFrame, sequence: str = "observed_at") -> DataFrame:
     """(seen, written, duplicates, reverted) of a batch against what is stored."""
     known = stored.select("event_id", F.col("finality").alias("_was"))
-    per_id = batch.groupBy("event_id").agg(F.count(F.lit(1)).alias("n"), F.max_by("finality", "observed_at").alias("finality")).join(known, "event_id", "left")
+    per_id = batch.groupBy("event_id").agg(F.count(F.lit(1)).alias("n"), F.max_by("finality", F.struct(sequence, "finality")).alias("finality")).join(known, "event_id", "left")
     new = F.col("_was").isNull()
     reverted = (F.col("finality") == "reverted") & (new | (F.col("_was") != "reverted"))
     return per_id.agg(F.sum("n").alias("seen"), F.count_if(new).alias("written"), F.sum(F.col("n") - new.cast("int")).alias("duplicates"), F.count_if(reverted).alias("reverted"))

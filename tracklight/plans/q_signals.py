@@ -91,15 +91,20 @@ def replay_signals(spark, sf_dir):
     return found.select("asset_id", F.floor(F.unix_micros("triggered_at") / DAY).alias("us_day"), F.unix_micros("evidence_cutoff").alias("first_tick"))
 
 
-CONVERGED = f"""
-cv0 AS (SELECT asset_id, actor, row_number() OVER (PARTITION BY asset_id ORDER BY actor) AS i, count(*) OVER (PARTITION BY asset_id) AS n
-  FROM (SELECT DISTINCT asset_id, actor FROM ev SEMI JOIN tr ON wallet = actor WHERE us <= {AT} AND us >= {AT - 5 * DAY} AND side IN ('buy', 'long') AND asset_id IS NOT NULL)),
+def _converged(tick_rows: str) -> str:
+    return f"""
+ct AS ({tick_rows}),
+cv0 AS (SELECT t, asset_id, actor, row_number() OVER (PARTITION BY t, asset_id ORDER BY actor) AS i, count(*) OVER (PARTITION BY t, asset_id) AS n
+  FROM (SELECT DISTINCT t, asset_id, actor FROM ct JOIN ev ON us <= t AND us >= t - {5 * DAY} SEMI JOIN tr ON wallet = actor WHERE side IN ('buy', 'long') AND asset_id IS NOT NULL)),
 rl AS (SELECT actor, list(other) AS others FROM (SELECT source AS actor, target AS other FROM ed UNION SELECT target, source FROM ed) GROUP BY 1),
 cv AS (SELECT cv0.*, coalesce(others, []::VARCHAR[]) AS others FROM cv0 LEFT JOIN rl USING (actor)),
-fold(asset_id, i, n, chosen) AS (
-  SELECT asset_id, 1::BIGINT, n, [actor] FROM cv WHERE i = 1
-  UNION ALL SELECT f.asset_id, f.i + 1, f.n, CASE WHEN list_has_any(f.chosen, c.others) THEN f.chosen ELSE list_append(f.chosen, c.actor) END FROM fold f JOIN cv c ON c.asset_id = f.asset_id AND c.i = f.i + 1
-), con AS (SELECT asset_id, n AS wallets, len(chosen) AS independent FROM fold WHERE i = n AND n >= 2 AND len(chosen) >= 2)"""
+fold(t, asset_id, i, n, chosen) AS (
+  SELECT t, asset_id, 1::BIGINT, n, [actor] FROM cv WHERE i = 1
+  UNION ALL SELECT f.t, f.asset_id, f.i + 1, f.n, CASE WHEN list_has_any(f.chosen, c.others) THEN f.chosen ELSE list_append(f.chosen, c.actor) END FROM fold f JOIN cv c ON c.t = f.t AND c.asset_id = f.asset_id AND c.i = f.i + 1
+), con AS (SELECT t, asset_id, n AS wallets, len(chosen) AS independent FROM fold WHERE i = n AND n >= 2 AND len(chosen) >= 2)"""
+
+
+CONVERGED = _converged(f"SELECT {AT} AS t")
 CONVERGED_PARTS = (*TRACKED_PARTS, qg.FIRST, qg.EDGES)
 
 

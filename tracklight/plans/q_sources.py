@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from tracklight.functions import scalars as fn
 from tracklight.functions import tables
+from tracklight.operators import outcomes as oc
 from tracklight.operators import sinks, views
 from tracklight.operators import signals as sg
 from tracklight.plans import q_outcomes as qo
 from tracklight.plans import q_signals as qs
-from tracklight.plans import q_wallets as qw
 from tracklight.plans import sql_parts as sql
 from tracklight.plans.catalogue import query
 from tracklight.schema import DAY
@@ -159,13 +159,20 @@ def tradable_universe(spark, sf_dir):
     return sinks.tradable(adapters.market_candles(spark, sf_dir)).select("asset_id", F.round("peak_volume", 4).alias("peak_volume"), "dead")
 
 
-@query("suspects", sql.with_(sql.EVENTS, sql.CANDLES_K, sql.outcomes(qo.K)) + f"SELECT DISTINCT actor FROM oc JOIN ev ON ev.asset_id = oc.asset_id AND us < t0 AND us >= t0 - {30 * DAY} WHERE event_type = 'swap' AND side = 'buy' ORDER BY actor LIMIT 150")
-def suspects(spark, sf_dir):
-    from tracklight.operators import outcomes as oc
+SUSPECTS = f"SELECT DISTINCT actor FROM oc JOIN ev ON ev.asset_id = oc.asset_id AND us < t0 AND us >= t0 - {30 * DAY} WHERE event_type = 'swap' AND side = 'buy'"
+
 
+@query("suspects", sql.with_(sql.EVENTS, sql.CANDLES_K, sql.outcomes(qo.K)) + SUSPECTS)
+def suspects(spark, sf_dir):
     return sinks.suspects(adapters.clickstream_events(spark, sf_dir), oc.detect_all(adapters.clickstream_candles(spark, sf_dir), qo.K))[0]
 
 
+@query("suspects_budget", sql.with_(sql.EVENTS, sql.CANDLES_K, sql.outcomes(qo.K)) + SUSPECTS + " ORDER BY actor LIMIT 150")
+def suspects_budget(spark, sf_dir):
+    """As a paid source of histories would bound them."""
+    return sinks.suspects(adapters.clickstream_events(spark, sf_dir), oc.detect_all(adapters.clickstream_candles(spark, sf_dir), qo.K), limit=150)[0]
+
+
 @query("trailing_volume", sql.with_(sql.CANDLES_PART) + "SELECT asset_id, s AS us, round(sum(volume) OVER (PARTITION BY asset_id ORDER BY s ROWS 23 PRECEDING), 4) AS trailing_volume FROM cd")
 def trailing_volume(spark, sf_dir):
     return views.trailing_volume(adapters.market_candles(spark, sf_dir)).select("asset_id", F.unix_micros("start").alias("us"), F.round("trailing_volume", 4).alias("trailing_volume"))
@@ -184,54 +191,58 @@ def signal_evidence(spark, sf_dir):
     return found.select("event_id", "actor", "event_type", F.unix_micros("event_at").alias("event_us"), "usd_value")
 
 
-@query("today_feed")
-def today_feed(spark, sf_dir):
-    signals = qs.k_actions(spark, sf_dir).withColumn("open", F.col("family") == "resting_order_placed")
-    return views.today_feed(signals).select("family", "asset_id", "wallet", "title", F.round("significance", 6).alias("significance"), "open")
-
-
-@query("wallet_profile")
-def wallet_profile(spark, sf_dir):
-    found = views.wallet_profile(qw.k_metrics(spark, sf_dir), qs.tracked(spark, sf_dir), adapters.clickstream_events(spark, sf_dir), "1", qo.as_of())
-    return found.select("actor", "archetype", "total_actions", "status", F.size("last_events").alias("n_last_events"))
-
-
-@query("discovery_report")
-def discovery_report(spark, sf_dir):
-    return views.discovery_report(qw.k_scores(spark, sf_dir)).select("actor", "passed", "hits", F.round("edge_ratio", 6).alias("edge_ratio"), "rejection_reason")
-
-
 def workspace(spark):
     """A new folder that driver and executors share."""
     return tables.new_path(spark, "stream")
 
 
-def event_stream(spark, sf_dir):
-    """The driver's events as a stream of canonical events with a finality."""
+def event_stream(spark, sf_dir, batch=False):
+    """The driver's events as a stream, or at once, of canonical events with a finality."""
     schema = adapters.read(spark, sf_dir, "events").schema
     kind = F.col("event_type")
-    source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    reader = spark.read if batch else spark.readStream
+    source = reader.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     side = F.when(kind == "purchase", "buy").when(kind == "click", "sell").when(kind.isin("view", "signup"), "long")
     return source.select(
-        F.col("event_id").cast("string").alias("event_id"), F.lit("swap").alias("event_type"), F.col("ts").cast("timestamp").alias("observed_at"), F.when(kind == "error", "reverted").otherwise("finalized").alias("finality"),
+        F.col("event_id").cast("string").alias("event_id"), F.when(F.col("user_id") % 11 == 0, "unheard").otherwise("swap").alias("event_type"), F.col("ts").cast("timestamp").alias("observed_at"), F.when(kind == "error", "reverted").otherwise("finalized").alias("finality"),
         F.col("user_id").cast("string").alias("actor"), F.concat(F.lit("k:"), F.get_json_object("props", "$.k")).alias("asset_id"), side.alias("side"), F.col("value").alias("usd_value"),
     )
 
 
-@query("stream_dedupe", "SELECT event_id::VARCHAR AS event_id, CASE WHEN event_type = 'error' THEN 'reverted' ELSE 'finalized' END AS finality FROM events")
+@query("stream_dedupe", "SELECT event_id::VARCHAR AS event_id, CASE WHEN event_type = 'error' THEN 'reverted' ELSE 'finalized' END AS finality FROM events WHERE user_id % 11 <> 0")
 def stream_dedupe(spark, sf_dir):
-    """Intake of a stream into a table: the table after everything has arrived."""
+    """Intake of a stream into a table: the table after everything has arrived; rows of an unknown type are dead letters."""
     path = workspace(spark)
     stream.ingest(stream.deduplicated(event_stream(spark, sf_dir), "40 days"), f"{path}/table", f"{path}/state").awaitTermination()
     return stream.current(spark, f"{path}/table").select("event_id", "finality")
 
 
+@query(
+    "stream_late_finality",
+    "SELECT event_id::VARCHAR AS event_id, CASE WHEN event_type = 'error' THEN 'reverted' ELSE 'finalized' END AS finality, value AS usd_value, user_id % 11 = 0 AS dead FROM events",
+)
+def stream_late_finality(spark, sf_dir):
+    """Every row is delivered twice, first as pending, then with other values and its finality, in batches of their own; then a base is written and the first batch comes again."""
+    path = workspace(spark)
+    rows = event_stream(spark, sf_dir, batch=True)
+    write = stream.table_writer(spark, path)
+    first = rows.withColumn("finality", F.lit("pending"))
+    write(first.unionByName(first), 0)
+    write(rows.withColumn("usd_value", F.lit(0.0)), 1)
+    stream.compact(spark, path)
+    write(first.limit(0), 2)
+    write(rows.limit(0), 2)
+    good = stream.current(spark, path).select("event_id", "finality", "usd_value", F.lit(False).alias("dead"))
+    bad = spark.read.parquet(f"{path}/dead/1").select("event_id", "finality").join(spark.read.parquet(f"{path}/dead/0").select("event_id", "usd_value").distinct(), "event_id")
+    return good.unionByName(bad.select("event_id", "finality", "usd_value", F.lit(True).alias("dead")))
+
+
 @query(
     "stream_window_accumulation",
-    f"SELECT e AS window_end, 'k:' || (props->>'$.k') AS asset_id, count(*) AS buys, round(sum(value), 4) AS net_usd FROM (SELECT *, unnest(range((epoch_us(ts) // {DAY} + 1) * {DAY}, (epoch_us(ts) // {DAY} + 15) * {DAY}, {DAY})) AS e FROM events WHERE event_type = 'purchase') WHERE e <= (SELECT max(epoch_us(ts)) FROM events WHERE event_type = 'purchase') - {DAY} GROUP BY 1, 2",
+    f"SELECT e AS window_end, 'k:' || (props->>'$.k') AS asset_id, count(*) AS buys, count(DISTINCT user_id) AS buyers, round(sum(value), 4) AS net_usd FROM (SELECT *, unnest(range((epoch_us(ts) // {DAY} + 1) * {DAY}, (epoch_us(ts) // {DAY} + 15) * {DAY}, {DAY})) AS e FROM events WHERE event_type = 'purchase') WHERE e <= (SELECT max(epoch_us(ts)) FROM events WHERE event_type = 'purchase') - {DAY} GROUP BY 1, 2",
 )
 def stream_window_accumulation(spark, sf_dir):
     path = workspace(spark)
-    found = stream.trailing_buyers(event_stream(spark, sf_dir)).select(F.unix_micros("window_end").alias("window_end"), "asset_id", "buys", F.round("net_usd", 4).alias("net_usd"))
+    found = stream.trailing_buyers(event_stream(spark, sf_dir)).select(F.unix_micros("window_end").alias("window_end"), "asset_id", "buys", "buyers", F.round("net_usd", 4).alias("net_usd"))
     found.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(found.schema).parquet(f"{path}/out")
