@@ -3,7 +3,8 @@
 Each language has a codeword of +1 and -1; for each bit a linear classifier over hashed letter n-grams (of 1 to 3
 letters, word boundaries included) predicts the language's bit. Loss-weighted decoding gives a text the language
 whose codeword has the least total logistic loss over the bits; the softmax of the negated losses is its score,
-and a text whose runner-up is nearly as near is flagged ambiguous.
+and a text whose nearest codeword gets less than ``ambiguous_below`` of that softmax, as others are nearly as
+near, is flagged ambiguous.
 
 Fitting uses at most ``rows_per_language`` texts of a language and ``max_rows`` in all, shared alike by the
 languages, so that each has some; more than ``max_languages`` are refused. Prediction covers whole texts of every
@@ -11,7 +12,8 @@ document.
 
 Defined results: a null text, and one without a letter, is ``und`` with score 0 and ambiguous; with one known
 language every text with letters gets it; with none, all are ``und``. Repeated rows get the same result each;
-other columns, of whatever name, are carried along and never read.
+other columns, of whatever name, are carried along and never read, but for columns named lang_pred, score or
+ambiguous, which the result's replace.
 """
 
 from __future__ import annotations
@@ -196,6 +198,7 @@ def predict(documents: DataFrame, model: LanguageModel, text: str = "text") -> D
             for piece in wa.slices(batch, [text]):
                 names, score, ambiguous = predict_batch(model, wa.texts_of(piece, text))
                 yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(ambiguous, pa.bool_())], names=[*piece.schema.names, "lang_pred", "score", "ambiguous"])
+        wa.give_back()
 
     added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())]
     return carried.mapInArrow(run, T.StructType([*schema.fields, *added]))

@@ -8,7 +8,10 @@ pair of the same or a lesser rank, its segment merges only its first pair in tha
 pairs would do next; so the result equals sequential merging. Characters outside the vocabulary become byte pieces.
 
 Defined results: a null text is empty; an empty text is only the end id. Every distinct segment is encoded once
-per task at most while it stays in a bounded cache. Texts are whole; memory grows with the longest text.
+per task at most while it stays in a cache of ``MAX_CACHE_BYTES``, which ends with the task. Texts are whole;
+memory grows with the longest text. Other columns, of whatever name, are carried along; those named like a column
+of the result are replaced by it. A segment is a word with the blanks before it, so text without any blank is one
+segment, whose time grows faster than its length (README).
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from tracklight.llm import word_arrays as wa
 
 BLANK = "▁"
 NONE = np.int64(1) << 40  # the rank of a pair that is no piece
-MAX_CACHE = 100_000
+MAX_CACHE_BYTES = 24 << 20
 MAX_SEGMENTS = 10_000
 
 
@@ -77,7 +80,12 @@ class PieceModel:
         self.names = {v: k for k, v in self.symbol.items()}
         self.id_text = [str(i) for i in range(n)]
         self.surface = [self.decode_ids([i]) for i in range(n)]
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop the segments that are known so far."""
         self.cache: dict[str, tuple] = {}
+        self.cached = 0  # bytes, about
 
     def _index(self, keys: np.ndarray, merged: np.ndarray, ranks: np.ndarray) -> None:
         """Open addressing: a slot per key, found by probing."""
@@ -187,6 +195,7 @@ class PieceModel:
                 else:  # some characters are spelled in bytes
                     ids = [i for s in ids for i in ((s,) if s < n else self.byte_ids[list((chr(s - base) if s >= base else self.names[s]).encode())].tolist())]
                     cache[segment] = (" ".join(map(str, ids)), len(ids), self.decode_ids(ids))
+                self.cached += 300 + 2 * len(segment) + 6 * len(ids)  # a dict's slot, a tuple, three strings
 
     def decode_ids(self, ids: list[int]) -> str:
         """The surface of ids without the dummy prefix: pieces with blanks restored, runs of byte pieces as UTF-8."""
@@ -210,8 +219,8 @@ class PieceModel:
     def encode_texts(self, texts: list[str]) -> Iterator[tuple[str, int, str]]:
         """(decimal ids joined by blanks, number of ids, decoded text) of each text; ids end with the end id."""
         cut = [self.segments(t) for t in texts]
-        if len(self.cache) > MAX_CACHE:
-            self.cache = {}
+        if self.cached > MAX_CACHE_BYTES:
+            self.forget()
         new = list({s for c in cut for s in c if s not in self.cache})
         self.encode_new(new)
         cache, end = self.cache, str(self.eos)
@@ -262,5 +271,7 @@ def encode(documents: DataFrame, path: str, text: str = "text", digests: bool =
                 columns = [piece.column(f.name) for f in others]
                 columns += [pa.array(counts, pa.int64()), pa.array(ids, pa.string()) if digests else ids, pa.array(decoded, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, names=[*[f.name for f in others], *[f.name for f in added]])
+        sp.forget()
+        wa.give_back()
 
     return carried.mapInArrow(run, T.StructType([*others, *added]))
