@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from tracklight.llm import query_models, query_near, query_rules, query_tables, query_text
 from tracklight.llm.catalogue import ORACLE, QUERIES
 
-QUERIES["pipeline"] = lambda spark, sf_dir: corpus_pipeline.run(spark, sf_dir)
-
 __all__ = ["ORACLE", "QUERIES", "query_models", "query_near", "query_rules", "query_tables", "query_text"]
