@@ -124,7 +124,7 @@ def train(texts: list, languages: list, config: LanguageIdConfig = LanguageIdCon
     weights, bias = np.zeros((config.buckets, code.shape[1]), dtype=np.float32), np.zeros(code.shape[1], dtype=np.float32)
     if len(names) > 1:
         x = text_features(texts, config)
-        spread = x.std(axis=0) + 1e-4
+        spread = np.concatenate([x[:, i : i + 256].std(axis=0) for i in range(0, config.buckets, 256)]) + 1e-4  # in parts, as a whole copy is large
         x /= spread
         which = np.array([names.index(v) for v in languages])
         y = code[which].astype(np.float32)
