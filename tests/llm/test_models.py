@@ -93,3 +93,88 @@ def test_toxicity_without_labels(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     model = tx.fit(docs, labels, tx.ToxicityConfig(buckets=64))
     assert tx.score(docs, model).where(F.col("score").between(0, 1)).count() == 1
+
+
+def plain_grams(text, config):
+    """The buckets of a text's n-grams, word by word, in plain Python."""
+    mix = lambda x: int(wa.mix64(np.array([x], dtype=np.uint64))[0])
+    out = []
+    for word in text.split():
+        points = [" ", *word.lower(), " "]
+        letter = [c.isalpha() for c in points]
+        points = [ord(c) if a else 32 for c, a in zip(points, letter, strict=True)]
+        for n in config.orders:
+            for i in range(len(points) - n + 1):
+                own = letter[i : i + n]
+                if not any(own) or (n > 2 and not all(own[1:-1])):
+                    continue
+                h = n
+                for c in points[i : i + n]:
+                    h = mix((h * 0x9E3779B97F4A7C15 + c) % 2**64)
+                out.append(h % config.buckets)
+    return out
+
+
+def test_language_decoding_equals_brute_force():
+    """Margins, loss-weighted decoding and the flag of ambiguity, one text at a time. The blank between words counts once."""
+    rng = random.Random(8)
+    config = li.LanguageIdConfig(buckets=512, orders=(1, 2, 3), steps=30)
+    texts = [sentence(rng, lang, 25) for lang in SYLLABLES for _ in range(20)]
+    model = li.train(texts, [lang for lang in SYLLABLES for _ in range(20)], config)
+    asked = [*texts[::7], "the", "ung que", "a1b 2 c-d É", "", "12 34", "the " * 3000, "ing\tver\nmente"]
+    names, score, ambiguous = li.predict_batch(model, pa.array(asked, pa.large_string()))
+    for k, text in enumerate(asked):
+        grams = plain_grams(text, config)
+        if not any(c.isalpha() for c in text):
+            assert (names[k], score[k], bool(ambiguous[k])) == ("und", 0, True)
+            continue
+        margins = sum((model.weights[g].astype(float) for g in grams), np.zeros(model.code.shape[1])) / len(grams) + model.bias
+        margins = np.clip(margins * len(grams) / (len(grams) + config.doubt), -config.largest_margin, config.largest_margin)
+        loss = {lang: sum(np.log1p(np.exp(-m * b)) for m, b in zip(margins, row, strict=True)) for lang, row in zip(model.languages, model.code, strict=True)}
+        best = min(loss, key=loss.get)
+        want = 1 / sum(np.exp(loss[best] - x) for x in loss.values())
+        assert names[k] == best and score[k] == pytest.approx(want, rel=1e-3) and bool(ambiguous[k]) == (score[k] < 0.5)
+
+
+def plain_score(model, text):
+    """The network's output for one text, word by word."""
+    config = model.config
+    words = text.split()
+    ids = tx.word_ids(words, config)
+    vectors = [sum((model.embedding[i].astype(float) for i in row if model.known[i]), np.zeros(config.size)) + model.embedding[0] * sum(not model.known[i] for i in row) for row in ids]
+    pooled = []
+    for width, filters, bias in zip(config.widths, model.filters, model.filter_bias, strict=True):
+        for f in range(config.filters):
+            at = [sum(vectors[i + k] @ filters[k][:, f] for k in range(width) if i + k < len(words)) + bias[f] for i in range(len(words))]
+            pooled.append(max([0.0, *at]))
+    return 1 / (1 + np.exp(-np.clip(np.dot(pooled, model.out) + model.bias, -40, 40)))
+
+
+def test_toxicity_scores_equal_a_plain_forward_pass():
+    rng = random.Random(9)
+    texts = [sentence(rng, "xx", rng.randint(5, 40)) + (" Idiotic! scumbag" if i % 3 == 0 else "") for i in range(90)]
+    model = tx.train(texts, [int(i % 3 == 0) for i in range(90)], [1.0] * 90, tx.ToxicityConfig(buckets=1 << 10, least_steps=50, epochs=2))
+    asked = [*texts[:12], "", " \n", "idiotic", "scumbags, IDIOTIC", "the " * 2000 + "scumbag"]
+    got = tx.score_words(model, wa.split_words(pa.array(asked, pa.large_string())))
+    for text, score in zip(asked, got.tolist(), strict=True):
+        assert score == pytest.approx(plain_score(model, text), rel=1e-3, abs=1e-5)
+    assert got[-1] > 0.5 and got[12] == got[13] < 0.5  # a word is heard in a very long text; no words, no toxicity
+
+
+def test_toxicity_learns_from_few_labelled_texts():
+    rng = random.Random(10)
+    bad = ["idiotic", "scumbag", "moron", "vermin", "wretch"]
+    make = lambda toxic: " ".join(sentence(rng, "xx", 80).split() + [rng.choice(bad) for _ in range(2 * toxic)])
+    labels = [int(i % 9 == 0) for i in range(270)]
+    model = tx.train([make(t) for t in labels], labels, [1.0] * 270, tx.ToxicityConfig(buckets=1 << 14))
+    asked = [make(1) for _ in range(40)] + [make(0) for _ in range(200)]
+    found = tx.score_words(model, wa.split_words(pa.array(asked, pa.large_string()))) >= 0.3
+    assert found[:40].sum() >= 36 and found[40:].sum() <= 4
+
+
+def test_columns_named_like_a_result_are_replaced(spark):
+    docs = spark.createDataFrame([(1, "the ing", "xx", "s", True, "l")], "doc_id long, text string, lang string, score string, ambiguous boolean, lang_pred string")
+    model = li.train(["the ing", "ung sch"], ["xx", "yy"], li.LanguageIdConfig(buckets=64, steps=5))
+    assert li.predict(docs, model).columns == ["doc_id", "text", "lang", "lang_pred", "score", "ambiguous"]
+    scored = tx.score(docs, tx.train(["a"], [0], [1.0], tx.ToxicityConfig(buckets=64)))
+    assert scored.columns == ["doc_id", "text", "lang", "ambiguous", "lang_pred", "score"] and scored.first().score < 0.01
