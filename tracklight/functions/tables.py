@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -33,9 +35,32 @@ def delete_at_exit(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+_scratch: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are materialized inside are deleted at the end: what is to last must be written elsewhere by then."""
+    paths: list[str] = []
+    _scratch.append(paths)
+    try:
+        yield
+    finally:
+        _scratch.pop()
+        for path in paths:
+            delete(spark, path)
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write to the shared folder and read back: cuts the lineage, survives lost executors, and goes when the driver ends."""
     spark, path = df.sparkSession, new_path(df.sparkSession, tag)
+    if _scratch:
+        _scratch[-1].append(path)
     df.write.parquet(path)
     delete_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
