@@ -93,13 +93,31 @@ def test_no_pair_of_a_bucket_is_lost_beside_its_leader(spark):
     docs.update({100 + i: [*docs[i][:90], *fresh(10)] for i in range(40)})
     texts = spark.createDataFrame([(i, " ".join(t)) for i, t in docs.items()], "doc_id long, text string")
     made = nd.sketch(texts, nd.NearDedupConfig()).withColumnRenamed("doc_id", "node").cache()
-    bucket = made.select(F.lit(1).cast("long").alias("bucket"), F.col("node").alias("member"))
+    bucket = made.select(F.lit(1).cast("long").alias("bucket"), F.col("node").alias("member"), F.col("n_words").cast("int").alias("n_words"))
     none = spark.createDataFrame([], "node long, label long")
     for shard in (1000, 16):
         got = sorted(map(tuple, nd.apart_pairs(bucket, none, made, nd.NearDedupConfig(shard=shard)).collect()))
         assert got == [(i, 100 + i) for i in range(40)]
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10**6))
+def test_no_similar_pair_is_excluded_by_the_bound(seed):
+    rng = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(rng.choice([5, 60, 3000]))]
+    base = [rng.choice(vocabulary) for _ in range(rng.choice([1, 4, 30, 400, 2000]))]
+    texts = [[rng.choice(vocabulary) if rng.random() < share else w for w in base if rng.random() > cut] for share, cut in ((0, 0), (0.1, 0), (0.15, 0.05), (0, 0.18), (0.3, 0), (0.9, 0))]
+    words = wa.split_words(pa.array([" ".join(t) for t in texts], pa.large_string()))
+    bins = nd.word_bins(words, nd.word_hashes(words), 64)
+    every, none = np.arange(6), np.zeros(6, dtype=bool)
+    p, q = nd.near_enough(every, words.lengths, none, bins, every, every, 0.8)
+    kept = set(zip(p.tolist(), q.tolist(), strict=True))
+    for i in range(6):
+        for j in range(i + 1, 6):
+            if al.similar_words(texts[i], texts[j], 0.8):
+                assert (i, j) in kept
+
+
 def test_odd_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert nd.near_classes(empty).count() == 0

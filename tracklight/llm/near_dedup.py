@@ -7,11 +7,11 @@ they order their passages differently. Texts that agree in any entry are candida
 word-level edit distance is (1 - ``similarity``) of the longer one's words at most.
 
 Exact copies are put together first, and only one text of them is compared. A bucket of texts with one entry in
-common has a leader, the member that meets most texts over all its buckets. First each member is compared with two
+common has a leader, the member that meets most texts over all its buckets. First each member is compared with a few
 of its buckets' leaders, so a group of copies is joined through its original with work that grows with the members;
 the buckets of ``led`` entries are enough for that. Then every pair of any bucket whose classes are not joined yet is compared too, but
 for those that a bound on their distance excludes: texts differ by as many edits as their counts of words, dealt
-over ``bins``, differ on one side. Big buckets are divided into blocks of pairs. Classes are the connected
+over ``bins``, differ on one side. Big buckets are divided by lengths, and into blocks of pairs. Classes are the connected
 components of the similar pairs, labelled by their least id, the same as if every pair of a bucket had been
 compared; nothing is capped.
 
@@ -26,6 +26,7 @@ Ids may be of any type that has an order. Other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -50,8 +51,9 @@ class NearDedupConfig:
     picks: int = 2
     similarity: float = 0.8
     seed: int = 5
-    bins: int = 128
-    shard: int = 256  # members of a bucket on one side of a block of pairs
+    leaders: int = 4  # of each member, at most
+    bins: int = 512
+    shard: int = 1024  # members of a bucket on one side of a block of pairs
 
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -163,15 +165,15 @@ def verify(pairs: DataFrame, texts: DataFrame, config: NearDedupConfig) -> DataF
 
 
 def shared_buckets(sketches: DataFrame) -> DataFrame:
-    """(bucket, band, member, n): the members of the buckets that have ``n`` of them, 2 or more."""
-    rows = sketches.where("entries IS NOT NULL").select(F.col("node").alias("member"), F.posexplode("entries").alias("band", "entry"))
-    rows = rows.select(F.xxhash64("band", "entry").alias("bucket"), F.col("band").cast("short").alias("band"), "member")
+    """(bucket, band, member, n_words, n): the members of the buckets that have ``n`` of them, 2 or more."""
+    rows = sketches.where("entries IS NOT NULL").select(F.col("node").alias("member"), F.col("n_words").cast("int").alias("n_words"), F.posexplode("entries").alias("band", "entry"))
+    rows = rows.select(F.xxhash64("band", "entry").alias("bucket"), F.col("band").cast("short").alias("band"), "member", "n_words")
     sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return materialize(rows.join(sizes, "bucket").select("bucket", "band", "member", "n"), "near-buckets")
+    return materialize(rows.join(sizes, "bucket").select("bucket", "band", "member", "n_words", "n"), "near-buckets")
 
 
 def led_pairs(rows: DataFrame, config: NearDedupConfig) -> DataFrame:
-    """(leader, member), two of each member at most: with the leaders of its buckets that meet most texts.
+    """(leader, member), ``leaders`` of each member at most: those of its buckets' leaders that meet most texts.
 
     The leader of a bucket is the member that has most neighbours over all its buckets.
     """
@@ -179,58 +181,70 @@ def led_pairs(rows: DataFrame, config: NearDedupConfig) -> DataFrame:
     met = rows.groupBy("member").agg(F.sum("n").alias("met"))
     ranked = materialize(rows.join(met, "member").select("bucket", "band", "member", "met"), "near-ranked")
     leaders = ranked.groupBy("bucket").agg(F.max(F.struct("met", -F.col("member"))).alias("m")).select("bucket", (-F.col("m.col2")).alias("leader"), F.col("m.met").alias("leads"))
-    led = ranked.join(leaders, "bucket").where("member <> leader").groupBy("member", (F.col("band") % 2).alias("half")).agg(F.max(F.struct("leads", -F.col("leader"))).alias("m"))
+    led = ranked.join(leaders, "bucket").where("member <> leader").groupBy("member", (F.col("band") % config.leaders).alias("part")).agg(F.max(F.struct("leads", -F.col("leader"))).alias("m"))
     return led.select((-F.col("m.col2")).alias("leader"), "member").distinct()
 
 
-def near_enough(classes: np.ndarray, lengths: np.ndarray, bins: np.ndarray, left: np.ndarray, right: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (p of ``left``, q of ``right``) of different classes whose distance may be within the limit; each once if the sides are the same."""
-    found = []
-    same = left is right
-    for k, p in enumerate(left.tolist()):
-        q = right[k + 1 :] if same else right
-        limit = ((1 - least) * np.maximum(lengths[q], lengths[p]) + 1e-9).astype(np.int64)
-        fits = (classes[q] != classes[p]) & (np.abs(lengths[q] - lengths[p]) <= limit)
-        q, limit = q[fits], limit[fits]
-        if len(q):
-            apart = bins[q].astype(np.int16) - bins[p].astype(np.int16)
-            more = np.maximum(apart, 0).sum(axis=1)
-            q = q[np.maximum(more, more - apart.sum(axis=1)) <= limit]
-            found.append((np.full(len(q), p), q))
+def near_enough(classes: np.ndarray, lengths: np.ndarray, low: np.ndarray, bins: np.ndarray, left: np.ndarray, right: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (p of ``left``, q of ``right``) of different classes whose distance may be within the limit; each once if the sides are the same.
+
+    Texts differ by as many edits as the words that one has more of, bin by bin. Products of the counts' roots, which
+    are no less than the words in common, exclude most pairs at once; the rest is counted. Pairs of two ``low`` texts
+    are another group's.
+    """
+    found, same = [], left is right
+    roots, totals = np.sqrt(bins[right], dtype=np.float32), bins.sum(axis=1, dtype=np.int64)
+    for start in range(0, len(left), 128):
+        p = left[start : start + 128]
+        longest = np.maximum(lengths[p][:, None], lengths[right][None, :])
+        limit = ((1 - least) * longest + 1e-9).astype(np.int64)
+        fits = (classes[p][:, None] != classes[right][None, :]) & (np.abs(lengths[p][:, None] - lengths[right][None, :]) <= limit) & ~(low[p][:, None] & low[right][None, :])
+        if same:
+            fits &= np.arange(start, start + len(p))[:, None] < np.arange(len(right))[None, :]
+        common = np.sqrt(bins[p], dtype=np.float32) @ roots.T
+        fits &= np.maximum(totals[p][:, None], totals[right][None, :]) - common <= limit + 0.01 + 1e-5 * longest
+        i, j = np.nonzero(fits)
+        for k in range(0, len(i), 4096):
+            own, other, most = p[i[k : k + 4096]], right[j[k : k + 4096]], limit[i[k : k + 4096], j[k : k + 4096]]
+            shared = np.minimum(bins[own], bins[other]).sum(axis=1, dtype=np.int64)
+            near = np.maximum(totals[own], totals[other]) - shared <= most
+            found.append((own[near], other[near]))
     if not found:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     return np.concatenate([p for p, _ in found]), np.concatenate([q for _, q in found])
 
 
 def apart_pairs(rows: DataFrame, labels: DataFrame, sketches: DataFrame, config: NearDedupConfig) -> DataFrame:
-    """(leader, member): all pairs of a bucket of ``rows`` (bucket, member) whose classes differ, less those that are certainly not similar."""
+    """(leader, member): all pairs of a bucket of ``rows`` (bucket, member, n_words) whose classes differ, less those that are certainly not similar.
+
+    Lengths of similar texts differ by a factor of ``similarity`` at most, so a bucket falls into groups by steps of
+    that factor: a text meets those of its own step, and as a ``low`` one those of the next.
+    """
     named = labels.select(F.col("node").alias("member"), F.col("label").alias("class"))
-    rows = materialize(rows.join(named, "member", "left").select("bucket", "member", F.coalesce("class", "member").alias("class")), "near-apart")
-    mixed = rows.groupBy("bucket").agg(F.min("class").alias("least"), F.max("class").alias("most"), F.count(F.lit(1)).alias("n")).where("least <> most")
-    rows = rows.join(mixed.select("bucket", F.ceil(F.col("n") / config.shard).cast("int").alias("shards")), "bucket")
+    rows = materialize(rows.join(named, "member", "left").select("bucket", "member", "n_words", F.coalesce("class", "member").alias("class")), "near-apart")
+    step = F.floor(F.log("n_words") / (1.0001 * -math.log(config.similarity))).cast("int")
+    rows = rows.select("bucket", "member", "class", "n_words", step.alias("own"), F.explode(F.array(step, step + 1)).alias("step")).withColumn("low", F.col("own") < F.col("step")).drop("own")
+    by = ["bucket", "step"]
+    mixed = rows.groupBy(*by).agg(F.min("class").alias("least"), F.max("class").alias("most"), F.min("low").alias("only_low"), F.count(F.lit(1)).alias("n")).where("least <> most AND NOT only_low")
+    rows = rows.join(mixed.select(*by, F.ceil(F.col("n") / config.shard).cast("int").alias("shards")), by)
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("member"), "shards").cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("other")
-    rows = rows.select("bucket", "member", "class", "shard", other).join(sketches.select(F.col("node").alias("member"), "n_words", "bins"), "member")
-    block = [F.col("bucket"), F.least("shard", "other").alias("i"), F.greatest("shard", "other").alias("j")]
-    held = F.struct("member", "class", "n_words", "shard", "bins")
-    blocks = rows.select(*block, held.alias("held")).groupBy("bucket", "i", "j").agg(F.collect_list("held").alias("held"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    rows = rows.select(*by, "member", "class", "n_words", "low", "shard", other).join(sketches.select(F.col("node").alias("member"), "bins"), "member")
+    block = [*by, F.least("shard", "other").alias("i"), F.greatest("shard", "other").alias("j")]
+    held = F.struct("member", "class", "n_words", "low", "shard", "bins")
+    blocks = rows.select(*block, held.alias("held")).groupBy(*by, "i", "j").agg(F.collect_list("held").alias("held"), F.count(F.lit(1)).alias("n")).where("n > 1")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            firsts, seconds = [], []
-            lists, places = batch.column("held"), zip(batch.column("i").to_pylist(), batch.column("j").to_pylist(), strict=True)
-            held = lists.flatten()
-            member, classes, lengths, shard = (held.field(c).to_numpy() for c in ("member", "class", "n_words", "shard"))
-            bins = np.frombuffer(b"".join(held.field("bins").to_pylist()), dtype=np.uint8).reshape(-1, config.bins)
-            ends = np.cumsum(pc.list_value_length(lists).to_numpy())
-            for (i, j), start, end in zip(places, np.concatenate([[0], ends[:-1]]), ends, strict=True):
-                left = np.arange(start, end)[shard[start:end] == i]
-                right = left if i == j else np.arange(start, end)[shard[start:end] == j]
-                p, q = near_enough(classes, lengths, bins, left, right, config.similarity)
-                firsts.append(np.minimum(member[p], member[q]))
-                seconds.append(np.maximum(member[p], member[q]))
-            if firsts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(firsts)), pa.array(np.concatenate(seconds))], names=["leader", "member"])
+            for row in range(batch.num_rows):  # a block at a time
+                i, j, held = batch.column("i")[row].as_py(), batch.column("j")[row].as_py(), batch.column("held")[row].values
+                member, classes, lengths, shard = (held.field(c).to_numpy() for c in ("member", "class", "n_words", "shard"))
+                low = held.field("low").to_numpy(zero_copy_only=False)
+                bins = np.frombuffer(b"".join(held.field("bins").to_pylist()), dtype=np.uint8).reshape(-1, config.bins)
+                left = np.flatnonzero(shard == i)
+                right = left if i == j else np.flatnonzero(shard == j)
+                p, q = near_enough(classes, lengths.astype(np.int64), low, bins, left, right, config.similarity)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(member[p], member[q])), pa.array(np.maximum(member[p], member[q]))], names=["leader", "member"])
         wa.give_back()
 
     return blocks.select("i", "j", "held").mapInArrow(run, "leader long, member long").distinct()
@@ -249,7 +263,7 @@ def similar_pairs(wanted_texts: Callable[[DataFrame], DataFrame], sketches: Data
     edges = links.select(F.col("leader").alias("a"), F.col("member").alias("b")).union(joined)
     labels = components(edges)
     tried = compared.select(F.least("leader", "member").alias("leader"), F.greatest("leader", "member").alias("member"))
-    pairs = materialize(apart_pairs(rows.select("bucket", "member"), labels, sketches, config).join(tried, ["leader", "member"], "left_anti"), "near-pairs")
+    pairs = materialize(apart_pairs(rows.select("bucket", "member", "n_words"), labels, sketches, config).join(tried, ["leader", "member"], "left_anti"), "near-pairs")
     if not pairs.limit(1).count():
         return links, labels
     more = materialize(verify(pairs, texts, config), "near-links")
