@@ -34,7 +34,7 @@ class MixConfig:
     weights: tuple = (5, 2, 1)  # repeat along the sources in code point order, null last
     max_copies: int = 3
     iterations: int = 40
-    tolerance: float = 1e-9  # of the target, for the words of the real-valued rates
+    tolerance: float = 1e-7  # of the target, for the words of the real-valued rates
     group_rows: int = 20_000  # documents that are rounded together
 
 
