@@ -54,10 +54,14 @@ def upsert_counts(stored: DataFrame, batch: DataFrame, sequence: str = "observed
 
 
 def asset_dimension(stored: DataFrame, events: DataFrame) -> DataFrame:
-    """(asset_id, symbol, first_seen_at) after events: the first symbol stays, the earliest moment counts."""
-    seen = events.where("asset_id IS NOT NULL").groupBy("asset_id").agg(F.min("chain_time").alias("_first"), F.min_by("symbol", F.when(F.col("symbol").isNotNull(), F.col("chain_time"))).alias("_symbol"))
+    """(asset_id, network, address, symbol, decimals, first_seen_at) after events: the first symbol and decimals stay, the earliest moment counts."""
+    known = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("chain_time")))
+    seen = events.where("asset_id IS NOT NULL").groupBy("asset_id").agg(F.min("chain_time").alias("_first"), known("symbol").alias("_symbol"), known("decimals").alias("_decimals"))
     both = stored.join(seen, "asset_id", "full_outer")
-    return both.select("asset_id", F.coalesce("symbol", "_symbol").alias("symbol"), F.least("first_seen_at", "_first").alias("first_seen_at"))
+    return both.select(
+        "asset_id", F.split_part("asset_id", F.lit(":"), F.lit(1)).alias("network"), fn.asset_address(F.col("asset_id")).alias("address"), F.coalesce("symbol", "_symbol").alias("symbol"),
+        F.coalesce("decimals", "_decimals").alias("decimals"), F.least("first_seen_at", "_first").alias("first_seen_at"),
+    )
 
 
 def register_assets(stored: DataFrame, pools: DataFrame) -> DataFrame:

@@ -135,13 +135,15 @@ def dead_letters(spark, sf_dir):
     return bad.groupBy("error").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("asset_dimension", sql.with_(sql.EVENTS) + f"SELECT asset_id, min(us) AS first_us, arg_min(event_type, us) FILTER (event_type = 'swap') AS symbol FROM ev WHERE asset_id IS NOT NULL GROUP BY 1")
+@query("asset_dimension", sql.with_(sql.EVENTS) + "SELECT asset_id, 'k' AS network, substr(asset_id, 3) AS address, min(us) AS first_us, arg_min(event_type, us) FILTER (event_type = 'swap') AS symbol, max(length(asset_id)::INTEGER) FILTER (event_type = 'swap') AS decimals FROM ev WHERE asset_id IS NOT NULL GROUP BY 1")
 def asset_dimension(spark, sf_dir):
-    events = adapters.clickstream_events(spark, sf_dir).withColumn("symbol", F.when(F.col("event_type") == "swap", F.col("event_type")))
+    swap = F.col("event_type") == "swap"
+    events = adapters.clickstream_events(spark, sf_dir).withColumns({"symbol": F.when(swap, F.col("event_type")), "decimals": F.when(swap, F.length("asset_id"))})
     cut = qo.as_of()
-    empty = spark.createDataFrame([], "asset_id string, symbol string, first_seen_at timestamp")
+    empty = spark.createDataFrame([], "asset_id string, network string, address string, symbol string, decimals int, first_seen_at timestamp")
     old = sinks.asset_dimension(empty, events.where(F.col("observed_at") >= cut))
-    return sinks.asset_dimension(old, events.where(F.col("observed_at") < cut)).select("asset_id", F.unix_micros("first_seen_at").alias("first_us"), "symbol")
+    found = sinks.asset_dimension(old.drop("network", "address"), events.where(F.col("observed_at") < cut))
+    return found.select("asset_id", "network", "address", F.unix_micros("first_seen_at").alias("first_us"), "symbol", "decimals")
 
 
 @query(

@@ -24,7 +24,7 @@ from tracklight.plans import q_sources as qx
 from tracklight.plans import q_wallets as qw
 from tracklight.plans import sql_parts as sql
 from tracklight.plans.catalogue import query
-from tracklight.schema import DAILY_OUTCOMES, DAY
+from tracklight.schema import DAILY_OUTCOMES, DAY, PREDICTIVE
 from tracklight.sources import adapters, scans
 
 AT = qo.AS_OF_US
@@ -352,3 +352,19 @@ def survival(spark, sf_dir):
     customer = adapters.read(spark, sf_dir, "customer")
     of = lambda n: customer.select(F.col("c_custkey").alias("actor"), (F.col("c_custkey") % n == 0).alias("passed"))
     return qw.rounded(ds.survival(of(2), of(3)))
+
+
+@query(
+    "backtest_run",
+    sql.with_(*qs.FILL_PARTS, sql.outcomes(qo.K), sql.LISTINGS, qo.ALL_OUTCOMES, sql.ASSETS)
+    + f"""SELECT 'trades' AS check_name, true AS passed, count(*) AS bad FROM rt UNION ALL SELECT 'rejected', true, count(*) FROM fl WHERE NOT coalesce(p > 0, false)
+UNION ALL SELECT 'outcome_first_observed_at_not_before_t0', count(*) FILTER (seen < t0) = 0, count(*) FILTER (seen < t0) FROM o UNION ALL SELECT 'event_observed_at_not_before_chain_time', true, 0
+UNION ALL SELECT 'universe_includes_non_performers', n > 0 AND w < 0.5 * n, w FROM (SELECT count(DISTINCT asset_id) FILTER (outcome_class IN {PREDICTIVE}) AS w FROM o), (SELECT count(*) FILTER (first_seen <= {AT}) AS n FROM ast)
+UNION ALL SELECT 'observation_lag_recorded', true, 0""",
+)
+def backtest_run(spark, sf_dir):
+    """A run with its audit; on this stream most assets moved, so the audit rightly objects to the universe."""
+    events = clicks(spark, sf_dir)
+    found = bt.run(qs.entries(spark, sf_dir), adapters.clickstream_candles(spark, sf_dir), events, qo.k_outcomes(spark, sf_dir), qo.k_assets(spark, sf_dir), qo.as_of(), qs.BACKTEST)
+    counts = found.summary.select(F.explode(F.array(*[F.struct(F.lit(n).alias("check_name"), F.lit(True).alias("passed"), F.col(n).alias("bad")) for n in ("trades", "rejected")])).alias("c")).select("c.*")
+    return counts.unionByName(found.audit)
