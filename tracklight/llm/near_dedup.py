@@ -9,7 +9,8 @@ word-level edit distance is (1 - ``similarity``) of the longer one's words at mo
 Exact copies are put together first, and only one text of them is compared. A bucket of texts with one entry in
 common has a leader, the member that meets most texts over all its buckets. First each member is compared with a few
 of its buckets' leaders, so a group of copies is joined through its original with work that grows with the members;
-the buckets of ``led`` entries are enough for that. Then every pair of any bucket whose classes are not joined yet is compared too, but
+the buckets of ``led`` entries are enough for that. Members that this leaves apart are compared with other members
+of their buckets, taken by hash. Then every pair of any bucket whose classes are not joined yet is compared too, but
 for those that a bound on their distance excludes: texts differ by as many edits as their counts of words, dealt
 over ``bins``, differ on one side. Big buckets are divided by lengths, and into blocks of pairs. Classes are the connected
 components of the similar pairs, labelled by their least id, the same as if every pair of a bucket had been
@@ -51,7 +52,8 @@ class NearDedupConfig:
     picks: int = 2
     similarity: float = 0.8
     seed: int = 5
-    leaders: int = 4  # of each member, at most
+    leaders: int = 4  # that each member is compared with first, at most,
+    second: int = 8  # and then, if that did not put it in their class
     bins: int = 512
     shard: int = 1024  # members of a bucket on one side of a block of pairs
 
@@ -185,6 +187,26 @@ def led_pairs(rows: DataFrame, config: NearDedupConfig) -> DataFrame:
     return led.select((-F.col("m.col2")).alias("leader"), "member").distinct()
 
 
+def _steps(rows: DataFrame, config: NearDedupConfig) -> Column:
+    """Lengths by steps of the factor that lengths of similar texts may differ by."""
+    return F.floor(F.log("n_words") / (1.0001 * -math.log(config.similarity))).cast("int")
+
+
+def strayed_pairs(rows: DataFrame, labels: DataFrame, config: NearDedupConfig) -> DataFrame:
+    """(leader, member), ``second`` of each member at most: members whose class is not that of a leader taken by hash, of all buckets and of like length.
+
+    Few members of a group of copies differ from all leaders that met most; other members are likely to link them.
+    """
+    named = labels.select(F.col("node").alias("member"), F.col("label").alias("class"))
+    rows = rows.join(named, "member", "left").select("bucket", "band", "member", _steps(rows, config).alias("step"), F.coalesce("class", "member").alias("class"))
+    rows = materialize(rows, "near-strayed")
+    taken = F.max(F.struct(F.xxhash64("member", "bucket").alias("h"), F.col("member").alias("leader"), F.col("class").alias("leads"))).alias("m")
+    chosen = rows.groupBy("bucket", "step").agg(taken, F.min("class").alias("least"), F.max("class").alias("most")).where("least <> most")
+    met = rows.join(chosen.select("bucket", "step", "m.*"), ["bucket", "step"]).where(F.col("class") != F.col("leads"))
+    kept = met.groupBy("member", (F.col("band") % config.second).alias("part")).agg(F.max(F.struct("h", "leader")).alias("m"))
+    return kept.select(F.col("m.leader").alias("leader"), "member").distinct()
+
+
 def near_enough(classes: np.ndarray, lengths: np.ndarray, low: np.ndarray, bins: np.ndarray, left: np.ndarray, right: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (p of ``left``, q of ``right``) of different classes whose distance may be within the limit; each once if the sides are the same.
 
@@ -222,7 +244,7 @@ def apart_pairs(rows: DataFrame, labels: DataFrame, sketches: DataFrame, config:
     """
     named = labels.select(F.col("node").alias("member"), F.col("label").alias("class"))
     rows = materialize(rows.join(named, "member", "left").select("bucket", "member", "n_words", F.coalesce("class", "member").alias("class")), "near-apart")
-    step = F.floor(F.log("n_words") / (1.0001 * -math.log(config.similarity))).cast("int")
+    step = _steps(rows, config)
     rows = rows.select("bucket", "member", "class", "n_words", step.alias("own"), F.explode(F.array(step, step + 1)).alias("step")).withColumn("low", F.col("own") < F.col("step")).drop("own")
     by = ["bucket", "step"]
     mixed = rows.groupBy(*by).agg(F.min("class").alias("least"), F.max("class").alias("most"), F.min("low").alias("only_low"), F.count(F.lit(1)).alias("n")).where("least <> most AND NOT only_low")
@@ -258,16 +280,19 @@ def similar_pairs(wanted_texts: Callable[[DataFrame], DataFrame], sketches: Data
     """
     rows = shared_buckets(sketches)
     texts = materialize(wanted_texts(rows.select(F.col("member").alias("node")).distinct()), "near-texts")
-    compared = materialize(led_pairs(rows, config), "near-pairs")
-    links = materialize(verify(compared, texts, config), "near-links")
-    edges = links.select(F.col("leader").alias("a"), F.col("member").alias("b")).union(joined)
-    labels = components(edges)
-    tried = compared.select(F.least("leader", "member").alias("leader"), F.greatest("leader", "member").alias("member"))
-    pairs = materialize(apart_pairs(rows.select("bucket", "member", "n_words"), labels, sketches, config).join(tried, ["leader", "member"], "left_anti"), "near-pairs")
-    if not pairs.limit(1).count():
-        return links, labels
-    more = materialize(verify(pairs, texts, config), "near-links")
-    return links.unionByName(more), components(edges.union(more.select("leader", "member")))
+    ordered = lambda pairs: pairs.select(F.least("leader", "member").alias("leader"), F.greatest("leader", "member").alias("member"))
+    links, edges, labels, tried = None, joined, None, None
+    for choose in (lambda: led_pairs(rows, config), lambda: strayed_pairs(rows, labels, config), lambda: apart_pairs(rows.select("bucket", "member", "n_words"), labels, sketches, config)):
+        pairs = ordered(choose()).distinct()
+        pairs = materialize(pairs if tried is None else pairs.join(tried, ["leader", "member"], "left_anti"), "near-pairs")
+        if labels is not None and not pairs.limit(1).count():
+            continue
+        found = materialize(verify(pairs, texts, config), "near-links")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        links = found if links is None else links.unionByName(found)
+        edges = edges.union(found.select("leader", "member"))
+        labels = components(edges)
+    return links, labels
 
 
 def components(edges: DataFrame) -> DataFrame:
