@@ -144,8 +144,8 @@ def test_detectors(spark):
     assert oc.price_runs(candle(spark, [1] * 9 + [3.5], volume=1.0)).count() == 0 and oc.price_runs(candle(spark, [1, 9])).count() == 0
     fall = candle(spark, [1] * 9 + [4, 0.5, 0.4])
     assert [r.t0 for r in oc.collapses(fall).collect()] == [day(10)]
-    pump = oc.pump_events(oc.price_runs(fall), oc.collapses(fall)).first()
-    assert pump.hours_to_collapse == 24.0 and pump.t0 == day(9)
+    pump = oc.pump_events(fall).first()
+    assert pump.evidence["hours_to_collapse"] == "24.0" and pump.t0 == day(9) and pump.evidence["run_outcome_id"] == oc.price_runs(fall).first().outcome_id
     wake = candle(spark, [1] * 80 + [6] * 3, volume=100.0)
     woken = oc.revivals(wake).first()
     assert woken.t0 == day(66) and woken.magnitude == 6.0  # the first candle whose next 14 days hold the peak
