@@ -331,9 +331,9 @@ def volume_7(spark, sf_dir):
     return found.select("asset_id", F.unix_micros("start").alias("us"), F.round("v7", 4).alias("v7"), F.round("trailing_volume", 4).alias("v25"))
 
 
-@query("brand_candles", f"SELECT 'brand:' || p_brand AS asset_id, (epoch_us(l_shipdate) // {DAY}) * {DAY} AS us, round(median(l_extendedprice / l_quantity), 6) AS close, round(sum(l_extendedprice), 4) AS volume FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2")
+@query("brand_candles", f"SELECT 'brand:' || p_brand AS asset_id, (epoch_us(l_shipdate) // {DAY}) * {DAY} AS us, median(l_extendedprice / l_quantity) AS close, round(sum(l_extendedprice), 2) AS volume FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2")
 def brand_candles(spark, sf_dir):
-    return adapters.brand_candles(spark, sf_dir).select("asset_id", F.unix_micros("start").alias("us"), F.round("close", 6).alias("close"), F.round("volume", 4).alias("volume"))
+    return adapters.brand_candles(spark, sf_dir).select("asset_id", F.unix_micros("start").alias("us"), "close", F.round("volume", 2).alias("volume"))
 
 
 DAILY = dataclasses.replace(qo.PART, run_least_volume=DAILY_OUTCOMES.run_least_volume, dormant_most_volume=DAILY_OUTCOMES.dormant_most_volume)
