@@ -92,8 +92,9 @@ def test_no_pair_of_a_bucket_is_lost_beside_its_leader(spark):
     docs = {i: fresh(100) for i in range(40)}
     docs.update({100 + i: [*docs[i][:90], *fresh(10)] for i in range(40)})
     texts = spark.createDataFrame([(i, " ".join(t)) for i, t in docs.items()], "doc_id long, text string")
-    made = nd.sketch(texts, nd.NearDedupConfig()).withColumnRenamed("doc_id", "node").cache()
-    bucket = made.select(F.lit(1).cast("long").alias("bucket"), F.col("node").alias("member"), F.col("n_words").cast("int").alias("n_words"))
+    made = nd.sketch(texts, nd.NearDedupConfig()).withColumnRenamed("doc_id", "node").withColumn("entries", F.array(F.col("node"), F.lit(7).cast("long"), F.lit(7).cast("long"))).cache()
+    bucket = made.select(F.lit(1).cast("long").alias("bucket"), F.explode(F.array(F.lit(1).cast("short"), F.lit(2).cast("short"))).alias("band"), F.col("node").alias("member"), F.col("n_words").cast("int").alias("n_words"))
+    bucket = bucket.withColumn("bucket", F.col("band").cast("long"))
     none = spark.createDataFrame([], "node long, label long")
     for shard in (1000, 16):
         got = sorted(map(tuple, nd.apart_pairs(bucket, none, made, nd.NearDedupConfig(shard=shard)).collect()))

@@ -47,7 +47,7 @@ from tracklight.llm.common import materialize
 @dataclass(frozen=True)
 class NearDedupConfig:
     shingle: int = 5
-    entries: int = 64
+    entries: int = 56
     led: int = 16  # entries whose buckets compare members with leaders first
     picks: int = 2
     similarity: float = 0.8
@@ -237,39 +237,46 @@ def near_enough(classes: np.ndarray, lengths: np.ndarray, low: np.ndarray, bins:
 
 
 def apart_pairs(rows: DataFrame, labels: DataFrame, sketches: DataFrame, config: NearDedupConfig) -> DataFrame:
-    """(leader, member): all pairs of a bucket of ``rows`` (bucket, member, n_words) whose classes differ, less those that are certainly not similar.
+    """(leader, member): all pairs of a bucket of ``rows`` (bucket, band, member, n_words) whose classes differ, less those that are certainly not similar.
+
+    A pair comes from the first entry that it has in common, once.
 
     Lengths of similar texts differ by a factor of ``similarity`` at most, so a bucket falls into groups by steps of
     that factor: a text meets those of its own step, and as a ``low`` one those of the next.
     """
     named = labels.select(F.col("node").alias("member"), F.col("label").alias("class"))
-    rows = materialize(rows.join(named, "member", "left").select("bucket", "member", "n_words", F.coalesce("class", "member").alias("class")), "near-apart")
+    rows = materialize(rows.join(named, "member", "left").select("bucket", "band", "member", "n_words", F.coalesce("class", "member").alias("class")), "near-apart")
     step = _steps(rows, config)
-    rows = rows.select("bucket", "member", "class", "n_words", step.alias("own"), F.explode(F.array(step, step + 1)).alias("step")).withColumn("low", F.col("own") < F.col("step")).drop("own")
+    rows = rows.select("bucket", "band", "member", "class", "n_words", step.alias("own"), F.explode(F.array(step, step + 1)).alias("step")).withColumn("low", F.col("own") < F.col("step")).drop("own")
     by = ["bucket", "step"]
     mixed = rows.groupBy(*by).agg(F.min("class").alias("least"), F.max("class").alias("most"), F.min("low").alias("only_low"), F.count(F.lit(1)).alias("n")).where("least <> most AND NOT only_low")
     rows = rows.join(mixed.select(*by, F.ceil(F.col("n") / config.shard).cast("int").alias("shards")), by)
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("member"), "shards").cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("other")
-    rows = rows.select(*by, "member", "class", "n_words", "low", "shard", other).join(sketches.select(F.col("node").alias("member"), "bins"), "member")
-    block = [*by, F.least("shard", "other").alias("i"), F.greatest("shard", "other").alias("j")]
-    held = F.struct("member", "class", "n_words", "low", "shard", "bins")
-    blocks = rows.select(*block, held.alias("held")).groupBy(*by, "i", "j").agg(F.collect_list("held").alias("held"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    alone = rows.where("shards = 1").withColumn("other", F.lit(0))
+    rows = alone.unionByName(rows.where("shards > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))))
+    rows = rows.join(sketches.select(F.col("node").alias("member"), "bins", "entries"), "member")
+    block = [*by, "band", F.least("shard", "other").alias("i"), F.greatest("shard", "other").alias("j")]
+    held = F.struct("member", "class", "n_words", "low", "shard", "bins", "entries")
+    blocks = rows.select(*block, held.alias("held")).groupBy(*by, "band", "i", "j").agg(F.collect_list("held").alias("held"), F.count(F.lit(1)).alias("n")).where("n > 1")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):  # a block at a time
-                i, j, held = batch.column("i")[row].as_py(), batch.column("j")[row].as_py(), batch.column("held")[row].values
+                i, j, band = (batch.column(c)[row].as_py() for c in ("i", "j", "band"))
+                held = batch.column("held")[row].values
                 member, classes, lengths, shard = (held.field(c).to_numpy() for c in ("member", "class", "n_words", "shard"))
                 low = held.field("low").to_numpy(zero_copy_only=False)
                 bins = np.frombuffer(b"".join(held.field("bins").to_pylist()), dtype=np.uint8).reshape(-1, config.bins)
                 left = np.flatnonzero(shard == i)
                 right = left if i == j else np.flatnonzero(shard == j)
                 p, q = near_enough(classes, lengths.astype(np.int64), low, bins, left, right, config.similarity)
+                entries = held.field("entries").flatten().to_numpy().reshape(len(member), -1)
+                first = np.concatenate([np.empty(0, bool), *((entries[p[k : k + 4096]] == entries[q[k : k + 4096]]).argmax(axis=1) == band for k in range(0, len(p), 4096))])
+                p, q = p[first], q[first]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(member[p], member[q])), pa.array(np.maximum(member[p], member[q]))], names=["leader", "member"])
         wa.give_back()
 
-    return blocks.select("i", "j", "held").mapInArrow(run, "leader long, member long").distinct()
+    return blocks.select("band", "i", "j", "held").mapInArrow(run, "leader long, member long")
 
 
 def similar_pairs(wanted_texts: Callable[[DataFrame], DataFrame], sketches: DataFrame, joined: DataFrame, config: NearDedupConfig) -> tuple[DataFrame, DataFrame]:
@@ -282,7 +289,7 @@ def similar_pairs(wanted_texts: Callable[[DataFrame], DataFrame], sketches: Data
     texts = materialize(wanted_texts(rows.select(F.col("member").alias("node")).distinct()), "near-texts")
     ordered = lambda pairs: pairs.select(F.least("leader", "member").alias("leader"), F.greatest("leader", "member").alias("member"))
     links, edges, labels, tried = None, joined, None, None
-    for choose in (lambda: led_pairs(rows, config), lambda: strayed_pairs(rows, labels, config), lambda: apart_pairs(rows.select("bucket", "member", "n_words"), labels, sketches, config)):
+    for choose in (lambda: led_pairs(rows, config), lambda: strayed_pairs(rows, labels, config), lambda: apart_pairs(rows.select("bucket", "band", "member", "n_words"), labels, sketches, config)):
         pairs = ordered(choose()).distinct()
         pairs = materialize(pairs if tried is None else pairs.join(tried, ["leader", "member"], "left_anti"), "near-pairs")
         if labels is not None and not pairs.limit(1).count():
