@@ -47,7 +47,7 @@ from tracklight.llm.common import materialize
 @dataclass(frozen=True)
 class NearDedupConfig:
     shingle: int = 5
-    entries: int = 56
+    entries: int = 64
     led: int = 16  # entries whose buckets compare members with leaders first
     picks: int = 2
     similarity: float = 0.8
