@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracklight.functions import scalars as fn
+from tracklight.functions.tables import keep
 from tracklight.functions.temporal import previous_action, range_join
 from tracklight.operators import metrics as wm
 from tracklight.schema import DAY, SIGNAL_TEXTS, SignalConfig
@@ -161,14 +162,17 @@ def union(*families: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, families).orderBy(F.desc("significance"), "triggered_at", "family", "asset_id", "wallet")
 
 
-def run_all(events: DataFrame, candidates: DataFrame, edge_table: DataFrame, outcomes: DataFrame, as_of: Column, start: Column, config: SignalConfig = SignalConfig()) -> DataFrame:
-    """The signals of every family at a moment. ``candidates``, ``edge_table`` and ``outcomes`` should be stored tables, as several families read them."""
+def run_all(events: DataFrame, candidates: DataFrame, edge_table: DataFrame, outcomes: DataFrame, as_of: Column, start: Column, config: SignalConfig = SignalConfig(), keep=keep) -> DataFrame:
+    """The signals of every family at a moment. ``candidates``, ``edge_table`` and ``outcomes`` should be stored tables, as several families read them.
+
+    The candidates' own events, which most families look at, are kept.
+    """
     tracked = candidates.where("status IN ('tracked', 'shadow')")
-    own = wm.visible(events, as_of).join(tracked.select(F.col("wallet").alias("actor")).distinct(), "actor", "left_semi")
+    own = keep(wm.visible(events, as_of).join(candidates.select(F.col("wallet").alias("actor")).distinct(), "actor", "left_semi"))
     clock = events.sparkSession.range(1).select(as_of.alias("as_of"))
     return union(
-        tracked_actions(events, tracked, wm.activity(own), as_of, config), silent_accumulation(events, clock, config), convergence(events, tracked, edge_table, as_of, config),
-        sequence_confirmation(events, edge_table, as_of, config), pump_operator_activity(events, candidates, outcomes, as_of, config), new_candidates(candidates, as_of, start),
+        tracked_actions(own, tracked, wm.activity(own), as_of, config), silent_accumulation(events, clock, config), convergence(own, tracked, edge_table, as_of, config),
+        sequence_confirmation(events, edge_table, as_of, config), pump_operator_activity(own, candidates, outcomes, as_of, config), new_candidates(candidates, as_of, start),
     )
 
 
