@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracklight.llm import query_manifest, query_models, query_near, query_rules, query_runs, query_tables, query_text
+from tracklight.llm import query_manifest, query_models, query_near, query_rules, query_runs, query_tables, query_text, query_urls
 from tracklight.llm.catalogue import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "query_manifest", "query_models", "query_near", "query_rules", "query_runs", "query_tables", "query_text"]
+__all__ = ["ORACLE", "QUERIES", "query_manifest", "query_models", "query_near", "query_rules", "query_runs", "query_tables", "query_text", "query_urls"]
