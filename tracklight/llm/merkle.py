@@ -14,8 +14,8 @@ lost executors cost a tier's tasks at most. The driver sees one number per tier.
 Defined results: a row's digest covers the columns given, each as byte count, colon and value, null as ``-``; rows
 of a source are ordered by id (null first), equal ids by digest; rows equal in all of it are leaves of their own.
 A node of one child is the digest of that child's; a source of one row is that row's digest. Sources are ordered by
-their UTF-8 bytes, null first. An empty table has no rows and no root. Other columns are carried along; those whose
-names start with ``_mk_`` are this module's.
+their UTF-8 bytes, null first. An empty table has no rows and no root. Other columns, of whatever name, are carried
+along.
 """
 
 from __future__ import annotations
@@ -147,9 +147,8 @@ def _descend(nodes: DataFrame, above: DataFrame, added: dict, config: MerkleConf
     ``above`` has the path of every block's top: _mk_tree, _mk_block, _mk_path (before and after of every level, in
     turn). A path is shuffled once per block, not once per node.
     """
-    block = config.block
+    block, names = config.block, nodes.columns
     keyed = nodes.withColumn("_mk_block", F.floor(F.col("_mk_at") / block))
-    names = nodes.columns
 
     def run(group: pa.Table, top: pa.Table) -> pa.Table:
         group = group.sort_by("_mk_at")
@@ -183,17 +182,22 @@ def paths_of(tiers: list[DataFrame], above: DataFrame, config: MerkleConfig) ->
     return above
 
 
-def number_leaves(leaves: DataFrame, source: str, order: list[Column]) -> tuple[DataFrame, DataFrame]:
-    """(leaves with _mk_tree, _mk_at, _mk_n; a row per source with _mk_source and _mk_tree, its place among the sources)."""
+def number_leaves(leaves: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(leaves with _mk_tree, _mk_at, _mk_n; a row per source with _mk_tree, its place among the sources, and _mk_n).
+
+    Leaves are _mk_kept, _mk_source, _mk_order, _mk_digest, _mk_shown.
+    """
     spread = leaves.withColumn("_mk_row", F.monotonically_increasing_id())  # rows that are alike still go to several ranges
-    placed = materialize(dense_index(spread, [F.col(source).asc_nulls_first(), *order, F.col("_mk_row")], "_mk_place"), "merkle-leaves")
-    per = placed.groupBy(F.col(source).alias("_mk_source")).agg(F.min("_mk_place").alias("_mk_first"), F.count(F.lit(1)).alias("_mk_n"))
+    order = [F.col("_mk_source").asc_nulls_first(), F.col("_mk_order").asc_nulls_first(), F.col("_mk_digest"), F.col("_mk_row")]
+    placed = materialize(dense_index(spread, order, "_mk_place"), "merkle-leaves")
+    per = placed.groupBy(F.col("_mk_source").alias("_mk_name")).agg(F.min("_mk_place").alias("_mk_first"), F.count(F.lit(1)).alias("_mk_n"))
     sources = materialize(dense_index(per, [F.col("_mk_first")], "_mk_tree"), "merkle-sources")
-    found = placed.join(sources, F.col(source).eqNullSafe(F.col("_mk_source")))
-    return found.withColumn("_mk_at", F.col("_mk_place") - F.col("_mk_first")).drop("_mk_row", "_mk_place", "_mk_first", "_mk_source"), sources
+    found = placed.join(sources, F.col("_mk_source").eqNullSafe(F.col("_mk_name")))
+    at = (F.col("_mk_place") - F.col("_mk_first")).alias("_mk_at")
+    return found.select("_mk_kept", "_mk_digest", "_mk_shown", "_mk_tree", at, "_mk_n"), sources
 
 
-def manifest(leaves: DataFrame, digest: str = "leaf", shown: str | None = None, source: str = "source", order: tuple[str, ...] = ("doc_id",), config: MerkleConfig = MerkleConfig()) -> DataFrame:
+def manifest(leaves: DataFrame, digest: str = "leaf", shown: str | None = None, source: str = "source", order: str = "doc_id", config: MerkleConfig = MerkleConfig()) -> DataFrame:
     """``leaves`` with subroot, root, proof_sha256, folded_root and verified.
 
     ``proof_sha256`` is the digest of the siblings' digests on the way to the root, level by level, left to right.
@@ -202,8 +206,9 @@ def manifest(leaves: DataFrame, digest: str = "leaf", shown: str | None = None,
     of these names are replaced.
     """
     added = ("subroot", "root", "proof_sha256", "folded_root", "verified")
-    leaves = leaves.drop(*added).withColumns({"_mk_digest": F.col(digest), "_mk_shown": F.col(shown or digest)})
-    numbered, sources = number_leaves(leaves, source, [*[F.col(c).asc_nulls_first() for c in order], F.col("_mk_digest")])
+    kept = F.struct(*[F.col(c) for c in leaves.columns if c not in added])
+    named = leaves.select(kept.alias("_mk_kept"), F.col(source).alias("_mk_source"), F.col(order).alias("_mk_order"), F.col(digest).alias("_mk_digest"), F.col(shown or digest).alias("_mk_shown"))
+    numbered, sources = number_leaves(named)
     numbered = materialize(numbered, "merkle-numbered")
     tiers = climb(numbered, config)
     subroots = materialize(tiers[-1].select("_mk_tree", F.col("_mk_digest").alias("subroot")), "merkle-subroots")
@@ -217,6 +222,4 @@ def manifest(leaves: DataFrame, digest: str = "leaf", shown: str | None = None,
     below = paths_of(tiers, above, config)
     proven = _descend(numbered, below, {"_mk_proof": "string", "_mk_folded": "string"}, config, _proofs)
     found = proven.join(subroots, "_mk_tree").join(F.broadcast(root))  # one row
-    return found.select(
-        *[c for c in leaves.columns if not c.startswith("_mk_")], "subroot", "root", F.col("_mk_proof").alias("proof_sha256"), F.col("_mk_folded").alias("folded_root"), (F.col("_mk_folded") == F.col("root")).alias("verified")
-    )
+    return found.select("_mk_kept.*", "subroot", "root", F.col("_mk_proof").alias("proof_sha256"), F.col("_mk_folded").alias("folded_root"), (F.col("_mk_folded") == F.col("root")).alias("verified"))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracklight.llm.common import materialize
+from tracklight.llm.common import let, materialize
 
 LETTERS = r"[^\p{L}]+"
 UNIT = 1_000_000  # scores are whole millionths of natural logarithms
@@ -62,8 +62,9 @@ def pieces_of(name: Column) -> Column:
 
 def host_rules(hosts: DataFrame, rules: DataFrame) -> DataFrame:
     """(host, _url_rules): the rules (verdict, host, path) of each host and of those above it, longest first."""
-    labels = F.split("host", r"\.")
-    above = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    deepest = rules.agg(F.max(F.size(F.split("host", r"\.")))).first()[0] or 1  # a number
+    labels = F.slice(F.reverse(F.split("host", r"\.")), 1, deepest)
+    above = let(labels, lambda x: F.transform(F.sequence(F.lit(1), F.size(x)), lambda i: F.array_join(F.reverse(F.slice(x, 1, i)), ".")))
     own = rules.select(F.col("host").alias("_url_above"), F.concat("host", "path").alias("rule"), "verdict", F.col("path").alias("start"), F.length("host").alias("n"))
     found = hosts.select("host", F.explode(F.array_distinct(above)).alias("_url_above")).join(own, "_url_above")
     ordered = F.struct((-F.length("rule")).alias("length"), (-F.col("n")).alias("n"), "verdict", "rule", "start")
@@ -110,12 +111,13 @@ def viterbi(piece: str, edges: list, unknown: int, letter: int) -> list[str]:
 
 def segment(pieces: DataFrame, words: DataFrame, config: UrlConfig) -> DataFrame:
     """(piece, words) for distinct pieces of names: the substrings that are words come from a join with the lexicon."""
-    n = F.length("piece")
-    starts = pieces.select("piece", F.explode(F.sequence(F.lit(1), n)).alias("start"))
-    lengths = F.sequence(F.lit(1), F.least(F.lit(config.longest_word), n - F.col("start") + 1))
-    spans = starts.select("piece", "start", F.explode(lengths).alias("length")).withColumn("word", F.substring("piece", F.col("start"), F.col("length")))
-    known = spans.join(words, "word").groupBy("piece").agg(F.collect_list(F.struct((F.col("start") - 1).alias("start"), "length", "weight")).alias("edges"))
-    rows = pieces.select("piece").join(known, "piece", "left")
+    rows = materialize(pieces.select("piece").withColumn("id", F.monotonically_increasing_id()), "url-names")
+    most = config.longest_word
+    cuts = let(F.split("piece", ""), lambda c: F.transform(F.sequence(F.lit(1), F.size(c)), lambda i: F.array_join(F.slice(c, i, most), "")))
+    ahead = rows.select("id", F.posexplode(cuts).alias("start", "ahead"))  # what follows each letter, as far as a word may go
+    spans = ahead.select("id", "start", F.explode(F.transform(F.sequence(F.lit(1), F.length("ahead")), lambda n: F.substring(F.col("ahead"), F.lit(1), n))).alias("word"))
+    known = spans.join(words, "word").groupBy("id").agg(F.collect_list(F.struct("start", F.length("word").alias("length"), "weight")).alias("edges"))
+    rows = rows.join(known, "id", "left").drop("id")
     unknown, letter = round(UNIT * math.log(config.unknown)), round(-UNIT * math.log(config.alphabet))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
