@@ -1,6 +1,7 @@
 """Whole jobs without a SQL twin, against plain Python over what their steps give."""
 
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -119,3 +120,27 @@ def test_replay_of_all_families(spark):
         best[r.k] = max(round(r.significance, 6), best.get(r.k, 0))
     got = QUERIES["replay_all"](spark, SF).collect()
     assert len(got) == len(best) and sorted(r.significance for r in got) == sorted(best.values())
+
+
+def test_convergence_of_a_hot_asset(spark):
+    """100,000 actors of one asset, related at random and in a chain: those that count are found as one after another would."""
+    rng = random.Random(5)
+    names = [f"a{i:06d}" for i in range(100_000)]
+    pairs = {tuple(rng.sample(names, 2)) for _ in range(60_000)} | {(names[i + 1], names[i]) for i in range(12)}
+    related = {}
+    for a, b in pairs:
+        related.setdefault(a, set()).add(b)
+        related.setdefault(b, set()).add(a)
+    counted = set()
+    for a in names:
+        if not related.get(a, set()) & counted:
+            counted.add(a)
+    at = F.lit("2024-01-05 00:00:00").cast("timestamp")
+    events = spark.createDataFrame([(f"e{i}", a) for i, a in enumerate(names)], "event_id string, actor string")
+    events = events.withColumns({"asset_id": F.lit("hot"), "side": F.lit("buy"), "observed_at": F.lit("2024-01-04 00:00:00").cast("timestamp")})
+    edges = spark.createDataFrame(sorted(pairs), "source string, target string")
+    got = sg.convergence(events, events.select(F.col("actor").alias("wallet")), edges, at).first()
+    assert got.supporting_facts == [f"{len(counted)} of {len(names)} participating wallets have no detected relationship to each other"]
+    assert len(got.evidence_ids) == 20
+    plan = sg.convergence(events, events.select(F.col("actor").alias("wallet")), edges, at)._jdf.queryExecution().toString()
+    assert "collect_set" not in plan

@@ -64,15 +64,7 @@ def silent_accumulation(events: DataFrame, clock: DataFrame, config: SignalConfi
 
     The clock's first and last tick bound what is read of the events; with one tick no join is needed.
     """
-    window = int(config.silent_days * DAY)
-    first, last = clock.agg(F.min(F.unix_micros("as_of")), F.max(F.unix_micros("as_of"))).first()  # two numbers
-    begin, end = (F.timestamp_micros(F.lit(x)) for x in ((first or 0) - window, -1 if last is None else last))
-    buys = events.where(fn.bought(F.col("side")) & F.col("asset_id").isNotNull() & (F.col("observed_at") >= begin) & (F.col("observed_at") <= end))
-    if first == last:
-        rows = buys.withColumn("as_of", end)
-    else:
-        spans = buys.select("*", F.unix_micros("observed_at").alias("_start"), (F.unix_micros("observed_at") + window + 1).alias("_end"))
-        rows = range_join(clock.select("as_of", F.unix_micros("as_of").alias("_tick")), spans, [], "_tick", "_start", "_end", bucket=DAY)
+    rows = at_ticks(events.where(fn.bought(F.col("side")) & F.col("asset_id").isNotNull()), clock, config.silent_days)
     place = F.struct("observed_at", "event_id")
     priced = F.when(F.col("price_usd").isNotNull(), place)
     by = ["as_of", "asset_id"]
@@ -91,25 +83,65 @@ def silent_accumulation(events: DataFrame, clock: DataFrame, config: SignalConfi
     )
 
 
-def convergence(events: DataFrame, tracked: DataFrame, edge_table: DataFrame, as_of: Column, config: SignalConfig = SignalConfig()) -> DataFrame:
-    """Assets that several tracked actors, unrelated by any edge, acquired lately.
+GROUP = ["as_of", "asset_id"]
 
-    Taken in the order of their names, an actor counts if none counted before is related to it; the fold runs
-    over one asset's tracked actors, each with those of its relations that are among them.
+
+def dependent_actors(actors: DataFrame, pairs: DataFrame, keep=keep) -> DataFrame:
+    """The actors (as_of, asset_id, actor) of each group that do not count, as one that counts is related to them.
+
+    Taken in the order of their names, an actor counts if none counted before is related to it. This is decided in
+    rounds over the related pairs (as_of, asset_id, small, large) alone: whoever has no smaller relation left counts,
+    whoever is related to one of those does not, and the pairs of both are done. Rounds are as many as the longest
+    chain of such decisions; a group's actors never meet in one row, and the others are no part of it.
     """
-    rows = since(events, as_of, config.convergence_days).where(fn.acquired_any(F.col("side")) & F.col("asset_id").isNotNull()).join(tracked.select(F.col("wallet").alias("actor")).distinct(), "actor", "left_semi")
-    actors = rows.groupBy("asset_id", "actor").agg(F.min(F.struct("observed_at", "event_id")).alias("first"))
-    pairs = edge_table.select(F.col("source").alias("actor"), F.col("target").alias("other")).union(edge_table.select("target", "source")).distinct()
-    inside = actors.select("asset_id", "actor").join(pairs, "actor").join(actors.select("asset_id", F.col("actor").alias("other")), ["asset_id", "other"])
-    related = inside.groupBy("asset_id", "actor").agg(F.collect_set("other").alias("related"))
-    member = F.struct("actor", F.coalesce("related", F.array().cast(TEXTS)).alias("related"))
-    found = actors.join(related, ["asset_id", "actor"], "left").groupBy("asset_id").agg(F.array_sort(F.collect_list(member)).alias("_m"))
-    chosen = F.aggregate("_m", F.array().cast(TEXTS), lambda acc, m: F.when(F.arrays_overlap(acc, m["related"]), acc).otherwise(F.array_append(acc, m["actor"])))
-    found = found.select("asset_id", F.size("_m").alias("wallets"), F.size(chosen).alias("independent")).where((F.col("wallets") >= config.convergence_wallets) & (F.col("independent") >= config.convergence_wallets))
-    found = found.join(evidence_of(actors.select("asset_id", "first.observed_at", "first.event_id"), ["asset_id"]), "asset_id")
+    live, out = keep(pairs), []
+    while live.limit(1).count():
+        large = live.select(*GROUP, F.col("large").alias("small")).distinct()
+        counted = live.select(*GROUP, "small").distinct().join(large, [*GROUP, "small"], "left_anti")
+        gone = keep(live.join(counted, [*GROUP, "small"], "left_semi").select(*GROUP, F.col("large").alias("actor")).distinct())
+        out.append(gone)
+        for side in ("small", "large"):
+            live = live.join(gone.withColumnRenamed("actor", side), [*GROUP, side], "left_anti")
+        live = keep(live)
+    return reduce(DataFrame.unionByName, out) if out else actors.select(*GROUP, "actor").limit(0)
+
+
+def related_pairs(actors: DataFrame, edge_table: DataFrame) -> DataFrame:
+    """(as_of, asset_id, small, large): the pairs of a group's actors that an edge relates. Edges with a span
+    (valid_from, valid_to) relate at the ticks in it only."""
+    timed = "valid_from" in edge_table.columns
+    ends = edge_table.select(F.least("source", "target").alias("small"), F.greatest("source", "target").alias("large"), *(["valid_from", "valid_to"] if timed else [])).where("small < large").distinct()
+    joined = actors.select(*GROUP, F.col("actor").alias("small")).join(ends, "small")
+    if timed:
+        joined = joined.where((F.col("as_of") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("as_of") < F.col("valid_to"))))
+    return joined.select(*GROUP, "small", "large").distinct().join(actors.select(*GROUP, F.col("actor").alias("large")), [*GROUP, "large"], "left_semi")
+
+
+def at_ticks(events: DataFrame, clock: DataFrame, days: float) -> DataFrame:
+    """``events`` once for every tick (column as_of) of ``clock`` that is at most so many days later."""
+    span = int(days * DAY)
+    first, last, n = clock.agg(F.min(F.unix_micros("as_of")), F.max(F.unix_micros("as_of")), F.countDistinct("as_of")).first()  # three numbers
+    begin, end = (F.timestamp_micros(F.lit(x)) for x in ((first or 0) - span, -1 if last is None else last))
+    recent = events.where((F.col("observed_at") >= begin) & (F.col("observed_at") <= end))
+    if n < 2:
+        return recent.withColumn("as_of", end)
+    spans = recent.select("*", F.unix_micros("observed_at").alias("_start"), (F.unix_micros("observed_at") + span + 1).alias("_end"))
+    return range_join(clock.select("as_of", F.unix_micros("as_of").alias("_tick")).distinct(), spans, [], "_tick", "_start", "_end", bucket=DAY).drop("_tick", "_start", "_end")
+
+
+def convergence(events: DataFrame, tracked: DataFrame, edge_table: DataFrame, as_of: Column, config: SignalConfig = SignalConfig(), clock: DataFrame | None = None, keep=keep) -> DataFrame:
+    """Assets that several tracked actors, unrelated by any edge, acquired lately: at a moment, or at every tick of ``clock``."""
+    bought = events.where(fn.acquired_any(F.col("side")) & F.col("asset_id").isNotNull()).join(tracked.select(F.col("wallet").alias("actor")).distinct(), "actor", "left_semi")
+    rows = since(bought, as_of, config.convergence_days).withColumn("as_of", as_of) if clock is None else at_ticks(bought, clock, config.convergence_days)
+    actors = keep(rows.groupBy(*GROUP, "actor").agg(F.min(F.struct("observed_at", "event_id")).alias("first")))
+    gone = dependent_actors(actors, related_pairs(actors, edge_table), keep).withColumn("_gone", F.lit(1))
+    found = actors.join(gone, [*GROUP, "actor"], "left").groupBy(*GROUP).agg(F.count(F.lit(1)).alias("wallets"), F.count_if(F.col("_gone").isNull()).alias("independent"))
+    found = found.where((F.col("wallets") >= config.convergence_wallets) & (F.col("independent") >= config.convergence_wallets))
+    found = found.join(evidence_of(actors.select(*GROUP, "first.observed_at", "first.event_id"), GROUP), GROUP)
     title = F.format_string(SAY["convergence_title"], "independent", "asset_id")
     fact = F.format_string(SAY["convergence_fact"], "independent", "wallets")
-    return found.select(*_signal("independent_convergence", title, F.least(F.lit(0.95), 0.4 + 0.15 * F.col("independent")), F.lit(0.6), as_of, as_of, F.col("asset_id"), F.lit(None), [fact], (SAY["convergence_risk"],), (SAY["convergence_unknown"],), F.col("evidence")))
+    at = F.col("as_of")
+    return found.select(*_signal("independent_convergence", title, F.least(F.lit(0.95), 0.4 + 0.15 * F.col("independent")), F.lit(0.6), at, at, F.col("asset_id"), F.lit(None), [fact], (SAY["convergence_risk"],), (SAY["convergence_unknown"],), F.col("evidence")))
 
 
 def sequence_confirmation(events: DataFrame, edge_table: DataFrame, as_of: Column, config: SignalConfig = SignalConfig()) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tracklight.functions.temporal import ticks
 from tracklight.operators import discovery as ds
 from tracklight.operators import policy
 from tracklight.operators import signals as sg
@@ -53,8 +54,7 @@ def replay_convergence(spark, sf_dir):
     """Convergence of a frozen set of tracked actors over a week of days."""
     events, frozen = adapters.clickstream_events(spark, sf_dir), qo.tracked(spark, sf_dir)
     edges = qg.k_edges(spark, sf_dir, frozen)
-    days = [f"2024-01-{d:02d} 00:00:00" for d in range(19, 26)]
-    found = sweep.replay(lambda at: sg.convergence(events, frozen, edges, at, qs.SIGNAL), days)
+    found = sg.first_per_key(sg.convergence(events, frozen, edges, F.col("as_of"), qs.SIGNAL, ticks(spark, "2024-01-19 00:00:00", qo.AS_OF, "1 day")))
     return found.select("asset_id", F.unix_micros("triggered_at").alias("us"), F.round("significance", 6).alias("significance"))
 
 
