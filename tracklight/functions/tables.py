@@ -73,8 +73,9 @@ def keep(df: DataFrame) -> DataFrame:
 
 def dense_index(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """``df`` with its place in an order, from 0 without gaps: sorted by ranges, then moved by the rows of the ranges before."""
-    placed = materialize(df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()), "indexed")
-    part = F.shiftright("_id", PLACES)
-    parts = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
-    parts = parts.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row per partition
-    return placed.join(parts, part == F.col("_part")).withColumn(name, F.col("_before") + F.col("_id").bitwiseAND((1 << PLACES) - 1)).drop("_id", "_part", "_before")
+    placed = materialize(df.orderBy(*order).withColumn("_dense_id", F.monotonically_increasing_id()), "indexed")
+    part = F.shiftright("_dense_id", PLACES)
+    parts = placed.groupBy(part.alias("_dense_part")).agg(F.count(F.lit(1)).alias("_dense_n"))
+    parts = parts.select("_dense_part", (F.sum("_dense_n").over(W.orderBy("_dense_part")) - F.col("_dense_n")).alias("_dense_before"))  # a row per partition
+    at = F.col("_dense_before") + F.col("_dense_id").bitwiseAND((1 << PLACES) - 1)
+    return placed.join(parts, part == F.col("_dense_part")).withColumn(name, at).drop("_dense_id", "_dense_part", "_dense_before")
