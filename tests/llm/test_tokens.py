@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracklight.llm import mixing as mx
+from tracklight.llm import query_tables
 from tracklight.llm import token_counts as tc
 from tracklight.llm.common import new_path
 from tracklight.llm.sentencepieces import encode, model
@@ -113,7 +114,7 @@ def test_mix_meets_its_targets(spark):
     for r in plan.groupBy("source", "_mix_target").agg(F.sum(F.col("_mix_size") * F.col("_mix_copies")).alias("taken")).collect():
         assert abs(r.taken - r._mix_target) <= 0.02 * r._mix_target + 2, r
     again = mx.plan_copies(sized.repartition(3), mx.MixConfig(group_rows=500))
-    of_item = lambda p: sorted(map(str, p.where("doc_id <> 1").select("doc_id", "source", "_mix_size", "_mix_copies").collect()))
+    of_item = lambda p: sorted(map(str, p.select("doc_id", "source", "_mix_size", "_mix_copies").collect()))
     assert of_item(plan) == of_item(again)
     mixed = mx.mix(docs, mx.MixConfig(group_rows=500))
     assert mixed.columns == docs.columns
@@ -121,6 +122,33 @@ def test_mix_meets_its_targets(spark):
     assert mx.mix(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("alike", [150, 200, 300])
+def test_rows_that_are_alike_get_exactly_their_copies(spark, alike):
+    rows = [(7, "a", "w " * 9, 1)] * alike + [(None, "b", "w w", 2)] * alike + [(k, "abc"[k % 3], "w " * (k % 40 + 1), 3) for k in range(200)]
+    docs, got = spark.createDataFrame(rows, "doc_id long, source string, text string, _id int"), []
+    for parts in (1, 3):
+        plan = mx.plan_copies(mx.sized_documents(docs.repartition(parts))).cache()
+        got.append(sorted(map(str, plan.select("doc_id", "source", "_mix_size", "_mix_copies", "_id").collect())))
+        for r in plan.groupBy("source", "_mix_target").agg(F.sum(F.col("_mix_size") * F.col("_mix_copies")).alias("taken"), F.max("_mix_size").alias("most")).collect():
+            assert abs(r.taken - r._mix_target) <= 0.5 * r.most + 1, r
+        of_item = plan.where("doc_id = 7 AND source = 'a'").select("_mix_copies").distinct().collect()
+        assert len(of_item) <= 2
+    assert got[0] == got[1]
+
+
+def test_deletes_of_shared_ids_equal_the_sql(spark, tmp_path):
+    """The registered query against its SQL where ids and texts are shared, null and repeated."""
+    duckdb = pytest.importorskip("duckdb")
+    rows = [(1, "A b"), (2, "A b"), (2, "B"), (3, "B"), (3, "B"), (None, "A b"), (4, None), (4, "C d e"), (None, None)]
+    path = f"{tmp_path}/documents.parquet"
+    spark.createDataFrame([(i, f"s{(i or 0) % 2}", "en", t) for i, t in rows], "doc_id long, source string, lang string, text string").write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/*.parquet'")
+    name = ("source", "lang", "tokenizer", "n_docs", "n_tokens")
+    got = query_tables.op2_token_counts(spark, str(tmp_path)).select(*name).collect()
+    assert sorted(map(tuple, got)) == sorted(con.execute(f"SELECT {', '.join(name)} FROM ({query_tables.OP2_SQL})").fetchall())
+
+
 def test_rates_solve_the_dual(spark):
     """Each source's multiplier against one found by bisection, in plain Python."""
     rng = random.Random(7)

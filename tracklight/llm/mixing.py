@@ -13,7 +13,7 @@ Targets and multipliers are tables with a row per source; the driver sees one ro
 Defined results: sizes are words, a null text has none; a null source is a source of its own, last in order;
 documents of size 0 are taken once and give no words; a source whose target is its cap takes every document
 ``max_copies`` times. Sums are exact decimals, so that reruns agree. Rows equal in id, source and text are rounded
-as one item; those of them that get a copy more are chosen by their place in the table. Other columns, of whatever
+as one item; if their copies do not divide evenly, exactly so many of them get one more, whichever those are. Other columns, of whatever
 name, are carried along; the columns that start with ``_mix_`` are this module's.
 """
 
@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tracklight.functions.tables import dense_index
 from tracklight.llm.common import materialize, n_words
 
 
@@ -172,11 +173,18 @@ def plan_copies(sized: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
     """``sized`` (of ``sized_documents``) with _mix_source_size, _mix_target, _mix_rate and _mix_copies."""
     keys = materialize(sized.groupBy(*KEY).agg(F.count(F.lit(1)).alias("m")), "mix-items")
     plan = plan_items(keys, config).withColumnsRenamed({"m": "_mix_m", "taken": "_mix_taken"})
-    found = _join(sized.withColumn("_mix_row", F.monotonically_increasing_id()), plan, KEY)
+    found = _join(sized, plan, KEY)
     m, taken = F.col("_mix_m"), F.col("_mix_taken")
-    even, over = F.floor(taken / m), taken % m
-    lucky = (m > 1) & (F.pmod(F.xxhash64("_mix_row"), m) < over)  # of rows that are alike
-    return found.select(*sized.columns, "_mix_source_size", "_mix_target", "_mix_rate", (even + lucky.cast("int")).cast("int").alias("_mix_copies"))
+
+    def planned(rows: DataFrame, more: Column) -> DataFrame:
+        return rows.select(*sized.columns, "_mix_source_size", "_mix_target", "_mix_rate", (F.floor(taken / m) + more.cast("int")).cast("int").alias("_mix_copies"))
+
+    if not keys.where("m > 1").limit(1).count():
+        return planned(found, F.lit(0))
+    alike = found.where("_mix_m > 1").withColumn("_mix_row", F.monotonically_increasing_id())  # sorted in ranges, so many alike rows are no one task's
+    alike = dense_index(alike, [*map(F.col, KEY), F.col("_mix_row")], "_mix_place")
+    ranked = _join(alike, alike.groupBy(*KEY).agg(F.min("_mix_place").alias("_mix_first")), KEY)
+    return planned(found.where("_mix_m = 1"), F.lit(0)).unionByName(planned(ranked, F.col("_mix_place") - F.col("_mix_first") < taken % m))
 
 
 def mix(documents: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:

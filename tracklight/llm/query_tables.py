@@ -39,13 +39,13 @@ SELECT source, lang, 'pieces-1', count(*)::BIGINT, sum(pieces)::BIGINT FROM live
 @query("op2_token_counts", OP2_SQL)
 def op2_token_counts(spark, sf_dir):
     """Four batches, one of them delivered twice: all documents are inserted by their words, all are counted by
-    pieces, a provisional count is revised, and later copies of a text are deleted."""
+    pieces, a provisional count is revised, and later copies of a text are deleted, each by its id and text."""
     unset = {"old_tokens": F.lit(None).cast("long"), "old_tokenizer": F.lit(None).cast("string")}
-    documents = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
-    digest = documents.select("doc_id", F.sha2("text", 256).alias("digest"))
-    counts = materialize(token_counts.count_documents(documents), "token-rows")
+    documents = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text", F.sha2("text", 256).alias("digest"))
+    counts = materialize(token_counts.count_documents(documents, also=("digest",)), "token-rows")
+    digest = counts.where("tokenizer = 'words-1'").select("doc_id", "digest")
     first = digest.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    copies = materialize(digest.join(first.drop("n"), "digest").where("doc_id > first_id").select("doc_id"), "token-copies")
+    copies = materialize(digest.join(first.drop("n"), "digest").where("doc_id > first_id").select("doc_id", "digest").distinct(), "token-copies")
     rollup = token_counts.Rollup(spark, new_path(spark, "token-rollup"))
     words = counts.where("tokenizer = 'words-1'")
     rollup.commit(words.withColumn("op", F.lit("insert")).withColumns(unset), 0)
@@ -55,7 +55,7 @@ def op2_token_counts(spark, sf_dir):
     revised = pieces.withColumns({"op": F.lit("revise"), "old_tokens": F.col("tokens") + 1, "old_tokenizer": F.lit("pieces-0")})
     rollup.commit(revised, 2)
     rollup.commit(revised, 2)
-    gone = counts.join(copies, "doc_id", "left_semi").withColumn("op", F.lit("delete")).withColumns(unset)
+    gone = counts.join(copies, ["doc_id", "digest"], "left_semi").withColumn("op", F.lit("delete")).withColumns(unset)
     rollup.snapshot()
     rollup.commit(gone, 3)
     return rollup.read()

@@ -35,10 +35,10 @@ TOKENIZERS = {
 }
 
 
-def count_documents(documents: DataFrame, text: str = "text") -> DataFrame:
-    """One row per document and tokenizer version: doc_id, source, lang, tokenizer, tokens. One pass over the texts."""
+def count_documents(documents: DataFrame, text: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document and tokenizer version: doc_id, source, lang, the columns ``also``, tokenizer, tokens. One pass over the texts."""
     counts = F.explode(F.array(*[F.struct(F.lit(name).alias("tokenizer"), count(F.col(text)).alias("tokens")) for name, count in TOKENIZERS.items()]))
-    return documents.select("doc_id", "source", "lang", counts.alias("c")).select("doc_id", "source", "lang", "c.tokenizer", "c.tokens")
+    return documents.select("doc_id", "source", "lang", *also, counts.alias("c")).select("doc_id", "source", "lang", *also, "c.tokenizer", "c.tokens")
 
 
 def signed(changes: DataFrame) -> DataFrame:
