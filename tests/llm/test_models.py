@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracklight.llm import language_id as li
+from tracklight.llm import samples
 from tracklight.llm import toxicity as tx
 from tracklight.llm import word_arrays as wa
 
@@ -46,10 +47,27 @@ def test_language_held_out_accuracy(spark):
 def test_every_language_is_in_a_sample_that_the_bound_cuts(spark):
     rows = [(100 * k + i, f"word{k} of {i}", f"l{k:02}") for k in range(12) for i in range(40)] + [(7, "again", "l00")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    config = li.LanguageIdConfig(buckets=64, steps=1, rows_per_language=20, max_rows=60, max_languages=12)
+    config = li.LanguageIdConfig(buckets=64, steps=1, rows_per_language=20, max_rows=60)
     assert li.fit(docs, config).languages == [f"l{k:02}" for k in range(12)]
-    with pytest.raises(ValueError, match="languages"):
-        li.fit(docs, li.LanguageIdConfig(buckets=64, steps=1, max_languages=11))
+
+
+def test_any_number_of_languages(spark):
+    rows = [(2 * k + i, f"word{k}", f"l{k:03}") for k in range(201) for i in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    known = {r.lang for r in docs.where(~samples.held_out(F.col("doc_id"))).collect()}
+    for most in (4000, 50):  # fewer rows than languages: one of each
+        assert li.fit(docs, li.LanguageIdConfig(buckets=64, steps=1, max_rows=most)).languages == sorted(known)
+    assert len(known) > 180
+
+
+def test_features_made_by_tasks_give_the_model_of_the_texts(spark):
+    rng = random.Random(9)
+    rows = [(i, sentence(rng, lang, 20), lang) for i, lang in enumerate(["xx", "yy", "zz"] * 20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = [r for r in docs.where(~samples.held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id")).collect()]
+    config = li.LanguageIdConfig(buckets=512, steps=10)
+    want, got = li.train([r.text for r in kept], [r.lang for r in kept], config), li.fit(docs, config)
+    assert got.languages == want.languages and np.allclose(got.weights, want.weights, atol=1e-4) and np.allclose(got.bias, want.bias, atol=1e-4)
 
 
 def test_language_without_or_with_one_language(spark):

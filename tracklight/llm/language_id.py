@@ -6,9 +6,10 @@ whose codeword has the least total logistic loss over the bits; the softmax of t
 and a text whose nearest codeword gets less than ``ambiguous_below`` of that softmax, as others are nearly as
 near, is flagged ambiguous.
 
-Fitting uses at most ``rows_per_language`` texts of a language and ``max_rows`` in all, shared alike by the
-languages, so that each has some; more than ``max_languages`` are refused. Prediction covers whole texts of every
-document.
+Fitting uses at most ``rows_per_language`` texts of a language and ``max_rows`` in all, shared alike by the languages, but
+one of each language at least. Texts are counted into ``buckets`` numbers where they are, and the driver gets those
+only, however long the texts are. Of up to 50 languages 300 codes are tried, of more 20. Prediction covers whole texts of
+every document.
 
 Defined results: a null text, and one without a letter, is ``und`` with score 0 and ambiguous; with one known
 language every text with letters gets it; with none, all are ``und``. Repeated rows get the same result each;
@@ -38,7 +39,6 @@ class LanguageIdConfig:
     buckets: int = 1 << 13
     orders: tuple = (1, 2, 3)
     rows_per_language: int = 800
-    max_languages: int = 200
     max_rows: int = 4000
     steps: int = 80
     l2: float = 1e-6
@@ -118,12 +118,15 @@ def text_features(texts: list, config: LanguageIdConfig) -> np.ndarray:
 
 
 def train(texts: list, languages: list, config: LanguageIdConfig = LanguageIdConfig()) -> LanguageModel:
-    """Fit one logistic classifier per bit by Adam on all texts at once."""
+    return train_features(text_features(texts, config), languages, config)
+
+
+def train_features(x: np.ndarray, languages: list, config: LanguageIdConfig = LanguageIdConfig()) -> LanguageModel:
+    """Fit one logistic classifier per bit by Adam on all texts at once. ``x``, which is changed, has their features."""
     names = sorted(set(languages))
     code = codewords(len(names)) if names else np.zeros((0, 1))
     weights, bias = np.zeros((config.buckets, code.shape[1]), dtype=np.float32), np.zeros(code.shape[1], dtype=np.float32)
     if len(names) > 1:
-        x = text_features(texts, config)
         spread = np.concatenate([x[:, i : i + 256].std(axis=0) for i in range(0, config.buckets, 256)]) + 1e-4  # in parts, as a whole copy is large
         x /= spread
         which = np.array([names.index(v) for v in languages])
@@ -180,12 +183,24 @@ def predict_batch(model: LanguageModel, texts: pa.Array) -> tuple[list, np.ndarr
 def fit(documents: DataFrame, config: LanguageIdConfig = LanguageIdConfig()) -> LanguageModel:
     """Learn from the text and non-null lang of documents that are not held out."""
     known = documents.where(~samples.held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang")
-    n = known.select("lang").distinct().limit(config.max_languages + 1).count()
-    if n > config.max_languages:
-        raise ValueError(f"more than {config.max_languages} languages")
-    sample = samples.sample_by_class(known, "lang", min(config.rows_per_language, config.max_rows // max(1, n)))
-    rows = samples.sample_texts(documents.where(F.col("lang").isNotNull()), sample, "lang", config.max_rows)
-    return train([r["text"] for r in rows], [r["lang"] for r in rows], config)
+    n = known.select("lang").distinct().count()
+    sample = samples.sample_by_class(known, "lang", min(config.rows_per_language, max(1, config.max_rows // max(1, n))))
+    rows = samples.sampled(documents.where(F.col("lang").isNotNull()), sample, "lang").select("lang", "_h", "text")
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in (p.slice(i, 256) for p in wa.slices(batch, ["text"]) for i in range(0, p.num_rows, 256)):
+                x = text_features(piece.column("text").to_pylist(), config)
+                at = [np.flatnonzero(row).astype(np.int32) for row in x]
+                packed = [pa.array([a.tobytes() for a in at], pa.binary()), pa.array([row[a].tobytes() for row, a in zip(x, at, strict=True)], pa.binary())]
+                yield pa.RecordBatch.from_arrays([piece.column("lang"), piece.column("_h"), *packed], names=["lang", "_h", "at", "share"])
+        wa.give_back()
+
+    found = sorted(rows.mapInArrow(features, "lang string, _h long, at binary, share binary").collect(), key=lambda r: (r["_h"], r["lang"], bytes(r["at"]), bytes(r["share"])))
+    x = np.zeros((len(found), config.buckets), dtype=np.float32)
+    for i, r in enumerate(found):
+        x[i, np.frombuffer(r["at"], np.int32)] = np.frombuffer(r["share"], np.float32)
+    return train_features(x, [r["lang"] for r in found], config)
 
 
 def predict(documents: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:

@@ -24,16 +24,21 @@ def sample_by_class(labelled: DataFrame, label: str, per_class: int) -> DataFram
     return taken.join(counts, label)
 
 
-def sample_texts(documents: DataFrame, sample: DataFrame, label: str, rows: int, also: tuple[str, ...] = ()) -> list:
-    """Rows (text, label, class_rows and the columns ``also``) of the sampled documents: ``rows`` at most, which bounds the broadcast and the result.
+def sampled(documents: DataFrame, sample: DataFrame, label: str, also: tuple[str, ...] = ()) -> DataFrame:
+    """text, label, class_rows, _h (a hash of the id) and the columns ``also`` of the sampled documents; the caller bounds the sample, by class.
 
-    The caller bounds the sample, by class; a larger one is refused, not cut. Of documents that share an id one text is taken.
+    Of documents that share an id one text is taken.
     """
     ids = sample.dropDuplicates(["doc_id", label])
     on = ["doc_id", label] if label in documents.columns else ["doc_id"]
     taken = F.min(F.struct(F.coalesce("text", F.lit("")).alias("text"), *also)).alias("_t")
     found = documents.select(*on, "text", *also).join(F.broadcast(ids), on).groupBy("doc_id", label, "class_rows").agg(taken)
-    found = found.select("_t.*", label, "class_rows", F.xxhash64("doc_id").alias("_h")).limit(rows + 1).collect()
+    return found.select("_t.*", label, "class_rows", F.xxhash64("doc_id").alias("_h"))
+
+
+def sample_texts(documents: DataFrame, sample: DataFrame, label: str, rows: int, also: tuple[str, ...] = ()) -> list:
+    """The rows of ``sampled``, at most ``rows``, which bounds the broadcast and the result; a larger sample is refused, not cut."""
+    found = sampled(documents, sample, label, also).limit(rows + 1).collect()
     if len(found) > rows:
         raise ValueError(f"the sample has more than {rows} rows")
     return sorted(found, key=lambda r: (r["_h"], r["text"]))
