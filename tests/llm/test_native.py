@@ -68,10 +68,13 @@ def test_thresholds_bound_false_rejections(spark):
 
 def test_columns_that_clash_with_the_results_are_replaced(spark):
     rows = spark.createDataFrame([(1, "en", "a b", 9, 9, "s", "k"), (2, None, None, 9, 9, "s", "k")], "doc_id long, lang string, text string, n_words int, n_lines int, stratum string, kept string")
+    own = ("_stratum", "_cuts", "_counts", "_failed", "__failed")
+    rows = rows.withColumns({c: F.lit(c) for c in own})
     ratios = qr.rule_ratios(qr.quality_signals(rows))
     cuts = spark.createDataFrame([("en", "symbol_ppm", 5)], "stratum string, rule string, cutoff long")
     got = qr.apply_thresholds(ratios, cuts, "lang", qr.RiskConfig())
     assert sorted((r.doc_id, r.n_words, r.stratum, r.kept) for r in got.collect()) == [(1, 2, "s", False), (2, 0, "s", False)]
+    assert all(r[c] == c for r in got.collect() for c in own)
     assert len(set(got.columns)) == len(got.columns)
 
 

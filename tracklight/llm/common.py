@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracklight.functions.tables import materialize, new_path, shared_dir
 
-__all__ = ["NOT_WORD", "WORD", "broadcast_if_small", "let", "materialize", "n_words", "new_path", "shared_dir", "table", "words_of"]
+__all__ = ["NOT_WORD", "WORD", "broadcast_if_small", "free_name", "let", "materialize", "n_words", "new_path", "shared_dir", "table", "words_of"]
 
 #: A word is a run of characters other than space and the ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -37,6 +37,14 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as it takes to be none of the columns'."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``rows`` rows; otherwise as it is, for a shuffled join.
 

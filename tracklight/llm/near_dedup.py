@@ -41,7 +41,7 @@ from pyspark.sql import types as T
 
 from tracklight.llm import alignment
 from tracklight.llm import word_arrays as wa
-from tracklight.llm.common import materialize
+from tracklight.llm.common import free_name, materialize
 
 
 @dataclass(frozen=True)
@@ -350,5 +350,6 @@ def near_classes(documents: DataFrame, config: NearDedupConfig = NearDedupConfig
 
 def keep_one(documents: DataFrame, config: NearDedupConfig = NearDedupConfig()) -> DataFrame:
     """``documents`` less those that are in the class of a lesser id; of rows that share an id, all stay."""
-    gone = near_classes(documents, config).where("class_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return documents.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    other = free_name(documents, "_gone")
+    gone = near_classes(documents, config).where("class_id < doc_id").select(F.col("doc_id").alias(other)).distinct()
+    return documents.join(gone, F.col("doc_id") == F.col(other), "left_anti")

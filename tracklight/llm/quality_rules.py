@@ -22,7 +22,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracklight.llm.common import NOT_WORD, broadcast_if_small, let, materialize
+from tracklight.llm.common import NOT_WORD, broadcast_if_small, free_name, let, materialize
 
 SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 8
@@ -84,17 +84,18 @@ def quality_signals(documents: DataFrame, text: str = "text") -> DataFrame:
         F.filter(F.split(body, NOT_WORD), lambda w: w != ""),
         lambda ws: F.struct(F.size(ws).alias("n_words"), _repeat_words(ws).alias("n_repeat_words")),
     )
+    held = free_name(documents, "_counts")
     out = documents.select(
-        *[c for c in documents.columns if c not in (text, *SIGNALS, "base_failed", "_counts")],
-        counts.alias("_counts"),
+        *[c for c in documents.columns if c not in (text, *SIGNALS, "base_failed")],
+        counts.alias(held),
         F.xxhash64(body).alias("text_hash"),
         F.length(F.regexp_replace(body, NOT_WORD, "")).cast("long").alias("word_chars"),
         F.regexp_count(body, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         let(lines, lambda ls: F.size(ls) - F.size(F.array_distinct(ls))).cast("long").alias("n_dup_lines"),
         let(lines, lambda ls: F.size(ls)).cast("long").alias("n_lines"),
     )
-    n, r = F.col("_counts.n_words").cast("long"), F.col("_counts.n_repeat_words").cast("long")
-    return out.select("*", n.alias("n_words"), r.alias("n_repeat_words"), ((n < 20) | (100 * r > 30 * n)).alias("base_failed")).drop("_counts")
+    n, r = F.col(held)["n_words"].cast("long"), F.col(held)["n_repeat_words"].cast("long")
+    return out.select("*", n.alias("n_words"), r.alias("n_repeat_words"), ((n < 20) | (100 * r > 30 * n)).alias("base_failed")).drop(held)
 
 
 def rule_ratios(signals: DataFrame) -> DataFrame:
@@ -158,8 +159,9 @@ def fit_thresholds(labelled: DataFrame, stratum: str, label: str, config: RiskCo
 
 def apply_thresholds(ratios: DataFrame, thresholds: DataFrame, stratum: str, config: RiskConfig) -> DataFrame:
     """Adds failed_rules (array) and kept, in place of columns of these names. ``thresholds`` should be materialized."""
-    wide = thresholds.groupBy(F.col("stratum").alias("_stratum")).agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("_cuts"))
-    joined = ratios.join(broadcast_if_small(wide, config.max_strata_broadcast), F.col(stratum).eqNullSafe(F.col("_stratum")), "left")
-    failed = F.array_compact(F.array(*[F.when(F.col(rule) > F.col("_cuts")[rule], F.lit(rule)) for rule in config.grid]))
+    of, cuts, found = (free_name(ratios, n) for n in ("_stratum", "_cuts", "_failed"))
+    wide = thresholds.groupBy(F.col("stratum").alias(of)).agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias(cuts))
+    joined = ratios.join(broadcast_if_small(wide, config.max_strata_broadcast), F.col(stratum).eqNullSafe(F.col(of)), "left")
+    failed = F.array_compact(F.array(*[F.when(F.col(rule) > F.col(cuts)[rule], F.lit(rule)) for rule in config.grid]))
     kept = [c for c in ratios.columns if c not in ("failed_rules", "kept")]
-    return joined.select(*kept, failed.alias("_failed")).select(*kept, F.col("_failed").alias("failed_rules"), (~F.col("base_failed") & (F.size("_failed") == 0)).alias("kept"))
+    return joined.select(*kept, failed.alias(found)).select(*kept, F.col(found).alias("failed_rules"), (~F.col("base_failed") & (F.size(found) == 0)).alias("kept"))
