@@ -84,7 +84,14 @@ def score(appearing: DataFrame, metrics: DataFrame, rates: DataFrame, config: Di
 def sweep(
     events: DataFrame, outcomes: DataFrame, assets: DataFrame, as_of: Column, since: Column | None = None, config: DiscoveryConfig = DiscoveryConfig(), wallets: WalletConfig = WalletConfig(), keep=keep
 ) -> DataFrame:
-    """Scores of all actors that were early to an observable outcome; passed ones with the largest edge first.
+    """Scores of all actors that were early to an observable outcome; passed ones with the largest edge first."""
+    return sweep_with_appearances(events, outcomes, assets, as_of, since, config, wallets, keep)[0]
+
+
+def sweep_with_appearances(
+    events: DataFrame, outcomes: DataFrame, assets: DataFrame, as_of: Column, since: Column | None = None, config: DiscoveryConfig = DiscoveryConfig(), wallets: WalletConfig = WalletConfig(), keep=keep
+) -> tuple[DataFrame, DataFrame]:
+    """The scores of ``sweep``, and the appearances that they rest on.
 
     ``keep`` writes what several steps read: the acquisitions, the appearances, the rates.
     """
@@ -95,7 +102,7 @@ def sweep(
     found = keep(appearances_of(acquired, known, config))
     rates = keep(oc.base_rates(outcomes, assets, as_of, PREDICTIVE))
     metrics = wm.wallet_metrics(events, outcomes, assets, as_of, config=wallets, acquired=acquired, keep=keep)
-    return score(found, metrics, rates, config, wallets).orderBy(F.desc("passed"), F.desc("edge_ratio"), F.desc("independent_events"), "actor")
+    return score(found, metrics, rates, config, wallets).orderBy(F.desc("passed"), F.desc("edge_ratio"), F.desc("independent_events"), "actor"), found
 
 
 def near_misses(scores: DataFrame, config: DiscoveryConfig = DiscoveryConfig()) -> DataFrame:
@@ -120,7 +127,7 @@ def persist(known: DataFrame, scores: DataFrame, as_of: Column, config: Discover
     get their new figures; a status is set once.
 
     With ``appearing``, the appearances of the merged actors are their provenance, and their network that of the
-    first asset.
+    first asset; without, what is stored of both stays.
     """
     again = known.select(F.col("wallet").alias("actor"), F.lit(True).alias("_known"))
     near = near_misses(scores, config).select("actor", F.lit(True).alias("_near"))
@@ -142,7 +149,20 @@ def persist(known: DataFrame, scores: DataFrame, as_of: Column, config: Discover
     return both.select(
         "wallet", F.coalesce("network", "new_network").alias("network"), F.coalesce("status", "new_status").alias("status"), F.coalesce("surfaced_at", F.when(fresh, as_of)).alias("surfaced_at"),
         "shadow_started_at", "promoted_at", "retired_at",
-        *[pick(n) for n in ("archetype", "hit_rate", "shrunk_hit_rate", "base_rate", "edge_vs_base", "sample_size", "independent_events", "rejection_reason", "discovery_provenance")],
+        *[pick(n) for n in ("archetype", "hit_rate", "shrunk_hit_rate", "base_rate", "edge_vs_base", "sample_size", "independent_events", "rejection_reason")],
+        F.coalesce("new_discovery_provenance", "discovery_provenance").alias("discovery_provenance"),
+    )
+
+
+def persist_counts(known: DataFrame, scores: DataFrame, config: DiscoveryConfig = DiscoveryConfig()) -> DataFrame:
+    """One row: how many scored actors ``persist`` adds as passed (surfaced), updates, rejects, and rejects but records."""
+    again = known.select(F.col("wallet").alias("actor"), F.lit(True).alias("_known"))
+    near = near_misses(scores, config).select("actor", F.lit(True).alias("_near"))
+    rows = scores.join(near, "actor", "left").join(again, "actor", "left")
+    new = F.col("_known").isNull()
+    return rows.agg(
+        F.count_if(new & F.col("passed")).alias("surfaced"), F.count_if(~new).alias("updated"), F.count_if(new & ~F.col("passed")).alias("rejected"),
+        F.count_if(new & ~F.col("passed") & F.col("_near").isNotNull()).alias("rejections_recorded"),
     )
 
 

@@ -14,7 +14,7 @@ def grade(signals: DataFrame, outcomes: DataFrame, as_of: Column, horizon_days:
     """Pending signals get hit, miss, not_applicable or stay pending; other grades stay.
 
     A hit needs a predictive outcome on the asset after the signal; it has no horizon of its own. ``signals`` has
-    signal_id, asset_id, triggered_at and grade.
+    signal_id, asset_id, triggered_at and grade; an outcome_id and lead_time_days that it has stay where there is one.
     """
     later = outcomes.where(F.col("outcome_class").isin(*PREDICTIVE) & (F.col("first_observed_at") <= as_of)).select("asset_id", "outcome_id", "outcome_class", "t0")
     pending = signals.where("grade = 'pending' AND asset_id IS NOT NULL").select("signal_id", "asset_id", "triggered_at")
@@ -23,7 +23,9 @@ def grade(signals: DataFrame, outcomes: DataFrame, as_of: Column, horizon_days:
     old = F.unix_micros(as_of) - F.unix_micros("triggered_at") >= int(horizon_days * DAY)
     new = F.when(F.col("grade") != "pending", F.col("grade")).when(F.col("asset_id").isNull(), "not_applicable").when(F.col("_hit").isNotNull(), "hit").when(old, "miss").otherwise("pending")
     lead = F.round((F.unix_micros("_hit.t0") - F.unix_micros("triggered_at")) / DAY, 2)
-    return rows.select(*[new.alias("grade") if c == "grade" else F.col(c) for c in signals.columns], F.col("_hit.outcome_id").alias("outcome_id"), lead.alias("lead_time_days"))
+    made = {"outcome_id": F.col("_hit.outcome_id"), "lead_time_days": lead}
+    shown = [F.coalesce(c, made[n]).alias(n) if n in signals.columns else made[n].alias(n) for n, c in ((n, F.col(n)) for n in made)]
+    return rows.select(*[new.alias("grade") if c == "grade" else F.col(c) for c in signals.columns if c not in made], *shown)
 
 
 def family_precision(graded: DataFrame) -> DataFrame:

@@ -89,6 +89,7 @@ def replay_all(events: DataFrame, frozen: DataFrame, outcomes: DataFrame, moment
 
 @dataclass(frozen=True)
 class Night:
+    outcomes: DataFrame
     candidates: DataFrame
     signals: DataFrame
     decisions: DataFrame
@@ -100,18 +101,21 @@ class Night:
 def nightly(
     events: DataFrame, candles: DataFrame, assets: DataFrame, known_outcomes: DataFrame, candidates: DataFrame, stored_signals: DataFrame, as_of: Column,
     detect: OutcomeConfig = OutcomeConfig(), discover: DiscoveryConfig = DiscoveryConfig(), wallets: WalletConfig = WalletConfig(), alert: AlertConfig = AlertConfig(), signal: SignalConfig = SignalConfig(),
-    graph: GraphConfig = GraphConfig(), keep: Keep = keep,
+    graph: GraphConfig = GraphConfig(), keep: Keep = keep, listed: DataFrame | None = None,
 ) -> Night:
     """Detect, grade, sweep, persist, advance, signal (all families), dispatch, propose. Each table of the result can be written on.
 
-    ``stored_signals`` has signal_id, family, asset_id, wallet, triggered_at, significance, grade and delivered.
-    ``keep`` holds the tables that several steps read.
+    ``stored_signals`` has signal_id, family, asset_id, wallet, triggered_at, significance, grade and delivered;
+    ``listed`` are outcomes of a listing feed. ``keep`` holds the tables that several steps read. The outcomes of the
+    result are the new ones.
     """
-    new = keep(oc.insert_new(known_outcomes, oc.detect_all(candles, detect)))
+    found = oc.detect_all(candles, detect)
+    new = keep(oc.insert_new(known_outcomes, found if listed is None else found.unionByName(listed.select(*found.columns))))
     outcomes = keep(known_outcomes.unionByName(new))
     graded = keep(nl.grade(stored_signals, outcomes, as_of))
-    scores = keep(ds.sweep(events, outcomes, assets, as_of, config=discover, wallets=wallets, keep=keep))
-    after = keep(ds.advance_lifecycle(ds.persist(candidates, scores, as_of, discover), as_of, discover))
+    scores, appearing = ds.sweep_with_appearances(events, outcomes, assets, as_of, config=discover, wallets=wallets, keep=keep)
+    scores = keep(scores)
+    after = keep(ds.advance_lifecycle(ds.persist(candidates, scores, as_of, discover, appearing), as_of, discover))
     edges = keep(gr.edges(events, after.where("status IN ('tracked', 'shadow')").select(F.col("wallet").alias("actor")), as_of, graph))
     start = F.timestamp_micros((F.unix_micros(as_of) - int(signal.lookback_days * DAY)).cast("long"))
     found = keep(sg.run_all(events, after, edges, outcomes, as_of, start, signal))
@@ -120,7 +124,9 @@ def nightly(
     proposals = keep(nl.proposals(nl.threshold_proposal(graded, alert.threshold), mutes))
     counters = oc.detected_counts(new).select(F.lit("detected").alias("section"), F.col("outcome_class").alias("key"), F.col("written").cast("double").alias("value"))
     told = decided.groupBy(F.lit("decisions").alias("section"), F.col("decision").alias("key")).agg(F.count(F.lit(1)).cast("double").alias("value"))
-    return Night(after, found, decided, graded, proposals, nl.digest(after, graded, proposals).unionByName(counters).unionByName(told))
+    counts = ds.persist_counts(candidates, scores, discover)
+    swept = counts.select(F.lit("discovery").alias("section"), F.explode(F.create_map(*[x for c in counts.columns for x in (F.lit(c), F.col(c).cast("double"))])).alias("key", "value"))
+    return Night(new, after, found, decided, graded, proposals, nl.digest(after, graded, proposals).unionByName(counters).unionByName(told).unionByName(swept))
 
 
 def latest(rows: DataFrame, by: str, limit: int = 50) -> DataFrame:
