@@ -1,4 +1,4 @@
-"""Whole jobs without a SQL twin, against plain Python over what their steps give."""
+"""Whole jobs against plain Python over what their steps give."""
 
 import os
 import random
@@ -6,10 +6,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tracklight.functions import scalars as fn
 from tracklight.operators import discovery as ds
 from tracklight.operators import graph as gr
-from tracklight.operators import policy
+from tracklight.operators import policy, replay
 from tracklight.operators import signals as sg
 from tracklight.plans import all_queries, q_graph, q_jobs, q_outcomes, q_signals, q_wallets
 from tracklight.schema import HOUR, MUTED_FAMILIES, AlertConfig
@@ -83,13 +82,15 @@ def test_stream_of_signals_is_decided_batch_by_batch(spark, tmp_path):
 
 
 def test_nightly_decisions(spark):
+    """Every decision of a night, in order, against the policy taken signal by signal over the same history."""
     night = q_jobs.k_night(spark, SF)
-    rows = listed(night.signals)
-    want = decide(rows, [], AlertConfig())  # stored signals of other subjects do not matter here
+    stored = q_signals.graded(spark, SF).select("family", "asset_id", F.unix_micros("triggered_at").alias("us")).collect()
+    want = decide(listed(night.signals), [(r.family, r.asset_id, None, r.us, False) for r in stored], AlertConfig())
+    decided = night.decisions.orderBy("place").collect()
+    assert [(r.family, r.asset_id, r.wallet) for r in decided] == [r[:3] for r in listed(night.signals)[: AlertConfig().max_per_run]]
+    assert [r.decision for r in decided] == want and len(set(want)) >= 2
     got = policy.dispatch_counts(night.decisions).first()
-    assert [r.family for r in night.decisions.orderBy("place").collect()] == [r[0] for r in rows[: AlertConfig().max_per_run]]
-    assert sum(got[f"n_{d}"] for d in policy.DECISIONS) == len(want) == night.decisions.count()
-    assert got.persisted == len(want) - got.n_duplicate - got.n_threshold - got.n_cooldown
+    assert {d: got[f"n_{d}"] for d in policy.DECISIONS} == {d: want.count(d) for d in policy.DECISIONS}
 
 
 def test_discovery_backtest(spark):
@@ -102,24 +103,30 @@ def test_discovery_backtest(spark):
     assert (got.kept, got.lost, got.gained) == (len(passed[0] & passed[1]), len(passed[0] - passed[1]), len(passed[1] - passed[0]))
 
 
-def test_replay_of_all_families(spark):
+def test_replay_gives_what_every_moment_gives(spark):
+    """Ticks of the replay against the families of the moment itself: texts, evidence and figures."""
     events, frozen, outcomes = adapters.clickstream_events(spark, SF), q_outcomes.tracked(spark, SF), q_outcomes.k_outcomes(spark, SF)
-    seen, want = set(), []
-    for day in ("2024-01-22 00:00:00", "2024-01-25 00:00:00"):
-        at = F.lit(day).cast("timestamp")
+    step, end = 3 * 24 * HOUR, q_outcomes.AS_OF_US
+    clock = replay.Clock(end - 2 * step, end, step)
+    every = replay.all_families(events, frozen, outcomes, clock, q_graph.GRAPH, q_signals.SIGNAL)
+    shown = lambda df: sorted(str(r) for r in df.withColumns({c: F.round(c, 9) for c in ("significance", "confidence")}).collect())
+    for tick in (0, 2):
+        at = F.timestamp_micros(F.lit(clock.start + tick * step))
         edges = gr.edges(events, frozen.select(F.col("wallet").alias("actor")), at, q_graph.GRAPH)
-        start = F.timestamp_micros((F.unix_micros(at) - 3 * 24 * HOUR).cast("long"))
-        found = sg.run_all(events, frozen, edges, outcomes, at, start, q_signals.SIGNAL)
-        key = fn.dedupe_key(F.col("family"), F.col("asset_id"), F.col("wallet"), F.col("triggered_at"))
-        for r in found.select(key.alias("k"), "significance").collect():
-            if r.k not in seen:
-                want.append(r)
-        seen |= {r.k for r in want}
-    best = {}
-    for r in want:
-        best[r.k] = max(round(r.significance, 6), best.get(r.k, 0))
-    got = QUERIES["replay_all"](spark, SF).collect()
-    assert len(got) == len(best) and sorted(r.significance for r in got) == sorted(best.values())
+        start = F.timestamp_micros(F.lit(clock.start + (tick - 1) * step))
+        want = sg.run_all(events, frozen, edges, outcomes, at, start, q_signals.SIGNAL)
+        got = shown(every.where(F.col("evidence_cutoff") == at))
+        assert got == shown(want) and len(got) > 5
+
+
+def test_event_scans_do_not_grow_with_the_ticks(spark):
+    events, frozen, outcomes = adapters.clickstream_events(spark, SF), q_outcomes.tracked(spark, SF), q_outcomes.k_outcomes(spark, SF)
+    scans = []
+    for n in (2, 30):
+        end = q_outcomes.AS_OF_US
+        found = replay.replay(events, frozen, outcomes, replay.Clock(end - (n - 1) * 24 * HOUR, end, 24 * HOUR), q_graph.GRAPH, q_signals.SIGNAL)
+        scans.append(found._jdf.queryExecution().executedPlan().toString().count("FileScan parquet"))
+    assert scans[0] == scans[1]
 
 
 def test_convergence_of_a_hot_asset(spark):

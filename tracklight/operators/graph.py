@@ -26,19 +26,28 @@ def edges(events: DataFrame, wallets: DataFrame, as_of: Column, config: GraphCon
     Pairs are formed only within the earned wallets, and only within the largest lag: both sides of the join are
     bucketed by time, so an asset that everyone holds meets itself in stretches of the lag, not as a whole.
     """
+    found = pairs_of(events, wallets, as_of, config).groupBy("source", "target").agg(
+        F.count(F.lit(1)).alias("observations"),
+        F.median((F.col("_u") - F.col("_s")) / 1e6).alias("median_lag_seconds"),
+        F.avg((F.col("_u") > F.col("_s")).cast("double")).alias("ordering_consistency"),
+        F.slice(F.sort_array(F.collect_set("asset_id")), 1, config.evidence_assets).alias("shared_assets"),
+    )
+    return typed(found, config)
+
+
+def pairs_of(events: DataFrame, wallets: DataFrame, as_of: Column, config: GraphConfig = GraphConfig()) -> DataFrame:
+    """(source, target, asset_id, _s, _u): every asset that two of the actors first acquired within the largest lag, in order."""
     first = first_acquisitions(events, as_of).join(wallets.select("actor").distinct(), "actor", "left_semi").withColumn("_t", F.unix_micros("first_at"))
     lag = int(config.max_lag_days * DAY)
     bucket = F.floor(F.col("_t") / lag)
     source = first.select("asset_id", F.col("actor").alias("source"), F.col("_t").alias("_s"), bucket.alias("_b"))
     target = first.select("asset_id", F.col("actor").alias("target"), F.col("_t").alias("_u"), F.explode(F.array(bucket, bucket - 1)).alias("_b"))
     ordered = (F.col("_s") < F.col("_u")) | ((F.col("_s") == F.col("_u")) & (F.col("source") < F.col("target")))
-    pairs = source.join(target, ["asset_id", "_b"]).where(ordered & (F.col("_u") - F.col("_s") <= lag))
-    found = pairs.groupBy("source", "target").agg(
-        F.count(F.lit(1)).alias("observations"),
-        F.median((F.col("_u") - F.col("_s")) / 1e6).alias("median_lag_seconds"),
-        F.avg((F.col("_u") > F.col("_s")).cast("double")).alias("ordering_consistency"),
-        F.slice(F.sort_array(F.collect_set("asset_id")), 1, config.evidence_assets).alias("shared_assets"),
-    )
+    return source.join(target, ["asset_id", "_b"]).where(ordered & (F.col("_u") - F.col("_s") <= lag)).select("source", "target", "asset_id", "_s", "_u")
+
+
+def typed(found: DataFrame, config: GraphConfig = GraphConfig()) -> DataFrame:
+    """Edges with observations, lag and consistency, of enough observations, with their type, confidence and what else may explain them."""
     found = found.where(F.col("observations") >= config.min_shared)
     kind = F.when(F.col("ordering_consistency") >= config.lead_consistency, "leads").otherwise("co_acquired")
     modes = F.create_map(*[x for k, v in FALSE_POSITIVES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])

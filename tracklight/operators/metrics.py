@@ -81,14 +81,18 @@ def entry_latency_of(acquired: DataFrame, creations: DataFrame, config: WalletCo
     return rows.groupBy("actor").agg(F.min("latency").alias("min_entry_latency_seconds"), F.count_if(F.col("latency") <= config.sniper_seconds).alias("sniper_entries"))
 
 
-def hold_hours(events: DataFrame) -> DataFrame:
-    """Median hours from the first open purchase of an asset to the next sale."""
+def holds(events: DataFrame) -> DataFrame:
+    """(actor, closed_at, hours): from each first open purchase of an asset to the next sale."""
     by = W.partitionBy("actor", "asset_id").orderBy("observed_at", "event_id")
     trades = events.where("asset_id IS NOT NULL AND side IN ('buy', 'sell')")
     turns = trades.withColumn("_before", F.lag("side").over(by)).where(~F.col("side").eqNullSafe(F.col("_before")))
     closed = turns.withColumn("_next", F.lead("observed_at").over(by)).where("side = 'buy' AND _next IS NOT NULL")
-    held = fn.hours_between(F.col("observed_at"), F.col("_next"))
-    return closed.groupBy("actor").agg(F.median(held).alias("median_hold_hours"), F.count(F.lit(1)).alias("episodes_closed"))
+    return closed.select("actor", F.col("_next").alias("closed_at"), fn.hours_between(F.col("observed_at"), F.col("_next")).alias("hours"))
+
+
+def hold_hours(events: DataFrame) -> DataFrame:
+    """Median hours from the first open purchase of an asset to the next sale."""
+    return holds(events).groupBy("actor").agg(F.median("hours").alias("median_hold_hours"), F.count(F.lit(1)).alias("episodes_closed"))
 
 
 def realized_pnl(events: DataFrame) -> DataFrame:

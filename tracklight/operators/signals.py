@@ -45,7 +45,11 @@ def tracked_actions(events: DataFrame, tracked: DataFrame, metrics: DataFrame, a
     """
     own = events.where(F.col("observed_at") <= as_of).join(tracked.select(F.col("wallet").alias("actor"), "archetype", "edge_vs_base"), "actor")
     recent = since(wm.size_shares(previous_action(own)), as_of, config.lookback_days)
-    rows = recent.join(metrics.select("actor", "trades_per_month"), "actor", "left")
+    return action_signals(recent.join(metrics.select("actor", "trades_per_month"), "actor", "left"), as_of, config)
+
+
+def action_signals(rows: DataFrame, as_of: Column, config: SignalConfig) -> DataFrame:
+    """Signals of actions with size_share, previous_at, trades_per_month, archetype and edge_vs_base."""
     scored = fn.significance_of(F.col("size_share"), F.col("event_type"), fn.days_between(F.col("previous_at"), F.col("observed_at")), F.col("trades_per_month"))
     rows = rows.withColumn("_s", scored).where(F.col("_s.score") >= config.min_significance)
     resting = fn.is_resting(F.col("event_type"), F.col("filled"))
@@ -153,6 +157,11 @@ def sequence_confirmation(events: DataFrame, edge_table: DataFrame, as_of: Colum
     led = leads.join(leader, "source").withColumns({"_start": F.unix_micros("led_at") + 1, "_end": F.unix_micros("led_at") + F.floor(2e6 * F.col("median_lag_seconds")) + 1})
     pairs = range_join(since(follower.withColumnRenamed("followed_at", "observed_at"), as_of, config.sequence_days).withColumnRenamed("observed_at", "followed_at"), led, ["target", "_asset"], "_at", "_start", "_end", bucket=DAY)
     first = pairs.groupBy("source", "target", "leader_event", "asset_id", "led_at", "median_lag_seconds", "ordering_consistency", "confidence", "observations").agg(F.min(F.struct("followed_at", "follower_event")).alias("f"))
+    return sequence_signals(first, as_of)
+
+
+def sequence_signals(first: DataFrame, as_of: Column) -> DataFrame:
+    """Signals of leaders' actions with the first follower's (f), if it came within twice the usual lag."""
     actual = (F.unix_micros("f.followed_at") - F.unix_micros("led_at")) / 1e6
     first = first.withColumn("actual", actual).where(F.col("actual") <= 2 * F.col("median_lag_seconds"))
     title = F.format_string(SAY["sequence_title"], F.substring("target", 1, 8), F.substring("source", 1, 8), "asset_id")
@@ -174,7 +183,11 @@ def pump_operator_activity(events: DataFrame, candidates: DataFrame, outcomes: D
     """Recent purchases by known pump operators, with their record."""
     operators = candidates.where("archetype = 'pump_operator'").select(F.col("wallet").alias("actor")).distinct()
     own = events.join(operators, "actor", "left_semi")
-    rows = since(own, as_of, config.lookback_days).where(fn.bought(F.col("side"))).join(operator_history(own, outcomes, as_of), "actor")
+    return operator_signals(since(own, as_of, config.lookback_days).where(fn.bought(F.col("side"))).join(operator_history(own, outcomes, as_of), "actor"), as_of)
+
+
+def operator_signals(rows: DataFrame, as_of: Column) -> DataFrame:
+    """Signals of purchases with episodes, collapsed and median_hours_to_distribution of the operator."""
     title = F.format_string(SAY["operator_title"], F.substring("actor", 1, 8), "asset_id")
     facts = [F.format_string(SAY["operator_episodes"], "episodes"), F.format_string(SAY["operator_hours"], "median_hours_to_distribution"), F.format_string(SAY["operator_collapsed"], "collapsed", "episodes")]
     risks = (SAY["operator_exit"], SAY["operator_past"])
@@ -183,7 +196,10 @@ def pump_operator_activity(events: DataFrame, candidates: DataFrame, outcomes: D
 
 def new_candidates(candidates: DataFrame, as_of: Column, start: Column) -> DataFrame:
     """Candidates surfaced from ``start`` to ``as_of``, rejected ones left out."""
-    rows = candidates.where(F.col("surfaced_at").between(start, as_of) & (F.col("status") != "rejected"))
+    return candidate_signals(candidates.where(F.col("surfaced_at").between(start, as_of) & (F.col("status") != "rejected")), as_of)
+
+
+def candidate_signals(rows: DataFrame, as_of: Column) -> DataFrame:
     title = F.format_string(SAY["candidate_title"], F.substring("wallet", 1, 8), "archetype")
     facts = [F.format_string(SAY["candidate_edge"], "edge_vs_base")]
     return rows.select(*_signal("newly_surfaced_candidate", title, F.least(F.lit(0.8), F.col("edge_vs_base") / 10), F.lit(0.4), F.col("surfaced_at"), as_of, F.lit(None), F.col("wallet"), facts, (SAY["candidate_risk"],), (SAY["candidate_unknown"],)))
@@ -209,7 +225,7 @@ def run_all(events: DataFrame, candidates: DataFrame, edge_table: DataFrame, out
 
 
 def first_per_key(signals: DataFrame) -> DataFrame:
-    """Of the signals of a replay, the first of every dedupe key: of the earliest tick, the most significant."""
+    """Of the signals of a replay, the first of every dedupe key: of the earliest tick, the most significant (to nine places), the earliest."""
     key = fn.dedupe_key(F.col("family"), F.col("asset_id"), F.col("wallet"), F.col("triggered_at"))
-    order = W.partitionBy("dedupe_key").orderBy("evidence_cutoff", F.desc("significance"), "title")
+    order = W.partitionBy("dedupe_key").orderBy("evidence_cutoff", F.desc(F.round("significance", 9)), "triggered_at", "title")
     return signals.withColumn("dedupe_key", key).withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")

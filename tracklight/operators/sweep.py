@@ -1,4 +1,4 @@
-"""Whole jobs: the two-pass sweep over a universe, the nightly run, replays over a clock."""
+"""Whole jobs: the two-pass sweep over a universe, the nightly run."""
 
 from __future__ import annotations
 
@@ -66,27 +66,6 @@ def provenance(appearing: DataFrame) -> DataFrame:
     return ds.provenance(appearing).select("actor", F.to_json("discovery_provenance", form).alias("provenance"))
 
 
-def replay(make: Callable[[Column], DataFrame], moments: list[str], keep: Keep = keep) -> DataFrame:
-    """The first signal of every dedupe key over a clock; ``make`` gives the signals of one moment.
-
-    Each moment's signals are written before the next ones are made, so plans stay as small as one moment's and a
-    moment that fails is all that is lost.
-    """
-    every = [keep(make(F.lit(m).cast("timestamp"))) for m in moments]
-    return sg.first_per_key(reduce(DataFrame.unionByName, every))
-
-
-def replay_all(events: DataFrame, frozen: DataFrame, outcomes: DataFrame, moments: list[str], step_days: float, graph: GraphConfig = GraphConfig(), signal: SignalConfig = SignalConfig(), keep: Keep = keep) -> DataFrame:
-    """All families over a clock, with a frozen set of candidates: each moment sees the edges of what happened by then."""
-
-    def make(at: Column) -> DataFrame:
-        edges = keep(gr.edges(events, frozen.select(F.col("wallet").alias("actor")), at, graph))
-        start = F.timestamp_micros((F.unix_micros(at) - int(step_days * DAY)).cast("long"))
-        return sg.run_all(events, frozen, edges, outcomes, at, start, signal)
-
-    return replay(make, moments, keep)
-
-
 @dataclass(frozen=True)
 class Night:
     outcomes: DataFrame

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tracklight.plans import q_graph, q_jobs, q_nights, q_outcomes, q_signals, q_sources, q_views, q_wallets
+from tracklight.plans import q_graph, q_jobs, q_nights, q_outcomes, q_replay, q_signals, q_sources, q_views, q_wallets
 from tracklight.plans.catalogue import ORACLE, QUERIES
 
-MODULES = (q_outcomes, q_wallets, q_graph, q_signals, q_sources, q_jobs, q_nights, q_views)
+MODULES = (q_outcomes, q_wallets, q_graph, q_signals, q_sources, q_jobs, q_nights, q_replay, q_views)
 
 
 def queries() -> dict:

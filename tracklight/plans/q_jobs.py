@@ -58,14 +58,6 @@ def replay_convergence(spark, sf_dir):
     return found.select("asset_id", F.unix_micros("triggered_at").alias("us"), F.round("significance", 6).alias("significance"))
 
 
-@query("replay_all")
-def replay_all(spark, sf_dir):
-    """All families over two days, each seeing the edges of its moment."""
-    days = ["2024-01-22 00:00:00", "2024-01-25 00:00:00"]
-    found = sweep.replay_all(adapters.clickstream_events(spark, sf_dir), qo.tracked(spark, sf_dir), qo.k_outcomes(spark, sf_dir), days, 3, qg.GRAPH, qs.SIGNAL)
-    return found.select("family", "asset_id", "wallet", F.unix_micros("triggered_at").alias("us"), F.round("significance", 6).alias("significance"))
-
-
 NIGHT = (sql.EVENTS, sql.CANDLES_K, sql.outcomes(qo.K), "o AS (SELECT * FROM oc)", qs.STORED.replace(f">= {10 * DAY}", f">= {21 * DAY}"))
 
 
