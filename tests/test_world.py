@@ -242,14 +242,3 @@ def test_backtest(spark):
     trade = bt.returns(filled, candles).first()
     assert trade.exit_price == 8.0 and trade.pnl_usd == pytest.approx(1000 * (8 - 1.015) / 1.015 - 3)
     assert bt.summary(filled, bt.returns(filled, candles)).first().rejected == 2
-
-
-def test_stream_cooldown(spark, tmp_path):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    rows = [("a", 0, 0.9), ("a", 3_600_000_000, 0.9), ("a", 30_000_000_000, 0.9), ("b", 5, 0.1), ("b", 6, 0.5)]
-    spark.createDataFrame(rows, "subject string, us bigint, significance double").coalesce(1).write.parquet(str(tmp_path / "in"))
-    source = spark.readStream.schema("subject string, us bigint, significance double").parquet(str(tmp_path / "in"))
-    q = stream.alerts(source).writeStream.format("memory").queryName("alerts").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    got = sorted((r.subject, r.us, r.decision) for r in spark.table("alerts").collect())
-    assert got == [("a", 0, "delivered"), ("a", 3_600_000_000, "cooldown"), ("a", 30_000_000_000, "delivered"), ("b", 5, "threshold"), ("b", 6, "delivered")]

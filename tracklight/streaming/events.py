@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from tracklight.functions import scalars as fn
+from tracklight.functions import tables
 from tracklight.operators import policy, sinks
-from tracklight.schema import HOUR, AlertConfig
+from tracklight.schema import HOUR, MUTED_FAMILIES, AlertConfig
 
 
 def deduplicated(stream: DataFrame, late: str = "1 day") -> DataFrame:
@@ -86,67 +88,131 @@ def trailing_buyers(stream: DataFrame, size: str = "14 days", step: str = "1 day
     return found.select(F.col("w.end").alias("window_end"), "asset_id", "buys", "buyers", "net_usd")
 
 
-class Cooldown(StatefulProcessor):
-    """Per subject, the moment of the last alert: signals within the cooldown after it are held back."""
+SIGNAL = "family string, asset_id string, wallet string, us bigint, significance double, risk_band string, dedupe_key string"
+LIST_ORDER = ["significance", "us", "family", "asset_id", "wallet"]
 
-    def __init__(self, config: AlertConfig = AlertConfig(), expire: bool = False):
-        self.cooldown = int(config.cooldown_hours * HOUR)
-        self.threshold = config.threshold
-        self.expire = expire
+
+def _in_order(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    """The rows of a key in a batch, in the order in which a run decides: the most significant first."""
+    frame = pd.concat(list(rows))
+    return frame.sort_values(LIST_ORDER, ascending=[False, True, True, True, True], kind="stable", na_position="first")
+
+
+class SubjectPolicy(StatefulProcessor):
+    """What the policy says of a signal for its subject (family, asset, wallet): duplicates, threshold, cooldown, muted families.
+
+    The state of a subject maps the keys of the signals that were kept to their times. Those older than ``history``
+    before the newest, which no rule looks at, go. With ``expire``, the state of a subject that stays silent for
+    that long goes as well.
+    """
+
+    def __init__(self, config: AlertConfig = AlertConfig(), history_days: int = 7, expire: bool = False):
+        self.config, self.history, self.expire = config, int(history_days * 24 * HOUR), expire
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "us bigint", int(self.cooldown / 1000) if self.expire else None)
+        self.kept = handle.getMapState("kept", "dedupe_key string", "us bigint", int(self.history / 1000) if self.expire else None)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
-        signals = pd.concat(list(rows)).sort_values("us")
-        last = self.last.get()[0] if self.last.exists() else None
-        out = []
-        for r in signals.itertuples():
-            if r.significance < self.threshold:
-                out.append("threshold")
-            elif last is not None and 0 <= r.us - last <= self.cooldown:
-                out.append("cooldown")
+        known, out = {k[0]: v[0] for k, v in self.kept.iterator()}, []
+        frame = _in_order(rows)
+        cooldown = int(self.config.cooldown_hours * HOUR)
+        for r in frame.itertuples():
+            critical = r.risk_band == "critical"
+            if r.dedupe_key in known:
+                decision = "duplicate"
+            elif r.significance < self.config.threshold and not critical:
+                decision = "threshold"
+            elif not critical and any(0 <= r.us - us <= cooldown for us in known.values()):
+                decision = "cooldown"
             else:
-                last = int(r.us)
-                out.append("delivered")
-        if last is not None:
-            self.last.update((last,))
-        yield signals.assign(decision=out)[["subject", "us", "significance", "decision"]]
+                known[r.dedupe_key] = int(r.us)
+                self.kept.updateValue((r.dedupe_key,), (int(r.us),))
+                decision = "muted" if r.family in MUTED_FAMILIES and not critical else "open"
+            out.append(decision)
+        newest = max(known.values(), default=0)
+        for k in [k for k, us in known.items() if us < newest - self.history]:
+            self.kept.removeKey((k,))
+        yield frame.assign(decision=out)[[*frame.columns[: len(SIGNAL.split(","))], "decision"]]
+
+    def close(self) -> None:
+        pass
+
+
+class DayPolicy(StatefulProcessor):
+    """The last word on signals that no rule of their subject holds back: the day's cap, shadow mode, quiet hours. The state of a day is a count."""
+
+    def __init__(self, config: AlertConfig = AlertConfig()):
+        self.config = config
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.told = handle.getValueState("told", "n bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
+        told, out = (self.told.get()[0] if self.told.exists() else 0), []
+        frame = _in_order(rows)
+        for r in frame.itertuples():
+            decision, critical = r.decision, r.risk_band == "critical"
+            if decision == "open":
+                if not critical and told >= self.config.max_per_day:
+                    decision = "daily_cap"
+                elif self.config.shadow:
+                    decision = "shadow"
+                elif r.quiet and not critical:
+                    decision = "quiet"
+                else:
+                    decision, told = "delivered", told + 1
+            out.append(decision)
+        self.told.update((told,))
+        yield frame.assign(decision=out)[[*frame.columns[: len(SIGNAL.split(","))], "decision"]]
 
     def close(self) -> None:
         pass
 
 
 def alerts(stream: DataFrame, config: AlertConfig = AlertConfig(), expire: bool = False) -> DataFrame:
-    """(subject, us, significance, decision) of a stream of signals keyed by subject. Needs the RocksDB state store.
+    """A stream of signals (family, asset_id, wallet, triggered_at, significance, risks) with the decision of the whole alert policy.
 
-    With ``expire``, the state of subjects that stay silent for the cooldown goes; that is for streams that run
-    on, as such a query never runs out of batches under the availableNow trigger.
+    Two keyed states, one after the other: per subject, then per day. A batch reads the state of its own keys, whatever
+    came before; its signals are decided in the order of a run. A stream has no runs, so ``max_per_run`` does not
+    apply. Needs the RocksDB state store. With ``expire``, silent subjects' state goes; that is for streams that run on,
+    as such a query never runs out of batches under the availableNow trigger.
     """
-    schema = "subject string, us bigint, significance double, decision string"
+    at = F.col("triggered_at")
+    signals = stream.select(
+        "family", "asset_id", "wallet", F.unix_micros(at).alias("us"), "significance", fn.risk_band(F.col("family"), F.col("risks")).alias("risk_band"), fn.dedupe_key(F.col("family"), F.col("asset_id"), F.col("wallet"), at).alias("dedupe_key"),
+        F.concat_ws(":", "family", F.coalesce("asset_id", F.lit("")), F.coalesce("wallet", F.lit(""))).alias("subject"),
+    )
     mode = "processingTime" if expire else "None"
-    return stream.groupBy("subject").transformWithStateInPandas(Cooldown(config, expire), outputStructType=schema, outputMode="append", timeMode=mode)
+    by_subject = signals.groupBy("subject").transformWithStateInPandas(SubjectPolicy(config, expire=expire), outputStructType=f"{SIGNAL}, decision string", outputMode="append", timeMode=mode)
+    quiet = fn.in_quiet_hours(F.timestamp_micros("us"), config.quiet_from, config.quiet_to).alias("quiet")
+    dated = by_subject.select("*", quiet, F.to_date(F.timestamp_micros("us")).cast("string").alias("day"))
+    return dated.groupBy("day").transformWithStateInPandas(DayPolicy(config), outputStructType=f"{SIGNAL}, decision string", outputMode="append", timeMode=mode)
 
 
 HISTORY = "family string, asset_id string, wallet string, triggered_at timestamp, delivered boolean"
 
 
-def alert_writer(path: str, config: AlertConfig = AlertConfig(), history_days: int = 2) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function that decides on the signals of each batch by the whole alert policy: duplicates,
-    threshold, cooldown, muted families, the day's cap, and what a critical risk is exempt from.
+def alert_writer(path: str, config: AlertConfig = AlertConfig(), history_days: int = 7) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that decides on the signals of each batch by the whole alert policy, ``max_per_run`` too.
 
-    Decisions go to a folder per batch, and earlier batches' are the history of the next; a batch that runs again
-    decides the same. History older than ``history_days``, which no rule looks at, is not read.
+    Decisions go to a folder per batch. Beside them a batch leaves what the next ones have to look at: the kept signals
+    of the last ``history_days``, so a batch reads one folder of history, whatever came before it; signals that are
+    later than that meet no history. A batch that runs
+    again reads the same folder and decides the same.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        earlier = [f"{path}/batch={n}" for n in _numbers(spark, path, "batch") if n < batch_id]
-        history = spark.read.schema(f"{HISTORY}, decision string").parquet(*earlier) if earlier else spark.createDataFrame([], f"{HISTORY}, decision string")
-        oldest = batch.agg(F.min(F.unix_micros("triggered_at"))).first()[0] or 0
-        kept = history.where(~F.col("decision").isin("duplicate", "threshold", "cooldown") & (F.col("triggered_at") >= F.timestamp_micros(F.lit(oldest - history_days * 24 * HOUR))))
-        decided = policy.dispatch(batch, kept.drop("decision"), config)
-        decided.withColumn("delivered", F.col("decision") == "delivered").write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        earlier = [n for n in _numbers(spark, path, "history") if n < batch_id]
+        history = spark.read.schema(HISTORY).parquet(f"{path}/history={earlier[-1]}") if earlier else spark.createDataFrame([], HISTORY)
+        decided = policy.dispatch(batch, history, config).withColumn("delivered", F.col("decision") == "delivered")
+        decided.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        stored = spark.read.schema(f"{HISTORY}, decision string").parquet(f"{path}/batch={batch_id}")
+        kept = history.unionByName(stored.where(~F.col("decision").isin("duplicate", "threshold", "cooldown")).drop("decision"))
+        newest = kept.agg(F.max(F.unix_micros("triggered_at"))).first()[0] or 0
+        kept.where(F.unix_micros("triggered_at") >= newest - history_days * 24 * HOUR).coalesce(1).write.mode("overwrite").parquet(f"{path}/history={batch_id}")
+        for n in earlier[:-1]:  # the last one stays for a batch that runs again
+            tables.delete(spark, f"{path}/history={n}")
 
     return write
 
