@@ -9,22 +9,55 @@ from pyspark.sql import functions as F
 from tracklight.schema import DAY
 
 
-def asof_join(left: DataFrame, right: DataFrame, on: str, by: list[str], values: list[str], strict: bool = False) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, on: str, by: list[str], values: list[str], strict: bool = False, bucket: int | None = None) -> DataFrame:
     """``left`` with the ``values`` of the last right row of the same ``by`` whose ``on`` is not after the left's.
 
-    With ``strict``, right rows at the same moment do not count. Both sides meet in one sorted pass per key: no
-    range join, and no row is paired with more than one other. Right rows that tie are ordered by their values.
+    With ``strict``, right rows at the same moment do not count. Both sides meet in one sorted pass: no range join, and
+    no row is paired with more than one other. Right rows that tie are ordered by their values; those without ``on``
+    never count. With ``bucket``, a length in the unit of ``on`` (a number), a key is passed over in pieces of that
+    length, each of which begins with the last value before it: a hot key is divided among tasks, and what one
+    task sees of a key as a whole is one row per piece.
     """
-    rank = 2 if strict else 0
-    marks = F.struct(*[F.col(v) for v in values])
-    both = left.select(*by, F.col(on).alias("_at"), F.lit(1).alias("_kind"), F.struct(*left.columns).alias("_row"), F.lit(None).cast(right.select(marks).schema[0].dataType).alias("_value")).unionByName(
-        right.select(*by, F.col(on).alias("_at"), F.lit(rank).alias("_kind"), F.lit(None).cast(left.select(F.struct(*left.columns)).schema[0].dataType).alias("_row"), marks.alias("_value"))
-    )
-    order = W.partitionBy(*by).orderBy("_at", "_kind", "_value").rowsBetween(W.unboundedPreceding, 0)
+    left_type, marks = left.select(F.struct(*left.columns)).schema[0].dataType, F.struct(*[F.col(v) for v in values])
+    value_type = right.select(marks).schema[0].dataType
+    none = lambda t: F.lit(None).cast(t)
+    piece = (F.floor(F.col(on) / bucket) if bucket else F.lit(0).cast("long")).alias("_piece")
+    rows = left.select(*by, piece, F.col(on).alias("_at"), F.lit(1).alias("_kind"), F.struct(*left.columns).alias("_row"), none(value_type).alias("_value"))
+    known = right.where(F.col(on).isNotNull()).select(*by, piece, F.col(on).alias("_at"), F.lit(2 if strict else 0).alias("_kind"), none(left_type).alias("_row"), marks.alias("_value"))
+    both = rows.unionByName(known)
+    if bucket:
+        last = known.groupBy(*by, "_piece").agg(F.max(F.struct("_at", "_value")).alias("_end"))
+        pieces = rows.select(*by, "_piece").distinct().unionByName(last, allowMissingColumns=True).groupBy(*by, "_piece").agg(F.max("_end").alias("_end"))
+        carried = F.last("_end", ignorenulls=True).over(W.partitionBy(*by).orderBy("_piece").rowsBetween(W.unboundedPreceding, -1))
+        begin = pieces.withColumn("_begin", carried).where(F.col("_begin").isNotNull() & F.col("_piece").isNotNull())
+        both = both.unionByName(begin.select(*by, "_piece", none(rows.schema["_at"].dataType).alias("_at"), F.lit(-1).alias("_kind"), none(left_type).alias("_row"), F.col("_begin._value").alias("_value")))
+    order = W.partitionBy(*by, "_piece").orderBy("_at", "_kind", "_value").rowsBetween(W.unboundedPreceding, 0)
     found = both.withColumn("_last", F.last("_value", ignorenulls=True).over(order)).where("_kind = 1")
     return found.select("_row.*", *[F.col(f"_last.{v}").alias(v) for v in values])
 
 
+def next_after(left: DataFrame, right: DataFrame, left_at: str, right_at: str, by: list[str], values: list[str], bucket: int = 30 * DAY) -> DataFrame:
+    """``left`` with the ``values`` of the first right row of the same ``by`` that is strictly later; of several at one
+    moment, those that come first in the order of ``values``. The columns of time are timestamps."""
+    first = right.groupBy(*by, right_at).agg(F.min(F.struct(*values)).alias("_first"))
+    turned = first.select(*by, (-F.unix_micros(right_at)).alias("_turned"), *[F.col(f"_first.{v}").alias(v) for v in values])
+    return asof_join(left.withColumn("_turned", -F.unix_micros(left_at)), turned, "_turned", by, values, strict=True, bucket=bucket).drop("_turned")
+
+
+def sums_before(rows: DataFrame, by: list[str], at: str, value: str, name: str, bucket: int = 7 * DAY) -> DataFrame:
+    """``rows`` with ``name``: the sum of ``value`` over the rows of the same ``by`` that are strictly earlier.
+
+    Two levels: sums of pieces of time, which a key has few of, and sums within a piece; so a hot key is divided among tasks.
+    ``value`` should be a whole number.
+    """
+    keyed = rows.withColumn("_piece", F.floor(F.unix_micros(at) / bucket))
+    pieces = keyed.groupBy(*by, "_piece").agg(F.sum(value).alias("_sum"))
+    earlier = F.coalesce(F.sum("_sum").over(W.partitionBy(*by).orderBy("_piece").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    inside = F.coalesce(F.sum(value).over(W.partitionBy(*by, "_piece").orderBy(F.unix_micros(at)).rangeBetween(W.unboundedPreceding, -1)), F.lit(0))
+    joined = keyed.withColumn("_inside", inside).join(pieces.select(*by, "_piece", earlier.alias("_earlier")), [*by, "_piece"])
+    return joined.withColumn(name, F.col("_inside") + F.col("_earlier")).drop("_piece", "_inside", "_earlier")
+
+
 def range_join(points: DataFrame, spans: DataFrame, by: list[str], at: str, start: str, end: str, bucket: int = 7 * DAY) -> DataFrame:
     """Pairs of points and spans with start <= at < end, all in microseconds, inner.
 

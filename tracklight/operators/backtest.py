@@ -16,7 +16,7 @@ from tracklight.schema import DAY, PREDICTIVE, BacktestConfig
 def prices_at(points: DataFrame, candles: DataFrame, at: str, price: str, config: BacktestConfig = BacktestConfig()) -> DataFrame:
     """``points`` with the close of the last candle that starts by column ``at`` (microseconds); null without one."""
     right = candles.select("asset_id", F.unix_micros("start").alias(at), F.col("close").alias(price), F.unix_micros("start").alias("_start"))
-    found = asof_join(points, right, at, ["asset_id"], [price, "_start"])
+    found = asof_join(points, right, at, ["asset_id"], [price, "_start"], bucket=30 * DAY)
     if config.max_staleness_days is not None:
         fresh = F.col(at) - F.col("_start") <= int(config.max_staleness_days * DAY)
         found = found.withColumn(price, F.when(fresh, F.col(price)))

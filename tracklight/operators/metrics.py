@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tracklight.functions import scalars as fn
 from tracklight.functions.tables import keep
+from tracklight.functions.temporal import next_after, sums_before
 from tracklight.operators import outcomes as oc
 from tracklight.schema import HOUR, PREDICTIVE, WalletConfig
 
@@ -155,20 +156,20 @@ def earliness(events: DataFrame, outcomes: DataFrame) -> DataFrame:
 
 
 def earliness_of(acquired: DataFrame, outcomes: DataFrame) -> DataFrame:
-    later = outcomes.where(F.col("outcome_class").isin(*PREDICTIVE)).select("asset_id", "t0")
-    entries = acquired.where("acquired").select("actor", "asset_id", "event_id", "observed_at")
-    led = entries.join(later, "asset_id").where(F.col("observed_at") < F.col("t0"))
-    led = led.groupBy("actor", "asset_id", "event_id", "observed_at").agg(F.min("t0").alias("t0"))
-    # the rank of an entry: first purchases of distinct buyers, counted in time order per (asset, outcome)
-    starts = led.select("asset_id", "t0").distinct()
-    buyers = acquired.where("bought").groupBy("asset_id", "actor").agg(F.min("observed_at").alias("first_buy"))
-    first = buyers.join(starts, "asset_id").where(F.col("first_buy") < F.col("t0")).select("asset_id", "t0", F.col("first_buy").alias("at"))
-    marks = first.select("asset_id", "t0", "at", F.lit(1).alias("buyer"), F.lit(None).cast("string").alias("actor")).unionByName(
-        led.select("asset_id", "t0", F.col("observed_at").alias("at"), F.lit(0).alias("buyer"), "actor")
+    later = outcomes.where(F.col("outcome_class").isin(*PREDICTIVE)).select("asset_id", "t0", F.col("t0").alias("_t0"))
+    entries = acquired.where("acquired").select("actor", "asset_id", F.col("observed_at").alias("at"))
+    led = next_after(entries, later, "at", "_t0", ["asset_id"], ["t0"]).where(F.col("t0").isNotNull())
+    # the rank of an entry: distinct buyers who came before it, of those who came before the move; both are counts along the asset's time
+    buyers = acquired.where("bought").groupBy("asset_id", "actor").agg(F.min("observed_at").alias("at"))
+    none = lambda t: F.lit(None).cast(t)
+    marks = (
+        buyers.select("asset_id", "at", F.lit(1).alias("buyer"), none("string").alias("actor"), none("timestamp").alias("t0"), F.lit(0).alias("kind"))
+        .unionByName(led.select("asset_id", "at", F.lit(0).alias("buyer"), "actor", "t0", F.lit(1).alias("kind")))
+        .unionByName(led.select("asset_id", "t0").distinct().select("asset_id", F.col("t0").alias("at"), F.lit(0).alias("buyer"), none("string").alias("actor"), "t0", F.lit(2).alias("kind")))
     )
-    key = W.partitionBy("asset_id", "t0")
-    before = F.sum("buyer").over(key.orderBy(F.unix_micros("at")).rangeBetween(W.unboundedPreceding, -1))
-    ranked = marks.select("*", F.coalesce(before, F.lit(0)).alias("before"), F.sum("buyer").over(key).alias("buyers")).where("buyer = 0")
+    counted = sums_before(marks, ["asset_id"], "at", "buyer", "before")
+    moves = counted.where("kind = 2").select("asset_id", "t0", F.col("before").alias("buyers"))
+    ranked = counted.where("kind = 1").join(moves, ["asset_id", "t0"])
     rank = F.when(F.col("buyers") > 0, F.col("before") / F.col("buyers")).otherwise(1.0)
     return ranked.groupBy("actor").agg(F.median(fn.days_between(F.col("at"), F.col("t0"))).alias("median_lead_days"), F.median(rank).alias("median_buyer_rank"))
 

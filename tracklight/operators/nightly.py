@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracklight.functions.temporal import next_after
 from tracklight.schema import DAY, MUTED_FAMILIES, PREDICTIVE
 
 THRESHOLDS = (0.25, 0.35, 0.45, 0.55, 0.65)
@@ -18,7 +19,8 @@ def grade(signals: DataFrame, outcomes: DataFrame, as_of: Column, horizon_days:
     """
     later = outcomes.where(F.col("outcome_class").isin(*PREDICTIVE) & (F.col("first_observed_at") <= as_of)).select("asset_id", "outcome_id", "outcome_class", "t0")
     pending = signals.where("grade = 'pending' AND asset_id IS NOT NULL").select("signal_id", "asset_id", "triggered_at")
-    hits = pending.join(later, "asset_id").where(F.col("t0") > F.col("triggered_at")).groupBy("signal_id").agg(F.min(F.struct("t0", "outcome_id", "outcome_class")).alias("_hit"))
+    found = next_after(pending, later.withColumn("_t0", F.col("t0")), "triggered_at", "_t0", ["asset_id"], ["t0", "outcome_id", "outcome_class"])
+    hits = found.where(F.col("t0").isNotNull()).groupBy("signal_id").agg(F.min(F.struct("t0", "outcome_id", "outcome_class")).alias("_hit"))
     rows = signals.join(hits, "signal_id", "left")
     old = F.unix_micros(as_of) - F.unix_micros("triggered_at") >= int(horizon_days * DAY)
     new = F.when(F.col("grade") != "pending", F.col("grade")).when(F.col("asset_id").isNull(), "not_applicable").when(F.col("_hit").isNotNull(), "hit").when(old, "miss").otherwise("pending")
