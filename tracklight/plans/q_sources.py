@@ -239,6 +239,24 @@ def stream_late_finality(spark, sf_dir):
     return good.unionByName(bad.select("event_id", "finality", "usd_value", F.lit(True).alias("dead")))
 
 
+@query(
+    "stream_watched",
+    "SELECT event_id::VARCHAR AS event_id, user_id::VARCHAR AS actor FROM events WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_nationkey IN (3, 4)) AND (user_id IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3) OR epoch_us(ts) >= "
+    f"{1_704_067_200_000_000 + 15 * DAY})",
+)
+def stream_watched(spark, sf_dir):
+    """Events of watched actors, half a month per stream; in between a nation is added to the list, and a batch comes again."""
+    path, half = workspace(spark), F.timestamp_micros(F.lit(1_704_067_200_000_000 + 15 * DAY))
+    customers = adapters.read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("actor"), "c_nationkey")
+    write, rows = stream.watch(f"{path}/out", f"{path}/lists"), event_stream(spark, sf_dir)
+    for version, part in enumerate((F.col("observed_at") < half, F.col("observed_at") >= half)):
+        customers.where(F.col("c_nationkey").between(3, 3 + version)).select("actor").write.parquet(f"{path}/lists/version={version}")
+        run = lambda batch, n, v=version: write(batch, 100 * v + n)
+        rows.where(part).writeStream.foreachBatch(run).option("checkpointLocation", f"{path}/state{version}").trigger(availableNow=True).start().awaitTermination()
+    write(event_stream(spark, sf_dir, batch=True).where(F.col("observed_at") < half), 0)  # takes the list that it took before
+    return stream.written(spark, f"{path}/out").select("event_id", "actor")
+
+
 @query(
     "stream_window_accumulation",
     f"SELECT e AS window_end, 'k:' || (props->>'$.k') AS asset_id, count(*) AS buys, count(DISTINCT user_id) AS buyers, round(sum(value), 4) AS net_usd FROM (SELECT *, unnest(range((epoch_us(ts) // {DAY} + 1) * {DAY}, (epoch_us(ts) // {DAY} + 15) * {DAY}, {DAY})) AS e FROM events WHERE event_type = 'purchase') WHERE e <= (SELECT max(epoch_us(ts)) FROM events WHERE event_type = 'purchase') - {DAY} GROUP BY 1, 2",

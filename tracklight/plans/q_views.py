@@ -62,9 +62,11 @@ def scan_known_orders(spark, sf_dir):
     return scans.observed_events(orders_as_events(spark, sf_dir), at(CUT)).select("event_id", "actor")
 
 
-@query("scan_with_reverted", sql.with_(ORDERS) + f"SELECT event_id FROM od WHERE seen >= {CUT} AND seen <= {CUT + 300 * DAY} AND asset_id = 'p:2' AND actor = 'c7'")
+@query("scan_with_reverted", sql.with_(ORDERS) + f"SELECT event_id, actor, reverted FROM od WHERE seen >= {CUT} AND seen <= {CUT + 300 * DAY} AND asset_id = 'p:2' UNION ALL SELECT event_id, actor, reverted FROM od WHERE seen >= {CUT} AND seen <= {CUT + 300 * DAY} AND asset_id = 'p:5' AND actor = 'c25'")
 def scan_with_reverted(spark, sf_dir):
-    return scans.observed_events(orders_as_events(spark, sf_dir), at(CUT + 300 * DAY), since=at(CUT), actor="c7", asset="p:2", include_reverted=True).select("event_id")
+    """An asset's events, reverted ones among them, and those of one actor on another asset."""
+    of = lambda **which: scans.observed_events(orders_as_events(spark, sf_dir), at(CUT + 300 * DAY), since=at(CUT), include_reverted=True, **which)
+    return of(asset="p:2").unionByName(of(actor="c25", asset="p:5")).select("event_id", "actor", (F.col("finality") == "reverted").alias("reverted"))
 
 
 @query("backfill", sql.with_(ORDERS) + f"SELECT event_id FROM od WHERE seen BETWEEN {CUT} AND {CUT + 30 * DAY} AND actor IN (SELECT 'c' || c_custkey FROM customer WHERE c_custkey % 10 = 0)")
@@ -131,11 +133,11 @@ def register_assets(spark, sf_dir):
     return sinks.register_assets(stored, pools.unionByName(pools)).select("asset_id", "symbol", F.unix_micros("first_seen_at").alias("first_us"))
 
 
-@query("above_floors", "SELECT 'part:' || p_partkey AS asset_id FROM part WHERE p_retailprice >= 1000 AND p_size % 5 <> 0 AND p_size >= 10")
+@query("above_floors", "SELECT 'part:' || p_partkey AS asset_id FROM part WHERE p_retailprice >= 910 AND p_size % 5 <> 0 AND p_size >= 10")
 def above_floors(spark, sf_dir):
     part = adapters.read(spark, sf_dir, "part")
     universe = part.select(F.concat(F.lit("part:"), "p_partkey").alias("asset_id"), F.when(F.col("p_size") % 5 != 0, F.col("p_size").cast("double")).alias("liquidity_usd"), F.col("p_retailprice").alias("volume_24h"))
-    return sinks.above_floors(universe, liquidity=10.0, volume=1000.0).select("asset_id")
+    return sinks.above_floors(universe, liquidity=10.0, volume=910.0).select("asset_id")
 
 
 @query("appended_reports", "SELECT n_regionkey AS key, count(*) AS n, sum(n_nationkey)::BIGINT AS total FROM (SELECT * FROM nation UNION ALL SELECT * FROM nation WHERE n_nationkey > 12) GROUP BY 1")

@@ -13,6 +13,7 @@ from tracklight.functions import scalars as fn
 from tracklight.functions import tables
 from tracklight.operators import policy, sinks
 from tracklight.schema import HOUR, MUTED_FAMILIES, AlertConfig
+from tracklight.sources import scans
 
 
 def deduplicated(stream: DataFrame, late: str = "1 day") -> DataFrame:
@@ -81,13 +82,34 @@ def ingest(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
 def trailing_buyers(stream: DataFrame, size: str = "14 days", step: str = "1 day", late: str = "1 day") -> DataFrame:
     """(window_end, asset_id, buys, buyers, net_usd) per sliding window, emitted when no late row can change it.
 
-    Buyers are counted exactly: the state of a window holds the set of its buyers.
+    Buyers are counted exactly, by two aggregations, one after the other: a row of state per (window, asset, actor), and
+    then one per (window, asset). Every row of state is of fixed size, and an asset's buyers are spread by their names.
     """
     buys = stream.where("side = 'buy' AND asset_id IS NOT NULL").withWatermark("observed_at", late)
-    found = buys.groupBy(F.window("observed_at", size, step).alias("w"), "asset_id").agg(F.count(F.lit(1)).alias("buys"), F.size(F.collect_set("actor")).cast("long").alias("buyers"), F.sum("usd_value").alias("net_usd"))
+    of_actor = buys.groupBy(F.window("observed_at", size, step).alias("w"), "asset_id", "actor").agg(F.count(F.lit(1)).alias("n"), F.sum("usd_value").alias("usd"))
+    found = of_actor.groupBy("w", "asset_id").agg(F.sum("n").alias("buys"), F.count("actor").alias("buyers"), F.sum("usd").alias("net_usd"))
     return found.select(F.col("w.end").alias("window_end"), "asset_id", "buys", "buyers", "net_usd")
 
 
+def watch(path: str, addresses: str) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that keeps the events of watched actors in ``path``, a folder per batch.
+
+    ``addresses`` holds the lists, a folder ``version=N`` each (column ``actor``). A batch joins the newest list that is
+    finished when it begins, and writes down which one; one that runs again takes the same, so it writes the same.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        used = _numbers(spark, f"{path}/used", f"{batch_id}")
+        version = used[-1] if used else _numbers(spark, addresses, "version")[-1]
+        if not used:
+            spark.range(1).write.mode("overwrite").parquet(f"{path}/used/{batch_id}={version}")
+        known = spark.read.schema("actor string").parquet(f"{addresses}/version={version}")
+        scans.watched(batch, known).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return write
+
+
 SIGNAL = "family string, asset_id string, wallet string, us bigint, significance double, risk_band string, dedupe_key string"
 LIST_ORDER = ["significance", "us", "family", "asset_id", "wallet"]
 
@@ -219,4 +241,9 @@ def alert_writer(path: str, config: AlertConfig = AlertConfig(), history_days: i
 
 def decisions(spark: SparkSession, path: str) -> DataFrame:
     """All decisions that ``alert_writer`` has made."""
+    return written(spark, path)
+
+
+def written(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of all batches that a writer has put into ``path``."""
     return spark.read.parquet(*[f"{path}/batch={n}" for n in _numbers(spark, path, "batch")])
