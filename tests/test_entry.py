@@ -27,7 +27,7 @@ def test_queries_are_listed_in_a_fresh_interpreter_without_a_session():
     names, _ = listed(ROOT)
     assert "discovery_scores" in names and len(names) > 100
     if os.path.isdir(f"{ROOT}/tracklight/llm"):
-        assert {*(f"op{i}_" for i in range(1, 11))} == {m[0] for n in names if (m := re.match(r"op\d+_", n))} and "pipeline" in names
+        assert {*(f"op{i}_" for i in range(1, 14))} == {m[0] for n in names if (m := re.match(r"op\d+_", n))} and "pipeline" in names
 
 
 def test_the_rest_is_listed_when_the_corpus_operators_are_gone_or_broken(tmp_path):
