@@ -6,11 +6,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tracklight.operators import discovery as ds
 from tracklight.operators import graph as gr
 from tracklight.operators import policy, replay
 from tracklight.operators import signals as sg
-from tracklight.plans import all_queries, q_graph, q_jobs, q_outcomes, q_signals, q_wallets
+from tracklight.plans import all_queries, q_graph, q_jobs, q_outcomes, q_signals
 from tracklight.schema import HOUR, MUTED_FAMILIES, AlertConfig
 from tracklight.sources import adapters
 from tracklight.streaming import events as stream
@@ -93,16 +92,6 @@ def test_nightly_decisions(spark):
     assert {d: got[f"n_{d}"] for d in policy.DECISIONS} == {d: want.count(d) for d in policy.DECISIONS}
 
 
-def test_discovery_backtest(spark):
-    events, outcomes, assets = adapters.clickstream_events(spark, SF), q_outcomes.k_outcomes(spark, SF), q_outcomes.k_assets(spark, SF)
-    passed = []
-    for at in ("2024-01-18 00:00:00", q_outcomes.AS_OF):
-        scores = ds.sweep(events, outcomes, assets, F.lit(at).cast("timestamp"), config=q_wallets.DISCOVERY, wallets=q_wallets.WALLETS)
-        passed.append({r.actor for r in scores.where("passed").collect()})
-    got = QUERIES["discovery_backtest"](spark, SF).first()
-    assert (got.kept, got.lost, got.gained) == (len(passed[0] & passed[1]), len(passed[0] - passed[1]), len(passed[1] - passed[0]))
-
-
 def test_replay_gives_what_every_moment_gives(spark):
     """Ticks of the replay against the families of the moment itself: texts, evidence and figures."""
     events, frozen, outcomes = adapters.clickstream_events(spark, SF), q_outcomes.tracked(spark, SF), q_outcomes.k_outcomes(spark, SF)

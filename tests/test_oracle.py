@@ -58,4 +58,4 @@ def test_same_as_sql(spark, db, name):
 
 def test_queries_without_sql_have_tests_of_their_own():
     """They are held against plain Python in test_jobs.py."""
-    assert set(QUERIES) - set(ORACLE) == {"alert_decisions", "discovery_backtest", "nightly_decisions"}
+    assert set(QUERIES) - set(ORACLE) == {"nightly_decisions"}

@@ -15,7 +15,6 @@ from tracklight.operators import playbooks as pb
 from tracklight.operators import policy, sinks
 from tracklight.operators import signals as sg
 from tracklight.schema import AlertConfig, OutcomeConfig
-from tracklight.streaming import events as stream
 
 T0 = dt.datetime(2024, 1, 1)
 EVENT = "event_id string, event_type string, chain_time timestamp, observed_at timestamp, finality string, actor string, asset_id string, side string, usd_value double, price_usd double, filled boolean"

@@ -16,7 +16,7 @@ from tracklight.plans import q_signals as qs
 from tracklight.plans import q_wallets as qw
 from tracklight.plans import sql_parts as sql
 from tracklight.plans.catalogue import query
-from tracklight.schema import CRITICAL_FAMILIES, DAY, HOUR, MUTED_FAMILIES, PREDICTIVE, AlertConfig
+from tracklight.schema import DAY, MUTED_FAMILIES, PREDICTIVE, AlertConfig
 from tracklight.sources import adapters
 
 NIGHTS = ("2024-01-18 00:00:00", qo.AS_OF)
@@ -27,7 +27,7 @@ REJECT = qw.REJECT.replace(f"edge_ratio < {qw.DISCOVERY.min_edge}", f"edge_ratio
 
 def moved(text: str, at: int) -> str:
     """SQL of the moment AS_OF, at another moment: all times in it move along."""
-    return re.sub(r"\b17\d{14}\b", lambda m: str(int(m[0]) + at - qo.AS_OF_US), text)
+    return sql.at(text, at, qo.AS_OF_US)
 
 
 def unrounded(text: str) -> str:
@@ -51,7 +51,7 @@ def _night_sql(n: int, at: int, before: str) -> str:
     near = f"near{n} AS (SELECT actor FROM rej{n} WHERE reason IS NOT NULL ORDER BY hits DESC, edge_ratio DESC, actor LIMIT {DISCOVERY.near_misses})"
     old = f"LEFT JOIN cand{n - 1} c ON c.wallet = r.actor" if n > 1 else "LEFT JOIN (SELECT NULL::VARCHAR AS wallet, NULL::VARCHAR AS status, NULL::VARCHAR AS archetype, NULL::DOUBLE AS edge, NULL::BIGINT AS surfaced, NULL::BIGINT AS shadow_us) c ON false"
     rest = f"UNION ALL SELECT wallet, status, archetype, edge, surfaced, shadow_us, true FROM cand{n - 1} WHERE wallet NOT IN (SELECT actor FROM rej{n})" if n > 1 else ""
-    muted, critical = (", ".join(f"'{f}'" for f in x) for x in (MUTED_FAMILIES, CRITICAL_FAMILIES))
+    muted = ", ".join(f"'{f}'" for f in MUTED_FAMILIES)
     return f"""
 new{n} AS (WITH {candles.strip()}, {sql.outcomes(qo.K).strip()}, {sql.LISTINGS.strip()} SELECT * FROM oc UNION ALL SELECT * FROM lst WHERE seen <= {at}),
 o{n} AS ({known}),
@@ -74,30 +74,7 @@ gr{n} AS (
 pro{n} AS (WITH RECURSIVE gd AS (SELECT * FROM gr{n}), {qs.PROPOSED.strip()} SELECT CASE WHEN n >= 20 THEN best ELSE 0.35 END::DOUBLE AS proposed FROM tp, (SELECT count(*) AS n FROM gd WHERE grade IN ('hit', 'miss')) WHERE i = (SELECT max(i) FROM ts)),
 fp{n} AS (SELECT family, count(*) AS graded, count(*) FILTER (grade = 'hit') / count(*) AS precision FROM gr{n} WHERE grade IN ('hit', 'miss') GROUP BY 1),
 br{n} AS (SELECT (SELECT count(DISTINCT asset_id) FROM o{n} WHERE outcome_class = 'price_run' AND seen <= {at}) / (SELECT count(*) FROM ast WHERE first_seen <= {at}) AS r),
-top{n} AS (
-  SELECT *, family || ':' || coalesce(asset_id, '-') || ':' || coalesce(wallet, '-') || ':' || (us // {DAY}) AS key, family || ':' || coalesce(asset_id, '') || ':' || coalesce(wallet, '') AS subject, family IN ({critical}) AS critical
-  FROM (SELECT *, row_number() OVER (ORDER BY significance DESC, us, family, asset_id NULLS FIRST, wallet NULLS FIRST) AS i FROM sig{n}) WHERE i <= {ALERT.max_per_run}
-),
-past{n} AS (SELECT *, family || ':' || coalesce(asset_id, '-') || ':' || coalesce(wallet, '-') || ':' || (us // {DAY}) AS key, family || ':' || coalesce(asset_id, '') || ':' || coalesce(wallet, '') AS subject FROM st{n}),
-ask{n} AS (
-  SELECT t.*, EXISTS (SELECT 1 FROM past{n} p WHERE p.key = t.key) AS dup, EXISTS (SELECT 1 FROM past{n} p WHERE p.subject = t.subject AND t.us - p.us BETWEEN 0 AND {int(ALERT.cooldown_hours * HOUR)}) AS near,
-    (SELECT count(*) FROM past{n} p WHERE p.delivered AND p.us // {DAY} = t.us // {DAY}) AS told FROM top{n} t
-),
-fold{n} AS (
-  SELECT 0::BIGINT AS i, NULL::VARCHAR AS decision, []::VARCHAR[] AS keys, []::STRUCT(subject VARCHAR, us BIGINT)[] AS kept, []::BIGINT[] AS days
-  UNION ALL
-  SELECT i, decision, CASE WHEN decision IN ('duplicate', 'threshold', 'cooldown') THEN keys ELSE list_append(keys, key) END, CASE WHEN decision IN ('duplicate', 'threshold', 'cooldown') THEN kept ELSE list_append(kept, {{'subject': subject, 'us': us}}) END,
-    CASE WHEN decision = 'delivered' THEN list_append(days, us // {DAY}) ELSE days END
-  FROM (
-    SELECT a.i, a.key, a.subject, a.us, keys, kept, days, CASE
-      WHEN dup OR list_contains(keys, a.key) THEN 'duplicate' WHEN significance < {ALERT.threshold} AND NOT critical THEN 'threshold'
-      WHEN NOT critical AND (near OR len(list_filter(kept, lambda k: k.subject = a.subject AND a.us - k.us BETWEEN 0 AND {int(ALERT.cooldown_hours * HOUR)})) > 0) THEN 'cooldown'
-      WHEN family IN ({muted}) AND NOT critical THEN 'muted'
-      WHEN NOT critical AND told + len(list_filter(days, lambda d: d = a.us // {DAY})) >= {ALERT.max_per_day} THEN 'daily_cap' ELSE 'delivered' END AS decision
-    FROM fold{n} f JOIN ask{n} a ON a.i = f.i + 1
-  )
-),
-dec{n} AS (SELECT t.*, decision FROM top{n} t JOIN fold{n} USING (i)),
+{sql.decisions(n, f"SELECT * FROM sig{n}", f"SELECT * FROM st{n}", ALERT)},
 dig{n} AS (
   SELECT {n} AS night, 'candidates' AS section, status AS key, count(*)::DOUBLE AS value FROM cand{n} WHERE status IN ('tracked', 'shadow') GROUP BY 3
   UNION ALL SELECT {n}, 'grades', grade, count(*) FROM gr{n} GROUP BY 3

@@ -167,11 +167,19 @@ def run_all_signals(spark, sf_dir):
     return brief(all_signals(spark, sf_dir))
 
 
-@query("alert_decisions")
+ALERT = AlertConfig(max_per_run=200)
+ACTED = ACTION_ROWS.replace("round(sig, 6)", "sig")
+
+
+@query(
+    "alert_decisions",
+    sql.with_(*TRACKED_PARTS, ACTIONS, sql.decisions("", f"SELECT * FROM ({ACTED})", f"SELECT *, true AS delivered FROM ({ACTED}) WHERE significance < 0.3", ALERT)).replace("WITH ", "WITH RECURSIVE ", 1)
+    + "SELECT i::INTEGER AS place, family, asset_id, wallet, round(significance, 6) AS significance, CASE WHEN family = 'resting_order_placed' THEN 'elevated' ELSE 'normal' END AS risk_band, decision FROM dec",
+)
 def alert_decisions(spark, sf_dir):
     signals = k_actions(spark, sf_dir)
     history = signals.where("significance < 0.3").select("family", "asset_id", "wallet", "triggered_at", F.lit(True).alias("delivered"))
-    return policy.dispatch(signals, history, AlertConfig(max_per_run=200)).select("place", "family", "asset_id", "wallet", F.round("significance", 6).alias("significance"), "risk_band", "decision")
+    return policy.dispatch(signals, history, ALERT).select("place", "family", "asset_id", "wallet", F.round("significance", 6).alias("significance"), "risk_band", "decision")
 
 
 #: Signals to grade: every click of the stream is one of a family, with a significance from its value.

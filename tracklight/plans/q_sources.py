@@ -4,11 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracklight.functions import scalars as fn
 from tracklight.functions import tables
 from tracklight.operators import outcomes as oc
 from tracklight.operators import sinks, views
-from tracklight.operators import signals as sg
 from tracklight.plans import q_outcomes as qo
 from tracklight.plans import q_signals as qs
 from tracklight.plans import sql_parts as sql

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from tracklight.functions import tables
@@ -272,8 +274,19 @@ def candidate_persist(spark, sf_dir):
     return after.select("wallet", "status", F.unix_micros("surfaced_at").alias("surfaced_us"), "archetype", "edge_vs_base", F.coalesce("network", F.lit("")).alias("network"), F.size("discovery_provenance").cast("long").alias("n_provenance"))
 
 
-@query("discovery_backtest")
+#: A lower bar, so that some actors pass at both moments.
+LOWER = replace(DISCOVERY, min_edge=0.8)
+PASSED = sql.with_(SEEN, ACTIVITY, PRECISION, ARCHETYPE, qo.APPEARANCES, SCORES, REJECT.replace(f"edge_ratio < {DISCOVERY.min_edge}", f"edge_ratio < {LOWER.min_edge}")) + "SELECT actor FROM rej WHERE reason IS NULL"
+
+
+@query(
+    "discovery_backtest",
+    sql.with_(*qo.BASE, f"then_ AS ({sql.at(PASSED, AT - 7 * DAY, AT)})", f"present AS ({PASSED})")
+    + """SELECT *, CASE WHEN kept + lost > 0 THEN kept / (kept + lost) END::DOUBLE AS survival_rate FROM (SELECT count(*) FILTER (t.actor IS NOT NULL AND p.actor IS NOT NULL) AS kept, count(*) FILTER (p.actor IS NULL) AS lost, count(*) FILTER (t.actor IS NULL) AS gained
+FROM then_ t FULL JOIN present p ON t.actor = p.actor)""",
+)
 def discovery_backtest(spark, sf_dir):
-    events, outcomes = adapters.clickstream_events(spark, sf_dir), qo.k_outcomes(spark, sf_dir)
-    frozen = ds.sweep(events, outcomes, qo.k_assets(spark, sf_dir), F.lit("2024-01-18 00:00:00").cast("timestamp"), config=DISCOVERY, wallets=WALLETS)
-    return ds.survival(frozen, k_scores(spark, sf_dir))
+    """Who passed a week ago, and who of them passes now."""
+    events, outcomes, assets = adapters.clickstream_events(spark, sf_dir), qo.k_outcomes(spark, sf_dir), qo.k_assets(spark, sf_dir)
+    at = lambda us: ds.sweep(events, outcomes, assets, F.timestamp_micros(F.lit(us)), config=LOWER, wallets=WALLETS)
+    return ds.survival(at(AT - 7 * DAY), at(AT))

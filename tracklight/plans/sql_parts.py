@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from tracklight.schema import DAY, HOUR, OutcomeConfig
+import re
+
+from tracklight.schema import CRITICAL_FAMILIES, DAY, HOUR, MUTED_FAMILIES, AlertConfig, OutcomeConfig
 
 EVENTS = """
 ev0 AS (
@@ -73,5 +75,41 @@ lst AS (
 ASSETS = "ast AS (SELECT asset_id, min(us) AS first_seen FROM ev WHERE asset_id IS NOT NULL GROUP BY 1)"
 
 
+def decisions(n, signals: str, past: str, alert: AlertConfig) -> str:
+    """CTEs top{n} and dec{n}, for WITH RECURSIVE: the run's signals (family, asset_id, wallet, us, significance) with place i,
+    and with the policy's decision, taken signal by signal over the stored ones (the same columns, and delivered)."""
+    muted, critical = (", ".join(f"'{f}'" for f in x) for x in (MUTED_FAMILIES, CRITICAL_FAMILIES))
+    keys = f"family || ':' || coalesce(asset_id, '-') || ':' || coalesce(wallet, '-') || ':' || (us // {DAY}) AS key, family || ':' || coalesce(asset_id, '') || ':' || coalesce(wallet, '') AS subject"
+    cooldown = int(alert.cooldown_hours * HOUR)
+    return f"""top{n} AS (
+  SELECT *, {keys}, family IN ({critical}) AS critical FROM (SELECT *, row_number() OVER (ORDER BY significance DESC, us, family, asset_id NULLS FIRST, wallet NULLS FIRST) AS i FROM ({signals})) WHERE i <= {alert.max_per_run}
+),
+past{n} AS (SELECT *, {keys} FROM ({past})),
+ask{n} AS (
+  SELECT t.*, EXISTS (SELECT 1 FROM past{n} p WHERE p.key = t.key) AS dup, EXISTS (SELECT 1 FROM past{n} p WHERE p.subject = t.subject AND t.us - p.us BETWEEN 0 AND {cooldown}) AS near,
+    (SELECT count(*) FROM past{n} p WHERE p.delivered AND p.us // {DAY} = t.us // {DAY}) AS told FROM top{n} t
+),
+fold{n} AS (
+  SELECT 0::BIGINT AS i, NULL::VARCHAR AS decision, []::VARCHAR[] AS keys, []::STRUCT(subject VARCHAR, us BIGINT)[] AS kept, []::BIGINT[] AS days
+  UNION ALL
+  SELECT i, decision, CASE WHEN decision IN ('duplicate', 'threshold', 'cooldown') THEN keys ELSE list_append(keys, key) END, CASE WHEN decision IN ('duplicate', 'threshold', 'cooldown') THEN kept ELSE list_append(kept, {{'subject': subject, 'us': us}}) END,
+    CASE WHEN decision = 'delivered' THEN list_append(days, us // {DAY}) ELSE days END
+  FROM (
+    SELECT a.i, a.key, a.subject, a.us, keys, kept, days, CASE
+      WHEN dup OR list_contains(keys, a.key) THEN 'duplicate' WHEN significance < {alert.threshold} AND NOT critical THEN 'threshold'
+      WHEN NOT critical AND (near OR len(list_filter(kept, lambda k: k.subject = a.subject AND a.us - k.us BETWEEN 0 AND {cooldown})) > 0) THEN 'cooldown'
+      WHEN family IN ({muted}) AND NOT critical THEN 'muted'
+      WHEN NOT critical AND told + len(list_filter(days, lambda d: d = a.us // {DAY})) >= {alert.max_per_day} THEN 'daily_cap' ELSE 'delivered' END AS decision
+    FROM fold{n} f JOIN ask{n} a ON a.i = f.i + 1
+  )
+),
+dec{n} AS (SELECT t.*, decision FROM top{n} t JOIN fold{n} USING (i))"""
+
+
+def at(text: str, moment: int, of: int) -> str:
+    """SQL of the moment ``of``, at another moment: all times in it move along."""
+    return re.sub(r"\b17\d{14}\b", lambda m: str(int(m[0]) + moment - of), text)
+
+
 def with_(*parts: str) -> str:
     return "WITH " + ",\n".join(p.strip().removesuffix(",") for p in parts) + "\n"

@@ -51,12 +51,19 @@ def _numbers(spark: SparkSession, path: str, kind: str) -> list[int]:
     return sorted(int(n.split("=")[1]) for n in done)
 
 
-def current(spark: SparkSession, path: str, sequence: str = "observed_at") -> DataFrame | None:
-    """The event table: the last compacted one, and the batches after it merged in, in their order. None if there is nothing."""
-    bases = _numbers(spark, path, "base")
-    last = bases[-1] if bases else -1
-    deltas = [f"{path}/delta={n}" for n in _numbers(spark, path, "delta") if n > last]
-    base = spark.read.parquet(f"{path}/base={last}") if bases else None
+BASE = "bucket int, buckets int, folder string"
+
+
+def _base(spark: SparkSession, path: str) -> tuple[int, list]:
+    """(the last batch that is merged, or -1; the rows of the base's list: a folder for each bucket of ids)."""
+    found = _numbers(spark, path, "base")
+    return (found[-1], spark.read.schema(BASE).json(f"{path}/base={found[-1]}").collect()) if found else (-1, [])
+
+
+def _merged(spark: SparkSession, path: str, after: int, folders: list[str], sequence: str) -> DataFrame | None:
+    """The rows of the base's ``folders``, and the batches after the number ``after`` merged in, in their order."""
+    deltas = [f"{path}/delta={n}" for n in _numbers(spark, path, "delta") if n > after]
+    base = spark.read.parquet(*folders) if folders else None
     if not deltas:
         return base
     new = spark.read.parquet(*deltas).withColumn("_sequence", F.struct(DELIVERED, sequence))
@@ -64,12 +71,35 @@ def current(spark: SparkSession, path: str, sequence: str = "observed_at") -> Da
     return sinks.upsert_events(stored, new, "_sequence")
 
 
-def compact(spark: SparkSession, path: str, sequence: str = "observed_at") -> bool:
-    """Write the merged table as the base of later reads. Older folders stay, for readers at work, until they are deleted."""
-    deltas = _numbers(spark, path, "delta")
-    if not deltas or deltas[-1] in _numbers(spark, path, "base"):
+def current(spark: SparkSession, path: str, sequence: str = "observed_at") -> DataFrame | None:
+    """The event table: the last compacted one, and the batches after it merged in. None if there is nothing."""
+    last, rows = _base(spark, path)
+    return _merged(spark, path, last, [r["folder"] for r in rows], sequence)
+
+
+def compact(spark: SparkSession, path: str, sequence: str = "observed_at", buckets: int = 64) -> bool:
+    """Merge the batches into the base of later reads. False if there is none to merge.
+
+    The base is kept in buckets by the hash of the id, and only those that the batches touch are written anew; the list of
+    the buckets' folders, written last, makes them the base. So the work is that of the batches and their buckets; the
+    first compaction sets the number of buckets. Older folders stay, for readers at work, until they are deleted.
+    """
+    last, rows = _base(spark, path)
+    deltas = [n for n in _numbers(spark, path, "delta") if n > last]
+    if not deltas:
         return False
-    current(spark, path, sequence).write.mode("overwrite").parquet(f"{path}/base={deltas[-1]}")
+    buckets = rows[0]["buckets"] if rows else buckets
+    bucket = F.pmod(F.xxhash64("event_id"), F.lit(buckets)).cast("int")
+    new = spark.read.parquet(*[f"{path}/delta={n}" for n in deltas])
+    touched = sorted(r[0] for r in new.select(bucket).distinct().collect())  # at most one row per bucket
+    folders = {r["bucket"]: r["folder"] for r in rows}
+    if touched:
+        merged = _merged(spark, path, last, [folders[b] for b in touched if b in folders], sequence).withColumn("_bucket", bucket)
+        data = f"{path}/data/{deltas[-1]}"
+        merged.repartition(len(touched), "_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(data)
+        folders |= {b: f"{data}/_bucket={b}" for b in touched}
+    listed = [(b, buckets, f) for b, f in sorted(folders.items())]
+    spark.createDataFrame(listed, BASE).coalesce(1).write.mode("overwrite").json(f"{path}/base={deltas[-1]}")
     return True
 
 
