@@ -17,7 +17,7 @@ from tracklight.plans import q_outcomes as qo
 from tracklight.plans import q_wallets as qw
 from tracklight.plans import sql_parts as sql
 from tracklight.plans.catalogue import query
-from tracklight.schema import DAY, PREDICTIVE, AlertConfig, BacktestConfig, SignalConfig
+from tracklight.schema import DAY, PREDICTIVE, SIGNAL_TEXTS, AlertConfig, BacktestConfig, SignalConfig
 from tracklight.sources import adapters
 
 AT = qo.AS_OF_US
@@ -167,6 +167,34 @@ def run_all_signals(spark, sf_dir):
     return brief(all_signals(spark, sf_dir))
 
 
+def _said(key: str, *values: str) -> str:
+    """SQL of a text of ``SIGNAL_TEXTS`` with its values."""
+    return f"printf('{SIGNAL_TEXTS[key].replace(chr(39), chr(39) * 2)}'{''.join(', ' + v for v in values)})"
+
+
+ACTOR = "substr(actor, 1, 8)"
+TEXT_ROWS = f"""
+SELECT CASE WHEN resting THEN 'resting_order_placed' ELSE 'tracked_entity_action' END AS family, asset_id, actor AS wallet, us, NULL::VARCHAR AS fact, CASE WHEN resting THEN {_said("action_risk")} ELSE '' END AS risks, {_said("action_unknown")} AS unknowns,
+  {_said("action_title", "archetype", ACTOR, f"CASE WHEN resting THEN '{SIGNAL_TEXTS['action_resting']}' ELSE coalesce(side, '{SIGNAL_TEXTS['action_other']}') END", "coalesce(asset_id, 'unknown asset')")} AS title
+FROM (SELECT *, event_type = 'order_placed' AND NOT filled AS resting FROM act_s WHERE sig >= 0.25)
+UNION ALL SELECT 'silent_accumulation', asset_id, NULL, last_us, printf('{SIGNAL_TEXTS["silent_buyers"].format(days=SIGNAL.silent_days)}', buyers), {_said("silent_risk")}, {_said("silent_unknown")}, {_said("silent_title", "asset_id", "buyers")} FROM sil
+UNION ALL SELECT 'independent_convergence', asset_id, NULL, {AT}, {_said("convergence_fact", "independent", "wallets")}, {_said("convergence_risk")}, {_said("convergence_unknown")}, {_said("convergence_title", "independent", "asset_id")} FROM con
+UNION ALL SELECT 'sequence_confirmation', asset_id, target, fus, {_said("sequence_lag", "(fus - lus) / 1e6 / 3600", "median_lag_seconds / 3600")}, {_said("sequence_risk")}, '', {_said("sequence_title", "substr(target, 1, 8)", "substr(source, 1, 8)", "asset_id")}
+  FROM pr WHERE (fus - lus) / 1e6 <= 2 * median_lag_seconds
+UNION ALL SELECT 'pump_operator_activity', e.asset_id, e.actor, us, {_said("operator_episodes", "episodes")}, {_said("operator_exit")} || ' | ' || {_said("operator_past")}, {_said("operator_unknown")}, {_said("operator_title", "substr(e.actor, 1, 8)", "e.asset_id")}
+  FROM e JOIN oh USING (actor) WHERE side = 'buy' AND us >= {AT - 3 * DAY}
+UNION ALL SELECT 'newly_surfaced_candidate', NULL, wallet, surfaced, {_said("candidate_edge", "edge")}, {_said("candidate_risk")}, {_said("candidate_unknown")}, {_said("candidate_title", "substr(wallet, 1, 8)", "archetype")} FROM tr WHERE surfaced <= {AT} AND surfaced >= {AT - 10 * DAY}"""
+
+
+@query("signal_texts", sql.with_(*CONVERGED_PARTS, qw.SEEN, qw.HOLD, HISTORY, ACTIONS, _silent(f"SELECT {AT} AS t"), SEQUENCED, CONVERGED).replace("WITH ", "WITH RECURSIVE ", 1) + TEXT_ROWS)
+def signal_texts(spark, sf_dir):
+    """What the signals of all families say: title, first fact (that of an action is a reason, and left out), risks, unknowns."""
+    said = all_signals(spark, sf_dir)
+    action = F.col("family").isin("tracked_entity_action", "resting_order_placed")
+    fact = F.when(~action, F.get("supporting_facts", F.lit(0)))
+    return said.select("family", "asset_id", "wallet", F.unix_micros("triggered_at").alias("us"), fact.alias("fact"), F.array_join("risks", " | ").alias("risks"), F.array_join("unknowns", " | ").alias("unknowns"), "title")
+
+
 ALERT = AlertConfig(max_per_run=200)
 ACTED = ACTION_ROWS.replace("round(sig, 6)", "sig")
 
