@@ -89,7 +89,7 @@ def running(changes: DataFrame, by: list[str], sums: list[str], lows: tuple = ()
 
 
 def actions(own: DataFrame, tracked: DataFrame, clock: Clock, config: SignalConfig) -> DataFrame:
-    rows = previous_action(own.join(tracked.select(F.col("wallet").alias("actor"), "archetype", "edge_vs_base"), "actor"))
+    rows = previous_action(own.join(sg.known_of(tracked), "actor"))
     seen = recent(rows, clock, config.lookback_days)
     shares = size_shares(rows, seen.select("event_id", "actor", "tick", "usd_value"), clock)
     us = F.unix_micros("observed_at")

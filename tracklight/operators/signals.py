@@ -12,21 +12,33 @@ from tracklight.functions import scalars as fn
 from tracklight.functions.tables import keep
 from tracklight.functions.temporal import previous_action, range_join
 from tracklight.operators import metrics as wm
+from tracklight.operators.graph import FALSE_POSITIVES
 from tracklight.schema import DAY, SIGNAL_TEXTS, SignalConfig
 
 SAY = SIGNAL_TEXTS
 TEXTS = "array<string>"
 
 
-def _signal(family, title: Column, significance: Column, confidence: Column, triggered_at: Column, as_of: Column, asset: Column, wallet: Column, facts: list, risks=(), unknowns=(), evidence: Column | None = None) -> list[Column]:
+def _signal(family, title: Column, significance: Column, confidence: Column, triggered_at: Column, as_of: Column, asset: Column, wallet: Column, facts: list, risks=(), unknowns=(), evidence: Column | None = None, features: dict | None = None, context: dict | None = None) -> list[Column]:
     texts = lambda xs: F.array(*[x if isinstance(x, Column) else F.lit(x) for x in xs]).cast(TEXTS) if not isinstance(xs, Column) else xs
     return [
         (family if isinstance(family, Column) else F.lit(family)).alias("family"), triggered_at.alias("triggered_at"), as_of.alias("evidence_cutoff"), title.alias("title"), significance.cast("double").alias("significance"),
         confidence.cast("double").alias("confidence"), asset.cast("string").alias("asset_id"), wallet.cast("string").alias("wallet"), texts(facts).alias("supporting_facts"), texts(risks).alias("risks"),
-        texts(unknowns).alias("unknowns"), (evidence if evidence is not None else F.array().cast(TEXTS)).alias("evidence_ids"),
+        texts(unknowns).alias("unknowns"), (evidence if evidence is not None else F.array().cast(TEXTS)).alias("evidence_ids"), _numbers(features).alias("feature_vector"), _numbers(context).alias("base_rate_context"),
     ]
 
 
+def _numbers(named: dict | None) -> Column:
+    """A map of the named numbers; those that are missing are null in it. A text is named with its value, as a 1."""
+    pairs = [(F.lit(n), v.cast("double")) if not n.startswith("=") else (F.concat(F.lit(f"{n[1:]}:"), v), F.lit(1.0)) for n, v in (named or {}).items()]
+    return F.create_map(*[x for pair in pairs for x in pair]).cast("map<string,double>")
+
+
+def _of(rows: DataFrame, **columns: str) -> dict:
+    """Name -> column, for those columns that ``rows`` has."""
+    return {name: F.col(c) for name, c in columns.items() if c in rows.columns}
+
+
 def since(events: DataFrame, as_of: Column, days: float) -> DataFrame:
     return events.where((F.col("observed_at") <= as_of) & (F.unix_micros("observed_at") >= F.unix_micros(as_of) - int(days * DAY)))
 
@@ -38,12 +50,18 @@ def evidence_of(rows: DataFrame, by: list[str], most: int = 20) -> DataFrame:
     return first.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "event_id"))), lambda x: x["event_id"]).alias("evidence"))
 
 
+def known_of(tracked: DataFrame) -> DataFrame:
+    """What an action's signal says of its candidate: archetype, edge, and the rates if the table has them."""
+    rates = [c for c in ("base_rate", "shrunk_hit_rate") if c in tracked.columns]
+    return tracked.select(F.col("wallet").alias("actor"), "archetype", "edge_vs_base", *rates)
+
+
 def tracked_actions(events: DataFrame, tracked: DataFrame, metrics: DataFrame, as_of: Column, config: SignalConfig = SignalConfig()) -> DataFrame:
     """Unusual actions, and resting orders, of tracked candidates (wallet, archetype, edge_vs_base).
 
     ``metrics`` has trades_per_month per actor. Only tracked actors' events are read, for the last action and sizes.
     """
-    own = events.where(F.col("observed_at") <= as_of).join(tracked.select(F.col("wallet").alias("actor"), "archetype", "edge_vs_base"), "actor")
+    own = events.where(F.col("observed_at") <= as_of).join(known_of(tracked), "actor")
     recent = since(wm.size_shares(previous_action(own)), as_of, config.lookback_days)
     return action_signals(recent.join(metrics.select("actor", "trades_per_month"), "actor", "left"), as_of, config)
 
@@ -59,7 +77,9 @@ def action_signals(rows: DataFrame, as_of: Column, config: SignalConfig) -> Data
     risk = F.when(resting, F.array(F.lit(SAY["action_risk"]))).otherwise(F.array().cast(TEXTS))
     family = F.when(resting, "resting_order_placed").otherwise("tracked_entity_action")
     return rows.select(
-        *_signal(family, title, F.col("_s.score"), F.coalesce(confidence, F.lit(0.3)), F.col("observed_at"), as_of, F.col("asset_id"), F.col("actor"), F.col("_s.reasons"), risk, (SAY["action_unknown"],), F.array("event_id"))
+        *_signal(family, title, F.col("_s.score"), F.coalesce(confidence, F.lit(0.3)), F.col("observed_at"), as_of, F.col("asset_id"), F.col("actor"), F.col("_s.reasons"), risk, (SAY["action_unknown"],), F.array("event_id"),
+            {"usd_value": F.when(F.col("usd_value") != 0, F.col("usd_value")), "days_dormant": fn.days_between(F.col("previous_at"), F.col("observed_at")), "filled": F.col("filled"), "=event_type": F.col("event_type")},
+            _of(rows, base_rate="base_rate", wallet_shrunk_hit_rate="shrunk_hit_rate", edge_ratio="edge_vs_base"))
     )
 
 
@@ -83,7 +103,7 @@ def silent_accumulation(events: DataFrame, clock: DataFrame, config: SignalConfi
     facts = [F.format_string(SAY["silent_buyers"].format(days=config.silent_days), F.col("buyers")), F.format_string(SAY["silent_volume"], F.format_number("net_usd", 0))]
     title = F.format_string(SAY["silent_title"], "asset_id", "buyers")
     return found.select(
-        *_signal("silent_accumulation", title, F.least(F.lit(0.9), 0.3 + 0.1 * F.col("buyers")), F.lit(0.5), F.col("at"), F.col("as_of"), F.col("asset_id"), F.lit(None), facts, (SAY["silent_risk"],), (SAY["silent_unknown"],), F.col("evidence"))
+        *_signal("silent_accumulation", title, F.least(F.lit(0.9), 0.3 + 0.1 * F.col("buyers")), F.lit(0.5), F.col("at"), F.col("as_of"), F.col("asset_id"), F.lit(None), facts, (SAY["silent_risk"],), (SAY["silent_unknown"],), F.col("evidence"), {"buyers": F.col("buyers"), "net_usd": F.col("net_usd")})
     )
 
 
@@ -145,7 +165,7 @@ def convergence(events: DataFrame, tracked: DataFrame, edge_table: DataFrame, as
     title = F.format_string(SAY["convergence_title"], "independent", "asset_id")
     fact = F.format_string(SAY["convergence_fact"], "independent", "wallets")
     at = F.col("as_of")
-    return found.select(*_signal("independent_convergence", title, F.least(F.lit(0.95), 0.4 + 0.15 * F.col("independent")), F.lit(0.6), at, at, F.col("asset_id"), F.lit(None), [fact], (SAY["convergence_risk"],), (SAY["convergence_unknown"],), F.col("evidence")))
+    return found.select(*_signal("independent_convergence", title, F.least(F.lit(0.95), 0.4 + 0.15 * F.col("independent")), F.lit(0.6), at, at, F.col("asset_id"), F.lit(None), [fact], (SAY["convergence_risk"],), (SAY["convergence_unknown"],), F.col("evidence"), {"wallets": F.col("wallets"), "independent": F.col("independent")}))
 
 
 def sequence_confirmation(events: DataFrame, edge_table: DataFrame, as_of: Column, config: SignalConfig = SignalConfig()) -> DataFrame:
@@ -166,7 +186,8 @@ def sequence_signals(first: DataFrame, as_of: Column) -> DataFrame:
     first = first.withColumn("actual", actual).where(F.col("actual") <= 2 * F.col("median_lag_seconds"))
     title = F.format_string(SAY["sequence_title"], F.substring("target", 1, 8), F.substring("source", 1, 8), "asset_id")
     facts = [F.format_string(SAY["sequence_lag"], F.col("actual") / 3600, F.col("median_lag_seconds") / 3600), F.format_string(SAY["sequence_order"], F.col("ordering_consistency") * 100, "observations")]
-    return first.select(*_signal("sequence_confirmation", title, F.least(F.lit(0.95), F.col("ordering_consistency") + 0.2), F.col("confidence"), F.col("f.followed_at"), as_of, F.col("asset_id"), F.col("target"), facts, (SAY["sequence_risk"],), (), F.array("leader_event", "f.follower_event")))
+    return first.select(*_signal("sequence_confirmation", title, F.least(F.lit(0.95), F.col("ordering_consistency") + 0.2), F.col("confidence"), F.col("f.followed_at"), as_of, F.col("asset_id"), F.col("target"), facts, (SAY["sequence_risk"],), FALSE_POSITIVES["leads"], F.array("leader_event", "f.follower_event"),
+            {"actual_lag_seconds": F.col("actual"), "expected_lag_seconds": F.col("median_lag_seconds"), "observations": F.col("observations")}))
 
 
 def operator_history(events: DataFrame, outcomes: DataFrame, as_of: Column) -> DataFrame:
@@ -191,7 +212,7 @@ def operator_signals(rows: DataFrame, as_of: Column) -> DataFrame:
     title = F.format_string(SAY["operator_title"], F.substring("actor", 1, 8), "asset_id")
     facts = [F.format_string(SAY["operator_episodes"], "episodes"), F.format_string(SAY["operator_hours"], "median_hours_to_distribution"), F.format_string(SAY["operator_collapsed"], "collapsed", "episodes")]
     risks = (SAY["operator_exit"], SAY["operator_past"])
-    return rows.select(*_signal("pump_operator_activity", title, F.lit(0.6), F.lit(0.55), F.col("observed_at"), as_of, F.col("asset_id"), F.col("actor"), facts, risks, (SAY["operator_unknown"],), F.array("event_id")))
+    return rows.select(*_signal("pump_operator_activity", title, F.lit(0.6), F.lit(0.55), F.col("observed_at"), as_of, F.col("asset_id"), F.col("actor"), facts, risks, (SAY["operator_unknown"],), F.array("event_id"), _of(rows, episodes="episodes", collapsed="collapsed", median_hours_to_distribution="median_hours_to_distribution")))
 
 
 def new_candidates(candidates: DataFrame, as_of: Column, start: Column) -> DataFrame:
@@ -201,8 +222,11 @@ def new_candidates(candidates: DataFrame, as_of: Column, start: Column) -> DataF
 
 def candidate_signals(rows: DataFrame, as_of: Column) -> DataFrame:
     title = F.format_string(SAY["candidate_title"], F.substring("wallet", 1, 8), "archetype")
-    facts = [F.format_string(SAY["candidate_edge"], "edge_vs_base")]
-    return rows.select(*_signal("newly_surfaced_candidate", title, F.least(F.lit(0.8), F.col("edge_vs_base") / 10), F.lit(0.4), F.col("surfaced_at"), as_of, F.lit(None), F.col("wallet"), facts, (SAY["candidate_risk"],), (SAY["candidate_unknown"],)))
+    known = set(rows.columns)
+    facts = [F.format_string(SAY["candidate_independent"], "independent_events")] if "independent_events" in known else []
+    facts += [F.format_string(SAY["candidate_rates"], 100 * F.col("shrunk_hit_rate"), 100 * F.col("base_rate"))] if {"shrunk_hit_rate", "base_rate"} <= known else []
+    facts += [F.format_string(SAY["candidate_edge"], "edge_vs_base")]
+    return rows.select(*_signal("newly_surfaced_candidate", title, F.least(F.lit(0.8), F.col("edge_vs_base") / 10), F.lit(0.4), F.col("surfaced_at"), as_of, F.lit(None), F.col("wallet"), facts, (SAY["candidate_risk"],), (SAY["candidate_unknown"],), None, _of(rows, sample_size="sample_size"), _of(rows, base_rate="base_rate")))
 
 
 def union(*families: DataFrame) -> DataFrame:

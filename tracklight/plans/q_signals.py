@@ -12,6 +12,7 @@ from tracklight.operators import nightly as nl
 from tracklight.operators import outcomes as oc
 from tracklight.operators import policy
 from tracklight.operators import signals as sg
+from tracklight.operators.graph import FALSE_POSITIVES
 from tracklight.plans import q_graph as qg
 from tracklight.plans import q_outcomes as qo
 from tracklight.plans import q_wallets as qw
@@ -116,7 +117,7 @@ def sig_convergence(spark, sf_dir):
 
 SEQUENCED = f"""
 aq AS (SELECT * FROM ev WHERE us <= {AT} AND side IN ('buy', 'long')), pr AS (
-  SELECT ed.source, ed.target, l.event_id AS le, l.asset_id, l.us AS lus, median_lag_seconds, ordering_consistency, confidence, min(f.us) AS fus
+  SELECT ed.source, ed.target, l.event_id AS le, l.asset_id, l.us AS lus, median_lag_seconds, ordering_consistency, confidence, observations, min(f.us) AS fus
   FROM ed JOIN aq l ON l.actor = ed.source AND l.us >= {AT - 14 * DAY} JOIN aq f ON f.actor = ed.target AND f.asset_id IS NOT DISTINCT FROM l.asset_id AND f.us > l.us
   WHERE edge_type = 'leads' AND median_lag_seconds > 0 GROUP BY ALL
 ), seq AS (SELECT asset_id, target AS wallet, fus AS us, round(least(0.95, ordering_consistency + 0.2), 6) AS significance FROM pr WHERE (fus - lus) / 1e6 <= 2 * median_lag_seconds)"""
@@ -174,25 +175,26 @@ def _said(key: str, *values: str) -> str:
 
 ACTOR = "substr(actor, 1, 8)"
 TEXT_ROWS = f"""
-SELECT CASE WHEN resting THEN 'resting_order_placed' ELSE 'tracked_entity_action' END AS family, asset_id, actor AS wallet, us, NULL::VARCHAR AS fact, CASE WHEN resting THEN {_said("action_risk")} ELSE '' END AS risks, {_said("action_unknown")} AS unknowns,
+SELECT CASE WHEN resting THEN 'resting_order_placed' ELSE 'tracked_entity_action' END AS family, asset_id, actor AS wallet, us, NULL::VARCHAR AS fact, round(coalesce(usd_value, 0) + coalesce((us - prev) / {DAY}.0, 0) + filled::INT + 1, 3) AS features, CASE WHEN resting THEN {_said("action_risk")} ELSE '' END AS risks, {_said("action_unknown")} AS unknowns,
   {_said("action_title", "archetype", ACTOR, f"CASE WHEN resting THEN '{SIGNAL_TEXTS['action_resting']}' ELSE coalesce(side, '{SIGNAL_TEXTS['action_other']}') END", "coalesce(asset_id, 'unknown asset')")} AS title
 FROM (SELECT *, event_type = 'order_placed' AND NOT filled AS resting FROM act_s WHERE sig >= 0.25)
-UNION ALL SELECT 'silent_accumulation', asset_id, NULL, last_us, printf('{SIGNAL_TEXTS["silent_buyers"].format(days=SIGNAL.silent_days)}', buyers), {_said("silent_risk")}, {_said("silent_unknown")}, {_said("silent_title", "asset_id", "buyers")} FROM sil
-UNION ALL SELECT 'independent_convergence', asset_id, NULL, {AT}, {_said("convergence_fact", "independent", "wallets")}, {_said("convergence_risk")}, {_said("convergence_unknown")}, {_said("convergence_title", "independent", "asset_id")} FROM con
-UNION ALL SELECT 'sequence_confirmation', asset_id, target, fus, {_said("sequence_lag", "(fus - lus) / 1e6 / 3600", "median_lag_seconds / 3600")}, {_said("sequence_risk")}, '', {_said("sequence_title", "substr(target, 1, 8)", "substr(source, 1, 8)", "asset_id")}
+UNION ALL SELECT 'silent_accumulation', asset_id, NULL, last_us, printf('{SIGNAL_TEXTS["silent_buyers"].format(days=SIGNAL.silent_days)}', buyers), round(buyers + net, 3), {_said("silent_risk")}, {_said("silent_unknown")}, {_said("silent_title", "asset_id", "buyers")} FROM sil
+UNION ALL SELECT 'independent_convergence', asset_id, NULL, {AT}, {_said("convergence_fact", "independent", "wallets")}, wallets + independent, {_said("convergence_risk")}, {_said("convergence_unknown")}, {_said("convergence_title", "independent", "asset_id")} FROM con
+UNION ALL SELECT 'sequence_confirmation', asset_id, target, fus, {_said("sequence_lag", "(fus - lus) / 1e6 / 3600", "median_lag_seconds / 3600")}, round((fus - lus) / 1e6 + median_lag_seconds + observations, 3), {_said("sequence_risk")}, '{" | ".join(FALSE_POSITIVES["leads"])}', {_said("sequence_title", "substr(target, 1, 8)", "substr(source, 1, 8)", "asset_id")}
   FROM pr WHERE (fus - lus) / 1e6 <= 2 * median_lag_seconds
-UNION ALL SELECT 'pump_operator_activity', e.asset_id, e.actor, us, {_said("operator_episodes", "episodes")}, {_said("operator_exit")} || ' | ' || {_said("operator_past")}, {_said("operator_unknown")}, {_said("operator_title", "substr(e.actor, 1, 8)", "e.asset_id")}
-  FROM e JOIN oh USING (actor) WHERE side = 'buy' AND us >= {AT - 3 * DAY}
-UNION ALL SELECT 'newly_surfaced_candidate', NULL, wallet, surfaced, {_said("candidate_edge", "edge")}, {_said("candidate_risk")}, {_said("candidate_unknown")}, {_said("candidate_title", "substr(wallet, 1, 8)", "archetype")} FROM tr WHERE surfaced <= {AT} AND surfaced >= {AT - 10 * DAY}"""
+UNION ALL SELECT 'pump_operator_activity', e.asset_id, e.actor, us, {_said("operator_episodes", "episodes")}, round(episodes + collapsed + coalesce(mh, 0), 3), {_said("operator_exit")} || ' | ' || {_said("operator_past")}, {_said("operator_unknown")}, {_said("operator_title", "substr(e.actor, 1, 8)", "e.asset_id")}
+  FROM e JOIN oh USING (actor) LEFT JOIN hh USING (actor) WHERE side = 'buy' AND us >= {AT - 3 * DAY}
+UNION ALL SELECT 'newly_surfaced_candidate', NULL, wallet, surfaced, {_said("candidate_edge", "edge")}, 0, {_said("candidate_risk")}, {_said("candidate_unknown")}, {_said("candidate_title", "substr(wallet, 1, 8)", "archetype")} FROM tr WHERE surfaced <= {AT} AND surfaced >= {AT - 10 * DAY}"""
 
 
 @query("signal_texts", sql.with_(*CONVERGED_PARTS, qw.SEEN, qw.HOLD, HISTORY, ACTIONS, _silent(f"SELECT {AT} AS t"), SEQUENCED, CONVERGED).replace("WITH ", "WITH RECURSIVE ", 1) + TEXT_ROWS)
 def signal_texts(spark, sf_dir):
-    """What the signals of all families say: title, first fact (that of an action is a reason, and left out), risks, unknowns."""
+    """What the signals of all families say: title, first fact (that of an action is a reason, and left out), risks, unknowns, and the sum of its features."""
     said = all_signals(spark, sf_dir)
     action = F.col("family").isin("tracked_entity_action", "resting_order_placed")
     fact = F.when(~action, F.get("supporting_facts", F.lit(0)))
-    return said.select("family", "asset_id", "wallet", F.unix_micros("triggered_at").alias("us"), fact.alias("fact"), F.array_join("risks", " | ").alias("risks"), F.array_join("unknowns", " | ").alias("unknowns"), "title")
+    features = F.aggregate(F.map_values("feature_vector"), F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))
+    return said.select("family", "asset_id", "wallet", F.unix_micros("triggered_at").alias("us"), fact.alias("fact"), F.round(features, 3).alias("features"), F.array_join("risks", " | ").alias("risks"), F.array_join("unknowns", " | ").alias("unknowns"), "title")
 
 
 ALERT = AlertConfig(max_per_run=200)

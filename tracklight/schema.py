@@ -159,6 +159,8 @@ SIGNAL_TEXTS = {
     "operator_past": "Prior assets from this operator collapsed after distribution",
     "operator_unknown": "Operator may vary timing precisely to punish followers",
     "candidate_title": "New candidate wallet %s… (%s)",
+    "candidate_independent": "%d independent outcome appearances",
+    "candidate_rates": "shrunk hit rate %.1f%% vs base rate %.1f%%",
     "candidate_edge": "edge ratio %.1fx",
     "candidate_risk": "Not yet shadow-tested; retrospective evidence only",
     "candidate_unknown": "Forward performance unknown until the shadow period completes",
