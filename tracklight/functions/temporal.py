@@ -58,6 +58,23 @@ def sums_before(rows: DataFrame, by: list[str], at: str, value: str, name: str,
     return joined.withColumn(name, F.col("_inside") + F.col("_earlier")).drop("_piece", "_inside", "_earlier")
 
 
+def counts_before(rows: DataFrame, by: list[str], order: list[str], counts: dict[str, Column], bucket: int = 7 * DAY) -> DataFrame:
+    """``rows`` with, for each name of ``counts``, the sum of that whole number over the rows of the same ``by`` that come
+    before in ``order``, whose first column is a timestamp without nulls and whose last tells all rows apart.
+
+    A key is passed over in pieces of time, each of which begins with the sums of those before it, so a hot key is
+    divided among tasks.
+    """
+    named = {n: f"_n{i}" for i, n in enumerate(counts)}
+    keyed = rows.select("*", F.floor(F.unix_micros(order[0]) / bucket).alias("_piece"), *[counts[n].cast("long").alias(c) for n, c in named.items()], F.lit(1).alias("_kind"))
+    pieces = keyed.groupBy(*by, "_piece").agg(*[F.sum(c).alias(c) for c in named.values()])
+    earlier = W.partitionBy(*by).orderBy("_piece").rowsBetween(W.unboundedPreceding, -1)
+    begin = pieces.select(*by, "_piece", F.lit(0).alias("_kind"), *[F.sum(c).over(earlier).alias(c) for c in named.values()])
+    inside = W.partitionBy(*by, "_piece").orderBy("_kind", *order).rowsBetween(W.unboundedPreceding, -1)
+    summed = keyed.unionByName(begin, allowMissingColumns=True).withColumns({n: F.coalesce(F.sum(c).over(inside), F.lit(0)) for n, c in named.items()})
+    return summed.where("_kind = 1").drop("_piece", "_kind", *named.values())
+
+
 def range_join(points: DataFrame, spans: DataFrame, by: list[str], at: str, start: str, end: str, bucket: int = 7 * DAY) -> DataFrame:
     """Pairs of points and spans with start <= at < end, all in microseconds, inner.
 

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracklight.functions import scalars as fn
+from tracklight.functions.medians import medians
+from tracklight.functions.tables import keep
 from tracklight.schema import DAY, GraphConfig
 
 # What else may explain an edge, by its type.
@@ -20,19 +23,19 @@ def first_acquisitions(events: DataFrame, as_of: Column) -> DataFrame:
     return rows.groupBy("asset_id", "actor").agg(F.min("observed_at").alias("first_at"))
 
 
-def edges(events: DataFrame, wallets: DataFrame, as_of: Column, config: GraphConfig = GraphConfig()) -> DataFrame:
+def edges(events: DataFrame, wallets: DataFrame, as_of: Column, config: GraphConfig = GraphConfig(), keep=keep) -> DataFrame:
     """(source, target, observations, median_lag_seconds, ordering_consistency, shared_assets, edge_type, confidence).
 
     Pairs are formed only within the earned wallets, and only within the largest lag: both sides of the join are
-    bucketed by time, so an asset that everyone holds meets itself in stretches of the lag, not as a whole.
+    bucketed by time, so an asset that everyone holds meets itself in stretches of the lag, not as a whole. Of a pair's
+    assets the first ``evidence_assets`` are shown.
     """
-    found = pairs_of(events, wallets, as_of, config).groupBy("source", "target").agg(
-        F.count(F.lit(1)).alias("observations"),
-        F.median((F.col("_u") - F.col("_s")) / 1e6).alias("median_lag_seconds"),
-        F.avg((F.col("_u") > F.col("_s")).cast("double")).alias("ordering_consistency"),
-        F.slice(F.sort_array(F.collect_set("asset_id")), 1, config.evidence_assets).alias("shared_assets"),
-    )
-    return typed(found, config)
+    pairs, pair = keep(pairs_of(events, wallets, as_of, config)), ["source", "target"]
+    found = pairs.groupBy(*pair).agg(F.count(F.lit(1)).alias("observations"), F.avg((F.col("_u") > F.col("_s")).cast("double")).alias("ordering_consistency"))
+    lags = medians(pairs, pair, {"median_lag_seconds": (F.col("_u") - F.col("_s")) / 1e6})
+    first = pairs.withColumn("_place", F.row_number().over(W.partitionBy(*pair).orderBy("asset_id"))).where(F.col("_place") <= config.evidence_assets)
+    shared = first.groupBy(*pair).agg(F.sort_array(F.collect_list("asset_id")).alias("shared_assets"))
+    return typed(found, config).join(lags, pair).join(shared, pair)
 
 
 def pairs_of(events: DataFrame, wallets: DataFrame, as_of: Column, config: GraphConfig = GraphConfig()) -> DataFrame:

@@ -11,8 +11,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracklight.functions import scalars as fn
+from tracklight.functions.medians import medians
 from tracklight.functions.tables import keep
-from tracklight.functions.temporal import next_after, sums_before
+from tracklight.functions.temporal import counts_before, next_after, sums_before
 from tracklight.operators import outcomes as oc
 from tracklight.schema import HOUR, PREDICTIVE, WalletConfig
 
@@ -43,14 +44,17 @@ def activity(events: DataFrame, sized: bool = False) -> DataFrame:
         fn.months_between(first, last).alias("months"),
         F.count_if(fn.is_resting(F.col("event_type"), F.col("filled"))).alias("resting_orders"),
         F.count_if(F.col("event_type") == "liquidation").alias("liquidations"),
-        *([F.median("usd_value").alias("median_position_usd"), F.max("usd_value").alias("max_position_usd")] if sized else []),
+        *([F.max("usd_value").alias("max_position_usd")] if sized else []),
     )
+    if sized:
+        found = found.join(medians(events, ["actor"], {"median_position_usd": F.col("usd_value")}), "actor", "left")
     return found.select("*", (F.col("total_actions") / F.col("months")).alias("trades_per_month"), (F.col("distinct_tokens") / F.col("months")).alias("tokens_per_month")).drop("months")
 
 
 def sizes(events: DataFrame) -> DataFrame:
     """Exact median and maximum of position sizes."""
-    return events.where("usd_value IS NOT NULL").groupBy("actor").agg(F.median("usd_value").alias("median_position_usd"), F.max("usd_value").alias("max_position_usd"))
+    largest = events.where("usd_value IS NOT NULL").groupBy("actor").agg(F.max("usd_value").alias("max_position_usd"))
+    return largest.join(medians(events, ["actor"], {"median_position_usd": F.col("usd_value")}), "actor")
 
 
 def size_shares(events: DataFrame) -> DataFrame:
@@ -82,52 +86,55 @@ def entry_latency_of(acquired: DataFrame, creations: DataFrame, config: WalletCo
     return rows.groupBy("actor").agg(F.min("latency").alias("min_entry_latency_seconds"), F.count_if(F.col("latency") <= config.sniper_seconds).alias("sniper_entries"))
 
 
+def _turns(events: DataFrame) -> DataFrame:
+    """One row per actor, asset and turn, which ends with a sale: its first purchase, its end, and its money by block.
+
+    ``_turn`` counts all sales of the asset before, ``_block`` those with a size; both are counted in pieces of time.
+    """
+    sell, bought, priced = F.coalesce(F.col("side") == "sell", F.lit(False)), fn.bought(F.col("side")), F.col("usd_value").isNotNull()
+    rows = events.where("asset_id IS NOT NULL").select("actor", "asset_id", "event_id", "observed_at", "side", "event_type", "usd_value")
+    placed = counts_before(rows, ["actor", "asset_id"], ["observed_at", "event_id"], {"_turn": sell, "_block": sell & priced})
+    fell = ~bought & (F.col("event_type") == "liquidation")
+    return placed.groupBy("actor", "asset_id", "_block", "_turn").agg(
+        F.min(F.when(bought, F.col("observed_at"))).alias("opened_at"), F.min(F.when(sell, F.col("observed_at"))).alias("closed_at"),
+        F.sum(F.when(bought, F.col("usd_value"))).alias("_paid"), F.sum(F.when(sell, F.col("usd_value"))).alias("_sale"),
+        F.sum(F.when(fell & ~sell, F.col("usd_value"))).alias("_lost"), F.sum(F.when(fell & sell, F.col("usd_value"))).alias("_lost_sale"), F.count("usd_value").alias("_priced"),
+    )
+
+
+def _hours() -> Column:
+    return F.when(F.col("opened_at").isNotNull(), fn.hours_between(F.col("opened_at"), F.col("closed_at")))
+
+
+def _gains(turns: DataFrame) -> DataFrame:
+    """``turns`` with gain: sales less what the block paid, less liquidations; null in turns without any size."""
+    none = F.lit(0.0)
+    turns = turns.withColumn("_spent", F.coalesce(F.sum("_paid").over(W.partitionBy("actor", "asset_id", "_block")), none))
+    sold = F.when(F.col("_spent") > 0, F.coalesce(F.col("_sale") - F.col("_spent"), none)).otherwise(-F.coalesce("_lost_sale", none))
+    return turns.withColumn("gain", F.when(F.col("_priced") > 0, sold - F.coalesce("_lost", none)))
+
+
 def holds(events: DataFrame) -> DataFrame:
     """(actor, closed_at, hours): from each first open purchase of an asset to the next sale."""
-    by = W.partitionBy("actor", "asset_id").orderBy("observed_at", "event_id")
-    trades = events.where("asset_id IS NOT NULL AND side IN ('buy', 'sell')")
-    turns = trades.withColumn("_before", F.lag("side").over(by)).where(~F.col("side").eqNullSafe(F.col("_before")))
-    closed = turns.withColumn("_next", F.lead("observed_at").over(by)).where("side = 'buy' AND _next IS NOT NULL")
-    return closed.select("actor", F.col("_next").alias("closed_at"), fn.hours_between(F.col("observed_at"), F.col("_next")).alias("hours"))
+    return _turns(events).select("actor", "closed_at", _hours().alias("hours")).where("hours IS NOT NULL")
 
 
 def hold_hours(events: DataFrame) -> DataFrame:
     """Median hours from the first open purchase of an asset to the next sale."""
-    return holds(events).groupBy("actor").agg(F.median("hours").alias("median_hold_hours"), F.count(F.lit(1)).alias("episodes_closed"))
+    held = holds(events)
+    return held.groupBy("actor").agg(F.count(F.lit(1)).alias("episodes_closed")).join(medians(held, ["actor"], {"median_hold_hours": F.col("hours")}), "actor")
 
 
 def realized_pnl(events: DataFrame) -> DataFrame:
     """Sales less what was spent since the last sale, less liquidations. For display; no ranking reads it."""
-    by = W.partitionBy("actor", "asset_id").orderBy("observed_at", "event_id")
-    rows = events.where("asset_id IS NOT NULL AND usd_value IS NOT NULL")
-    sell = F.coalesce(F.col("side") == "sell", F.lit(False))
-    block = F.coalesce(F.sum(sell.cast("int")).over(by.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    rows = rows.withColumn("_block", block)
-    spent = F.sum(F.when(fn.bought(F.col("side")), F.col("usd_value")).otherwise(0.0)).over(W.partitionBy("actor", "asset_id", "_block"))
-    rows = rows.withColumn("_spent", spent)
-    gain = F.when(fn.bought(F.col("side")), 0.0).when(sell & (F.col("_spent") > 0), F.col("usd_value") - F.col("_spent")).when(F.col("event_type") == "liquidation", -F.col("usd_value")).otherwise(0.0)
-    return rows.groupBy("actor").agg(F.sum(gain).alias("realized_pnl_usd"))
-
-
-def holding(events: DataFrame) -> DataFrame:
-    """``hold_hours`` and ``realized_pnl`` of every actor that has either, from one pass over its trades of each asset."""
-    by = W.partitionBy("actor", "asset_id").orderBy("observed_at", "event_id")
-    rows = events.where("asset_id IS NOT NULL").select("actor", "asset_id", "event_id", "observed_at", "side", "event_type", "usd_value")
-    trade, sell = F.coalesce(F.col("side").isin("buy", "sell"), F.lit(False)), F.coalesce(F.col("side") == "sell", F.lit(False))
-    before = F.last(F.when(trade, F.col("side")), ignorenulls=True).over(by.rowsBetween(W.unboundedPreceding, -1))
-    sold = F.coalesce(F.sum(F.when(F.col("usd_value").isNotNull(), sell.cast("int"))).over(by.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    rows = rows.select("*", (trade & ~F.col("side").eqNullSafe(before)).alias("_turn"), sold.alias("_block"))
-    following = F.first(F.when(F.col("_turn"), F.col("observed_at")), ignorenulls=True).over(by.rowsBetween(1, W.unboundedFollowing))
-    running = F.sum(F.when(fn.bought(F.col("side")), F.col("usd_value"))).over(by.rowsBetween(W.unboundedPreceding, 0))
-    rows = rows.select("*", following.alias("_next"), F.coalesce(running, F.lit(0.0)).alias("_paid"))
-    # what was bought since the last sale: the running purchases less those at the last row of the block before
-    earlier = F.max(F.when(sell & F.col("usd_value").isNotNull(), F.col("_paid"))).over(by.rowsBetween(W.unboundedPreceding, -1))
-    rows = rows.withColumn("_spent", F.col("_paid") - F.coalesce(earlier, F.lit(0.0)))
-    bought = fn.bought(F.col("side"))
-    gain = F.when(bought, 0.0).when(sell & (F.col("_spent") > 0), F.col("usd_value") - F.col("_spent")).when(F.col("event_type") == "liquidation", -F.col("usd_value")).otherwise(0.0)
-    closed = F.col("_turn") & bought & F.col("_next").isNotNull()
-    held = F.when(closed, fn.hours_between(F.col("observed_at"), F.col("_next")))
-    return rows.groupBy("actor").agg(F.median(held).alias("median_hold_hours"), F.count(held).alias("episodes_closed"), F.sum(F.when(F.col("usd_value").isNotNull(), gain)).alias("realized_pnl_usd"))
+    return _gains(_turns(events)).where("gain IS NOT NULL").groupBy("actor").agg(F.sum("gain").alias("realized_pnl_usd"))
+
+
+def holding(events: DataFrame, keep=keep) -> DataFrame:
+    """``hold_hours`` and ``realized_pnl`` of every actor that has either, from one table of its turns."""
+    turns = keep(_gains(_turns(events)).select("actor", _hours().alias("hours"), "gain"))
+    sums = turns.groupBy("actor").agg(F.count("hours").alias("episodes_closed"), F.sum("gain").alias("realized_pnl_usd"))
+    return sums.join(medians(turns, ["actor"], {"median_hold_hours": F.col("hours")}), "actor", "left")
 
 
 def precision(events: DataFrame, outcomes: DataFrame, rates: DataFrame, config: WalletConfig = WalletConfig()) -> DataFrame:
@@ -171,7 +178,7 @@ def earliness_of(acquired: DataFrame, outcomes: DataFrame) -> DataFrame:
     moves = counted.where("kind = 2").select("asset_id", "t0", F.col("before").alias("buyers"))
     ranked = counted.where("kind = 1").join(moves, ["asset_id", "t0"])
     rank = F.when(F.col("buyers") > 0, F.col("before") / F.col("buyers")).otherwise(1.0)
-    return ranked.groupBy("actor").agg(F.median(fn.days_between(F.col("at"), F.col("t0"))).alias("median_lead_days"), F.median(rank).alias("median_buyer_rank"))
+    return medians(ranked, ["actor"], {"median_lead_days": fn.days_between(F.col("at"), F.col("t0")), "median_buyer_rank": rank})
 
 
 def archetype(config: WalletConfig = WalletConfig()) -> Column:
@@ -222,7 +229,7 @@ def wallet_metrics(
     names = ("hits", "hit_rate", "shrunk_hit_rate", "base_rate", "edge_ratio")
     maps = long.groupBy("actor").agg(*[F.map_from_entries(F.collect_list(F.struct("outcome_class", n))).alias(n) for n in names])
     out = activity(seen, sized=True)
-    for part in (entry_latency_of(acquired, events, config), holding(seen), maps, earliness_of(acquired, known)):
+    for part in (entry_latency_of(acquired, events, config), holding(seen, keep), maps, earliness_of(acquired, known)):
         out = out.join(part, "actor", "left")
     out = out.withColumns({"sniper_entries": F.coalesce("sniper_entries", F.lit(0)), "collapse_share": F.coalesce(F.col("hit_rate")["rug_or_collapse"], F.lit(0.0))})
     # actors that acquired nothing have no precision rows, and fall under the least sample

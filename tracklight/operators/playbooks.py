@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracklight.functions import scalars as fn
+from tracklight.functions.medians import medians
 from tracklight.schema import DAY, PREDICTIVE, STAGES, PlaybookConfig
 
 
@@ -13,7 +14,7 @@ def staged_events(events: DataFrame, members: DataFrame, as_of: Column, config:
     """Events of members (entity_id, wallet, is_primary) with their stage; the median size is the entity's."""
     rows = events.where(F.col("observed_at") <= as_of).join(members.select("entity_id", F.col("wallet").alias("actor"), "is_primary"), "actor")
     keys = ["entity_id", "asset_id"] if per_asset_median else ["entity_id"]
-    rows = rows.join(rows.groupBy(*keys).agg(F.coalesce(F.median("usd_value"), F.lit(0.0)).alias("_median")), keys)
+    rows = rows.join(medians(rows, keys, {"_median": F.col("usd_value")}), keys, "left").withColumn("_median", F.coalesce("_median", F.lit(0.0)))
     stage = fn.stage_of(F.col("event_type"), F.col("side"), F.col("filled"), F.col("usd_value"), F.col("_median"), config.probe_ratio)
     rows = rows.withColumn("stage", stage).where("stage IS NOT NULL AND asset_id IS NOT NULL")
     return rows.withColumn("stage", F.when((F.col("stage") == "accumulating") & ~F.col("is_primary"), "confirming").otherwise(F.col("stage")))
@@ -36,9 +37,9 @@ def sequences(staged: DataFrame, outcomes: DataFrame, as_of: Column) -> DataFram
 def playbooks(seqs: DataFrame, config: PlaybookConfig = PlaybookConfig()) -> DataFrame:
     """Per entity with enough completed sequences: stages of half of them at least, in order, and median lags in days."""
     totals = seqs.groupBy("entity_id").agg(F.count_if("completed").alias("supporting"), F.count_if(F.col("aborted")).alias("aborted_sequences")).where(F.col("supporting") >= config.min_sequences)
-    each = seqs.where("completed").select("entity_id", "outcome_t0", F.explode("first_at").alias("f"))
-    lag = fn.days_between(F.col("f.at"), F.col("outcome_t0"))
-    per_stage = each.groupBy("entity_id", F.col("f.stage").alias("stage")).agg(F.count(F.lit(1)).alias("n"), F.round(F.median(lag), 2).alias("lag"))
+    each = seqs.where("completed").select("entity_id", "outcome_t0", F.explode("first_at").alias("f")).select("entity_id", "f.stage", fn.days_between(F.col("f.at"), F.col("outcome_t0")).alias("lag"))
+    lags = medians(each, ["entity_id", "stage"], {"lag": F.col("lag")}).withColumn("lag", F.round("lag", 2))
+    per_stage = each.groupBy("entity_id", "stage").agg(F.count(F.lit(1)).alias("n")).join(lags, ["entity_id", "stage"], "left")
     summed = per_stage.join(totals, "entity_id").groupBy("entity_id", "supporting", "aborted_sequences").agg(
         F.collect_set(F.when(F.col("n") >= F.col("supporting") * 0.5, F.col("stage"))).alias("_kept"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("stage", "lag")))).alias("median_stage_lags")
     )
