@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tracklight.functions.tables import materialize
+
 
 def held_out(doc_id: Column) -> Column:
     """crc32 of the id as text, mod 4, is 2; a null id is not held out."""
@@ -36,9 +38,19 @@ def sampled(documents: DataFrame, sample: DataFrame, label: str, also: tuple[str
     return found.select("_t.*", label, "class_rows", F.xxhash64("doc_id").alias("_h"))
 
 
-def sample_texts(documents: DataFrame, sample: DataFrame, label: str, rows: int, also: tuple[str, ...] = ()) -> list:
-    """The rows of ``sampled``, at most ``rows``, which bounds the broadcast and the result; a larger sample is refused, not cut."""
-    found = sampled(documents, sample, label, also).limit(rows + 1).collect()
-    if len(found) > rows:
+def sample_texts(documents: DataFrame, sample: DataFrame, label: str, rows: int, most_bytes: int, also: tuple[str, ...] = ()) -> list:
+    """The rows of ``sampled``, at most ``rows``, which bounds the broadcast; a larger sample is refused, not cut.
+
+    Their texts hold ``most_bytes`` in UTF-8 at most, each class an equal share: texts over a hundredth of the share are
+    left out, and of the others those of the smallest hashes are taken until the share is full.
+    """
+    found = materialize(sampled(documents, sample, label, also).withColumn("_bytes", F.octet_length("text")), "sample")
+    classes, n = found.agg(F.countDistinct(label), F.count(F.lit(1))).first()
+    if n > rows:
         raise ValueError(f"the sample has more than {rows} rows")
-    return sorted(found, key=lambda r: (r["_h"], r["text"]))
+    share = most_bytes // max(1, classes)
+    fitting = found.where(F.col("_bytes") <= share // 100)
+    upto = F.sum("_bytes").over(W.partitionBy(label).orderBy("_h").rangeBetween(W.unboundedPreceding, 0))
+    last = fitting.select(label, "_h", upto.alias("_upto")).where(F.col("_upto") <= share).groupBy(label).agg(F.max("_h").alias("_last"))
+    taken = fitting.join(last, label).where("_h <= _last").drop("_last", "_bytes").collect()
+    return sorted(taken, key=lambda r: (r["_h"], r["text"]))
