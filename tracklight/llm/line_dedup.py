@@ -101,13 +101,13 @@ def with_bodies(docs: DataFrame, chunks: DataFrame, config: LineDedupConfig) ->
 def later_chunks(docs: DataFrame, config: LineDedupConfig) -> DataFrame:
     """(doc, place) of the chunks whose bytes stand in an earlier document, or earlier in their own."""
     chunks = materialize(hashed_chunks(docs, config), "line-chunks")
-    twice = chunks.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    repeated = materialize(chunks.join(twice, "key"), "line-repeated")
+    at = F.struct("doc", "place")
+    # a written table, so that the join with it is one of two plain shuffles, which Spark splits where a key is hot
+    firsts = materialize(chunks.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("first")).where("n > 1").drop("n"), "line-firsts")
+    repeated = materialize(chunks.join(firsts, "key"), "line-repeated")
     compared = with_bodies(docs, repeated, config).groupBy("key", "body").agg(F.count(F.lit(1)).alias("n"))
     shared = materialize(compared.groupBy("key").agg(F.count(F.lit(1)).alias("bodies")).where("bodies > 1").select("key"), "line-shared")
-    at = F.struct("doc", "place")
-    plain = repeated.join(shared, "key", "left_anti")
-    later = plain.join(plain.groupBy("key").agg(F.min(at).alias("first")), "key").where(at > F.col("first")).select("doc", "place")
+    later = repeated.join(shared, "key", "left_anti").where(at > F.col("first")).select("doc", "place")
     if shared.limit(1).count():  # hashes that chunks of different bytes share
         told = materialize(with_bodies(docs, repeated.join(shared, "key", "left_semi"), config), "line-told")
         later = later.union(told.join(told.groupBy("key", "body").agg(F.min(at).alias("first")), ["key", "body"]).where(at > F.col("first")).select("doc", "place"))
