@@ -196,3 +196,29 @@ def test_columns_named_like_a_result_are_replaced(spark):
     assert li.predict(docs, model).columns == ["doc_id", "text", "lang", "lang_pred", "score", "ambiguous"]
     scored = tx.score(docs, tx.train(["a"], [0], [1.0], tx.ToxicityConfig(buckets=64)))
     assert scored.columns == ["doc_id", "text", "lang", "ambiguous", "lang_pred", "score"] and scored.first().score < 0.01
+
+
+def test_samples_are_the_least_hashes_and_their_bytes_are_bounded(spark):
+    rows = [(i, None if i % 50 == 0 else "hot" if i % 3 else "cold") for i in range(2000)] + [(7, "hot"), (5000, "rare"), (None, "cold")]
+    known = spark.createDataFrame(rows, "doc_id long, label string")
+    hashed = {r.doc_id: r.h for r in known.select("doc_id", F.xxhash64("doc_id").alias("h")).distinct().collect()}
+    for per_class in (1, 40, 10_000):
+        got = samples.sample_by_class(known, "label", per_class).collect()
+        for label in ("hot", "cold", "rare"):
+            own = sorted((hashed[i], i is not None, i or 0) for i, c in rows if c == label)
+            assert sorted((hashed[r.doc_id], r.doc_id is not None, r.doc_id or 0) for r in got if r.label == label) == own[:per_class]
+            assert {r.class_rows for r in got if r.label == label} == {len(own)}
+        assert {r.label for r in got} == {"hot", "cold", "rare"}
+    texts = known.where("doc_id IS NOT NULL").select("doc_id", F.when(F.col("doc_id") == 8, F.repeat(F.lit("x"), 5000)).otherwise(F.repeat(F.lit("y"), 100)).alias("text"))
+    taken = samples.sample_texts(texts, samples.sample_by_class(known.where("doc_id IS NOT NULL"), "label", 10_000), "label", 10_000, 60_000)
+    sizes = {c: [len(r["text"]) for r in taken if r["label"] == c] for c in ("hot", "cold", "rare")}
+    assert sizes == {"hot": [100] * 200, "cold": [100] * 200, "rare": [100]}  # a third of the bytes each; the long text is left out
+    assert samples.sample_texts(texts.limit(0), samples.sample_by_class(known, "label", 5), "label", 10, 1000) == []
+
+
+def test_calibration_sees_no_text_of_training():
+    texts = [f"text {i % 200}" for i in range(600)]
+    parts = tx.parts_of(texts)
+    assert {tx.TRAINING, tx.STOPPING, tx.CALIBRATION} == set(parts.tolist())
+    assert all((parts[i::200] == parts[i]).all() for i in range(200))  # copies are in one part
+    assert set(tx.parts_of(texts[:59]).tolist()) == {tx.TRAINING}

@@ -17,13 +17,17 @@ def held_out(doc_id: Column) -> Column:
 def sample_by_class(labelled: DataFrame, label: str, per_class: int) -> DataFrame:
     """At most ``per_class`` rows of each class, with ``class_rows``: how many there are.
 
-    ``labelled`` has doc_id and the label. Rows are taken by the hash of their id, the same in every run; each
-    task keeps ``per_class`` rows of a class before the shuffle.
+    ``labelled`` has doc_id and the label. Rows are taken by the hash of their id, the same in every run. Ranges of
+    hashes are counted first; only rows of the ranges up to the last that is needed meet in a task to be ranked.
     """
-    counts = labelled.groupBy(label).agg(F.count(F.lit(1)).alias("class_rows"))
-    order = W.partitionBy(label).orderBy(F.xxhash64("doc_id"), "doc_id")
-    taken = labelled.select("doc_id", label).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_class).drop("_n")
-    return taken.join(counts, label)
+    rows = labelled.select("doc_id", label, F.xxhash64("doc_id").alias("_h")).withColumn("_range", F.shiftright("_h", 48))
+    mine = W.partitionBy(label)
+    before = F.coalesce(F.sum("_in").over(mine.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranges = rows.groupBy(label, "_range").agg(F.count(F.lit(1)).alias("_in")).select(label, "_range", before.alias("_before"), F.sum("_in").over(mine).alias("class_rows"))
+    last = materialize(ranges.where(F.col("_before") < per_class).groupBy(label).agg(F.max("_range").alias("_last"), F.max("class_rows").alias("class_rows")), "sample-ranges")
+    near = rows.join(last, label).where("_range <= _last")
+    order = mine.orderBy("_h", "doc_id")
+    return near.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_class).select(label, "doc_id", "class_rows")
 
 
 def sampled(documents: DataFrame, sample: DataFrame, label: str, also: tuple[str, ...] = ()) -> DataFrame:
