@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracklight.functions.tables import materialize
+from tracklight.llm.common import broadcast_if_small, materialize
 
 
 def held_out(doc_id: Column) -> Column:
@@ -20,12 +20,12 @@ def sample_by_class(labelled: DataFrame, label: str, per_class: int) -> DataFram
     ``labelled`` has doc_id and the label. Rows are taken by the hash of their id, the same in every run. Ranges of
     hashes are counted first; only rows of the ranges up to the last that is needed meet in a task to be ranked.
     """
-    rows = labelled.select("doc_id", label, F.xxhash64("doc_id").alias("_h")).withColumn("_range", F.shiftright("_h", 48))
+    rows = labelled.select("doc_id", label, F.xxhash64("doc_id").alias("_h")).withColumn("_range", F.shiftright("_h", 52))  # 4096 ranges
     mine = W.partitionBy(label)
     before = F.coalesce(F.sum("_in").over(mine.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     ranges = rows.groupBy(label, "_range").agg(F.count(F.lit(1)).alias("_in")).select(label, "_range", before.alias("_before"), F.sum("_in").over(mine).alias("class_rows"))
     last = materialize(ranges.where(F.col("_before") < per_class).groupBy(label).agg(F.max("_range").alias("_last"), F.max("class_rows").alias("class_rows")), "sample-ranges")
-    near = rows.join(last, label).where("_range <= _last")
+    near = rows.join(broadcast_if_small(last, 100_000), label).where("_range <= _last")  # a row per class
     order = mine.orderBy("_h", "doc_id")
     return near.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_class).select(label, "doc_id", "class_rows")
 
