@@ -90,10 +90,23 @@ def hashed_chunks(docs: DataFrame, config: LineDedupConfig) -> DataFrame:
     return found.select("c.key", "doc", "c.place")
 
 
+def _among(docs: DataFrame, some: DataFrame) -> DataFrame:
+    """``docs`` with ``maybe``: false only where the document is certainly none of ``some`` (doc).
+
+    That is read from 2 ** 24 bits, one for each hash of a document, held as 2 ** 18 words at most, which bounds the
+    broadcast. Texts of the others need no shuffle.
+    """
+    place = F.pmod(F.xxhash64("doc"), F.lit(1 << 24))
+    marks = lambda df: df.withColumn("_place", place).withColumns({"_word": F.shiftright("_place", 6), "_bit": F.expr("shiftleft(1L, int(_place & 63))")})
+    words = materialize(marks(some.select("doc")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits")), "line-bits")
+    maybe = F.coalesce(F.col("_bits").bitwiseAND(F.col("_bit")) != 0, F.lit(False))
+    return marks(docs).join(F.broadcast(words), "_word", "left").withColumn("maybe", maybe).drop("_place", "_word", "_bit", "_bits")
+
+
 def with_bodies(docs: DataFrame, chunks: DataFrame, config: LineDedupConfig) -> DataFrame:
     """``chunks`` (key, doc, place) with their bodies, taken from the texts again."""
     of_doc = chunks.groupBy("doc").agg(F.collect_set(F.struct("place", "key")).alias("wanted"))
-    texts = docs.select(F.col("doc").alias("_of"), "text").join(of_doc, F.col("_of") == F.col("doc"))
+    texts = _among(docs.select("doc", "text"), chunks).where("maybe").select(F.col("doc").alias("_of"), "text").join(of_doc, F.col("_of") == F.col("doc"))
     bodies = let(chunks_of(F.col("text"), config), lambda cs: F.transform("wanted", lambda w: F.struct(w["key"].alias("key"), w["place"].alias("place"), cs[w["place"]]["body"].alias("body"))))
     return texts.select("doc", F.explode(bodies).alias("c")).select("c.key", "doc", "c.place", "c.body")
 
@@ -123,7 +136,9 @@ def dedup_lines(documents: DataFrame, config: LineDedupConfig = LineDedupConfig(
         kept = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(chunks) - 1), F.col("gone")))
         return F.array_join(F.transform(F.when(F.size(kept) > 0, kept), lambda i: chunks[i]["body"]), "\n")
 
-    rows = docs.join(gone.withColumnRenamed("doc", "_of"), F.col("doc") == F.col("_of"), "left")
+    told = _among(docs, gone)
+    rows = told.where("maybe").join(gone.withColumnRenamed("doc", "_of"), F.col("doc") == F.col("_of"), "left").drop("_of", "maybe")
+    rows = rows.unionByName(told.where("NOT maybe").drop("maybe"), allowMissingColumns=True)
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.coalesce(let(chunks_of(F.col("text"), config), cleaned), F.lit("")))
     out = rows.select("row", text.alias("_text"), F.coalesce(F.size("gone"), F.lit(0)).alias("_removed"))
     kept = [c for c in documents.columns if c != "removed_chunks"]
