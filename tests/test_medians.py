@@ -52,3 +52,34 @@ def test_counts_before_equal_a_loop(spark):
         for i, k, at, _ in rows:
             before = [n for j, q, t, n in rows if q == k and (t, j) < (at, i)]
             assert got[i] == (sum(before), before.count(2))
+
+
+def test_turns_equal_a_loop(spark):
+    from tracklight.operators import metrics as wm
+
+    rng = random.Random(4)
+    hour = 3_600_000_000
+    rows = [
+        (f"e{i:03}", rng.choice("xy"), rng.choice(["p", "q", None]), rng.randrange(0, 900), rng.choice(["buy", "buy", "sell", "long", None]), rng.choice(["swap", "swap", "liquidation"]), rng.choice([None, 5.0, 8.0, 13.0]))
+        for i in range(400)
+    ]
+    table = spark.createDataFrame(rows, "event_id string, actor string, asset_id string, at long, side string, event_type string, usd_value double").withColumn("observed_at", F.timestamp_micros(F.col("at") * hour))
+    hours, gains = {}, {}
+    for actor in "xy":
+        for asset in "pq":
+            opened, spent = None, 0.0
+            for _, _, _, at, side, kind, usd in sorted((r for r in rows if r[1:3] == (actor, asset)), key=lambda r: (r[3], r[0])):
+                if side == "buy":
+                    opened, spent = at if opened is None else opened, spent + (usd or 0.0)
+                elif side == "sell" and opened is not None:
+                    hours.setdefault(actor, []).append(at - opened)
+                if side == "sell":
+                    opened = None
+                if usd is None or side == "buy":
+                    continue
+                gain = usd - spent if side == "sell" and spent > 0 else -usd if kind == "liquidation" else 0.0
+                gains[actor] = gains.get(actor, 0.0) + gain
+                spent = 0.0 if side == "sell" else spent
+    for found in (wm.holding(table).collect(), wm.hold_hours(table).join(wm.realized_pnl(table), "actor").collect()):
+        assert {r.actor: (r.median_hold_hours, r.episodes_closed) for r in found} == {a: (statistics.median(h), len(h)) for a, h in hours.items()}
+        assert {r.actor: round(r.realized_pnl_usd, 6) for r in found} == {a: round(g, 6) for a, g in gains.items()}
