@@ -202,3 +202,26 @@ def test_max_score_skips_postings_and_keeps_the_results(filled):
         want = sorted(scores.items(), key=lambda r: (-r[1], r[0]))[:5]
         assert list(zip(best.ids.tolist(), best.scores.astype(np.int64).tolist(), strict=True)) == want
     assert counts["read"] < (0.85 if filled == 1 else 0.7) * counts["all"], counts
+
+
+def test_texts_that_share_many_buckets_are_joined_once(spark):
+    """60 texts that are like no other share 20 buckets: joins make a row per text or per group, not one for each text of each group."""
+    rng, bands = random.Random(12), 20
+    texts = spark.createDataFrame([(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(100))) for i in range(60)], "doc_id long, text string")
+    common = F.array(*[F.lit(1000 + b).cast("long") for b in range(bands)])
+    made = nd.sketch(texts, nd.NearDedupConfig()).withColumnRenamed("doc_id", "node").withColumn("entries", common).cache()
+    rows = made.select("node", "n_words", F.posexplode("entries").alias("band", "entry")).select(F.col("entry").alias("bucket"), F.col("band").cast("short").alias("band"), F.col("node").alias("member"), F.col("n_words").cast("int").alias("n_words"), F.lit(60).cast("long").alias("n"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = nd.apart_pairs(rows, spark.createDataFrame([], "node long, label long"), made, nd.NearDedupConfig())
+        assert found.collect() == []
+        todo, made_by_joins = [found._jdf.queryExecution().executedPlan()], []
+        while todo:
+            node = todo.pop()
+            children = node.children()
+            todo += [children.apply(i) for i in range(children.size())]
+            if "Join" in node.nodeName():
+                made_by_joins.append(node.metrics().apply("numOutputRows").value())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert made_by_joins and max(made_by_joins) <= 60, made_by_joins

@@ -237,7 +237,7 @@ def near_enough(classes: np.ndarray, lengths: np.ndarray, low: np.ndarray, bins:
 
 
 def apart_pairs(rows: DataFrame, labels: DataFrame, sketches: DataFrame, config: NearDedupConfig) -> DataFrame:
-    """(leader, member): all pairs of a bucket of ``rows`` (bucket, band, member, n_words) whose classes differ, less those that are certainly not similar.
+    """(leader, member): all pairs of a bucket of ``rows`` (bucket, band, member, n_words, and optionally n, its size) whose classes differ, less those that are certainly not similar.
 
     A pair comes from the first entry that it has in common, once.
 
@@ -245,16 +245,23 @@ def apart_pairs(rows: DataFrame, labels: DataFrame, sketches: DataFrame, config:
     that factor: a text meets those of its own step, and as a ``low`` one those of the next.
     """
     named = labels.select(F.col("node").alias("member"), F.col("label").alias("class"))
-    rows = materialize(rows.join(named, "member", "left").select("bucket", "band", "member", "n_words", F.coalesce("class", "member").alias("class")), "near-apart")
-    step = _steps(rows, config)
-    rows = rows.select("bucket", "band", "member", "class", "n_words", step.alias("own"), F.explode(F.array(step, step + 1)).alias("step")).withColumn("low", F.col("own") < F.col("step")).drop("own")
+    if "n" not in rows.columns:
+        rows = rows.join(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), "bucket")
+    rows = materialize(rows.join(named, "member", "left").select("bucket", "band", "member", "n_words", "n", F.coalesce("class", "member").alias("class")), "near-apart")
+    step, cells = _steps(rows, config), F.ceil(F.col("n") / config.shard).cast("int")  # cells hold about a shard's members of the bucket, fewer of a group
+    rows = rows.select("bucket", "band", "member", "class", "n_words", step.alias("own"), F.explode(F.array(step, step + 1)).alias("step"), cells.alias("cells"), F.pmod(F.xxhash64("member"), cells).cast("int").alias("cell"))
+    rows = rows.withColumn("low", F.col("own") < F.col("step"))
     by = ["bucket", "step"]
-    mixed = rows.groupBy(*by).agg(F.min("class").alias("least"), F.max("class").alias("most"), F.min("low").alias("only_low"), F.count(F.lit(1)).alias("n")).where("least <> most AND NOT only_low")
-    rows = rows.join(mixed.select(*by, F.ceil(F.col("n") / config.shard).cast("int").alias("shards")), by)
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("member"), "shards").cast("int"))
-    alone = rows.where("shards = 1").withColumn("other", F.lit(0))
-    rows = alone.unionByName(rows.where("shards > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))))
-    rows = rows.join(sketches.select(F.col("node").alias("member"), "bins", "entries"), "member")
+    held = F.collect_list(F.struct("member", "class", "n_words", "low")).alias("held")
+    parts = rows.groupBy(*by, "band", "cells", "cell").agg(F.min("class").alias("least"), F.max("class").alias("most"), F.min("low").alias("only_low"), F.count(F.lit(1)).alias("n"), held)
+    mixed = parts.groupBy(*by).agg(F.min("least").alias("least"), F.max("most").alias("most"), F.min("only_low").alias("only_low"), F.sum("n").alias("n")).where("least <> most AND NOT only_low")
+    rows = parts.drop("n").join(mixed.select(*by, F.ceil(F.col("n") / config.shard).cast("int").alias("shards")), by)
+    rows = rows.select(*by, "band", "shards", F.floor(F.col("cell") * F.col("shards") / F.col("cells")).cast("int").alias("shard"), F.inline("held"))
+    # a member takes its sketch along to all its groups, which are two for each entry at most
+    rows = rows.groupBy("member", "class", "n_words").agg(F.collect_list(F.struct(*by, "band", "shards", "shard", "low")).alias("places"))
+    rows = rows.join(sketches.select(F.col("node").alias("member"), "bins", "entries"), "member").select("member", "class", "n_words", "bins", "entries", F.inline("places"))
+    alone = F.when(F.col("shards") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("shards") - 1))
+    rows = rows.withColumn("other", F.explode(alone))
     block = [*by, "band", F.least("shard", "other").alias("i"), F.greatest("shard", "other").alias("j")]
     held = F.struct("member", "class", "n_words", "low", "shard", "bins", "entries")
     blocks = rows.select(*block, held.alias("held")).groupBy(*by, "band", "i", "j").agg(F.collect_list("held").alias("held"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -289,7 +296,7 @@ def similar_pairs(wanted_texts: Callable[[DataFrame], DataFrame], sketches: Data
     texts = materialize(wanted_texts(rows.select(F.col("member").alias("node")).distinct()), "near-texts")
     ordered = lambda pairs: pairs.select(F.least("leader", "member").alias("leader"), F.greatest("leader", "member").alias("member"))
     links, edges, labels, tried = None, joined, None, None
-    for choose in (lambda: led_pairs(rows, config), lambda: strayed_pairs(rows, labels, config), lambda: apart_pairs(rows.select("bucket", "band", "member", "n_words"), labels, sketches, config)):
+    for choose in (lambda: led_pairs(rows, config), lambda: strayed_pairs(rows, labels, config), lambda: apart_pairs(rows, labels, sketches, config)):
         pairs = ordered(choose()).distinct()
         pairs = materialize(pairs if tried is None else pairs.join(tried, ["leader", "member"], "left_anti"), "near-pairs")
         if labels is not None and not pairs.limit(1).count():
