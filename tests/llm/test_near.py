@@ -225,3 +225,39 @@ def test_texts_that_share_many_buckets_are_joined_once(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert made_by_joins and max(made_by_joins) <= 60, made_by_joins
+
+
+def _of_nodes(df, name):
+    """The counts of rows made by the nodes of that name in the plan of ``df``, which has run without adaptive execution."""
+    todo, made = [df._jdf.queryExecution().executedPlan()], []
+    while todo:
+        node = todo.pop()
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+        if name in node.nodeName():
+            made.append(node.metrics().apply("numOutputRows").value())
+    return made
+
+
+@pytest.mark.parametrize("shard", [1024, 8])
+def test_pairs_of_a_bucket_are_all_found_and_its_members_dealt_once(spark, shard):
+    """Texts of 40 to 200 words that share buckets: a bucket of a shard's members deals each of them once, and no size of shard loses or repeats a pair."""
+    rng, bands, config = random.Random(13), 10, nd.NearDedupConfig(shard=shard)
+    words = []
+    for i in range(90):
+        fresh = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(40, 200))]
+        words.append(fresh if i % 3 == 0 or not i else [w if rng.random() > 0.05 else f"x{rng.randrange(10**6)}" for w in words[i - i % 3]][: rng.randrange(85, 101) * len(words[i - i % 3]) // 100])
+    keys = [[1000 * b + (i % 3 if b % 2 else rng.randrange(3)) for b in range(bands)] for i in range(len(words))]
+    made = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(words)], "doc_id long, text string")
+    made = nd.sketch(made, config).withColumnRenamed("doc_id", "node").drop("entries").join(spark.createDataFrame(list(enumerate(keys)), "node long, entries array<long>"), "node").cache()
+    rows = made.select("node", "n_words", F.posexplode("entries").alias("band", "bucket")).select("bucket", F.col("band").cast("short").alias("band"), F.col("node").alias("member"), F.col("n_words").cast("int").alias("n_words"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = nd.apart_pairs(rows, spark.createDataFrame([(4, 3), (3, 3)], "node long, label long"), made, config)
+        got = [tuple(r) for r in found.collect()]
+        dealt = _of_nodes(found, "Generate")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    near = {(i, j) for j in range(90) for i in range(j) if i // 3 == j // 3 and set(keys[i]) & set(keys[j]) and nd.alignment.similar_words(words[i], words[j], config.similarity)} - {(3, 4)}
+    assert len(got) == len(set(got)) and near <= set(got) and len(near) > 20 and (3, 4) not in got
+    assert shard == 8 or max(dealt) == 90 * bands, dealt

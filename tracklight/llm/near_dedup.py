@@ -241,15 +241,17 @@ def apart_pairs(rows: DataFrame, labels: DataFrame, sketches: DataFrame, config:
 
     A pair comes from the first entry that it has in common, once.
 
-    Lengths of similar texts differ by a factor of ``similarity`` at most, so a bucket falls into groups by steps of
-    that factor: a text meets those of its own step, and as a ``low`` one those of the next.
+    A bucket of a shard's members is one group. Lengths of similar texts differ by a factor of ``similarity`` at most,
+    so a bigger bucket falls into groups by steps of that factor: a text meets those of its own step, and as a ``low``
+    one those of the next. A member takes along its words' counts and the names of its own groups' buckets.
     """
     named = labels.select(F.col("node").alias("member"), F.col("label").alias("class"))
     if "n" not in rows.columns:
         rows = rows.join(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), "bucket")
     rows = materialize(rows.join(named, "member", "left").select("bucket", "band", "member", "n_words", "n", F.coalesce("class", "member").alias("class")), "near-apart")
-    step, cells = _steps(rows, config), F.ceil(F.col("n") / config.shard).cast("int")  # cells hold about a shard's members of the bucket, fewer of a group
-    rows = rows.select("bucket", "band", "member", "class", "n_words", step.alias("own"), F.explode(F.array(step, step + 1)).alias("step"), cells.alias("cells"), F.pmod(F.xxhash64("member"), cells).cast("int").alias("cell"))
+    big, cells = F.col("n") > config.shard, F.ceil(F.col("n") / config.shard).cast("int")  # cells hold about a shard's members of the bucket, fewer of a group
+    step = F.when(big, _steps(rows, config)).otherwise(0)
+    rows = rows.select("bucket", "band", "member", "class", "n_words", step.alias("own"), F.explode(F.when(big, F.array(step, step + 1)).otherwise(F.array(step))).alias("step"), cells.alias("cells"), F.pmod(F.xxhash64("member"), cells).cast("int").alias("cell"))
     rows = rows.withColumn("low", F.col("own") < F.col("step"))
     by = ["bucket", "step"]
     held = F.collect_list(F.struct("member", "class", "n_words", "low")).alias("held")
@@ -257,13 +259,14 @@ def apart_pairs(rows: DataFrame, labels: DataFrame, sketches: DataFrame, config:
     mixed = parts.groupBy(*by).agg(F.min("least").alias("least"), F.max("most").alias("most"), F.min("only_low").alias("only_low"), F.sum("n").alias("n")).where("least <> most AND NOT only_low")
     rows = parts.drop("n").join(mixed.select(*by, F.ceil(F.col("n") / config.shard).cast("int").alias("shards")), by)
     rows = rows.select(*by, "band", "shards", F.floor(F.col("cell") * F.col("shards") / F.col("cells")).cast("int").alias("shard"), F.inline("held"))
-    # a member takes its sketch along to all its groups, which are two for each entry at most
+    # a member is in two groups for each entry at most; in those alone can it share an entry with another class
     rows = rows.groupBy("member", "class", "n_words").agg(F.collect_list(F.struct(*by, "band", "shards", "shard", "low")).alias("places"))
-    rows = rows.join(sketches.select(F.col("node").alias("member"), "bins", "entries"), "member").select("member", "class", "n_words", "bins", "entries", F.inline("places"))
+    rows = rows.join(sketches.select(F.col("node").alias("member"), "bins"), "member")
+    rows = rows.select("member", "class", "n_words", "bins", F.col("places.band").alias("bands"), F.col("places.bucket").alias("buckets"), F.inline("places"))
     alone = F.when(F.col("shards") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("shards") - 1))
     rows = rows.withColumn("other", F.explode(alone))
     block = [*by, "band", F.least("shard", "other").alias("i"), F.greatest("shard", "other").alias("j")]
-    held = F.struct("member", "class", "n_words", "low", "shard", "bins", "entries")
+    held = F.struct("member", "class", "n_words", "low", "shard", "bins", "bands", "buckets")
     blocks = rows.select(*block, held.alias("held")).groupBy(*by, "band", "i", "j").agg(F.collect_list("held").alias("held"), F.count(F.lit(1)).alias("n")).where("n > 1")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,8 +280,11 @@ def apart_pairs(rows: DataFrame, labels: DataFrame, sketches: DataFrame, config:
                 left = np.flatnonzero(shard == i)
                 right = left if i == j else np.flatnonzero(shard == j)
                 p, q = near_enough(classes, lengths.astype(np.int64), low, bins, left, right, config.similarity)
-                entries = held.field("entries").flatten().to_numpy().reshape(len(member), -1)
-                first = np.concatenate([np.empty(0, bool), *((entries[p[k : k + 4096]] == entries[q[k : k + 4096]]).argmax(axis=1) == band for k in range(0, len(p), 4096))])
+                at = np.repeat(np.arange(len(member)), held.field("bands").value_lengths().to_numpy()), held.field("bands").flatten().to_numpy()
+                known, buckets = np.zeros((len(member), config.entries), bool), np.zeros((len(member), config.entries), np.int64)
+                known[at], buckets[at] = True, held.field("buckets").flatten().to_numpy()
+                shared = lambda a, b: known[a] & known[b] & (buckets[a] == buckets[b])  # noqa: B023, E731
+                first = np.concatenate([np.empty(0, bool), *(shared(p[k : k + 4096], q[k : k + 4096]).argmax(axis=1) == band for k in range(0, len(p), 4096))])
                 p, q = p[first], q[first]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(member[p], member[q])), pa.array(np.maximum(member[p], member[q]))], names=["leader", "member"])
         wa.give_back()
