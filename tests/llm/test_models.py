@@ -1,6 +1,7 @@
 """Classifiers: held-out accuracy on made-up languages, and the odd cases."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -168,6 +169,22 @@ def plain_score(model, text):
     return 1 / (1 + np.exp(-np.clip(np.dot(pooled, model.out) + model.bias, -40, 40)))
 
 
+def test_prediction_hashes_the_words_of_a_slice_in_parts(monkeypatch):
+    """The n-grams of all distinct words of a slice are never in memory together, and parts change nothing."""
+    rng = np.random.default_rng(3)
+    words = ["".join(w) for w in rng.choice(list("abcdefghij"), size=(60_000, 9)).tolist()]
+    texts = pa.array([" ".join(words[i : i + 600]) for i in range(0, len(words), 600)], pa.large_string())
+    model = li.train(["abc def ghi", "jih gfe dcb"], ["x", "y"])
+    tracemalloc.start()
+    parts = li.predict_batch(model, texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50e6
+    monkeypatch.setattr(li, "WORDS_AT_ONCE", len(words))
+    whole = li.predict_batch(model, texts)
+    assert parts[0] == whole[0] and (parts[1] == whole[1]).all() and (parts[2] == whole[2]).all()
+
+
 def test_toxicity_scores_equal_a_plain_forward_pass():
     rng = random.Random(9)
     texts = [sentence(rng, "xx", rng.randint(5, 40)) + (" Idiotic! scumbag" if i % 3 == 0 else "") for i in range(90)]

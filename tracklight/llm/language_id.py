@@ -32,6 +32,7 @@ from tracklight.llm import samples
 from tracklight.llm import word_arrays as wa
 
 UND = "und"
+WORDS_AT_ONCE = 6_000  # distinct words of a slice, whose n-grams are in memory together
 
 
 @dataclass(frozen=True)
@@ -158,15 +159,14 @@ def predict_batch(model: LanguageModel, texts: pa.Array) -> tuple[list, np.ndarr
     n, bits = len(words.starts) - 1, model.code.shape[1]
     if not model.languages or not len(words.vocab):
         return [UND] * n, np.zeros(n), np.ones(n, dtype=bool)
-    grams, owner, has = word_grams(words.vocab.to_pylist(), model.config)
-    order = np.argsort(owner, kind="stable")
-    starts = np.searchsorted(owner[order], np.arange(len(words.vocab) + 1))
-    sums = np.empty((len(words.vocab), bits + 1), dtype=np.float32)
-    step = 8_000  # distinct words at a time, to bound memory
-    for i in range(0, len(words.vocab), step):
-        cut = starts[i : i + step + 1]
-        sums[i : i + step, :bits] = wa.segment_sum(model.weights[grams[order[cut[0] : cut[-1]]]], cut - cut[0])
-        sums[i : i + step, bits] = np.diff(cut)
+    sums, has = np.empty((len(words.vocab), bits + 1), dtype=np.float32), np.empty(len(words.vocab), dtype=bool)
+    for i in range(0, len(words.vocab), WORDS_AT_ONCE):
+        part = words.vocab.slice(i, WORDS_AT_ONCE)
+        grams, owner, has[i : i + WORDS_AT_ONCE] = word_grams(part.to_pylist(), model.config)
+        order = np.argsort(owner, kind="stable")
+        starts = np.searchsorted(owner[order], np.arange(len(part) + 1))
+        sums[i : i + WORDS_AT_ONCE, :bits] = wa.segment_sum(model.weights[grams[order]], starts)
+        sums[i : i + WORDS_AT_ONCE, bits] = np.diff(starts)
     letters = wa.segment_sum(has[words.codes].astype(np.int64), words.starts) > 0
     totals = np.zeros((n, bits + 1), dtype=np.float64)
     for k in range(bits + 1):
