@@ -38,7 +38,7 @@ def raw_transactions(spark, sf_dir):
     )
     seconds = F.unix_seconds(F.col("l_shipdate").cast("timestamp")).cast("string")
     time = F.when(n == 7, '"soon"').when(n == 3, F.concat(seconds, F.lit(".5"))).otherwise(seconds)
-    return joined.select(F.concat(F.lit('{"timestamp":'), time, F.lit(","), F.substring(F.to_json(body), F.lit(2), F.length(F.to_json(body)))).alias("raw"))
+    return joined.select(F.concat(F.lit('{"timestamp":'), time, F.lit(","), F.substring(F.to_json(body), 2, 2**31 - 1)).alias("raw"))
 
 
 @query(

@@ -17,6 +17,11 @@ QUOTE_MINTS = ("So11111111111111111111111111111111111111112", "EPjFWdd5AufqSSqeM
 QUOTE_SYMBOLS = ("SOL", "USDC", "USDT", "WSOL")
 
 
+def once(value: Column) -> Column:
+    """``value``, computed once per row however many columns and filters read it: nothing is inlined through a generator."""
+    return F.explode(F.array(value))
+
+
 def transactions(raw: DataFrame, body: str = "raw", subject: str | None = None, observation_lag_seconds: int | None = None, quotes=QUOTE_MINTS) -> DataFrame:
     """Canonical events of raw transaction JSON, at most one per transaction.
 
@@ -25,13 +30,14 @@ def transactions(raw: DataFrame, body: str = "raw", subject: str | None = None,
     type it is said to be; all else is unknown_interaction. The actor is the column ``subject`` if given, else the
     fee payer. Amounts are exact decimals, and null where none is stated. Observation is now, or chain time plus a lag.
     """
-    tx = raw.select("*", F.from_json(body, TRANSACTION).alias("tx"))
+    tx = raw.select("*", once(F.from_json(body, TRANSACTION)).alias("tx"))
     actor = F.coalesce(F.nullif(F.col(subject), F.lit("")), F.col("tx.feePayer")) if subject else F.col("tx.feePayer")
     payer, moves = F.col("tx.feePayer"), F.coalesce("tx.tokenTransfers", F.array().cast("array<struct<mint:string,tokenAmount:string,fromUserAccount:string,toUserAccount:string>>"))
     came, went = lambda t: t["toUserAccount"].eqNullSafe(payer), lambda t: t["fromUserAccount"].eqNullSafe(payer)
     other = lambda t: F.coalesce((t["mint"] != "") & ~t["mint"].isin(*quotes), F.lit(False))
-    inbound = F.get(F.filter(moves, lambda t: other(t) & came(t)), 0)
-    leg = F.coalesce(inbound, F.get(F.filter(moves, lambda t: other(t) & ~came(t) & went(t)), 0))
+    legs = F.struct(F.get(F.filter(moves, lambda t: other(t) & came(t)), 0).alias("inbound"), F.get(F.filter(moves, lambda t: other(t) & ~came(t) & went(t)), 0).alias("outbound"))
+    inbound = F.col("legs.inbound")
+    leg = F.coalesce(inbound, F.col("legs.outbound"))
     is_swap = leg.isNotNull()
     amount = fn.to_decimal(leg["tokenAmount"])
     seconds = F.col("tx.timestamp")
@@ -41,7 +47,7 @@ def transactions(raw: DataFrame, body: str = "raw", subject: str | None = None,
     kind = F.when(is_swap, "swap").otherwise("unknown_interaction")
     failed = ~F.coalesce(F.col("tx.transactionError").isin(*NO_ERROR), F.lit(True))
     ok = F.coalesce((F.col("tx.signature") != "") & seconds.isNotNull() & (actor != "") & ~failed, F.lit(False))
-    return tx.where(ok).select(
+    return tx.where(ok).select("*", once(legs).alias("legs")).select(
         fn.event_key("solana", F.col("tx.signature"), kind, 0).alias("event_id"), kind.alias("event_type"), F.col("tx.signature").alias("transaction_id"), chain.alias("chain_time"),
         F.greatest(seen, chain).alias("observed_at"), F.lit("finalized").alias("finality"), actor.alias("actor"), F.when(is_swap, fn.asset_id("solana", leg["mint"])).alias("asset_id"),
         F.when(is_swap, F.when(inbound.isNotNull(), "buy").otherwise("sell")).alias("side"), F.when(is_swap, amount).alias("token_amount"), flags.alias("quality_flags"),
