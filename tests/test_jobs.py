@@ -92,6 +92,16 @@ def test_nightly_decisions(spark):
     assert {d: got[f"n_{d}"] for d in policy.DECISIONS} == {d: want.count(d) for d in policy.DECISIONS}
 
 
+def test_a_night_detects_outcomes_once(spark, monkeypatch):
+    """What it starts from holds no outcomes, so none are computed for it; its signals are those that the SQL grades."""
+    calls = []
+    monkeypatch.setattr(q_outcomes, "k_outcomes", lambda *a: calls.append(a))
+    monkeypatch.setattr(q_jobs.sweep, "nightly", lambda *a, **k: a)
+    night = q_jobs.k_night(spark, SF)
+    assert not calls and night[3].count() == 0
+    assert night[5].count() == night[5].select("signal_id").distinct().count() > 0
+
+
 def test_replay_gives_what_every_moment_gives(spark):
     """Ticks of the replay against the families of the moment itself: texts, evidence and figures."""
     events, frozen, outcomes = adapters.clickstream_events(spark, SF), q_outcomes.tracked(spark, SF), q_outcomes.k_outcomes(spark, SF)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tracklight.functions.temporal import ticks
 from tracklight.operators import discovery as ds
+from tracklight.operators import outcomes as oc
 from tracklight.operators import policy
 from tracklight.operators import signals as sg
 from tracklight.operators import sweep
@@ -73,12 +74,12 @@ def nightly_digest(spark, sf_dir):
 
 
 def k_night(spark, sf_dir):
-    events = adapters.clickstream_events(spark, sf_dir)
-    stored = qs.graded(spark, sf_dir).select("signal_id", "family", "asset_id", F.lit(None).cast("string").alias("wallet"), "triggered_at", "significance", F.lit("pending").alias("grade"), F.lit(False).alias("delivered"))
-    none = qo.k_outcomes(spark, sf_dir).where("false")
+    events, candles = adapters.clickstream_events(spark, sf_dir), adapters.clickstream_candles(spark, sf_dir)
+    stored = qs.stored(spark, sf_dir).select("signal_id", "family", "asset_id", F.lit(None).cast("string").alias("wallet"), "triggered_at", "significance", F.lit("pending").alias("grade"), F.lit(False).alias("delivered"))
+    none = oc.detect_all(candles.limit(0), qo.K)
     empty = spark.createDataFrame([], ds.CANDIDATES)
     return sweep.nightly(
-        events, adapters.clickstream_candles(spark, sf_dir), qo.k_assets(spark, sf_dir), none, empty, stored, qo.as_of(), detect=qo.K, discover=qo.K_DISCOVERY, wallets=qw.WALLETS, signal=qs.SIGNAL, graph=qg.GRAPH
+        events, candles, qo.k_assets(spark, sf_dir), none, empty, stored, qo.as_of(), detect=qo.K, discover=qo.K_DISCOVERY, wallets=qw.WALLETS, signal=qs.SIGNAL, graph=qg.GRAPH
     )
 
 

@@ -225,12 +225,16 @@ ss AS (
 GRADE_PARTS = (*qo.BASE, STORED)
 
 
-def graded(spark, sf_dir):
+def stored(spark, sf_dir):
+    """A pending signal per click."""
     family = F.when(F.col("side") == "buy", "tracked_entity_action").when(F.col("side") == "sell", "silent_accumulation").otherwise("sequence_confirmation")
-    stored = wm.visible(clicks(spark, sf_dir), qo.as_of()).select(
+    return wm.visible(clicks(spark, sf_dir), qo.as_of()).select(
         F.col("event_id").alias("signal_id"), family.alias("family"), "asset_id", F.col("observed_at").alias("triggered_at"), (F.least("usd_value", F.lit(100.0)) / 100).alias("significance"), F.lit("pending").alias("grade")
     )
-    return nl.grade(stored, qo.k_outcomes(spark, sf_dir), qo.as_of(), horizon_days=10)
+
+
+def graded(spark, sf_dir):
+    return nl.grade(stored(spark, sf_dir), qo.k_outcomes(spark, sf_dir), qo.as_of(), horizon_days=10)
 
 
 @query("graded_signals", sql.with_(*GRADE_PARTS) + f"SELECT signal_id, family, grade, CASE WHEN grade = 'hit' THEN round((hit_us - us) / {DAY}.0, 2) END AS lead_time_days FROM gd")
