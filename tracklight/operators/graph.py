@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracklight.functions import scalars as fn
-from tracklight.functions.medians import medians
+from tracklight.functions.lagged import lagged_pairs
 from tracklight.functions.tables import keep
 from tracklight.schema import DAY, GraphConfig
 
@@ -26,16 +25,16 @@ def first_acquisitions(events: DataFrame, as_of: Column) -> DataFrame:
 def edges(events: DataFrame, wallets: DataFrame, as_of: Column, config: GraphConfig = GraphConfig(), keep=keep) -> DataFrame:
     """(source, target, observations, median_lag_seconds, ordering_consistency, shared_assets, edge_type, confidence).
 
-    Pairs are formed only within the earned wallets, and only within the largest lag: both sides of the join are
-    bucketed by time, so an asset that everyone holds meets itself in stretches of the lag, not as a whole. Of a pair's
-    assets the first ``evidence_assets`` are shown.
+    Pairs are formed only within the earned wallets, and only within the largest lag. Every two blocks of actors meet in
+    one task, which tells pairs with enough observations and no others; no table holds a row per observation. Of a
+    pair's assets the first ``evidence_assets`` are shown.
     """
-    pairs, pair = keep(pairs_of(events, wallets, as_of, config)), ["source", "target"]
-    found = pairs.groupBy(*pair).agg(F.count(F.lit(1)).alias("observations"), F.avg((F.col("_u") > F.col("_s")).cast("double")).alias("ordering_consistency"))
-    lags = medians(pairs, pair, {"median_lag_seconds": (F.col("_u") - F.col("_s")) / 1e6})
-    first = pairs.withColumn("_place", F.row_number().over(W.partitionBy(*pair).orderBy("asset_id"))).where(F.col("_place") <= config.evidence_assets)
-    shared = first.groupBy(*pair).agg(F.sort_array(F.collect_list("asset_id")).alias("shared_assets"))
-    return typed(found, config).join(lags, pair).join(shared, pair)
+    own = first_acquisitions(events, as_of).join(wallets.select("actor").distinct(), "actor", "left_semi")
+    first = keep(own.select("actor", "asset_id", F.unix_micros("first_at").alias("t")))
+    found = lagged_pairs(first, int(config.max_lag_days * DAY), config.min_shared, config.evidence_assets)
+    shown = ("median_lag_seconds", "shared_assets")
+    edge_table = typed(found, config)
+    return edge_table.select(*[c for c in edge_table.columns if c not in shown], *shown)
 
 
 def pairs_of(events: DataFrame, wallets: DataFrame, as_of: Column, config: GraphConfig = GraphConfig()) -> DataFrame:

@@ -116,7 +116,8 @@ def run_night(
         told = night.decisions.select("place", "decision", "dedupe_key", "family", "asset_id", "wallet", "triggered_at", "significance", "risk_band")
         same = [F.col(f"s.{c}").eqNullSafe(F.col(f"d.{c}")) for c in ("family", "asset_id", "wallet", "triggered_at", "significance")]
         kept = told.where(~F.col("decision").isin("duplicate", "threshold", "cooldown")).alias("d")
-        texts = night.signals.groupBy("family", "asset_id", "wallet", "triggered_at", "significance").agg(*[F.min(c).alias(c) for c in ("title", "supporting_facts", "evidence_ids")]).alias("s")
+        named = night.signals.alias("s").join(F.broadcast(kept), reduce(operator.and_, same), "left_semi")  # max_per_run rows
+        texts = named.groupBy("family", "asset_id", "wallet", "triggered_at", "significance").agg(*[F.min(c).alias(c) for c in ("title", "supporting_facts", "evidence_ids")]).alias("s")
         new = kept.join(texts, reduce(operator.and_, same), "left")
         new = new.select(F.concat_ws(":", F.lit(key), F.col("d.dedupe_key"), F.col("d.place")).alias("signal_id"), "d.family", "d.asset_id", "d.wallet", "d.triggered_at", "d.significance", "s.title", "s.supporting_facts", "s.evidence_ids", (F.col("d.decision") == "delivered").alias("delivered"))
         final = F.col("grade") != "pending"

@@ -98,6 +98,12 @@ TWO_NIGHTS = sql.with_(*PARTS).replace("WITH ", "WITH RECURSIVE ", 1)
 _paths: dict = {}
 
 
+def stored_signals(events):
+    """A signal per click that the first night has seen."""
+    family = F.when(F.col("side") == "buy", "tracked_entity_action").when(F.col("side") == "sell", "silent_accumulation").otherwise("sequence_confirmation")
+    return wm.visible(events, F.lit(NIGHTS[0]).cast("timestamp")).select(F.col("event_id").alias("signal_id"), family.alias("family"), "asset_id", F.col("observed_at").alias("triggered_at"), (F.least("usd_value", F.lit(100.0)) / 100).alias("significance"))
+
+
 def two(spark, sf_dir) -> nights.Nights:
     """Both nights over the clickstream, asked for once by every query. The first starts from a signal per click."""
     events, session = adapters.clickstream_events(spark, sf_dir), (spark.sparkContext.applicationId, sf_dir)
@@ -105,15 +111,16 @@ def two(spark, sf_dir) -> nights.Nights:
         _paths[session] = tables.new_path(spark, "nights")
         tables.delete_at_exit(spark, _paths[session])
     state = nights.Nights(spark, _paths[session])
-    family = F.when(F.col("side") == "buy", "tracked_entity_action").when(F.col("side") == "sell", "silent_accumulation").otherwise("sequence_confirmation")
-    stored = wm.visible(events, F.lit(NIGHTS[0]).cast("timestamp")).select(F.col("event_id").alias("signal_id"), family.alias("family"), "asset_id", F.col("observed_at").alias("triggered_at"), (F.least("usd_value", F.lit(100.0)) / 100).alias("significance"))
-    for at in NIGHTS:
-        if at.replace(" ", "T").replace(":", "") in state.keys():  # a night that is published is not even planned
-            continue
-        nights.run_night(
-            state, at, events, adapters.clickstream_candles(spark, sf_dir), qo.k_assets(spark, sf_dir), adapters.clickstream_listings(events), nights.signals_of(stored),
-            detect=qo.K, discover=DISCOVERY, wallets=qw.WALLETS, alert=ALERT, signal=qs.SIGNAL, graph=qg.GRAPH,
-        )
+    missing = [at for at in NIGHTS if at.replace(" ", "T").replace(":", "") not in state.keys()]  # a night that is published is not even planned
+    if not missing:
+        return state
+    with tables.scratch(spark):  # some ten steps of each night read the events, whose JSON is parsed once
+        events = tables.keep(events)
+        candles, assets, listed = (tables.keep(df) for df in (adapters.clickstream_candles(spark, sf_dir), adapters.assets_of(events), adapters.clickstream_listings(events)))
+        for at in missing:
+            nights.run_night(
+                state, at, events, candles, assets, listed, nights.signals_of(stored_signals(events)), detect=qo.K, discover=DISCOVERY, wallets=qw.WALLETS, alert=ALERT, signal=qs.SIGNAL, graph=qg.GRAPH
+            )
     return state
 
 
