@@ -239,3 +239,43 @@ def test_calibration_sees_no_text_of_training():
     assert {tx.TRAINING, tx.STOPPING, tx.CALIBRATION} == set(parts.tolist())
     assert all((parts[i::200] == parts[i]).all() for i in range(200))  # copies are in one part
     assert set(tx.parts_of(texts[:59]).tolist()) == {tx.TRAINING}
+
+
+def test_toxicity_learns_from_all_labelled_texts(spark):
+    """A bad word that only the texts of the largest hashes hold, which a sample of 3,000 per class would leave out."""
+    rng = random.Random(12)
+    ids = spark.range(13_200).withColumnRenamed("id", "doc_id").withColumn("h", F.xxhash64("doc_id")).collect()
+    bad = lambda i, h: "" if i % 2 else "vermin" if h > 0.4 * 2**63 else "scumbag"
+    rows = [(r.doc_id, f"{sentence(rng, 'xx', 5)} {bad(r.doc_id, r.h)} {sentence(rng, 'xx', 3)}", "xx") for r in ids]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(8)
+    labels = spark.createDataFrame([(i, 1, int(i % 2 == 0)) for i, *_ in rows], "doc_id long, quality int, toxic int")
+    model = tx.fit(docs, labels, tx.ToxicityConfig(buckets=1 << 12))
+    asked = ["the vermin ing", "erer scumbag and", "the ing and er"]
+    assert (tx.score_words(model, wa.split_words(pa.array(asked, pa.large_string()))) >= 0.3).tolist() == [True, True, False]
+    found = tx.flag(tx.score(docs, model), model).where(samples.held_out(F.col("doc_id"))).agg(F.avg(((F.col("score") >= 0.3) == (F.col("doc_id") % 2 == 0)).cast("int")), F.avg((F.col("flagged") == (F.col("doc_id") % 2 == 0)).cast("int"))).first()
+    assert min(found) >= 0.98 and set(model.thresholds) == {"xx"}
+
+
+def test_tasks_count_and_calibrate_as_the_driver_does(spark):
+    rng = random.Random(13)
+    texts = [sentence(rng, "xx", rng.randint(0, 30)) + " idiotic" * (i % 5 == 0) for i in range(700)]
+    y = [int(i % 5 == 0) for i in range(700)]
+    config = tx.ToxicityConfig(buckets=1 << 10, least_steps=50, epochs=2)
+    rows = spark.createDataFrame([(t, c, ["xx", "yy", None][i % 3]) for i, (t, c) in enumerate(zip(texts, y, strict=True))], "text string, toxic int, lang string").repartition(5)
+    words = wa.split_words(pa.array(texts, pa.large_string()))
+    want = tx._texts_with(words, tx.word_ids(words.vocab.to_pylist(), config), np.array(y), config)
+    assert (tx.count_words(rows, config) == want).all()
+    assert [r.part for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(tx._part(F.col("t")).alias("part")).collect()] == tx.parts_of(texts).tolist()
+    model = tx.train(texts, y, [1.0] * 700, config)
+    scored = spark.createDataFrame([(["xx", "yy", "zz"][i % 3], c, float(s)) for i, (c, s) in enumerate(zip(y, np.random.default_rng(1).permutation(700).tolist(), strict=True))], "lang string, toxic int, score double")
+
+    def plain(own):
+        cuts = sorted({s for _, s in own} | {0.0}, reverse=True)
+        f1 = [2 * sum(c for c, s in own if s >= at) / (sum(s >= at for _, s in own) + sum(c for c, _ in own)) for at in cuts[:-1]]
+        best = f1.index(max(f1))
+        return (cuts[best] + cuts[best + 1]) / 2
+
+    all_scored = scored.collect()
+    assert tx.thresholds_of(scored, config) == {lang: pytest.approx(plain([(r.toxic, r.score) for r in all_scored if r.lang == lang])) for lang in ("xx", "yy", "zz")}
+    again = tx._from_table(model, tx._table_of(model))
+    assert (tx.score_words(again, words) == tx.score_words(model, words)).all()
