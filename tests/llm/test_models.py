@@ -279,3 +279,14 @@ def test_tasks_count_and_calibrate_as_the_driver_does(spark):
     assert tx.thresholds_of(scored, config) == {lang: pytest.approx(plain([(r.toxic, r.score) for r in all_scored if r.lang == lang])) for lang in ("xx", "yy", "zz")}
     again = tx._from_table(model, tx._table_of(model))
     assert (tx.score_words(again, words) == tx.score_words(model, words)).all()
+
+
+def test_words_are_hashed_together_as_one_by_one():
+    from zlib import crc32
+
+    words = ["", "--", "The", "(Idiotic!)", "abc", "abcd", "İstanbul!", "«Ünïcode»", "a" * 64, "b" * 65, "ß" * 40, "ÉÉÉÉ", "日本語の文", "x«"]
+    config = tx.ToxicityConfig()
+    for row, w in zip(tx.word_ids(pa.array(words), config).tolist(), words, strict=True):
+        w, mask = w.lower().strip(tx.PUNCTUATION), config.buckets - 1
+        assert row == [crc32(w.encode()) & mask, *(crc32(f"{n}{w[:n]}".encode()) & mask if len(w) >= n else 0 for n in config.prefixes)]
+    assert tx.word_ids([], config).shape == (0, 4)
